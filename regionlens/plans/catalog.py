@@ -204,16 +204,16 @@ def histogram_30(spark, d):
 @query("boxplot_stats", uses=("panel_long",), ctes="""
 q AS (SELECT year, quantile_cont(gdp, 0.25) AS q1, quantile_cont(gdp, 0.5) AS median,
              quantile_cont(gdp, 0.75) AS q3 FROM panel_long WHERE gdp IS NOT NULL GROUP BY year)""", sql="""
-SELECT q.year, round(q1, 2) AS q1, round(median, 2) AS median, round(q3, 2) AS q3, round(q3 - q1, 2) AS iqr,
-       round(min(gdp) FILTER (WHERE gdp >= q1 - 1.5 * (q3 - q1)), 2) AS whisker_lo,
-       round(max(gdp) FILTER (WHERE gdp <= q3 + 1.5 * (q3 - q1)), 2) AS whisker_hi,
+SELECT q.year, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
+       round(min(gdp) FILTER (WHERE gdp >= q1 - 1.5 * (q3 - q1)), 4) AS whisker_lo,
+       round(max(gdp) FILTER (WHERE gdp <= q3 + 1.5 * (q3 - q1)), 4) AS whisker_hi,
        count(*) FILTER (WHERE gdp < q1 - 1.5 * (q3 - q1) OR gdp > q3 + 1.5 * (q3 - q1)) AS n_outliers
 FROM panel_long p JOIN q ON p.year = q.year WHERE gdp IS NOT NULL
 GROUP BY q.year, q1, median, q3""")
 def boxplot_stats(spark, d):
     """A25 quartiles, 1.5-IQR whiskers and outliers per year."""
     b = profile.boxplot_stats(fx.panel_long(spark, d), "year", "gdp")
-    return b.select("year", *[R(c, 2) for c in ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]],
+    return b.select("year", *[R(c, 4) for c in ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]],
                     "n_outliers")
 
 
@@ -267,12 +267,12 @@ def gdp_mean_by_year(spark, d):
 
 
 @query("gdp_quantiles_by_year", uses=("panel_long",), sql=" UNION ALL ".join(f"""
-SELECT year, CAST({q} AS DOUBLE) AS quantile, '{lab}' AS label, round(quantile_cont(gdp, {q}), 2) AS value
+SELECT year, CAST({q} AS DOUBLE) AS quantile, '{lab}' AS label, round(quantile_cont(gdp, {q}), 4) AS value
 FROM panel_long WHERE gdp IS NOT NULL GROUP BY year""" for q, lab in panel.QUANTILE_LABELS.items()))
 def gdp_quantiles_by_year(spark, d):
     """A2 + P9 quantiles per year with labels."""
     q = panel.quantiles_by_year(fx.panel_long(spark, d))
-    return q.select("year", "quantile", "label", R("value", 2))
+    return q.select("year", "quantile", "label", R("value", 4))
 
 
 @query("row_mean", uses=("panel_long",), sql="""
@@ -433,15 +433,17 @@ def _utm_sql():
              61.0 * n ** 3 / 240.0]
     c = 2.0 * m.sqrt(n) / (1.0 + n)
     lam0 = m.radians(17 * 6.0 - 183.0)
-    east = "eta" + "".join(f" + {a!r} * cos({2 * j}.0 * xi) * sinh({2 * j}.0 * eta)" for j, a in enumerate(alpha, 1))
-    north = "xi" + "".join(f" + {a!r} * sin({2 * j}.0 * xi) * cosh({2 * j}.0 * eta)" for j, a in enumerate(alpha, 1))
+    def D(v):
+        return f"CAST({v!r} AS DOUBLE)"
+    east = "eta" + "".join(f" + {D(a)} * cos({D(2.0 * j)} * xi) * sinh({D(2.0 * j)} * eta)" for j, a in enumerate(alpha, 1))
+    north = "xi" + "".join(f" + {D(a)} * sin({D(2.0 * j)} * xi) * cosh({D(2.0 * j)} * eta)" for j, a in enumerate(alpha, 1))
     return f"""
-p AS (SELECT geoid, radians({_LAT0!r} + y / 100000.0) AS phi, radians({_LON0!r} + x / 100000.0) - {lam0!r} AS dlam
-           FROM centroids),
-t AS (SELECT geoid, dlam, sinh(atanh(sin(phi)) - {c!r} * atanh({c!r} * sin(phi))) AS t FROM p),
+p AS (SELECT geoid, radians({D(_LAT0)} + y / {D(100000.0)}) AS phi,
+              radians({D(_LON0)} + x / {D(100000.0)}) - {D(lam0)} AS dlam FROM centroids),
+t AS (SELECT geoid, dlam, sinh(atanh(sin(phi)) - {D(c)} * atanh({D(c)} * sin(phi))) AS t FROM p),
 k AS (SELECT geoid, atan2(t, cos(dlam)) AS xi, atanh(sin(dlam) / sqrt(1.0 + t * t)) AS eta FROM t)|||
-SELECT geoid, round({geo.UTM_FALSE_EASTING!r} + {geo.UTM_K0!r} * {big_a!r} * ({east}), 3) AS easting,
-       round({geo.UTM_K0!r} * {big_a!r} * ({north}), 3) AS northing FROM k"""
+SELECT geoid, round({D(geo.UTM_FALSE_EASTING)} + {D(geo.UTM_K0)} * {D(big_a)} * ({east}), 3) AS easting,
+       round({D(geo.UTM_K0)} * {D(big_a)} * ({north}), 3) AS northing FROM k"""
 
 
 @query("utm_project", uses=("centroids",), ctes=_utm_sql().split("|||")[0], sql=_utm_sql().split("|||")[1])
