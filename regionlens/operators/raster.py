@@ -133,6 +133,32 @@ def zonal_indices(pixels: DataFrame, zones: DataFrame, key: str, cell_size: floa
             .withColumn("s2_count", F.coalesce("s2_count", F.lit(0))))
 
 
+def zonal_features(pixels: DataFrame, zones: DataFrame, key: str, cell_size: float, light: str = "light",
+                   nir: str = "nir", red: str = "red", swir: str = "swir") -> DataFrame:
+    """A8 + A9 in one pass: each pixel is assigned to its zone once and one
+    grouped aggregate computes the light statistics (over valid light
+    values) and the spectral statistics (over complete-case pixels only, as
+    conditional aggregates)."""
+    px = pixels.select("x", "y", light, nir, red, swir)
+    inz = spatial.assign_points_to_zones(px, zones, [key], cell_size)
+    ok = F.col(nir).isNotNull() & F.col(red).isNotNull() & F.col(swir).isNotNull()
+
+    def cc(c):
+        return F.when(ok, c)
+
+    v = F.col(light)
+    st = inz.groupBy(key).agg(
+        F.avg(v).alias("viirs_mean"), F.stddev_pop(v).alias("viirs_std"), F.max(v).alias("viirs_max"),
+        F.sum(v).alias("viirs_sum"),
+        F.avg(cc(F.col(red))).alias("s2_red_mean"), F.avg(cc(F.col(nir))).alias("s2_nir_mean"),
+        F.avg(cc(F.col(swir))).alias("s2_swir_mean"),
+        F.avg(cc(geo.ndvi(nir, red))).alias("s2_ndvi_mean"),
+        F.stddev_pop(cc(geo.ndvi(nir, red))).alias("s2_ndvi_std"),
+        F.avg(cc(geo.ndbi(swir, nir))).alias("s2_ndbi_mean"),
+        F.avg(cc(geo.ndwi(nir, swir))).alias("s2_ndwi_mean"))
+    return zones.select(key).join(st, key, "left")
+
+
 # ---------------------------------------------------------------- grid ops
 
 def with_centres(grid: DataFrame, x0: float, dx: float, y0: float, dy: float) -> DataFrame:

@@ -96,10 +96,53 @@ def _offsets9() -> Column:
                      for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
 
 
+def _segment_touches_box(e, x0, y0, x1, y1):
+    """Closed segment vs closed axis-aligned box (separating-axis test)."""
+    overlap = ((F.least(e.ax, e.bx) <= x1) & (F.greatest(e.ax, e.bx) >= x0)
+               & (F.least(e.ay, e.by) <= y1) & (F.greatest(e.ay, e.by) >= y0))
+    dx, dy = e.bx - e.ax, e.by - e.ay
+    s = [dx * (cy - e.ay) - dy * (cx - e.ax) for cx, cy in ((x0, y0), (x1, y0), (x0, y1), (x1, y1))]
+    all_pos = (s[0] > 0) & (s[1] > 0) & (s[2] > 0) & (s[3] > 0)
+    all_neg = (s[0] < 0) & (s[1] < 0) & (s[2] < 0) & (s[3] < 0)
+    return overlap & ~all_pos & ~all_neg
+
+
 def zone_cells(zones: DataFrame, cell_size: float, rings: str = "rings") -> DataFrame:
-    """One row per (zone, grid cell its bounding box touches), with the
-    zone's edge list and the lower-left cell of its box (used to deduplicate
-    pairs that share several cells)."""
+    """One row per (zone, grid cell its bounding box touches).
+
+    Each row carries the lower-left cell of the zone's box (used to
+    deduplicate pairs that share several cells) and an ``_inside`` flag: a
+    cell whose four corners are inside the polygon and that no polygon edge
+    touches lies wholly inside, so points in it need no polygon test; only
+    boundary cells keep the edge list (``_edges`` is empty otherwise, which
+    also keeps the broadcast side small).
+    """
+    b = geo.bbox(rings)
+    c = float(cell_size)
+    cells = (zones
+             .withColumn("_all_edges", geo.polygon_edges(rings))
+             .withColumn("_bb", b)
+             .withColumn("_zcx0", _cell(F.col("_bb.minx"), cell_size))
+             .withColumn("_zcy0", _cell(F.col("_bb.miny"), cell_size))
+             .withColumn("_cx", F.explode(F.sequence("_zcx0", _cell(F.col("_bb.maxx"), cell_size))))
+             .withColumn("_cy", F.explode(F.sequence("_zcy0", _cell(F.col("_bb.maxy"), cell_size))))
+             .drop("_bb", rings))
+    x0, y0 = F.col("_cx") * c, F.col("_cy") * c
+    x1, y1 = x0 + c, y0 + c
+    e = F.col("_all_edges")
+    corners = (geo.point_in_edges(e, x0, y0) & geo.point_in_edges(e, x1, y0)
+               & geo.point_in_edges(e, x0, y1) & geo.point_in_edges(e, x1, y1))
+    touched = F.exists(e, lambda ed: _segment_touches_box(ed, x0, y0, x1, y1))
+    inside = corners & ~touched
+    empty = F.array().cast(f"array<{geo.EDGE_TYPE}>")
+    return (cells.withColumn("_inside", inside)
+            .withColumn("_edges", F.when(F.col("_inside"), empty).otherwise(e))
+            .drop("_all_edges"))
+
+
+def _zone_cells_full(zones: DataFrame, cell_size: float, rings: str = "rings") -> DataFrame:
+    """Zone cells with the full edge list on every cell (line clipping cuts
+    segments at the polygon's edges, so it needs all of them)."""
     b = geo.bbox(rings)
     return (zones
             .withColumn("_edges", geo.polygon_edges(rings))
@@ -111,6 +154,10 @@ def zone_cells(zones: DataFrame, cell_size: float, rings: str = "rings") -> Data
             .drop("_bb", rings))
 
 
+def _in_zone(x, y) -> Column:
+    return F.col("_inside") | geo.point_in_edges("_edges", x, y)
+
+
 def estimate_cell_size(zones: DataFrame, rings: str = "rings", factor: float = 0.5) -> float:
     """Half the median zone-box width: a zone then spans about 3x3 cells."""
     b = geo.bbox(rings)
@@ -134,20 +181,20 @@ def assign_points_to_zones(points: DataFrame, zones: DataFrame, zone_cols: Seque
     zc = broadcast_if_small(zc, ["_edges"])
     p = (points.withColumn("_cx", _cell(F.col(x), cell_size))
          .withColumn("_cy", _cell(F.col(y), cell_size)))
-    j = p.join(zc, ["_cx", "_cy"]).where(geo.point_in_edges("_edges", F.col(x), F.col(y)))
-    return j.drop("_cx", "_cy", "_edges", "_zcx0", "_zcy0")
+    j = p.join(zc, ["_cx", "_cy"]).where(_in_zone(F.col(x), F.col(y)))
+    return j.drop("_cx", "_cy", "_edges", "_zcx0", "_zcy0", "_inside")
 
 
 def clip_points(points: DataFrame, zones: DataFrame, cell_size: float, x: str = "x",
                 y: str = "y", rings: str = "rings") -> DataFrame:
     """Keep points inside the union of the zones (a semi-join, so a
     point inside several overlapping parts is kept once; no dissolve)."""
-    zc = zone_cells(zones.select(rings), cell_size, rings).select("_cx", "_cy", "_edges")
+    zc = zone_cells(zones.select(rings), cell_size, rings).select("_cx", "_cy", "_edges", "_inside")
     zc = broadcast_if_small(zc, ["_edges"])
     p = (points.withColumn("_cx", _cell(F.col(x), cell_size))
          .withColumn("_cy", _cell(F.col(y), cell_size)))
     cond = ((p["_cx"] == zc["_cx"]) & (p["_cy"] == zc["_cy"])
-            & geo.point_in_edges(zc["_edges"], p[x], p[y]))
+            & (zc["_inside"] | geo.point_in_edges(zc["_edges"], p[x], p[y])))
     return p.join(zc, cond, "left_semi").drop("_cx", "_cy")
 
 
@@ -221,9 +268,11 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
     facility) + ``nearest_{type}_id``.
     """
     spark = points.sparkSession
-    fac = (facilities.where(F.col(type_col).isin(list(types)))
-           .groupBy(F.col(type_col).alias("_t"), F.col(fx).alias("_fx"), F.col(fy).alias("_fy"))
-           .agg(F.min(fac_id).alias("_fid")))
+    # facilities at one spot collapse to one candidate (the smallest id); the
+    # deduplicated table is read at every level, so it is written once
+    fac = materialize(facilities.where(F.col(type_col).isin(list(types)))
+                      .groupBy(F.col(type_col).alias("_t"), F.col(fx).alias("_fx"), F.col(fy).alias("_fy"))
+                      .agg(F.min(fac_id).alias("_fid")), "nearest-fac")
     stats = {r["_t"]: r for r in fac.groupBy("_t").agg(
         F.count(F.lit(1)).alias("n"), F.min("_fx").alias("x0"), F.max("_fx").alias("x1"),
         F.min("_fy").alias("y0"), F.max("_fy").alias("y1")).collect()}
@@ -318,7 +367,7 @@ def clip_segments_to_zones(segments: DataFrame, zones: DataFrame, zone_cols: Seq
     exact clip cuts the segment at the polygon's edges and keeps the pieces
     whose midpoints are inside.  Output: seg_cols + zone_cols + ``length``.
     """
-    zc = zone_cells(zones.select(*zone_cols, rings), cell_size, rings)
+    zc = _zone_cells_full(zones.select(*zone_cols, rings), cell_size, rings)
     zc = broadcast_if_small(zc, ["_edges"])
     s = (segments
          .withColumn("_scx0", _cell(F.least("ax", "bx"), cell_size))

@@ -404,7 +404,7 @@ def road_density(spark, d):
     """P14 explode + J6 cell join + G6 exact clip + A13 + X10 density."""
     z = fx.zones(spark, d)
     segs = spatial.explode_line_segments(fx.roads(spark, d), "line")
-    tot = spatial.road_length_per_zone(segs, z, "geoid", fx.ZONE_CELL)
+    tot = spatial.road_length_per_zone(segs, z, "geoid", fx.ROAD_CELL)
     area = z.select("geoid", geo.polygon_area("rings").alias("area_sqm"))
     j = tot.join(area, "geoid")
     dens = F.try_divide(F.col("total_road_length_m") / 1000, F.col("area_sqm") / 1000000)

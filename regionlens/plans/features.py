@@ -1,9 +1,9 @@
 """Entry point A: one feature row per zone (block group).
 
 zones -> G2 centroids -> J7 nearest facility per type -> J5/A12 facility
-counts -> J6/G6/A13 road length + G3 area + X10 densities -> J8/A8 night
-light statistics -> J8/A9 spectral indices -> J1 left joins on the zone key
--> A14 median imputation.
+counts -> J6/G6/A13 road length + G3 area + X10 densities -> J8 + A8/A9
+night-light and spectral statistics in one pixel pass -> J1 left joins on
+the zone key -> A14 median imputation.
 
 Every feature family is an independent aggregate keyed by the zone id; the
 zone table (small, one row per zone) is the left side of every join, so
@@ -22,24 +22,25 @@ from regionlens.functions import geo
 from regionlens.operators import clean, raster, spatial
 from regionlens.plans.catalog import R, query
 from regionlens.plans.oracle import with_fixtures  # noqa: F401
+from regionlens.session import materialize
 from regionlens.sources import fixtures as fx
 
 
 def build_feature_matrix(zones: DataFrame, facilities: DataFrame, segments: DataFrame, pixels: DataFrame,
                          zone_population: DataFrame | None, key: str, cell_size: float,
                          types: Sequence[str], radii: Sequence[float] = (1000, 2000, 5000),
-                         type_col: str = "amenity", impute: bool = True) -> DataFrame:
+                         type_col: str = "amenity", impute: bool = True,
+                         road_cell_size: float | None = None) -> DataFrame:
     """Assemble the feature matrix (see module docstring)."""
     c = geo.polygon_centroid("rings")
     base = zones.select(key, c.x.alias("x"), c.y.alias("y"), geo.polygon_area("rings").alias("area_sqm"))
     near = spatial.nearest_facility(base, facilities, key, types, type_col=type_col)
     near = near.select(key, *[f"nearest_{t.lower()}_dist" for t in types])
     counts = spatial.count_within(base, facilities, key, radii, types, type_col)
-    roads = spatial.road_length_per_zone(segments, zones, key, cell_size)
-    lights = raster.zonal_stats(pixels, zones, key, "light", cell_size, prefix="viirs").drop("viirs_count")
-    s2 = raster.zonal_indices(pixels, zones, key, cell_size).drop("s2_count")
+    roads = spatial.road_length_per_zone(segments, zones, key, road_cell_size or cell_size)
+    zonal = raster.zonal_features(pixels, zones, key, cell_size)
     fm = (base.join(near, key, "left").join(counts, key, "left").join(roads, key, "left")
-          .join(lights, key, "left").join(s2, key, "left"))
+          .join(zonal, key, "left"))
     fm = fm.withColumn("road_density_km_per_sqkm",
                        F.try_divide(F.col("total_road_length_m") / 1000, F.col("area_sqm") / 1000000))
     if zone_population is not None:
@@ -48,6 +49,9 @@ def build_feature_matrix(zones: DataFrame, facilities: DataFrame, segments: Data
     else:
         fm = fm.withColumn("population_density_per_sqkm", F.lit(None).cast("double"))
     if impute:
+        # the medians need the assembled matrix; write it once to the shared
+        # checkpoint folder so imputation does not recompute every branch
+        fm = materialize(fm, "feature-matrix")
         num = clean.numeric_columns(fm, exclude=(key,))
         fm = clean.median_impute(fm, num)
     return fm
@@ -122,7 +126,7 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
            .groupBy(F.substring("geoid", 3, 3).alias("county")).agg(F.sum("population").alias("population"))
            .join(z.select("county", "geoid"), "county").select("geoid", "population"))
     fm = build_feature_matrix(z, fx.facilities(spark, d), segs, fx.pixels(spark, d), pop, "geoid",
-                              fx.ZONE_CELL, fx.FACILITY_TYPES)
+                              fx.ZONE_CELL, fx.FACILITY_TYPES, road_cell_size=fx.ROAD_CELL)
     return _rounded(fm)
 
 

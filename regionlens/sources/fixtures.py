@@ -18,7 +18,8 @@ from regionlens.functions import geo
 PLANE = 100003
 ZONE_SIDE = 20000          # zone height and base width, metres
 ZONE_SHEAR = 2000          # x shift per zone row (0.1 * ZONE_SIDE)
-ZONE_CELL = 10000.0        # grid cell used for zone joins (half a zone)
+ZONE_CELL = 2000.0         # grid cell for point-in-zone joins (a tenth of a zone)
+ROAD_CELL = 10000.0        # grid cell for road clipping (half a zone)
 FACILITY_TYPES = ["School", "hospital", "grocery"]   # by s_suppkey % 3
 PANEL_YEARS = list(range(1995, 2002))
 GRID_DX = 500.0            # grid raster: col -> x
