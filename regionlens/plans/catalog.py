@@ -767,3 +767,161 @@ FROM fl GROUP BY notebook""")
 def cell_counts(spark, d):
     """A26 per-notebook conditional counts."""
     return cl.cell_counts(fx.cells(spark, d))
+
+
+# ================================================================ models
+
+_XF = ["x1", "x2", "x3"]
+
+
+def _solve3_sql(k: str) -> str:
+    """OLS / ridge on three features via Cramer's rule on the covariance
+    matrix (S + k I) b = c, k = alpha / n (0 for OLS)."""
+    return f"""
+cc AS (SELECT * FROM features WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND target IS NOT NULL),
+m AS (SELECT count(*) AS n, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x1, x3) AS s13,
+             covar_pop(x2, x2) AS s22, covar_pop(x2, x3) AS s23, covar_pop(x3, x3) AS s33,
+             covar_pop(x1, target) AS c1, covar_pop(x2, target) AS c2, covar_pop(x3, target) AS c3,
+             avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(target) AS my, var_pop(target) AS vy FROM cc),
+a AS (SELECT *, s11 + {k} AS a11, s22 + {k} AS a22, s33 + {k} AS a33 FROM m),
+d AS (SELECT *, a11 * (a22 * a33 - s23 * s23) - s12 * (s12 * a33 - s23 * s13) + s13 * (s12 * s23 - a22 * s13) AS det FROM a),
+b AS (SELECT *, (c1 * (a22 * a33 - s23 * s23) - s12 * (c2 * a33 - s23 * c3) + s13 * (c2 * s23 - a22 * c3)) / det AS b1,
+                (a11 * (c2 * a33 - s23 * c3) - c1 * (s12 * a33 - s23 * s13) + s13 * (s12 * c3 - c2 * s13)) / det AS b2,
+                (a11 * (a22 * c3 - c2 * s23) - s12 * (s12 * c3 - c2 * s13) + c1 * (s12 * s23 - a22 * s13)) / det AS b3
+      FROM d),
+r AS (SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0,
+             1 - (vy - 2 * (b1 * c1 + b2 * c2 + b3 * c3)
+                  + (b1 * b1 * s11 + b2 * b2 * s22 + b3 * b3 * s33
+                     + 2 * (b1 * b2 * s12 + b1 * b3 * s13 + b2 * b3 * s23))) / vy AS r2 FROM b)"""
+
+
+_COEF_SQL = """
+SELECT 'intercept' AS term, round(b0, 4) AS value FROM r UNION ALL
+SELECT 'x1', round(b1, 6) FROM r UNION ALL SELECT 'x2', round(b2, 6) FROM r UNION ALL
+SELECT 'x3', round(b3, 6) FROM r UNION ALL SELECT 'r2', round(r2, 6) FROM r"""
+
+
+def _coef_rows(spark, f, model):
+    from regionlens.operators import model as M
+    pred = model.transform(M.assemble(f, _XF)).select(F.col("target").alias("actual"),
+                                                       F.col("prediction").alias("predicted"))
+    r2 = evaluate.regression_metrics(pred).select(F.lit("r2").alias("term"), R(F.col("R2"), 6).alias("value"))
+    co = M.coefficients(model, _XF, spark).select(
+        "term", F.when(F.col("term") == "intercept", F.round("value", 4)).otherwise(F.round("value", 6)).alias("value"))
+    return co.unionByName(r2)
+
+
+@query("ols_fit", uses=("features",), ctes=_solve3_sql("0.0"), sql=_COEF_SQL)
+def ols_fit(spark, d):
+    """M2 + M9 OLS coefficients and training R^2 (normal equations)."""
+    from regionlens.operators import model as M
+    f = clean.drop_incomplete(fx.features(spark, d), [*_XF, "target"])
+    return _coef_rows(spark, f, M.ols("target").fit(M.assemble(f, _XF)))
+
+
+@query("ridge_fit", uses=("features",), ctes=_solve3_sql("1000.0 / n"), sql=_COEF_SQL)
+def ridge_fit(spark, d):
+    """M3 ridge (alpha = 1000) matching the closed form."""
+    from regionlens.operators import model as M
+    f = clean.drop_incomplete(fx.features(spark, d), [*_XF, "target"])
+    return _coef_rows(spark, f, M.ridge(f, "target", 1000.0).fit(M.assemble(f, _XF)))
+
+
+@query("scaled_features", uses=("features",), ctes="""
+st AS (SELECT avg(x1) AS m1, CASE WHEN stddev_pop(x1) = 0 THEN 1 ELSE stddev_pop(x1) END AS s1,
+              avg(x2) AS m2, CASE WHEN stddev_pop(x2) = 0 THEN 1 ELSE stddev_pop(x2) END AS s2,
+              avg(x3) AS m3, CASE WHEN stddev_pop(x3) = 0 THEN 1 ELSE stddev_pop(x3) END AS s3 FROM features)""",
+       sql="""
+SELECT geoid, round((x1 - m1) / s1, 6) AS x1, round((x2 - m2) / s2, 6) AS x2, round((x3 - m3) / s3, 6) AS x3
+FROM features, st""")
+def scaled_features(spark, d):
+    """M1 standardisation with population std (constant column -> / 1)."""
+    from regionlens.operators import model as M
+    f = fx.features(spark, d).select("geoid", *_XF)
+    s = M.apply_scaler(f, M.fit_scaler(f, _XF))
+    return s.select("geoid", *[R(c, 6) for c in _XF])
+
+
+def _cv_frame(spark, d):
+    f = clean.median_impute(fx.features(spark, d), _XF)
+    return split.group_folds(f, "tract", 5)
+
+
+@query("forest_cv")
+def forest_cv(spark, d):
+    """M4 + M7 random forest under grouped 5-fold CV: per-fold metrics and
+    their mean / std (rows-only: tree ensembles are not bit-reproducible
+    against another engine)."""
+    from regionlens.operators import model as M
+    per_fold, summary = M.spatial_cv(_cv_frame(spark, d), "geoid", _XF, "target",
+                                     lambda tr: M.random_forest("target", num_trees=20, max_depth=8))
+    return summary
+
+
+@query("boost_cv")
+def boost_cv(spark, d):
+    """M5 + M7 boosted trees under grouped 5-fold CV (rows-only)."""
+    from regionlens.operators import model as M
+    per_fold, summary = M.spatial_cv(_cv_frame(spark, d), "geoid", _XF, "target",
+                                     lambda tr: M.boosted_trees("target", max_iter=20, max_depth=4))
+    return summary
+
+
+@query("linear_cv")
+def linear_cv(spark, d):
+    """M2 + M7 OLS under grouped 5-fold CV, per-fold metrics (rows-only)."""
+    from regionlens.operators import model as M
+    per_fold, _ = M.spatial_cv(_cv_frame(spark, d), "geoid", _XF, "target", lambda tr: M.ols("target"))
+    return per_fold
+
+
+@query("grid_search")
+def grid_search(spark, d):
+    """M8 grid search over the grouped folds (RMSE per parameter set)."""
+    from regionlens.operators import model as M
+    res, _best = M.grid_search(_cv_frame(spark, d), _XF, "target", M.ridge_template("target"),
+                               {"regParam": [0.0, 0.1, 1.0]})
+    return res
+
+
+@query("importances")
+def importances(spark, d):
+    """M10 random-forest feature importances, sorted (rows-only)."""
+    from regionlens.operators import model as M
+    f = _cv_frame(spark, d)
+    m = M.random_forest("target", num_trees=20, max_depth=8).fit(M.assemble(f, _XF))
+    return M.importances(m, _XF, spark)
+
+
+@query("split_metrics")
+def split_metrics(spark, d):
+    """M6 80/20 split -> fit -> test metrics (OLS)."""
+    from regionlens.operators import model as M
+    f = clean.median_impute(fx.features(spark, d), _XF)
+    return M.evaluate_split(f, "geoid", _XF, "target", M.ols("target")).select(
+        *[R(c, 6) for c in evaluate.METRICS], "n")
+
+
+@query("sparsity_study")
+def sparsity_study(spark, d):
+    """M11 + M12 masking study: metrics per masking percentage and their
+    degradation against the unmasked fit."""
+    from regionlens.operators import model as M
+    f = clean.median_impute(fx.features(spark, d), _XF)
+    res = M.sparsity_study(f, "geoid", _XF, "target", ["x2", "x3"], [0.0, 0.1, 0.3], lambda t: M.ols("target"))
+    return evaluate.degradation_table(res, "mask_pct", 0.0)
+
+
+@query("population_regression")
+def population_regression(spark, d):
+    """M17 population-only regression for year 2000 (rows-only)."""
+    from regionlens.operators import model as M
+    return M.population_regression(fx.panel_wide(spark, d), fx.population_table(spark, d), 2000,
+                                   ["population", "wealth"])
+
+
+@query("lagged_regression")
+def lagged_regression(spark, d):
+    """M18 lagged-panel regression for year 2000 (rows-only)."""
+    from regionlens.operators import model as M
+    return M.lagged_regression(fx.panel_wide(spark, d), 2000)
