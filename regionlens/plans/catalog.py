@@ -925,3 +925,88 @@ def lagged_regression(spark, d):
     """M18 lagged-panel regression for year 2000 (rows-only)."""
     from regionlens.operators import model as M
     return M.lagged_regression(fx.panel_wide(spark, d), 2000)
+
+
+# ================================================================ sources / sinks
+
+def _scratch(spark, name):
+    import uuid
+    from regionlens.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("geojson_roundtrip", uses=("zones",), sql="""
+SELECT geoid, 'Polygon' AS gtype, CAST(0 AS BIGINT) AS part, 400000000.0::DOUBLE AS area,
+       round(20000.0::DOUBLE * (zi + 0.5::DOUBLE) + 2000.0::DOUBLE * (zj + 0.5::DOUBLE), 4) AS centroid_x
+FROM zones""")
+def geojson_roundtrip(spark, d):
+    """S12 write zones as GeoJSON features, S3 read them back, measure."""
+    from regionlens.sources import io
+    path = _scratch(spark, "zones-geojson")
+    io.write_geojson(fx.zones(spark, d), path, "rings", ["geoid", "zone_id"])
+    z = io.read_geojson(spark, path, "geoid string, zone_id long", collection=False)
+    return z.select("geoid", "gtype", "part", R(geo.polygon_area("rings")).alias("area"),
+                    R(geo.polygon_centroid("rings").x).alias("centroid_x"))
+
+
+@query("csv_roundtrip", uses=("gt",), sql="""
+SELECT geoid, median_income, population, round(poverty_rate, 6) AS poverty_rate FROM gt""")
+def csv_roundtrip(spark, d):
+    """S11 write the census table as CSV, S1 / S6 read it back with an
+    explicit schema (ids stay strings), then the ground-truth projection."""
+    from regionlens.sources import io
+    path = _scratch(spark, "acs-csv")
+    io.write_csv(fx.acs(spark, d), path)
+    g = clean.acs_ground_truth(io.read_acs(spark, path))
+    return g.select("geoid", "median_income", "population", R("poverty_rate", 6))
+
+
+@query("raster_roundtrip", uses=("pixels",), sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM pixels"
+    for c in ["x", "y", "nir", "red", "swir", "light", "linenumber"]))
+def raster_roundtrip(spark, d):
+    """S13 write the pixel table partitioned by tile, S7 read it back with
+    nodata masking, then the NULL profile."""
+    from regionlens.sources import io
+    path = _scratch(spark, "pixels")
+    io.write_raster(fx.pixels(spark, d).select("x", "y", "nir", "red", "swir", "light", "linenumber"),
+                    path, ["linenumber"])
+    px = io.read_raster(spark, path, ["nir", "red", "swir", "light"], nodata=-9999.0)
+    return profile.null_profile(px.select("x", "y", "nir", "red", "swir", "light", "linenumber"))
+
+
+@query("layer_scan", uses=("facilities",), sql="""
+SELECT facility_id, amenity FROM facilities WHERE amenity = 'School'""")
+def layer_scan(spark, d):
+    """S4 layered vector dataset: facilities written as one layer per
+    amenity, the first layer by name read back (a partition filter)."""
+    from regionlens.sources import io
+    path = _scratch(spark, "layers")
+    fx.facilities(spark, d).select("facility_id", "amenity", F.col("amenity").alias("layer")) \
+        .write.partitionBy("layer").parquet(path)
+    return io.read_layer(spark, path).select("facility_id", "amenity")
+
+
+@query("notebook_roundtrip", uses=("cells",), ctes=_cells_flags_sql(), sql="""
+SELECT CAST(notebook AS VARCHAR) AS notebook, count(*) AS n_cells,
+       count(*) FILTER (WHERE NOT (is_reasoning OR has_error) OR has_viz) AS n_kept
+FROM fl GROUP BY notebook""")
+def notebook_roundtrip(spark, d):
+    """S15 cells -> notebook documents -> files -> cells -> cleaned counts."""
+    from regionlens.sources import io
+    path = _scratch(spark, "notebooks")
+    io.write_notebooks(fx.cells(spark, d), path)
+    c = cl.cell_counts(io.read_notebooks(spark, path, lines=True))
+    return c.select("notebook", "n_cells", "n_kept")
+
+
+@query("osm_scan", uses=("facilities",), sql="""
+SELECT facility_id, amenity FROM facilities
+WHERE amenity IN ('hospital', 'grocery')
+  AND floor((10 * x - y) / 200000.0) BETWEEN 0 AND 4 AND floor(y / 20000.0) BETWEEN 0 AND 1""")
+def osm_scan(spark, d):
+    """S9 tagged features inside a region (zones of the first two rows)."""
+    from regionlens.sources import io
+    region = fx.zones(spark, d).where(F.col("zone_id") < 10)
+    f = io.osm_features(fx.facilities(spark, d), region, {"amenity": ["hospital", "grocery"]}, fx.ZONE_CELL)
+    return f.select("facility_id", "amenity")
