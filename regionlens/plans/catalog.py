@@ -554,12 +554,12 @@ nb AS (SELECT trow, tcol, CAST(floor(sr) + a.range AS BIGINT) AS nr, CAST(floor(
        FROM tg, range(2) a, range(2) b),
 agg AS (SELECT trow, tcol, sum(w * g.value) AS s, sum(w) AS ws FROM nb
         JOIN grid g ON g."row" = nb.nr AND g.col = nb.nc WHERE g.value IS NOT NULL GROUP BY trow, tcol)""", sql="""
-SELECT tg.trow AS "row", tg.tcol AS col, round(CASE WHEN agg.ws <> 0 THEN agg.s / agg.ws END, 4) AS value
+SELECT tg.trow AS "row", tg.tcol AS col, round(CASE WHEN agg.ws <> 0 THEN agg.s / agg.ws END, 6) AS value
 FROM tg LEFT JOIN agg ON tg.trow = agg.trow AND tg.tcol = agg.tcol""")
 def raster_warp(spark, d):
     """G12 bilinear warp onto a coarser grid (equi-join to 4 neighbours)."""
     w = raster.bilinear_warp(fx.grid(spark, d), _WARP_FX, _WARP_FY)
-    return w.select("row", "col", R("value"))
+    return w.select("row", "col", R("value", 6))
 
 
 @query("raster_extent", uses=("pz",), sql="""

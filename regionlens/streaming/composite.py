@@ -25,10 +25,12 @@ def mean_composite_stream(spark: SparkSession, source: str, window: str = "1 day
                           late: str = "1 day", schema: T.StructType = SCENE_SCHEMA) -> DataFrame:
     """Streaming per-pixel mean per time window (watermarked, append mode)."""
     s = spark.readStream.schema(schema).parquet(source)
-    return (s.withWatermark("ts", late)
-            .groupBy(F.window("ts", window).alias("w"), "pixel")
+    # watermarks need TIMESTAMP; scene times are TIMESTAMP_NTZ (session tz)
+    s = s.withColumn("_ets", F.col("ts").cast("timestamp"))
+    return (s.withWatermark("_ets", late)
+            .groupBy(F.window("_ets", window).alias("w"), "pixel")
             .agg(F.avg("value").alias("mean_value"), F.count("value").alias("n_obs"))
-            .select(F.col("w.start").alias("window_start"), "pixel", "mean_value", "n_obs"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "pixel", "mean_value", "n_obs"))
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
