@@ -35,7 +35,8 @@ def point(x, y) -> Column:
 
 
 def ring_edges(ring) -> Column:
-    """Consecutive vertex pairs of one closed ring or an open line."""
+    """Consecutive vertex pairs of one closed ring or an open line (X14
+    array functions: slice / zip_with, flatten in ``polygon_edges``)."""
     r = _c(ring)
     n = F.size(r) - 1
     return F.zip_with(

@@ -1,4 +1,9 @@
-"""Cleaning, filters, keys and imputation."""
+"""Cleaning, filters, keys and imputation.
+
+Scalar function groups used here and across the package are Spark
+built-ins: X1 strings (lower, concat, substring, cast, contains, rlike,
+array_join), X2 math (abs, sqrt, floor, unit arithmetic), X3 guarded
+division (try_divide), X5 NULL handling (coalesce, isnull, count = 0)."""
 
 from __future__ import annotations
 
@@ -83,6 +88,27 @@ def tag_filter(df: DataFrame, spec: Mapping[str, object], tags_col: str = "tags"
     return df.where(tag_predicate(spec, tags_col))
 
 
+def select_columns(df: DataFrame, keep: Sequence[str] | None = None, drop: Sequence[str] = (),
+                   rename: Mapping[str, str] | None = None) -> DataFrame:
+    """P1 column subset / drop / rename (pruned down to the scan)."""
+    out = df.select(*keep) if keep else df
+    out = out.drop(*drop) if drop else out
+    for a, b in (rename or {}).items():
+        out = out.withColumnRenamed(a, b)
+    return out
+
+
+def join_truth(features: DataFrame, truth: DataFrame, key: str = "geoid") -> DataFrame:
+    """J3 inner join features x ground truth on the key; J4 rows are aligned
+    by this explicit key, never by position."""
+    return features.join(truth, key, "inner")
+
+
+def common_keys(a: DataFrame, b: DataFrame, key: str = "geoid") -> DataFrame:
+    """U2 intersection of row keys (a distinct set operation)."""
+    return a.select(key).intersect(b.select(key))
+
+
 def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """F7 drop rows with any NULL in ``subset``."""
     return df.na.drop(how="any", subset=list(subset) if subset else None)
@@ -117,7 +143,7 @@ def cast_numeric(c, strict: bool = True, to: str = "double") -> Column:
 
 
 def relabel(c, mapping: Mapping) -> Column:
-    """P9 dictionary relabel as a literal map lookup."""
+    """P9 dictionary relabel as a literal map lookup (X16 map functions)."""
     kv = []
     for k, v in mapping.items():
         kv += [F.lit(k), F.lit(v)]

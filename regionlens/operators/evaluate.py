@@ -77,8 +77,9 @@ def policy_metrics(pred: DataFrame, threshold: float, actual: str = "actual",
 
 def confusion(pred: DataFrame, threshold: float, actual: str = "actual",
               predicted: str = "predicted") -> DataFrame:
-    """A18 confusion matrix, labels = sorted distinct *true* classes only; one
-    row per (actual, predicted) label pair, zero-filled."""
+    """A18 confusion matrix, labels = O4 sorted distinct *true* classes only
+    (a bounded list: the two classes); one row per (actual, predicted)
+    label pair, zero-filled."""
     labels = sorted(r["label"] for r in pred.select(
         income_class(actual, threshold).alias("label")).distinct().collect())
     cls = pred.select(income_class(actual, threshold).alias("actual_class"),

@@ -142,8 +142,9 @@ def spatial_cv(df: DataFrame, key: str, features: Sequence[str], label: str,
                k: int = 5) -> tuple[DataFrame, DataFrame]:
     """M7 grouped cross-validation: per fold a scaler fitted on the other
     folds and a fresh estimator; predictions of all folds are unioned with
-    their fold id, then metrics per fold (A15) and their mean/std (A16) are
-    plain aggregates.  Returns (per-fold metrics, summary)."""
+    their fold id (U5 append of per-fold results), then metrics per fold
+    (A15) and their mean/std (A16) are plain aggregates.  Returns (per-fold
+    metrics, summary)."""
     preds = None
     for f in range(k):
         train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)

@@ -163,7 +163,7 @@ def symmetric_range(df: DataFrame, col: str) -> DataFrame:
 
 
 def top_k(df: DataFrame, value: str, k: int = 10, by_abs: bool = False) -> DataFrame:
-    """O1-O3 sort descending (optionally by absolute value, sign kept) and
-    keep the first k (TakeOrderedAndProject, no full sort)."""
+    """O1 sort descending, O2 by absolute value with the sign kept, O3 keep
+    the first k (TakeOrderedAndProject, no full sort)."""
     key = F.abs(_q(value)) if by_abs else _q(value)
     return df.orderBy(key.desc()).limit(k)

@@ -26,7 +26,8 @@ QA_CIRRUS_BIT = 11
 # ---------------------------------------------------------------- filters
 
 def date_range(df: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame:
-    """F8 half-open date range ``start <= ts < end`` (pushed to the scan)."""
+    """F8 half-open date range ``start <= ts < end`` (X13 date literals
+    compared natively, pushed to the scan)."""
     return df.where((F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
                     & (F.col(ts) < F.lit(end).cast("timestamp_ntz")))
 
@@ -37,7 +38,8 @@ def cloud_filter(df: DataFrame, max_pct: float = 20, col: str = "cloud_pct") ->
 
 
 def qa_clear(qa: str = "qa60"):
-    """F11 clear-sky mask: neither the cloud nor the cirrus bit is set."""
+    """F11 clear-sky mask: neither the cloud nor the cirrus bit is set
+    (X12 bitwise AND with shifted bits)."""
     q = F.col(qa)
     return ((q.bitwiseAND(F.shiftleft(F.lit(1), QA_CLOUD_BIT)) == 0)
             & (q.bitwiseAND(F.shiftleft(F.lit(1), QA_CIRRUS_BIT)) == 0))

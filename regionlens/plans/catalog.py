@@ -1010,3 +1010,18 @@ def osm_scan(spark, d):
     region = fx.zones(spark, d).where(F.col("zone_id") < 10)
     f = io.osm_features(fx.facilities(spark, d), region, {"amenity": ["hospital", "grocery"]}, fx.ZONE_CELL)
     return f.select("facility_id", "amenity")
+
+
+@query("training_frame", uses=("features", "gt"), sql="""
+SELECT f.geoid, f.x1, round(f.x2, 6) AS x2, f.x3, g.median_income, round(g.poverty_rate, 6) AS poverty_rate
+FROM features f JOIN gt g ON f.geoid = g.geoid
+WHERE f.geoid IN (SELECT geoid FROM features WHERE x2 IS NOT NULL
+                  INTERSECT SELECT geoid FROM gt WHERE median_income IS NOT NULL)""")
+def training_frame(spark, d):
+    """P1 projection, J3 inner join features x ground truth, J4 key
+    alignment, U2 intersection of the keys complete on both sides."""
+    f = clean.select_columns(fx.features(spark, d), drop=["tract", "target"])
+    g = clean.acs_ground_truth(fx.acs(spark, d)).select("geoid", "median_income", "poverty_rate")
+    keys = clean.common_keys(f.where(F.col("x2").isNotNull()), g.where(F.col("median_income").isNotNull()))
+    j = clean.join_truth(f, g).join(keys, "geoid", "left_semi")
+    return j.select("geoid", "x1", R("x2", 6), "x3", "median_income", R("poverty_rate", 6))

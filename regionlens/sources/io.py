@@ -74,6 +74,7 @@ def _xy(p: Column) -> Column:
 
 
 def _coords(geom: Column, gtype: str) -> Column:
+    """X15 JSON: ``from_json`` of one geometry type's coordinates."""
     return F.from_json(geom, f"struct<coordinates:{_GEOM_SCHEMAS[gtype]}>").coordinates
 
 
