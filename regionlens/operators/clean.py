@@ -180,21 +180,27 @@ def acs_ground_truth(acs: DataFrame) -> DataFrame:
 def median_impute(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """A14 fill NULLs of numeric columns with their exact median.
 
-    All medians come from one aggregate (exact ``median`` buffers each
-    column's values; ``approx=True`` switches to ``percentile_approx``).  The
-    one-row result (one number per column) is applied to every row as
-    literals (J11, as Spark does for a scalar subquery) with ``coalesce``.
-    Columns without NULLs are left alone.
+    One pass counts the NULLs per column; the exact medians of the columns
+    that have NULLs come from ``quantile.global_quantiles`` (histogram
+    refinement, no column gathered in one task; ``approx=True`` uses
+    ``percentile_approx`` instead).  The result (one number per column) is
+    applied to every row as literals (J11, as Spark does for a scalar
+    subquery) with ``coalesce``.  Columns without NULLs are left alone.
     """
+    from regionlens.operators.quantile import global_quantiles
+
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df
-    med = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols],
-                 *[med(F.col(c)).cast("double").alias(f"m_{c}") for c in cols]).first()
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols]).first()
     todo = [c for c in cols if row[f"n_{c}"] > 0]
     if not todo:
         return df
-    stats = {c: row[f"m_{c}"] for c in todo}
+    if approx:
+        r = df.agg(*[F.percentile_approx(F.col(c), 0.5).cast("double").alias(c) for c in todo]).first()
+        stats = {c: r[c] for c in todo}
+    else:
+        med = global_quantiles(df, todo, [0.5])
+        stats = {c: med.get((c, 0.5)) for c in todo}
     return df.select(*[F.coalesce(F.col(c), F.lit(stats[c]).cast(df.schema[c].dataType)).alias(c)
                        if c in todo else F.col(c) for c in df.columns])

@@ -96,7 +96,9 @@ def urban_rural(pred: DataFrame, density: str) -> DataFrame:
     """X7 + F17 + A19 urban/rural MAE and RMSE: urban when density is above
     the global median (ties and NULL density -> rural).  The median is one
     scalar aggregate applied as a literal (J11)."""
-    med = pred.agg(F.median(density).alias("m")).first()["m"]
+    from regionlens.operators.quantile import global_quantiles
+
+    med = global_quantiles(pred, [density], [0.5]).get((density, 0.5))
     cls = F.when(F.col(density) > F.lit(med), F.lit("urban")).otherwise(F.lit("rural")) \
         if med is not None else F.lit("rural")
     e = F.col("actual") - F.col("predicted")

@@ -60,13 +60,11 @@ def quantiles_by_year(long: DataFrame, qs: Sequence[float] = (0.05, 0.25, 0.75),
                       year_col: str = "year", value_col: str = "gdp") -> DataFrame:
     """A2 + P9 linear-interpolated quantiles per year, one row per quantile,
     labelled through a literal map."""
-    agg = (long.where(F.col(year_col).isNotNull()).groupBy(year_col)
-           .agg(F.percentile(F.col(value_col), F.array(*[F.lit(q) for q in qs])).alias("_q")))
-    ex = agg.select(year_col, F.posexplode("_q").alias("_i", "value"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    return ex.select(year_col, F.element_at(qarr, F.col("_i") + 1).alias("quantile"),
-                     relabel(F.element_at(qarr, F.col("_i") + 1), QUANTILE_LABELS).alias("label"),
-                     "value")
+    from regionlens.operators.quantile import exact_quantiles
+
+    q = exact_quantiles(long.where(F.col(year_col).isNotNull()), value_col, qs, [year_col])
+    return q.select(year_col, F.col("q").alias("quantile"), relabel(F.col("q"), QUANTILE_LABELS).alias("label"),
+                    F.col(value_col).alias("value"))
 
 
 def row_mean(df: DataFrame, cols: Sequence[str], name: str = "row_mean") -> DataFrame:

@@ -56,20 +56,25 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """A5 count, mean, sample std, min, exact quartiles, max per numeric
     column (``df.summary`` uses approximate quantiles, so it is not used)."""
+    from regionlens.operators.quantile import global_quantiles
+
     cols = list(cols or numeric_columns(df))
+    qv = global_quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
         v = _q(c).cast("double")
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"),
-                 F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"),
-                 F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
-                 F.max(v).alias(f"max{i}")]
+                 F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
     one = df.agg(*aggs)
+
+    def lit(c, q):
+        return F.lit(qv.get((c, q))).cast("double")
+
     stack = F.array(*[F.struct(
         F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"mean{i}").alias("mean"),
         F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"),
-        F.col(f"q{i}")[0].alias("p25"), F.col(f"q{i}")[1].alias("p50"),
-        F.col(f"q{i}")[2].alias("p75"), F.col(f"max{i}").alias("max")) for i, c in enumerate(cols)])
+        lit(c, 0.25).alias("p25"), lit(c, 0.5).alias("p50"), lit(c, 0.75).alias("p75"),
+        F.col(f"max{i}").alias("max")) for i, c in enumerate(cols)])
     return one.select(F.inline(stack))
 
 
@@ -142,10 +147,12 @@ def boxplot_stats(df: DataFrame, group: str, col: str) -> DataFrame:
     then (joined back on the group key) whiskers and outlier counts."""
     v = _q(col).cast("double")
     base = df.where(v.isNotNull() & _q(group).isNotNull()).select(_q(group).alias(group), v.alias("_v"))
-    q = base.groupBy(group).agg(
-        F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    from regionlens.operators.quantile import exact_quantiles
+
+    ql = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], [group])
+    q = ql.groupBy(group).agg(F.max(F.when(F.col("q") == 0.25, F.col("_v"))).alias("q1"),
+                              F.max(F.when(F.col("q") == 0.5, F.col("_v"))).alias("median"),
+                              F.max(F.when(F.col("q") == 0.75, F.col("_v"))).alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")

@@ -110,12 +110,14 @@ def zonal_stats(pixels: DataFrame, zones: DataFrame, key: str, value: str, cell_
 
 def zonal_median(pixels: DataFrame, zones: DataFrame, key: str, value: str, cell_size: float,
                  prefix: str = "viirs") -> DataFrame:
-    """A10 exact zonal median.  Values are pre-aggregated per (zone, value)
-    and fed to ``percentile`` with their frequency."""
+    """A10 exact zonal median by histogram refinement per zone
+    (``quantile.exact_quantiles``): a hot zone never gathers its values in
+    one task."""
+    from regionlens.operators.quantile import exact_median
+
     inz = spatial.assign_points_to_zones(pixels.select("x", "y", value).where(F.col(value).isNotNull()),
                                          zones, [key], cell_size)
-    vc = inz.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    st = vc.groupBy(key).agg(F.percentile(value, 0.5, F.col("_n")).alias(f"{prefix}_median"))
+    st = exact_median(inz, value, [key]).withColumnRenamed(value, f"{prefix}_median")
     return zones.select(key).join(st, key, "left")
 
 
