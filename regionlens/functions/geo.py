@@ -28,30 +28,55 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _s(v) -> str:
+    """SQL text of an argument: a column name / SQL expression, or a number.
+
+    Lambda-heavy expressions are written as Spark SQL text: one call builds
+    the whole tree in the JVM, instead of one Python->JVM call per node."""
+    if isinstance(v, bool):
+        raise TypeError("expected a column name, SQL expression or number")
+    if isinstance(v, (int, float)):
+        return f"({float(v)!r}D)"
+    if isinstance(v, str):
+        return f"({v})"
+    raise TypeError("geometry functions take column names, SQL expressions or numbers, "
+                    f"not {type(v).__name__}; add the Column to the DataFrame first")
+
+
 # ---------------------------------------------------------------- builders
 
 def point(x, y) -> Column:
     return F.struct(_c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"))
 
 
+def _ring_edges_sql(r: str) -> str:
+    return (f"zip_with(slice({r}, 1, size({r}) - 1), slice({r}, 2, size({r}) - 1), "
+            "(pa_, pb_) -> named_struct('ax', pa_.x, 'ay', pa_.y, 'bx', pb_.x, 'by', pb_.y))")
+
+
 def ring_edges(ring) -> Column:
     """Consecutive vertex pairs of one closed ring or an open line (X14
     array functions: slice / zip_with, flatten in ``polygon_edges``)."""
-    r = _c(ring)
-    n = F.size(r) - 1
-    return F.zip_with(
-        F.slice(r, 1, n), F.slice(r, 2, n),
-        lambda a, b: F.struct(a.x.alias("ax"), a.y.alias("ay"), b.x.alias("bx"), b.y.alias("by")),
-    )
+    return F.expr(_ring_edges_sql(_s(ring)))
+
+
+def _polygon_edges_sql(rings: str) -> str:
+    return f"flatten(transform({rings}, re_ -> {_ring_edges_sql('re_')}))"
 
 
 def polygon_edges(rings) -> Column:
     """All edges of all rings of a polygon, as ``array<EDGE_TYPE>``."""
-    return F.flatten(F.transform(_c(rings), lambda r: ring_edges(r)))
+    return F.expr(_polygon_edges_sql(_s(rings)))
 
 
 # ---------------------------------------------------------------- predicates
 
+def _pip_sql(edges: str, x: str, y: str, acc: str = "pacc_", e: str = "pe_") -> str:
+    return (f"(aggregate({edges}, 0, ({acc}, {e}) -> {acc} + CASE WHEN (({e}.ay > {y}) <> ({e}.by > {y})) "
+            f"AND ({x} < {e}.ax + try_divide(({y} - {e}.ay) * ({e}.bx - {e}.ax), {e}.by - {e}.ay)) "
+            "THEN 1 ELSE 0 END) % 2 = 1)")
+
+
 def point_in_edges(edges, x, y) -> Column:
     """G5 point-in-polygon, even-odd crossing rule over precomputed edges.
 
@@ -60,15 +85,7 @@ def point_in_edges(edges, x, y) -> Column:
     count every point once.  The crossing abscissa is computed as
     ``ax + (y-ay)*(bx-ax)/(by-ay)``, which is exact on integer vertices.
     """
-    px, py = _c(x), _c(y)
-    crossings = F.aggregate(
-        _c(edges), F.lit(0),
-        lambda acc, e: acc + F.when(
-            ((e.ay > py) != (e.by > py))
-            & (px < e.ax + F.try_divide((py - e.ay) * (e.bx - e.ax), e.by - e.ay)), 1
-        ).otherwise(0),
-    )
-    return (crossings % 2) == 1
+    return F.expr(_pip_sql(_s(edges), _s(x), _s(y)))
 
 
 def within_distance(x1, y1, x2, y2, r) -> Column:
@@ -90,66 +107,57 @@ def is_empty(rings) -> Column:
 
 # ---------------------------------------------------------------- measures
 
-def _ring_signed_area(ring) -> Column:
-    return F.aggregate(ring_edges(ring), F.lit(0.0),
-                       lambda acc, e: acc + (e.ax * e.by - e.bx * e.ay)) / 2.0
+def _signed_area_sql(r: str) -> str:
+    return f"(aggregate({_ring_edges_sql(r)}, 0.0D, (sa_, ea_) -> sa_ + (ea_.ax * ea_.by - ea_.bx * ea_.ay)) / 2)"
 
 
-def _ring_moment(ring, axis: str) -> Column:
-    def step(acc, e):
-        cross = e.ax * e.by - e.bx * e.ay
-        s = (e.ax + e.bx) if axis == "x" else (e.ay + e.by)
-        return acc + s * cross
-    return F.aggregate(ring_edges(ring), F.lit(0.0), step) / 6.0
+def _moment_sql(r: str, axis: str) -> str:
+    return (f"(aggregate({_ring_edges_sql(r)}, 0.0D, (sm_, em_) -> sm_ + (em_.a{axis} + em_.b{axis}) "
+            "* (em_.ax * em_.by - em_.bx * em_.ay)) / 6)")
 
 
-def _ring_sign(i) -> Column:
-    # shell adds, holes subtract
-    return F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+_SIGN = "(CASE WHEN ri_ = 0 THEN 1.0D ELSE -1.0D END)"
 
 
 def polygon_area(rings) -> Column:
     """G3 polygon area: |shell| minus |holes| (orientation-free)."""
-    return F.aggregate(
-        F.transform(_c(rings), lambda r, i: _ring_sign(i) * F.abs(_ring_signed_area(r))),
-        F.lit(0.0), lambda acc, a: acc + a)
+    r = _s(rings)
+    return F.expr(f"aggregate(transform({r}, (rr_, ri_) -> {_SIGN} * abs({_signed_area_sql('rr_')})), "
+                  "0.0D, (st_, v_) -> st_ + v_)")
 
 
 def polygon_centroid(rings) -> Column:
     """G2 area-weighted centroid with holes removed; ``struct<x,y>``."""
-    parts = F.transform(
-        _c(rings),
-        lambda r, i: F.struct(
-            (_ring_sign(i) * F.abs(_ring_signed_area(r))).alias("a"),
-            (_ring_sign(i) * F.signum(_ring_signed_area(r)) * _ring_moment(r, "x")).alias("mx"),
-            (_ring_sign(i) * F.signum(_ring_signed_area(r)) * _ring_moment(r, "y")).alias("my"),
-        ))
-    tot = F.aggregate(
-        parts, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my")),
-        lambda acc, p: F.struct((acc.a + p.a).alias("a"), (acc.mx + p.mx).alias("mx"),
-                                (acc.my + p.my).alias("my")))
-    return F.struct(F.try_divide(tot.mx, tot.a).alias("x"), F.try_divide(tot.my, tot.a).alias("y"))
+    r = _s(rings)
+    part = (f"transform(array({_signed_area_sql('rr_')}), a_ -> named_struct("
+            f"'a', {_SIGN} * abs(a_), 'mx', {_SIGN} * signum(a_) * {_moment_sql('rr_', 'x')}, "
+            f"'my', {_SIGN} * signum(a_) * {_moment_sql('rr_', 'y')}))[0]")
+    tot = (f"aggregate(transform({r}, (rr_, ri_) -> {part}), named_struct('a', 0.0D, 'mx', 0.0D, 'my', 0.0D), "
+           "(sc_, pc_) -> named_struct('a', sc_.a + pc_.a, 'mx', sc_.mx + pc_.mx, 'my', sc_.my + pc_.my))")
+    return F.expr(f"transform(array({tot}), t_ -> named_struct('x', try_divide(t_.mx, t_.a), "
+                  "'y', try_divide(t_.my, t_.a)))[0]")
+
+
+def _line_length_sql(line: str) -> str:
+    return f"aggregate({_ring_edges_sql(line)}, 0.0D, (sl_, el_) -> sl_ + hypot(el_.bx - el_.ax, el_.by - el_.ay))"
 
 
 def line_length(line) -> Column:
     """G4 length of a line (sum of segment lengths)."""
-    return F.aggregate(ring_edges(line), F.lit(0.0),
-                       lambda acc, e: acc + F.hypot(e.bx - e.ax, e.by - e.ay))
+    return F.expr(_line_length_sql(_s(line)))
 
 
 def polygon_perimeter(rings) -> Column:
     """G4 perimeter of all rings (shell and holes), as a polygon's length."""
-    return F.aggregate(F.transform(_c(rings), lambda r: line_length(r)), F.lit(0.0),
-                       lambda acc, v: acc + v)
+    return F.expr(f"aggregate(transform({_s(rings)}, rp_ -> {_line_length_sql('rp_')}), 0.0D, "
+                  "(sp_, vp_) -> sp_ + vp_)")
 
 
 def bbox(rings) -> Column:
     """Bounding box of a polygon (or of one line wrapped in an array)."""
-    pts = F.flatten(_c(rings))
-    xs = F.transform(pts, lambda p: p.x)
-    ys = F.transform(pts, lambda p: p.y)
-    return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"),
-                    F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    return F.expr(f"transform(array(flatten({_s(rings)})), pts_ -> named_struct("
+                  "'minx', array_min(transform(pts_, p_ -> p_.x)), 'miny', array_min(transform(pts_, p_ -> p_.y)), "
+                  "'maxx', array_max(transform(pts_, p_ -> p_.x)), 'maxy', array_max(transform(pts_, p_ -> p_.y))))[0]")
 
 
 def repair_rings(rings) -> Column:
@@ -159,61 +167,59 @@ def repair_rings(rings) -> Column:
     This is not a full polygon-overlay repair (no self-intersection split);
     see the README's list of re-aimed items.
     """
-    def dedup(r):
-        kept = F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1)))
-        closed = F.when(F.element_at(kept, 1) != F.element_at(kept, -1),
-                        F.concat(kept, F.array(F.element_at(kept, 1)))).otherwise(kept)
-        return closed
-    cleaned = F.transform(_c(rings), dedup)
-    return F.filter(cleaned, lambda r: (F.size(r) >= 4) & (_ring_signed_area(r) != 0))
+    dedup = "filter(rr_, (p_, i_) -> i_ = 0 OR p_ <> rr_[i_ - 1])"
+    closed = (f"transform(array({dedup}), k_ -> CASE WHEN element_at(k_, 1) <> element_at(k_, -1) "
+              "THEN concat(k_, array(element_at(k_, 1))) ELSE k_ END)[0]")
+    return F.expr(f"filter(transform({_s(rings)}, rr_ -> {closed}), "
+                  f"rk_ -> size(rk_) >= 4 AND {_signed_area_sql('rk_')} <> 0)")
 
 
 def is_valid(rings) -> Column:
     """G9 validity flag: every ring closed, >= 4 vertices, non-zero area."""
-    return F.forall(_c(rings), lambda r: (F.size(r) >= 4)
-                    & (F.element_at(r, 1) == F.element_at(r, -1))
-                    & (_ring_signed_area(r) != 0))
+    return F.expr(f"forall({_s(rings)}, rv_ -> size(rv_) >= 4 AND element_at(rv_, 1) = element_at(rv_, -1) "
+                  f"AND {_signed_area_sql('rv_')} <> 0)")
 
 
 # ---------------------------------------------------------------- line clip
 
+def _cut_params_sql(ax, ay, bx, by, edges) -> str:
+    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+    den = f"({dx} * (ec_.by - ec_.ay) - {dy} * (ec_.bx - ec_.ax))"
+    t = f"try_divide((ec_.ax - {ax}) * (ec_.by - ec_.ay) - (ec_.ay - {ay}) * (ec_.bx - ec_.ax), {den})"
+    s_ = f"try_divide((ec_.ax - {ax}) * {dy} - (ec_.ay - {ay}) * {dx}, {den})"
+    return (f"transform(filter(transform({edges}, ec_ -> named_struct('t', {t}, 's', {s_})), "
+            "c_ -> c_.s >= 0 AND c_.s <= 1 AND c_.t > 0 AND c_.t < 1), c_ -> c_.t)")
+
+
 def segment_cut_params(ax, ay, bx, by, edges) -> Column:
     """Parameters t in (0,1) where segment A->B crosses polygon edges."""
-    dx, dy = _c(bx) - _c(ax), _c(by) - _c(ay)
+    return F.expr(_cut_params_sql(_s(ax), _s(ay), _s(bx), _s(by), _s(edges)))
 
-    def t_of(e):
-        ex, ey = e.bx - e.ax, e.by - e.ay
-        den = dx * ey - dy * ex
-        wx, wy = e.ax - _c(ax), e.ay - _c(ay)
-        t = F.try_divide(wx * ey - wy * ex, den)
-        s = F.try_divide(wx * dy - wy * dx, den)
-        return F.when((s >= 0) & (s <= 1) & (t > 0) & (t < 1), t)
 
-    return F.filter(F.transform(_c(edges), t_of), lambda t: t.isNotNull())
+def segment_cuts(ax, ay, bx, by, edges) -> Column:
+    """Sorted cut parameters of segment A->B, with 0 and 1 at the ends."""
+    return F.expr(f"array_sort(concat(array(0.0D), "
+                  f"{_cut_params_sql(_s(ax), _s(ay), _s(bx), _s(by), _s(edges))}, array(1.0D)))")
 
 
-def clipped_segment_length(ax, ay, bx, by, edges) -> Column:
+def clipped_segment_length(ax, ay, bx, by, edges, cuts=None) -> Column:
     """G6 length of the part of segment A->B that lies inside the polygon.
 
     The segment is cut at every crossing with a polygon edge; each piece is
     kept when its midpoint passes the half-open point-in-polygon test, so a
-    piece lying on a shared border is owned by exactly one polygon.
+    piece lying on a shared border is owned by exactly one polygon.  Pass
+    ``cuts`` (a column holding ``segment_cuts``) to compute the cuts once in
+    an earlier projection instead of inline.
     """
-    ts = F.array_sort(F.concat(F.array(F.lit(0.0)), segment_cut_params(ax, ay, bx, by, edges),
-                               F.array(F.lit(1.0))))
-    n = F.size(ts) - 1
-    pieces = F.zip_with(F.slice(ts, 1, n), F.slice(ts, 2, n),
-                        lambda t0, t1: F.struct(t0.alias("t0"), t1.alias("t1")))
-    dx, dy = _c(bx) - _c(ax), _c(by) - _c(ay)
-    seg_len = F.hypot(dx, dy)
-
-    def step(acc, p):
-        tm = (p.t0 + p.t1) / 2.0
-        mx = _c(ax) + tm * dx
-        my = _c(ay) + tm * dy
-        return acc + F.when(point_in_edges(edges, mx, my), (p.t1 - p.t0) * seg_len).otherwise(0.0)
-
-    return F.aggregate(pieces, F.lit(0.0), step)
+    ax, ay, bx, by, edges = _s(ax), _s(ay), _s(bx), _s(by), _s(edges)
+    ts = _s(cuts) if cuts is not None else (
+        f"array_sort(concat(array(0.0D), {_cut_params_sql(ax, ay, bx, by, edges)}, array(1.0D)))")
+    mx = f"({ax} + (pc2_.t0 + pc2_.t1) / 2 * ({bx} - {ax}))"
+    my = f"({ay} + (pc2_.t0 + pc2_.t1) / 2 * ({by} - {ay}))"
+    pieces = (f"zip_with(slice({ts}, 1, size({ts}) - 1), slice({ts}, 2, size({ts}) - 1), "
+              "(u0_, u1_) -> named_struct('t0', u0_, 't1', u1_))")
+    return F.expr(f"aggregate({pieces}, 0.0D, (acc2_, pc2_) -> acc2_ + CASE WHEN {_pip_sql(edges, mx, my)} "
+                  f"THEN (pc2_.t1 - pc2_.t0) * hypot({bx} - {ax}, {by} - {ay}) ELSE 0.0D END)")
 
 
 # ---------------------------------------------------------------- G1 UTM

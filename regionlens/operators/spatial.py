@@ -96,15 +96,16 @@ def _offsets9() -> Column:
                      for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
 
 
-def _segment_touches_box(e, x0, y0, x1, y1):
-    """Closed segment vs closed axis-aligned box (separating-axis test)."""
-    overlap = ((F.least(e.ax, e.bx) <= x1) & (F.greatest(e.ax, e.bx) >= x0)
-               & (F.least(e.ay, e.by) <= y1) & (F.greatest(e.ay, e.by) >= y0))
-    dx, dy = e.bx - e.ax, e.by - e.ay
-    s = [dx * (cy - e.ay) - dy * (cx - e.ax) for cx, cy in ((x0, y0), (x1, y0), (x0, y1), (x1, y1))]
-    all_pos = (s[0] > 0) & (s[1] > 0) & (s[2] > 0) & (s[3] > 0)
-    all_neg = (s[0] < 0) & (s[1] < 0) & (s[2] < 0) & (s[3] < 0)
-    return overlap & ~all_pos & ~all_neg
+def _touches_box_sql(edges: str, x0: str, y0: str, x1: str, y1: str) -> str:
+    """Any edge touching the closed axis-aligned box (separating-axis test:
+    boxes overlap and the box corners are not all on one side)."""
+    corners = [(x0, y0), (x1, y0), (x0, y1), (x1, y1)]
+    side = [f"((et_.bx - et_.ax) * ({cy} - et_.ay) - (et_.by - et_.ay) * ({cx} - et_.ax))" for cx, cy in corners]
+    overlap = (f"least(et_.ax, et_.bx) <= {x1} AND greatest(et_.ax, et_.bx) >= {x0} AND "
+               f"least(et_.ay, et_.by) <= {y1} AND greatest(et_.ay, et_.by) >= {y0}")
+    all_pos = " AND ".join(f"{v} > 0" for v in side)
+    all_neg = " AND ".join(f"{v} < 0" for v in side)
+    return f"exists({edges}, et_ -> {overlap} AND NOT ({all_pos}) AND NOT ({all_neg}))"
 
 
 def zone_cells(zones: DataFrame, cell_size: float, rings: str = "rings") -> DataFrame:
@@ -127,16 +128,13 @@ def zone_cells(zones: DataFrame, cell_size: float, rings: str = "rings") -> Data
              .withColumn("_cx", F.explode(F.sequence("_zcx0", _cell(F.col("_bb.maxx"), cell_size))))
              .withColumn("_cy", F.explode(F.sequence("_zcy0", _cell(F.col("_bb.maxy"), cell_size))))
              .drop("_bb", rings))
-    x0, y0 = F.col("_cx") * c, F.col("_cy") * c
-    x1, y1 = x0 + c, y0 + c
-    e = F.col("_all_edges")
-    corners = (geo.point_in_edges(e, x0, y0) & geo.point_in_edges(e, x1, y0)
-               & geo.point_in_edges(e, x0, y1) & geo.point_in_edges(e, x1, y1))
-    touched = F.exists(e, lambda ed: _segment_touches_box(ed, x0, y0, x1, y1))
-    inside = corners & ~touched
+    x0, y0, x1, y1 = f"(_cx * {c!r}D)", f"(_cy * {c!r}D)", f"((_cx + 1) * {c!r}D)", f"((_cy + 1) * {c!r}D)"
+    corners = " AND ".join(geo._pip_sql("_all_edges", cx, cy) for cx, cy in
+                           ((x0, y0), (x1, y0), (x0, y1), (x1, y1)))
+    inside = F.expr(f"{corners} AND NOT {_touches_box_sql('_all_edges', x0, y0, x1, y1)}")
     empty = F.array().cast(f"array<{geo.EDGE_TYPE}>")
     return (cells.withColumn("_inside", inside)
-            .withColumn("_edges", F.when(F.col("_inside"), empty).otherwise(e))
+            .withColumn("_edges", F.when(F.col("_inside"), empty).otherwise(F.col("_all_edges")))
             .drop("_all_edges"))
 
 
@@ -151,10 +149,12 @@ def _zone_cells_full(zones: DataFrame, cell_size: float, rings: str = "rings") -
             .withColumn("_zcy0", _cell(F.col("_bb.miny"), cell_size))
             .withColumn("_cx", F.explode(F.sequence("_zcx0", _cell(F.col("_bb.maxx"), cell_size))))
             .withColumn("_cy", F.explode(F.sequence("_zcy0", _cell(F.col("_bb.maxy"), cell_size))))
+            .withColumn("_zminx", F.col("_bb.minx")).withColumn("_zmaxx", F.col("_bb.maxx"))
+            .withColumn("_zminy", F.col("_bb.miny")).withColumn("_zmaxy", F.col("_bb.maxy"))
             .drop("_bb", rings))
 
 
-def _in_zone(x, y) -> Column:
+def _in_zone(x: str, y: str) -> Column:
     return F.col("_inside") | geo.point_in_edges("_edges", x, y)
 
 
@@ -181,7 +181,7 @@ def assign_points_to_zones(points: DataFrame, zones: DataFrame, zone_cols: Seque
     zc = broadcast_if_small(zc, ["_edges"])
     p = (points.withColumn("_cx", _cell(F.col(x), cell_size))
          .withColumn("_cy", _cell(F.col(y), cell_size)))
-    j = p.join(zc, ["_cx", "_cy"]).where(_in_zone(F.col(x), F.col(y)))
+    j = p.join(zc, ["_cx", "_cy"]).where(_in_zone(f"`{x}`", f"`{y}`"))
     return j.drop("_cx", "_cy", "_edges", "_zcx0", "_zcy0", "_inside")
 
 
@@ -193,8 +193,9 @@ def clip_points(points: DataFrame, zones: DataFrame, cell_size: float, x: str =
     zc = broadcast_if_small(zc, ["_edges"])
     p = (points.withColumn("_cx", _cell(F.col(x), cell_size))
          .withColumn("_cy", _cell(F.col(y), cell_size)))
-    cond = ((p["_cx"] == zc["_cx"]) & (p["_cy"] == zc["_cy"])
-            & (zc["_inside"] | geo.point_in_edges(zc["_edges"], p[x], p[y])))
+    zc = zc.select(F.col("_cx").alias("_zcx"), F.col("_cy").alias("_zcy"), "_edges", "_inside")
+    cond = ((p["_cx"] == zc["_zcx"]) & (p["_cy"] == zc["_zcy"])
+            & (zc["_inside"] | geo.point_in_edges("_edges", f"`{x}`", f"`{y}`")))
     return p.join(zc, cond, "left_semi").drop("_cx", "_cy")
 
 
@@ -376,8 +377,13 @@ def clip_segments_to_zones(segments: DataFrame, zones: DataFrame, zone_cols: Seq
          .withColumn("_cy", F.explode(F.sequence("_scy0", _cell(F.greatest("ay", "by"), cell_size)))))
     j = (s.join(zc, ["_cx", "_cy"])
          .where((F.col("_cx") == F.greatest("_scx0", "_zcx0"))
-                & (F.col("_cy") == F.greatest("_scy0", "_zcy0"))))
-    j = j.withColumn("length", geo.clipped_segment_length("ax", "ay", "bx", "by", "_edges"))
+                & (F.col("_cy") == F.greatest("_scy0", "_zcy0"))
+                # boxes must overlap, else nothing to clip (cheap arithmetic first)
+                & (F.least("ax", "bx") <= F.col("_zmaxx")) & (F.greatest("ax", "bx") >= F.col("_zminx"))
+                & (F.least("ay", "by") <= F.col("_zmaxy")) & (F.greatest("ay", "by") >= F.col("_zminy"))))
+    # cuts in their own projection: the clip references them several times
+    j = j.withColumn("_cuts", geo.segment_cuts("ax", "ay", "bx", "by", "_edges"))
+    j = j.withColumn("length", geo.clipped_segment_length("ax", "ay", "bx", "by", "_edges", "_cuts"))
     return j.where(F.col("length") > 0).select(*seg_cols, *zone_cols, "length")
 
 

@@ -369,12 +369,12 @@ FROM zones"""
 @query("zone_geometry", uses=("zones",), sql=_ZONE_GEOM_SQL)
 def zone_geometry(spark, d):
     """G2 centroid, G3 area, G4 perimeter, G9 validity of the zone polygons."""
-    z = fx.zones(spark, d)
+    z = fx.zones(spark, d).withColumn("fixed", geo.repair_rings("rings"))
     c = geo.polygon_centroid("rings")
     return z.select("zone_id", "geoid", R(geo.polygon_area("rings")).alias("area"),
                     R(c.x).alias("centroid_x"), R(c.y).alias("centroid_y"),
                     R(geo.polygon_perimeter("rings")).alias("perimeter"),
-                    geo.is_valid(geo.repair_rings("rings")).alias("valid"))
+                    geo.is_valid("fixed").alias("valid"))
 
 
 _ROAD_CTES = """

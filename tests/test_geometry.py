@@ -43,7 +43,7 @@ def test_area_centroid_perimeter(spark, rings, area, cx, cy, perim):
 ])
 def test_point_in_polygon_with_hole_half_open(spark, x, y, inside):
     df = _poly(spark, HOLE).select(geo.polygon_edges("rings").alias("e"))
-    got = df.select(geo.point_in_edges("e", F.lit(float(x)), F.lit(float(y))).alias("v")).first().v
+    got = df.select(geo.point_in_edges("e", float(x), float(y)).alias("v")).first().v
     assert got is inside
 
 
@@ -55,9 +55,9 @@ def test_clip_length_tiling_adds_up(spark):
     total = 0.0
     for rings in (left, right):
         e = _poly(spark, rings).select(geo.polygon_edges("rings").alias("e"))
-        r = e.select(geo.clipped_segment_length(F.lit(-5.0), F.lit(5.0), F.lit(25.0), F.lit(5.0), "e").alias("a"),
-                     geo.clipped_segment_length(F.lit(10.0), F.lit(2.0), F.lit(10.0), F.lit(8.0), "e").alias("b"),
-                     geo.clipped_segment_length(F.lit(2.0), F.lit(2.0), F.lit(8.0), F.lit(8.0), "e").alias("c")
+        r = e.select(geo.clipped_segment_length(-5.0, 5.0, 25.0, 5.0, "e").alias("a"),
+                     geo.clipped_segment_length(10.0, 2.0, 10.0, 8.0, "e").alias("b"),
+                     geo.clipped_segment_length(2.0, 2.0, 8.0, 8.0, "e").alias("c")
                      ).first()
         total += r.a + r.b
         if rings is left:
@@ -100,9 +100,9 @@ def test_utm_against_independent_series(spark, lon, lat):
 
 def test_validity_and_repair(spark):
     bad = [[(0, 0), (0, 0), (5, 0), (5, 5), (0, 5)], [(1, 1), (2, 1), (1, 1)]]
-    df = _poly(spark, bad)
-    r = df.select(geo.is_valid("rings").alias("v0"), geo.is_valid(geo.repair_rings("rings")).alias("v1"),
-                  F.size(geo.repair_rings("rings")).alias("n")).first()
+    df = _poly(spark, bad).withColumn("fixed", geo.repair_rings("rings"))
+    r = df.select(geo.is_valid("rings").alias("v0"), geo.is_valid("fixed").alias("v1"),
+                  F.size("fixed").alias("n")).first()
     assert r.v0 is False and r.v1 is True and r.n == 1
 
 
