@@ -14,9 +14,10 @@ histogram refinement instead:
    min and max, so boundaries never depend on float rounding;
 3. a last pass ranks only the values inside each target's (bounded) range.
 
-Groups whose size is already within ``limit`` skip step 2, so on small
-inputs this costs two passes.  The interpolation is
-``lower + (pos - floor(pos)) * (upper - lower)``.
+Groups whose size is already within ``limit`` skip steps 2-3: their
+values go to Spark's ``percentile`` aggregate, whose per-group buffer is
+then bounded by ``limit``; so on small inputs this costs two passes.  The
+refined path interpolates ``lower + (pos - floor(pos)) * (upper - lower)``.
 """
 
 from __future__ import annotations
@@ -51,17 +52,41 @@ def _attach(base: DataFrame, targets: DataFrame, by: list[str], cols: list[str])
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
                     limit: int = DEFAULT_LIMIT, buckets: int = DEFAULT_BUCKETS,
-                    max_passes: int = 16) -> DataFrame:
+                    max_passes: int = 16, materialize_input: bool = False) -> DataFrame:
     """One row per (by..., q) with the exact interpolated quantile ``value``.
-    NULL / NaN values are skipped; a group without values yields no row."""
+    NULL / NaN values are skipped; a group without values yields no row.
+
+    ``materialize_input`` writes the narrow (group, value) input once to the
+    checkpoint folder -- worth it when the input is itself a join (every
+    pass reads it again)."""
     by = list(by)
     v = F.col(f"`{value}`").cast("double")
     base = df.where(v.isNotNull() & ~F.isnan(v)).select(*[F.col(f"`{b}`").alias(b) for b in by], v.alias("_v"))
+    if materialize_input:
+        base = materialize(base, "quantile-input")
     stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
                                    F.max("_v").alias("_hi")) if by else
              base.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
              .where(F.col("_n") > 0))
+    stats = materialize(stats, "quantile-stats")
+    big_groups = stats.where(F.col("_n") > limit)
     qarr = F.array(*[F.lit(float(q)) for q in qs])
+
+    def bounded(frame: DataFrame) -> DataFrame:
+        # every group of ``frame`` holds at most ``limit`` values: Spark's
+        # exact percentile buffers at most that many per group
+        agg = (frame.groupBy(*by) if by else frame).agg(F.percentile("_v", qarr).alias("_p"))
+        return agg.select(*by, F.posexplode("_p").alias("_qi", value)).select(
+            *by, F.element_at(qarr, F.col("_qi") + 1).alias("q"), value)
+
+    if big_groups.isEmpty():
+        return bounded(base)
+    small = None
+    if by:
+        small_keys = stats.where(F.col("_n") <= limit).select(*by)
+        small = bounded(base.join(small_keys, by, "left_semi"))
+        base = base.join(big_groups.select(*by), by, "left_semi")
+    stats = big_groups
     t = (stats.select("*", F.posexplode(qarr).alias("_qi", "_q"))
          .withColumn("_pos", (F.col("_n") - 1) * F.col("_q"))
          .withColumn("_which", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -104,9 +129,10 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
         *keys, "_q", "_pos", F.when(F.col("hi") > F.col("lo"), F.col("_val")).otherwise(F.col("lo")).alias("_val"))
     lo_v = vals.where(F.col("_which") == 0).select(*by, "_qi", "_q", "_pos", F.col("_val").alias("_a"))
     hi_v = vals.where(F.col("_which") == 1).select(*by, "_qi", F.col("_val").alias("_b"))
-    return lo_v.join(hi_v, [*by, "_qi"]).select(
+    refined = lo_v.join(hi_v, [*by, "_qi"]).select(
         *by, F.col("_q").alias("q"),
         (F.col("_a") + (F.col("_pos") - F.floor("_pos")) * (F.col("_b") - F.col("_a"))).alias(value))
+    return refined if small is None else small.unionByName(refined)
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), **kw) -> DataFrame:

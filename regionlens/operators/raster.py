@@ -117,7 +117,7 @@ def zonal_median(pixels: DataFrame, zones: DataFrame, key: str, value: str, cell
 
     inz = spatial.assign_points_to_zones(pixels.select("x", "y", value).where(F.col(value).isNotNull()),
                                          zones, [key], cell_size)
-    st = exact_median(inz, value, [key]).withColumnRenamed(value, f"{prefix}_median")
+    st = exact_median(inz, value, [key], materialize_input=True).withColumnRenamed(value, f"{prefix}_median")
     return zones.select(key).join(st, key, "left")
 
 

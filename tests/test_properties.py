@@ -95,3 +95,27 @@ def test_mask_cells_exact_count(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("v"))
     m = split.mask_cells(df, "k", ["v"], 0.3)
     assert m.where(F.col("v").isNull()).count() == 300
+
+
+@pytest.mark.parametrize("limit,buckets", [(10**6, 4096), (40, 8), (3, 4)])
+def test_exact_quantiles_equal_numpy(spark, limit, buckets):
+    import numpy as np
+    from regionlens.operators import quantile as Q
+    rnd = random.Random(11)
+    rows = []
+    for g, n in (("s", 5), ("m", 50), ("l", 700)):
+        for _ in range(n):
+            v = float(rnd.randint(0, 20)) if rnd.random() < 0.4 else rnd.uniform(-1e3, 1e3)
+            rows.append((g, v))
+    rows.append(("l", None))
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.05, 0.25, 0.5, 0.75, 1.0]
+    got = {(r.g, r.q): r.v for r in Q.exact_quantiles(df, "v", qs, ["g"], limit=limit, buckets=buckets).collect()}
+    glob = {r.q: r.v for r in Q.exact_quantiles(df, "v", qs, limit=limit, buckets=buckets).collect()}
+    for g in ("s", "m", "l"):
+        vals = np.array([v for gg, v in rows if gg == g and v is not None])
+        for q in qs:
+            assert got[(g, q)] == pytest.approx(np.quantile(vals, q), rel=1e-12, abs=1e-9)
+    allv = np.array([v for _, v in rows if v is not None])
+    for q in qs:
+        assert glob[q] == pytest.approx(np.quantile(allv, q), rel=1e-12, abs=1e-9)
