@@ -38,13 +38,14 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), ctes: str = ""):
+def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), ctes: str = "",
+          recursive: bool = False):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return normalize(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
-        REGISTRY[name] = (run, with_fixtures(sql, uses, ctes) if sql else None)
+        REGISTRY[name] = (run, with_fixtures(sql, uses, ctes, recursive) if sql else None)
         return run
     return deco
 
@@ -594,10 +595,21 @@ def kfold_contiguous(spark, d):
     return split.contiguous_folds(fx.features(spark, d), "geoid", 5).select("geoid", "fold")
 
 
-@query("group_folds")
+_GROUP_FOLD_CTES = """
+g AS (SELECT tract, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, tract) AS i FROM features GROUP BY tract),
+s AS (SELECT 0 AS i, 0 AS l0, 0 AS l1, 0 AS l2, 0 AS l3, 0 AS l4, CAST(NULL AS VARCHAR) AS tract, CAST(-1 AS BIGINT) AS fold
+      UNION ALL
+      SELECT s.i + 1, CASE WHEN (CASE WHEN s.l0 <= s.l1 AND s.l0 <= s.l2 AND s.l0 <= s.l3 AND s.l0 <= s.l4 THEN 0 WHEN s.l1 <= s.l2 AND s.l1 <= s.l3 AND s.l1 <= s.l4 THEN 1 WHEN s.l2 <= s.l3 AND s.l2 <= s.l4 THEN 2 WHEN s.l3 <= s.l4 THEN 3 ELSE 4 END) = 0 THEN s.l0 + g.n ELSE s.l0 END AS l0, CASE WHEN (CASE WHEN s.l0 <= s.l1 AND s.l0 <= s.l2 AND s.l0 <= s.l3 AND s.l0 <= s.l4 THEN 0 WHEN s.l1 <= s.l2 AND s.l1 <= s.l3 AND s.l1 <= s.l4 THEN 1 WHEN s.l2 <= s.l3 AND s.l2 <= s.l4 THEN 2 WHEN s.l3 <= s.l4 THEN 3 ELSE 4 END) = 1 THEN s.l1 + g.n ELSE s.l1 END AS l1, CASE WHEN (CASE WHEN s.l0 <= s.l1 AND s.l0 <= s.l2 AND s.l0 <= s.l3 AND s.l0 <= s.l4 THEN 0 WHEN s.l1 <= s.l2 AND s.l1 <= s.l3 AND s.l1 <= s.l4 THEN 1 WHEN s.l2 <= s.l3 AND s.l2 <= s.l4 THEN 2 WHEN s.l3 <= s.l4 THEN 3 ELSE 4 END) = 2 THEN s.l2 + g.n ELSE s.l2 END AS l2, CASE WHEN (CASE WHEN s.l0 <= s.l1 AND s.l0 <= s.l2 AND s.l0 <= s.l3 AND s.l0 <= s.l4 THEN 0 WHEN s.l1 <= s.l2 AND s.l1 <= s.l3 AND s.l1 <= s.l4 THEN 1 WHEN s.l2 <= s.l3 AND s.l2 <= s.l4 THEN 2 WHEN s.l3 <= s.l4 THEN 3 ELSE 4 END) = 3 THEN s.l3 + g.n ELSE s.l3 END AS l3, CASE WHEN (CASE WHEN s.l0 <= s.l1 AND s.l0 <= s.l2 AND s.l0 <= s.l3 AND s.l0 <= s.l4 THEN 0 WHEN s.l1 <= s.l2 AND s.l1 <= s.l3 AND s.l1 <= s.l4 THEN 1 WHEN s.l2 <= s.l3 AND s.l2 <= s.l4 THEN 2 WHEN s.l3 <= s.l4 THEN 3 ELSE 4 END) = 4 THEN s.l4 + g.n ELSE s.l4 END AS l4, g.tract, CAST((CASE WHEN s.l0 <= s.l1 AND s.l0 <= s.l2 AND s.l0 <= s.l3 AND s.l0 <= s.l4 THEN 0 WHEN s.l1 <= s.l2 AND s.l1 <= s.l3 AND s.l1 <= s.l4 THEN 1 WHEN s.l2 <= s.l3 AND s.l2 <= s.l4 THEN 2 WHEN s.l3 <= s.l4 THEN 3 ELSE 4 END) AS BIGINT)
+      FROM s JOIN g ON g.i = s.i + 1),
+a AS (SELECT tract, fold FROM s WHERE i > 0)"""
+
+
+@query("group_folds", uses=("features",), ctes=_GROUP_FOLD_CTES, recursive=True, sql="""
+SELECT f.geoid, f.tract, a.fold FROM features f JOIN a ON f.tract = a.tract""")
 def group_folds(spark, d):
-    """W5 grouped 5-fold, balanced by group size (rows-only oracle;
-    properties are unit-tested)."""
+    """W5 grouped 5-fold, balanced by group size: largest group first (ties
+    by group id) to the lightest fold (ties to the lowest fold).  The oracle
+    is the same greedy as a recursive CTE."""
     return split.group_folds(fx.features(spark, d), "tract", 5).select("geoid", "tract", "fold")
 
 
@@ -893,13 +905,37 @@ def importances(spark, d):
     return M.importances(m, _XF, spark)
 
 
-@query("split_metrics")
+def _split_metrics_sql():
+    solve = _solve3_sql("0.0").replace(
+        "cc AS (SELECT * FROM features WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND target IS NOT NULL)",
+        "cc AS (SELECT * FROM sp WHERE NOT is_test)")
+    ctes = f"""
+imp AS (SELECT geoid, x1, COALESCE(x2, (SELECT median(x2) FROM features)) AS x2, x3, target FROM features),
+rk AS (SELECT *, row_number() OVER (ORDER BY md5(geoid || '#42'), geoid) AS rn FROM imp),
+sp AS (SELECT *, rn <= CAST(ceil((SELECT count(*) FROM imp) * 0.2) AS BIGINT) AS is_test FROM rk),
+{solve.strip()},
+pr AS (SELECT sp.target AS actual, r.b0 + r.b1 * sp.x1 + r.b2 * sp.x2 + r.b3 * sp.x3 AS predicted
+       FROM sp, r WHERE sp.is_test)"""
+    sql = """
+SELECT round(avg(abs(actual - predicted)), 6) AS MAE,
+       round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS RMSE,
+       round(1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(actual)), 6) AS R2,
+       round(avg(abs(CASE WHEN actual <> 0 THEN (actual - predicted) / actual END)) * 100, 6) AS MAPE,
+       count(*) AS n FROM pr"""
+    return ctes, sql
+
+
+@query("split_metrics", uses=("features",), ctes=_split_metrics_sql()[0], sql=_split_metrics_sql()[1])
 def split_metrics(spark, d):
-    """M6 80/20 split -> fit -> test metrics (OLS)."""
+    """M6 80/20 hash split -> OLS on the training rows -> A15 test metrics.
+    No scaling: OLS predictions do not depend on it.  The oracle solves the
+    same normal equations in SQL."""
     from regionlens.operators import model as M
     f = clean.median_impute(fx.features(spark, d), _XF)
-    return M.evaluate_split(f, "geoid", _XF, "target", M.ols("target")).select(
-        *[R(c, 6) for c in evaluate.METRICS], "n")
+    s = split.exact_split(f, "geoid", 0.2, 42)
+    pred, _ = M.fit_predict(s.where(~F.col("is_test")), s.where("is_test"), _XF, "target", M.ols("target"),
+                            "geoid", scale=False)
+    return evaluate.regression_metrics(pred).select(*[R(c, 6) for c in evaluate.METRICS], "n")
 
 
 @query("sparsity_study")

@@ -123,7 +123,8 @@ _BY_NAME = {n: (deps, body) for n, deps, body in FIXTURES}
 _ORDER = [n for n, _, _ in FIXTURES]
 
 
-def with_fixtures(sql: str, uses: tuple[str, ...] | list[str], extra_ctes: str = "") -> str:
+def with_fixtures(sql: str, uses: tuple[str, ...] | list[str], extra_ctes: str = "",
+                  recursive: bool = False) -> str:
     """Prefix ``sql`` with the CTEs it uses (dependencies first).
 
     ``extra_ctes`` are further query-specific CTEs (``name AS (...)`` items,
@@ -144,4 +145,5 @@ def with_fixtures(sql: str, uses: tuple[str, ...] | list[str], extra_ctes: str =
         parts.append(extra_ctes.strip())
     if not parts:
         return sql.strip()
-    return "WITH " + ",\n".join(parts) + "\n" + sql.strip()
+    rec = "RECURSIVE " if recursive else ""
+    return "WITH " + rec + ",\n".join(parts) + "\n" + sql.strip()
