@@ -879,12 +879,36 @@ def boost_cv(spark, d):
     return summary
 
 
-@query("linear_cv")
+_LINEAR_CV_CTES = _GROUP_FOLD_CTES + """,
+imp AS (SELECT geoid, tract, x1, COALESCE(x2, (SELECT median(x2) FROM features)) AS x2, x3, target FROM features),
+fa AS (SELECT imp.*, a.fold FROM imp JOIN a ON imp.tract = a.tract),
+tot AS (SELECT count(*) AS n, sum(x1) AS s_x1, sum(x2) AS s_x2, sum(x3) AS s_x3, sum(target) AS s_target, sum(x1 * x1) AS p_x1_x1, sum(x1 * x2) AS p_x1_x2, sum(x1 * x3) AS p_x1_x3, sum(x1 * target) AS p_x1_target, sum(x2 * x2) AS p_x2_x2, sum(x2 * x3) AS p_x2_x3, sum(x2 * target) AS p_x2_target, sum(x3 * x3) AS p_x3_x3, sum(x3 * target) AS p_x3_target, sum(target * target) AS p_target_target FROM fa),
+pf AS (SELECT fold, count(*) AS n, sum(x1) AS s_x1, sum(x2) AS s_x2, sum(x3) AS s_x3, sum(target) AS s_target, sum(x1 * x1) AS p_x1_x1, sum(x1 * x2) AS p_x1_x2, sum(x1 * x3) AS p_x1_x3, sum(x1 * target) AS p_x1_target, sum(x2 * x2) AS p_x2_x2, sum(x2 * x3) AS p_x2_x3, sum(x2 * target) AS p_x2_target, sum(x3 * x3) AS p_x3_x3, sum(x3 * target) AS p_x3_target, sum(target * target) AS p_target_target FROM fa GROUP BY fold),
+tr AS (SELECT pf.fold, tot.n - pf.n AS n, tot.s_x1 - pf.s_x1 AS s_x1, tot.s_x2 - pf.s_x2 AS s_x2, tot.s_x3 - pf.s_x3 AS s_x3, tot.s_target - pf.s_target AS s_target, tot.p_x1_x1 - pf.p_x1_x1 AS p_x1_x1, tot.p_x1_x2 - pf.p_x1_x2 AS p_x1_x2, tot.p_x1_x3 - pf.p_x1_x3 AS p_x1_x3, tot.p_x1_target - pf.p_x1_target AS p_x1_target, tot.p_x2_x2 - pf.p_x2_x2 AS p_x2_x2, tot.p_x2_x3 - pf.p_x2_x3 AS p_x2_x3, tot.p_x2_target - pf.p_x2_target AS p_x2_target, tot.p_x3_x3 - pf.p_x3_x3 AS p_x3_x3, tot.p_x3_target - pf.p_x3_target AS p_x3_target, tot.p_target_target - pf.p_target_target AS p_target_target FROM pf, tot),
+mm AS (SELECT fold, n, s_x1 / n AS m1, s_x2 / n AS m2, s_x3 / n AS m3, s_target / n AS my,
+  (p_x1_x1 - s_x1 * s_x1 / n) / n AS s11, (p_x1_x2 - s_x1 * s_x2 / n) / n AS s12, (p_x1_x3 - s_x1 * s_x3 / n) / n AS s13, (p_x2_x2 - s_x2 * s_x2 / n) / n AS s22,
+  (p_x2_x3 - s_x2 * s_x3 / n) / n AS s23, (p_x3_x3 - s_x3 * s_x3 / n) / n AS s33, (p_x1_target - s_x1 * s_target / n) / n AS c1, (p_x2_target - s_x2 * s_target / n) / n AS c2,
+  (p_x3_target - s_x3 * s_target / n) / n AS c3 FROM tr),
+dt AS (SELECT *, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13) AS det FROM mm),
+bb AS (SELECT *, (c1 * (s22 * s33 - s23 * s23) - s12 * (c2 * s33 - s23 * c3) + s13 * (c2 * s23 - s22 * c3)) / det AS b1,
+                 (s11 * (c2 * s33 - s23 * c3) - c1 * (s12 * s33 - s23 * s13) + s13 * (s12 * c3 - c2 * s13)) / det AS b2,
+                 (s11 * (s22 * c3 - c2 * s23) - s12 * (s12 * c3 - c2 * s13) + c1 * (s12 * s23 - s22 * s13)) / det AS b3
+      FROM dt),
+co AS (SELECT fold, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, b1, b2, b3 FROM bb),
+predictions AS (SELECT fa.fold, fa.target AS actual, co.b0 + co.b1 * fa.x1 + co.b2 * fa.x2 + co.b3 * fa.x3 AS predicted
+       FROM fa JOIN co ON fa.fold = co.fold)"""
+
+
+@query("linear_cv", uses=("features",), ctes=_LINEAR_CV_CTES, recursive=True, sql=f"""
+SELECT fold, round(MAE, 4) AS MAE, round(RMSE, 4) AS RMSE, round(R2, 6) AS R2, round(MAPE, 4) AS MAPE,
+       mape_skipped, n FROM ({_metric_sql(group='fold')})""")
 def linear_cv(spark, d):
-    """M2 + M7 OLS under grouped 5-fold CV, per-fold metrics (rows-only)."""
+    """M2 + M7 OLS under grouped 5-fold CV (scaler fitted per training
+    fold), per-fold metrics.  The oracle solves each fold's normal equations
+    from the totals minus the held-out fold's sums."""
     from regionlens.operators import model as M
     per_fold, _ = M.spatial_cv(_cv_frame(spark, d), "geoid", _XF, "target", lambda tr: M.ols("target"))
-    return per_fold
+    return per_fold.select("fold", R("MAE"), R("RMSE"), R("R2", 6), R("MAPE"), "mape_skipped", "n")
 
 
 @query("grid_search")
