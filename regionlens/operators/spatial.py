@@ -56,8 +56,26 @@ def _flat_row_bytes(schema: T.StructType) -> int:
     return _type_bytes(schema) + 8
 
 
+_SIZE_CACHE: dict[tuple, int] = {}
+
+
 def measured_bytes(df: DataFrame, array_cols: Sequence[str] = ()) -> int:
-    """Measure (not estimate) a side's size: one aggregate over it."""
+    """Measure (not estimate) a side's size: one aggregate over it.  The
+    result is remembered per plan (``semanticHash``), so a side that is
+    joined several times in one session is measured once."""
+    try:
+        key = (id(df.sparkSession), df.semanticHash(), tuple(array_cols))
+    except Exception:  # noqa: BLE001 - plans without a stable hash are measured each time
+        key = None
+    if key is not None and key in _SIZE_CACHE:
+        return _SIZE_CACHE[key]
+    size = _measure(df, array_cols)
+    if key is not None:
+        _SIZE_CACHE[key] = size
+    return size
+
+
+def _measure(df: DataFrame, array_cols: Sequence[str]) -> int:
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.coalesce(F.sum(F.size(F.flatten(F.col(c))) if _is_nested_array(df, c)
                               else F.size(F.col(c))), F.lit(0)).alias(f"e{i}")

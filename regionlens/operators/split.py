@@ -27,7 +27,8 @@ def hash_score(key, seed: int | str, salt: str = "") -> Column:
     return F.md5(F.concat(k.cast("string"), F.lit(f"#{salt}{seed}")))
 
 
-def smallest_k_flag(df: DataFrame, score: str, k: int, tie: str, flag: str = "selected") -> DataFrame:
+def smallest_k_flag(df: DataFrame, score: str, k: int, tie: str, flag: str = "selected",
+                    n: int | None = None) -> DataFrame:
     """Flag the ``k`` rows with the smallest (score, tie) exactly.
 
     Level by level, rows are bucketed by the next 4 hex digits of the score;
@@ -38,6 +39,9 @@ def smallest_k_flag(df: DataFrame, score: str, k: int, tie: str, flag: str = "se
     """
     if k <= 0:
         return df.withColumn(flag, F.lit(False))
+    if n is not None and n <= _RANK_DIRECTLY_BELOW:
+        # the whole input is within the ranking bound: rank it directly
+        return _flag_ranked(df, score, tie, flag, F.lit(False), "", k)
     prefix, need = "", k
     conds_true: list[Column] = []
     for level in range(8):
@@ -70,10 +74,17 @@ def smallest_k_flag(df: DataFrame, score: str, k: int, tie: str, flag: str = "se
         sel = sel | c
     if boundary is None:
         return df.withColumn(flag, sel)
+    return _flag_ranked(df, score, tie, flag, sel, prefix, need)
+
+
+def _flag_ranked(df: DataFrame, score: str, tie: str, flag: str, sel: Column, prefix: str,
+                 need: int) -> DataFrame:
+    """Flag rows already selected by ``sel`` plus the first ``need`` rows (by
+    score, tie) of the bucket with hash prefix ``prefix`` -- a bucket of at
+    most ``_RANK_DIRECTLY_BELOW`` rows, ranked with one window."""
     from regionlens.operators.spatial import broadcast_if_small
 
-    # only the boundary bucket (bounded by _RANK_DIRECTLY_BELOW rows) is ranked
-    inb = df.where(F.substring(score, 1, len(prefix)) == prefix).select(
+    inb = (df.where(F.substring(score, 1, len(prefix)) == prefix) if prefix else df).select(
         F.col(tie).alias("_tk"), F.col(score).alias("_sc"))
     picked = (inb.withColumn("_rk", F.row_number().over(Window.orderBy("_sc", "_tk")))
               .where(F.col("_rk") <= need).select("_tk", F.lit(True).alias("_pk")))
@@ -89,7 +100,7 @@ def exact_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42,
     n = df.count()
     k = int(math.ceil(n * test_frac))
     scored = df.withColumn("_score", hash_score(key, seed))
-    return smallest_k_flag(scored, "_score", k, key, flag).drop("_score")
+    return smallest_k_flag(scored, "_score", k, key, flag, n=n).drop("_score")
 
 
 def hash_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42,
@@ -169,7 +180,7 @@ def mask_cells(df: DataFrame, key: str, cols: Sequence[str], frac: float, seed:
     out = df
     for c in cols:
         scored = out.withColumn("_score", hash_score(key, seed, salt=c + "#"))
-        flagged = smallest_k_flag(scored, "_score", k, key, "_m")
+        flagged = smallest_k_flag(scored, "_score", k, key, "_m", n=n)
         out = flagged.withColumn(c, F.when(~F.col("_m"), F.col(c))).drop("_score", "_m")
     return out
 
