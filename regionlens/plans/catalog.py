@@ -1085,3 +1085,94 @@ def training_frame(spark, d):
     keys = clean.common_keys(f.where(F.col("x2").isNotNull()), g.where(F.col("median_income").isNotNull()))
     j = clean.join_truth(f, g).join(keys, "geoid", "left_semi")
     return j.select("geoid", "x1", R("x2", 6), "x3", "median_income", R("poverty_rate", 6))
+
+
+# ================================================================ more operators
+
+@query("preview", uses=("gt",), sql="""
+SELECT geoid, median_income FROM gt ORDER BY geoid LIMIT 5""")
+def preview(spark, d):
+    """P11 first rows after an explicit order (the head() preview)."""
+    g = clean.acs_ground_truth(fx.acs(spark, d)).select("geoid", "median_income")
+    return profile.preview(g, 5, ["geoid"])
+
+
+@query("flagged_preview", uses=("cells",), ctes=_cells_flags_sql(), sql="""
+SELECT * FROM (SELECT 'reasoning' AS kind, notebook, idx FROM fl WHERE is_reasoning ORDER BY notebook, idx LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'error', notebook, idx FROM fl WHERE has_error ORDER BY notebook, idx LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'viz', notebook, idx FROM fl WHERE has_viz ORDER BY notebook, idx LIMIT 20)""")
+def flagged_preview(spark, d):
+    """O5 first 20 flagged cells of each kind (a distributed top-k per kind,
+    never a window over one kind's whole group)."""
+    f = cl.flag_cells(fx.cells(spark, d))
+    parts = [profile.preview(f.where(flag).select(F.lit(kind).alias("kind"), "notebook", "idx"), 20,
+                             ["notebook", "idx"])
+             for kind, flag in (("reasoning", "is_reasoning"), ("error", "has_error"), ("viz", "has_viz"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("hash_split", uses=("features",), sql="""
+SELECT geoid, ('0x' || substr(md5(geoid || '#42'), 1, 8))::BIGINT / 4294967296.0 < 0.2 AS is_test FROM features""")
+def hash_split(spark, d):
+    """W4 approximate split for large n: a threshold on the hash, no sort,
+    no count, the same under any partitioning."""
+    return split.hash_split(fx.features(spark, d), "geoid", 0.2, 42).select("geoid", "is_test")
+
+
+_WINDOW = (20000.0, 20000.0, 60000.0, 60000.0)
+
+
+@query("bbox_filter", uses=("segs",), sql=f"""
+SELECT road_id FROM segs
+WHERE least(ax, bx) <= {_WINDOW[2]} AND greatest(ax, bx) >= {_WINDOW[0]}
+  AND least(ay, "by") <= {_WINDOW[3]} AND greatest(ay, "by") >= {_WINDOW[1]}""")
+def bbox_filter(spark, d):
+    """F10 footprint-intersects-region prefilter on bounding boxes."""
+    s = spatial.explode_line_segments(fx.roads(spark, d), "line").select(
+        "road_id", F.least("ax", "bx").alias("minx"), F.least("ay", "by").alias("miny"),
+        F.greatest("ax", "bx").alias("maxx"), F.greatest("ay", "by").alias("maxy"))
+    return s.where(raster.bbox_overlap("minx", "miny", "maxx", "maxy", _WINDOW)).select("road_id")
+
+
+@query("band_split", uses=("grid",), sql="""
+SELECT "row", col, value AS nir, value + 1 AS red, value + 2 AS swir FROM grid""")
+def band_split(spark, d):
+    """P13 band-indexed pixel rows (band 0, 1, 2 = NIR, Red, SWIR) back to
+    one column per band, with an explicit pivot list.  The band-indexed
+    input is derived from the grid raster (band b = value + b)."""
+    g = fx.grid(spark, d)
+    long = g.select("row", "col", F.inline(F.array(
+        *[F.struct(F.lit(b).alias("band"), (F.col("value") + b).alias("value")) for b in range(3)])))
+    return raster.split_bands(long, ["row", "col"], [0, 1, 2], ["nir", "red", "swir"])
+
+
+_DRIVE = "road_id IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0)"
+
+
+@query("osm_roads", uses=("zones", "segs"), ctes=_ROAD_CTES.replace("FROM segs)", f"FROM segs WHERE {_DRIVE})", 1),
+       sql="""
+SELECT geoid, round(l, 3) AS drive_length_m FROM tot WHERE l > 0""")
+def osm_roads(spark, d):
+    """S10 drive-network edges clipped to the region (zones): clipped length
+    per zone of the edges whose network type is 'drive'."""
+    from regionlens.sources import io
+    edges = fx.roads(spark, d).join(
+        fx.table(spark, d, "part").select(F.col("p_partkey").alias("road_id"),
+                                          F.when(F.col("p_size") % 2 == 0, "drive").otherwise("walk")
+                                          .alias("network_type")), "road_id")
+    pieces = io.osm_roads(edges, fx.zones(spark, d), "geoid", fx.ROAD_CELL, "drive", "line", "road_id")
+    return pieces.groupBy("geoid").agg(R(F.sum("length"), 3).alias("drive_length_m"))
+
+
+@query("scene_archive", uses=("scenes",), sql=f"""
+SELECT pixel, round(avg(value), 4) AS mean_value, count(value) AS n_obs FROM scenes
+WHERE ts >= TIMESTAMP '{fx.SCENE_START}' AND ts < TIMESTAMP '{fx.SCENE_END}' GROUP BY pixel""")
+def scene_archive(spark, d):
+    """S8 scenes written partitioned by acquisition month and read back; the
+    date range prunes partitions before the mean composite (A20)."""
+    from regionlens.sources import io
+    path = _scratch(spark, "scenes")
+    io.write_scenes(fx.scenes(spark, d), path)
+    s = raster.date_range(io.read_scenes(spark, path), fx.SCENE_START, fx.SCENE_END)
+    s = s.where((F.col("month") >= fx.SCENE_START[:7]) & (F.col("month") <= fx.SCENE_END[:7]))
+    return raster.mean_composite(s).select("pixel", R("mean_value"), "n_obs")
