@@ -103,6 +103,96 @@ def broadcast_if_small(df: DataFrame, array_cols: Sequence[str] = (),
     return F.broadcast(df) if measured_bytes(df, array_cols) <= limit else df
 
 
+# ---------------------------------------------------------------- skew-safe join
+
+_SKEW_ROWS_CONF = "spark.regionlens.skewRows"
+_DEFAULT_SKEW_ROWS = 200_000
+_MAX_SALT = 512
+
+
+def skew_rows(spark: SparkSession) -> int:
+    """Rows of one key on one side above which the key is split."""
+    return int(spark.conf.get(_SKEW_ROWS_CONF, str(_DEFAULT_SKEW_ROWS)))
+
+
+def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+              cond=None, array_cols: Sequence[str] = ()) -> DataFrame:
+    """Equi-join on grid-cell ``keys`` that survives hot cells.
+
+    ``cond(l, r)`` optionally adds a residual predicate over the two joined
+    frames.  The output has ``left``'s columns (one copy of the keys) plus,
+    for inner joins, ``right``'s other columns.
+
+    * ``right`` measured under the broadcast limit: broadcast hash join, no
+      shuffle, and a hot cell is spread over the tasks of ``left``'s input.
+    * otherwise both sides shuffle on the keys.  Keys holding more than
+      ``spark.regionlens.skewRows`` rows on a side are found with one
+      aggregate per side (only the hot keys are collected, at most
+      rows / threshold of them).  A hot key is split into a x b salt cells:
+      a left row takes salt i = hash(row) mod a and is copied to every j < b,
+      a right row takes j = hash(row) mod b and is copied to every i < a, so
+      each (i, j) task sees 1/(a*b) of the key's pairs and every pair still
+      meets exactly once.  Salts are hashes of the row, so a recomputed task
+      makes the same choice.  For ``left_semi`` only ``left`` is spread
+      (b = 1), so no left row is duplicated.  For ``left`` joins a hot left
+      row may come out once per right salt with NULLs on the right, so the
+      caller must aggregate per left key (every spatial operator here does).
+    """
+    spark = left.sparkSession
+    keys = list(keys)
+    rk = {k: f"_rk_{k}" for k in keys}
+    right = right.select(*[F.col(f"`{c}`").alias(rk.get(c, c)) for c in right.columns])
+
+    def on(l, r, salted=False):
+        c = None
+        for k in keys:
+            e = l[k] == r[rk[k]]
+            c = e if c is None else c & e
+        if salted:
+            c = c & (l["_si"] == r["_ri"]) & (l["_sj"] == r["_rj"])
+        return c & cond(l, r) if cond is not None else c
+
+    def finish(out):
+        return out if how == "left_semi" else out.drop(*rk.values())
+
+    limit = broadcast_limit(spark)
+    if limit > 0 and measured_bytes(right, array_cols) <= limit:
+        rb = F.broadcast(right)
+        return finish(left.join(rb, on(left, rb), how))
+    thr = skew_rows(spark)
+
+    def hot_keys(df, names):
+        return {tuple(r[n] for n in names): r["_n"] for r in
+                df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > thr).collect()}
+
+    hot_l = hot_keys(left, keys)
+    hot_r = {} if how == "left_semi" else hot_keys(right, [rk[k] for k in keys])
+    hot = set(hot_l) | set(hot_r)
+    if not hot:
+        return finish(left.join(right, on(left, right), how))
+    rows = [(*k, min(_MAX_SALT, -(-hot_l.get(k, 1) // thr)), min(_MAX_SALT, -(-hot_r.get(k, 1) // thr)))
+            for k in hot]
+    kt = {f.name: f.dataType.simpleString() for f in left.schema.fields if f.name in keys}
+    salts = F.broadcast(spark.createDataFrame(
+        rows, ", ".join([f"{k} {kt[k]}" for k in keys] + ["_sa int", "_sb int"])))
+    lh = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    rh = F.xxhash64(*[F.col(f"`{c}`") for c in right.columns])
+    ls = (left.join(salts, keys, "left")
+          .withColumn("_sa", F.coalesce("_sa", F.lit(1))).withColumn("_sb", F.coalesce("_sb", F.lit(1)))
+          .withColumn("_si", F.pmod(lh, F.col("_sa").cast("long")))
+          .withColumn("_sj", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_sb") - 1).cast("long"))))
+          .drop("_sa", "_sb"))
+    rsalt = salts.select(*[F.col(k).alias(rk[k]) for k in keys], "_sa", "_sb")
+    rs = (right.join(rsalt, [rk[k] for k in keys], "left")
+          .withColumn("_sa", F.coalesce("_sa", F.lit(1))).withColumn("_sb", F.coalesce("_sb", F.lit(1)))
+          .withColumn("_rj", F.pmod(rh, F.col("_sb").cast("long")))
+          .withColumn("_ri", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_sa") - 1).cast("long"))))
+          .drop("_sa", "_sb"))
+    out = ls.join(rs, on(ls, rs, salted=True), how)
+    out = out.drop("_si", "_sj") if how == "left_semi" else out.drop("_si", "_sj", "_ri", "_rj")
+    return finish(out)
+
+
 # ---------------------------------------------------------------- cells
 
 def _cell(v, size) -> Column:
@@ -195,12 +285,11 @@ def assign_points_to_zones(points: DataFrame, zones: DataFrame, zone_cols: Seque
     Output = point columns + ``zone_cols``.  Each point is tested only against
     zones whose bounding box shares its grid cell.
     """
-    zc = zone_cells(zones.select(*zone_cols, rings), cell_size, rings)
-    zc = broadcast_if_small(zc, ["_edges"])
+    zc = zone_cells(zones.select(*zone_cols, rings), cell_size, rings).drop("_zcx0", "_zcy0")
     p = (points.withColumn("_cx", _cell(F.col(x), cell_size))
          .withColumn("_cy", _cell(F.col(y), cell_size)))
-    j = p.join(zc, ["_cx", "_cy"]).where(_in_zone(f"`{x}`", f"`{y}`"))
-    return j.drop("_cx", "_cy", "_edges", "_zcx0", "_zcy0", "_inside")
+    j = cell_join(p, zc, ["_cx", "_cy"], "inner", lambda l, r: _in_zone(f"`{x}`", f"`{y}`"), ["_edges"])
+    return j.drop("_cx", "_cy", "_edges", "_inside")
 
 
 def clip_points(points: DataFrame, zones: DataFrame, cell_size: float, x: str = "x",
@@ -208,13 +297,10 @@ def clip_points(points: DataFrame, zones: DataFrame, cell_size: float, x: str =
     """Keep points inside the union of the zones (a semi-join, so a
     point inside several overlapping parts is kept once; no dissolve)."""
     zc = zone_cells(zones.select(rings), cell_size, rings).select("_cx", "_cy", "_edges", "_inside")
-    zc = broadcast_if_small(zc, ["_edges"])
     p = (points.withColumn("_cx", _cell(F.col(x), cell_size))
          .withColumn("_cy", _cell(F.col(y), cell_size)))
-    zc = zc.select(F.col("_cx").alias("_zcx"), F.col("_cy").alias("_zcy"), "_edges", "_inside")
-    cond = ((p["_cx"] == zc["_zcx"]) & (p["_cy"] == zc["_zcy"])
-            & (zc["_inside"] | geo.point_in_edges("_edges", f"`{x}`", f"`{y}`")))
-    return p.join(zc, cond, "left_semi").drop("_cx", "_cy")
+    j = cell_join(p, zc, ["_cx", "_cy"], "left_semi", lambda l, r: _in_zone(f"`{x}`", f"`{y}`"), ["_edges"])
+    return j.drop("_cx", "_cy")
 
 
 # ---------------------------------------------------------------- J5 / A12
@@ -249,15 +335,15 @@ def count_within(points: DataFrame, facilities: DataFrame, key: str,
            .withColumn("_cx", _cell(F.col("_fx"), rmax) + F.col("_o.dx"))
            .withColumn("_cy", _cell(F.col("_fy"), rmax) + F.col("_o.dy"))
            .drop("_o"))
-    fac = broadcast_if_small(fac)
     pts = (points.select(key, F.col(px).alias("_px"), F.col(py).alias("_py"))
            .withColumn("_cx", _cell(F.col("_px"), rmax))
            .withColumn("_cy", _cell(F.col("_py"), rmax)))
-    d2 = (pts["_px"] - fac["_fx"]) ** 2 + (pts["_py"] - fac["_fy"]) ** 2
-    cond = (pts["_cx"] == fac["_cx"]) & (pts["_cy"] == fac["_cy"]) & (d2 <= rmax * rmax)
-    j = pts.join(fac, cond, "left").select(
-        pts[key], fac["_ft"], fac["_w"], ((pts["_px"] - fac["_fx"]) ** 2
-                                          + (pts["_py"] - fac["_fy"]) ** 2).alias("_d2"))
+
+    def within(l, r):
+        return (l["_px"] - r["_fx"]) ** 2 + (l["_py"] - r["_fy"]) ** 2 <= rmax * rmax
+
+    j = cell_join(pts, fac, ["_cx", "_cy"], "left", within).select(
+        key, "_ft", "_w", ((F.col("_px") - F.col("_fx")) ** 2 + (F.col("_py") - F.col("_fy")) ** 2).alias("_d2"))
     aggs = []
     for t in types:
         for r, nm in zip(radii, names):
@@ -334,7 +420,7 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
              .withColumn("_ky", F.floor(F.col("_fy") / F.col("_c")))
              .drop("_c"))
         d2 = ((F.col("_px") - F.col("_fx")) ** 2) + ((F.col("_py") - F.col("_fy")) ** 2)
-        cand = p.join(f, ["_t", "_kx", "_ky"], "left").select(
+        cand = cell_join(p, f, ["_t", "_kx", "_ky"], "left").select(
             key, "_t", "_c", "_px", "_py",
             F.when(F.col("_fid").isNotNull(),
                    F.struct(d2.alias("d2"), F.col("_fid").alias("fid"))).alias("_b"))
@@ -387,18 +473,19 @@ def clip_segments_to_zones(segments: DataFrame, zones: DataFrame, zone_cols: Seq
     whose midpoints are inside.  Output: seg_cols + zone_cols + ``length``.
     """
     zc = _zone_cells_full(zones.select(*zone_cols, rings), cell_size, rings)
-    zc = broadcast_if_small(zc, ["_edges"])
     s = (segments
          .withColumn("_scx0", _cell(F.least("ax", "bx"), cell_size))
          .withColumn("_scy0", _cell(F.least("ay", "by"), cell_size))
          .withColumn("_cx", F.explode(F.sequence("_scx0", _cell(F.greatest("ax", "bx"), cell_size))))
          .withColumn("_cy", F.explode(F.sequence("_scy0", _cell(F.greatest("ay", "by"), cell_size)))))
-    j = (s.join(zc, ["_cx", "_cy"])
-         .where((F.col("_cx") == F.greatest("_scx0", "_zcx0"))
-                & (F.col("_cy") == F.greatest("_scy0", "_zcy0"))
-                # boxes must overlap, else nothing to clip (cheap arithmetic first)
-                & (F.least("ax", "bx") <= F.col("_zmaxx")) & (F.greatest("ax", "bx") >= F.col("_zminx"))
-                & (F.least("ay", "by") <= F.col("_zmaxy")) & (F.greatest("ay", "by") >= F.col("_zminy"))))
+    def first_shared_cell_and_overlap(l, r):
+        # evaluate each (segment, zone) pair only in the lower-left shared
+        # cell, and only when the boxes overlap (cheap arithmetic first)
+        return ((l["_cx"] == F.greatest(l["_scx0"], r["_zcx0"])) & (l["_cy"] == F.greatest(l["_scy0"], r["_zcy0"]))
+                & (F.least(l["ax"], l["bx"]) <= r["_zmaxx"]) & (F.greatest(l["ax"], l["bx"]) >= r["_zminx"])
+                & (F.least(l["ay"], l["by"]) <= r["_zmaxy"]) & (F.greatest(l["ay"], l["by"]) >= r["_zminy"]))
+
+    j = cell_join(s, zc, ["_cx", "_cy"], "inner", first_shared_cell_and_overlap, ["_edges"])
     # cuts in their own projection: the clip references them several times
     j = j.withColumn("_cuts", geo.segment_cuts("ax", "ay", "bx", "by", "_edges"))
     j = j.withColumn("length", geo.clipped_segment_length("ax", "ay", "bx", "by", "_edges", "_cuts"))

@@ -119,3 +119,67 @@ def test_exact_quantiles_equal_numpy(spark, limit, buckets):
     allv = np.array([v for _, v in rows if v is not None])
     for q in qs:
         assert glob[q] == pytest.approx(np.quantile(allv, q), rel=1e-12, abs=1e-9)
+
+
+@pytest.fixture
+def forced_salting(spark):
+    """No broadcast, and any cell with more than 3 rows on a side is hot."""
+    old_b = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.regionlens.skewRows", "3")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old_b)
+    spark.conf.unset("spark.regionlens.skewRows")
+
+
+def test_salted_count_within_equals_brute_force(spark, forced_salting):
+    # a third of the facilities sit in one cell: the hot key
+    rnd = random.Random(9)
+    pts = _points(spark, 150, 21, 0, 20000)
+    fac_rows = [(f"f{i}", float(rnd.randint(5000, 5900)), float(rnd.randint(5000, 5900)), "a") for i in range(40)]
+    fac_rows += [(f"g{i}", float(rnd.randint(0, 20000)), float(rnd.randint(0, 20000)), rnd.choice("ab"))
+                 for i in range(80)]
+    fac = spark.createDataFrame(fac_rows, "facility_id string, x double, y double, amenity string")
+    got = {r.id: r for r in spatial.count_within(pts, fac, "id", (1000, 3000), ["a", "b"]).collect()}
+    for p in pts.collect():
+        for t in ("a", "b"):
+            for r, nm in ((1000, "1km"), (3000, "3km")):
+                want = sum(1 for f in fac_rows if f[3] == t and (p.x - f[1]) ** 2 + (p.y - f[2]) ** 2 <= r * r)
+                assert getattr(got[p.id], f"{t}_count_{nm}") == want
+
+
+def test_salted_nearest_equals_brute_force(spark, forced_salting):
+    pts = _points(spark, 120, 31)
+    fac = _points(spark, 40, 37, lo=0, hi=8000, prefix="f").withColumn("facility_id", F.monotonically_increasing_id())
+    got = {r.id: r for r in spatial.nearest_facility(pts, fac, "id", ["a", "b"]).collect()}
+    Fc = fac.collect()
+    for p in pts.collect():
+        for t in ("a", "b"):
+            want = min(math.hypot(p.x - f.x, p.y - f.y) for f in Fc if f.amenity == t)
+            assert getattr(got[p.id], f"nearest_{t}_dist") == pytest.approx(want)
+
+
+def test_salted_zone_joins_match_unsalted(spark):
+    from conftest import SF_SMALL
+    from regionlens.sources import fixtures as fx
+    z, px = fx.zones(spark, SF_SMALL), fx.pixels(spark, SF_SMALL)
+    roads = spatial.explode_line_segments(fx.roads(spark, SF_SMALL), "line")
+
+    def run():
+        a = sorted(map(tuple, spatial.assign_points_to_zones(px, z, ["zone_id"], 4000.0)
+                       .groupBy("zone_id").count().collect()))
+        b = sorted(r.facility_id for r in spatial.clip_points(fx.facilities(spark, SF_SMALL), z, 4000.0).collect())
+        c = sorted((r.geoid, round(r.total_road_length_m, 6))
+                   for r in spatial.road_length_per_zone(roads, z, "geoid", 10000.0).collect())
+        return a, b, c
+
+    plain = run()
+    old_b = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.regionlens.skewRows", "3")
+    try:
+        salted = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old_b)
+        spark.conf.unset("spark.regionlens.skewRows")
+    assert salted == plain
