@@ -116,11 +116,11 @@ def skew_rows(spark: SparkSession) -> int:
 
 
 def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-              cond=None, array_cols: Sequence[str] = ()) -> DataFrame:
+              cond=None, array_cols: Sequence[str] = (), right_bytes: int | None = None) -> DataFrame:
     """Equi-join on grid-cell ``keys`` that survives hot cells.
 
     ``cond(l, r)`` optionally adds a residual predicate over the two joined
-    frames.  The output has ``left``'s columns (one copy of the keys) plus,
+    frames.  ``right_bytes`` passes a size the caller already measured.  The output has ``left``'s columns (one copy of the keys) plus,
     for inner joins, ``right``'s other columns.
 
     * ``right`` measured under the broadcast limit: broadcast hash join, no
@@ -156,7 +156,8 @@ def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         return out if how == "left_semi" else out.drop(*rk.values())
 
     limit = broadcast_limit(spark)
-    if limit > 0 and measured_bytes(right, array_cols) <= limit:
+    size = right_bytes if right_bytes is not None else (measured_bytes(right, array_cols) if limit > 0 else 0)
+    if limit > 0 and size <= limit:
         rb = F.broadcast(right)
         return finish(left.join(rb, on(left, rb), how))
     thr = skew_rows(spark)
@@ -384,6 +385,9 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
     pb = points.agg(F.min(px).alias("x0"), F.max(px).alias("x1"),
                     F.min(py).alias("y0"), F.max(py).alias("y1")).first()
     present = [t for t in types if t in stats]
+    # the facility side has the same rows at every level (plus two key
+    # columns): measure it once
+    fac_bytes = measured_bytes(fac) + 24 * sum(stats[t]["n"] for t in present)
     base, span = {}, {}
     for t in present:
         s = stats[t]
@@ -420,7 +424,7 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
              .withColumn("_ky", F.floor(F.col("_fy") / F.col("_c")))
              .drop("_c"))
         d2 = ((F.col("_px") - F.col("_fx")) ** 2) + ((F.col("_py") - F.col("_fy")) ** 2)
-        cand = cell_join(p, f, ["_t", "_kx", "_ky"], "left").select(
+        cand = cell_join(p, f, ["_t", "_kx", "_ky"], "left", right_bytes=fac_bytes).select(
             key, "_t", "_c", "_px", "_py",
             F.when(F.col("_fid").isNotNull(),
                    F.struct(d2.alias("d2"), F.col("_fid").alias("fid"))).alias("_b"))
@@ -470,7 +474,8 @@ def clip_segments_to_zones(segments: DataFrame, zones: DataFrame, zone_cols: Seq
     shares several cells is evaluated only in the lower-left cell of the two
     boxes' overlap, so no distinct/shuffle is needed to deduplicate.  The
     exact clip cuts the segment at the polygon's edges and keeps the pieces
-    whose midpoints are inside.  Output: seg_cols + zone_cols + ``length``.
+    whose midpoints are inside.  Output: seg_cols + zone_cols + ``length``
+    (0 for a pair whose boxes overlap but whose segment misses the zone).
     """
     zc = _zone_cells_full(zones.select(*zone_cols, rings), cell_size, rings)
     s = (segments
@@ -489,7 +494,10 @@ def clip_segments_to_zones(segments: DataFrame, zones: DataFrame, zone_cols: Seq
     # cuts in their own projection: the clip references them several times
     j = j.withColumn("_cuts", geo.segment_cuts("ax", "ay", "bx", "by", "_edges"))
     j = j.withColumn("length", geo.clipped_segment_length("ax", "ay", "bx", "by", "_edges", "_cuts"))
-    return j.where(F.col("length") > 0).select(*seg_cols, *zone_cols, "length")
+    # no row filter on length here: Catalyst would push it into the join
+    # condition and evaluate the clip twice; pairs whose boxes overlap but
+    # whose line misses the zone carry length 0 and vanish in the sums
+    return j.select(*seg_cols, *zone_cols, "length")
 
 
 def road_length_per_zone(segments: DataFrame, zones: DataFrame, key: str, cell_size: float,

@@ -1161,7 +1161,8 @@ def osm_roads(spark, d):
                                           F.when(F.col("p_size") % 2 == 0, "drive").otherwise("walk")
                                           .alias("network_type")), "road_id")
     pieces = io.osm_roads(edges, fx.zones(spark, d), "geoid", fx.ROAD_CELL, "drive", "line", "road_id")
-    return pieces.groupBy("geoid").agg(R(F.sum("length"), 3).alias("drive_length_m"))
+    tot = pieces.groupBy("geoid").agg(F.sum("length").alias("_l"))
+    return tot.where(F.col("_l") > 0).select("geoid", R(F.col("_l"), 3).alias("drive_length_m"))
 
 
 @query("scene_archive", uses=("scenes",), sql=f"""
