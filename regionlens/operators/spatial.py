@@ -367,8 +367,9 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
     a point looks at the 3x3 cells around it.  All facilities within one cell
     width are then guaranteed to be candidates, so a best candidate with
     ``dist <= cell`` is final; other points move to the next level (their
-    set is checkpointed to cut lineage).  Once a cell spans the whole extent
-    every facility is a candidate and the search ends.  Per point the
+    set is written to the checkpoint folder to cut lineage).  Once a cell
+    is as wide as the point's largest axis distance to the facility box,
+    every facility is a candidate and the point is final.  Per point the
     candidate list is a 3x3 block at every level -- no all-pairs join.
     Output: ``key`` + ``nearest_{type}_dist`` (NULL when a type has no
     facility) + ``nearest_{type}_id``.
@@ -382,22 +383,16 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
     stats = {r["_t"]: r for r in fac.groupBy("_t").agg(
         F.count(F.lit(1)).alias("n"), F.min("_fx").alias("x0"), F.max("_fx").alias("x1"),
         F.min("_fy").alias("y0"), F.max("_fy").alias("y1")).collect()}
-    pb = points.agg(F.min(px).alias("x0"), F.max(px).alias("x1"),
-                    F.min(py).alias("y0"), F.max(py).alias("y1")).first()
     present = [t for t in types if t in stats]
-    # the facility side has the same rows at every level (plus two key
-    # columns): measure it once
-    fac_bytes = measured_bytes(fac) + 24 * sum(stats[t]["n"] for t in present)
-    base, span = {}, {}
+    base, box = {}, {}
     for t in present:
-        s = stats[t]
-        w = max(s["x1"] - s["x0"], s["y1"] - s["y0"], 1.0)
-        base[t] = max(math.sqrt(w * w / s["n"]), 1.0)
-        if pb["x0"] is None:
-            span[t] = w
-        else:
-            span[t] = max(max(s["x1"], pb["x1"]) - min(s["x0"], pb["x0"]),
-                          max(s["y1"], pb["y1"]) - min(s["y0"], pb["y0"]), 1.0)
+        st = stats[t]
+        w = max(st["x1"] - st["x0"], st["y1"] - st["y0"], 1.0)
+        base[t] = max(math.sqrt(w * w / st["n"]), 1.0)
+        box[t] = (st["x0"], st["y0"], st["x1"], st["y1"])
+    # the facility side has the same rows at every level (plus two key
+    # columns): its size follows from the per-type counts just collected
+    fac_bytes = sum(stats[t]["n"] for t in present) * (_flat_row_bytes(fac.schema) + 24)
 
     out_cols = [key]
     for t in types:
@@ -408,7 +403,16 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
                                        .alias(c) for c in out_cols[1:]])
 
     base_map = F.create_map(*[x for t in present for x in (F.lit(t), F.lit(base[t]))])
-    span_map = F.create_map(*[x for t in present for x in (F.lit(t), F.lit(span[t]))])
+    def box_map(i):
+        return F.create_map(*[x for t in present for x in (F.lit(t), F.lit(float(box[t][i])))])
+
+    bx0, by0, bx1, by1 = box_map(0), box_map(1), box_map(2), box_map(3)
+    # a 3x3 block of cells of width c covers every facility once c reaches
+    # the point's largest axis distance to the facility box
+    reach = F.greatest(F.abs(F.col("_px") - F.element_at(bx0, F.col("_t"))),
+                       F.abs(F.col("_px") - F.element_at(bx1, F.col("_t"))),
+                       F.abs(F.col("_py") - F.element_at(by0, F.col("_t"))),
+                       F.abs(F.col("_py") - F.element_at(by1, F.col("_t"))))
     unresolved = (points.select(key, F.col(px).alias("_px"), F.col(py).alias("_py"))
                   .withColumn("_t", F.explode(F.array(*[F.lit(t) for t in present]))))
     found = []
@@ -433,7 +437,7 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
                      F.first("_px").alias("_px"), F.first("_py").alias("_py"))
                 .withColumn("_ok", F.col("_b").isNotNull()
                             & ((F.col("_b.d2") <= F.col("_c") * F.col("_c"))
-                               | (F.col("_c") >= F.element_at(span_map, F.col("_t"))))))
+                               | (F.col("_c") >= reach))))
         best = materialize(best, "nearest-level")
         found.append(best.where("_ok").select(key, "_t", F.sqrt("_b.d2").alias("_d"),
                                               F.col("_b.fid").alias("_id")))

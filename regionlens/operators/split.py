@@ -82,13 +82,17 @@ def _flag_ranked(df: DataFrame, score: str, tie: str, flag: str, sel: Column, pr
     """Flag rows already selected by ``sel`` plus the first ``need`` rows (by
     score, tie) of the bucket with hash prefix ``prefix`` -- a bucket of at
     most ``_RANK_DIRECTLY_BELOW`` rows, ranked with one window."""
-    from regionlens.operators.spatial import broadcast_if_small
+    from regionlens.operators.spatial import broadcast_limit
 
     inb = (df.where(F.substring(score, 1, len(prefix)) == prefix) if prefix else df).select(
         F.col(tie).alias("_tk"), F.col(score).alias("_sc"))
     picked = (inb.withColumn("_rk", F.row_number().over(Window.orderBy("_sc", "_tk")))
               .where(F.col("_rk") <= need).select("_tk", F.lit(True).alias("_pk")))
-    picked = broadcast_if_small(picked)
+    # at most ``need`` rows by construction: a proven bound, no measuring job
+    width = 24 + (df.schema[tie].dataType.defaultSize() if hasattr(df.schema[tie].dataType, "defaultSize") else 24)
+    limit = broadcast_limit(df.sparkSession)
+    if 0 < limit and need * width <= limit:
+        picked = F.broadcast(picked)
     out = df.join(picked, df[tie] == picked["_tk"], "left")
     return out.withColumn(flag, sel | F.coalesce(F.col("_pk"), F.lit(False))).drop("_tk", "_pk")
 
