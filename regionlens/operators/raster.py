@@ -62,14 +62,17 @@ def masked_median_composite(scenes: DataFrame, start: str, end: str, max_cloud:
                             keys: Sequence[str] = ("pixel",), value: str = "value") -> DataFrame:
     """F8 + F9 + F11 + A21: per-pixel median over clear observations.
 
-    Observations are pre-aggregated to (pixel, value) -> count, and the exact
-    median is taken with ``percentile(value, 0.5, count)``, so repeated values
-    do not grow the per-pixel buffer.
+    The exact median comes from ``quantile.exact_median``: a pixel's stack
+    goes to one bounded ``percentile`` buffer, and a pixel holding more than
+    the bound is refined by histogram passes instead of gathered in one
+    task.  The observation count is a plain aggregate joined on the pixel.
     """
+    from regionlens.operators.quantile import exact_median
+
     s = cloud_filter(date_range(scenes, start, end), max_cloud).where(qa_clear())
-    v = s.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return v.groupBy(*keys).agg(F.percentile(value, 0.5, F.col("_n")).alias("median_value"),
-                                F.sum("_n").alias("n_obs"))
+    med = exact_median(s, value, list(keys)).withColumnRenamed(value, "median_value")
+    cnt = s.groupBy(*keys).agg(F.count(value).alias("n_obs"))
+    return med.join(cnt, list(keys))
 
 
 # ---------------------------------------------------------------- bands
