@@ -972,12 +972,51 @@ def sparsity_study(spark, d):
     return evaluate.degradation_table(res, "mask_pct", 0.0)
 
 
-@query("population_regression")
+_POPREG_CTES = """
+j AS (SELECT w.iso3, w."2000" AS label, CAST(p.population AS DOUBLE) AS population, CAST(p.wealth AS DOUBLE) AS wealth
+      FROM panel_wide w LEFT JOIN poptab p ON w.iso3 = p.ISO3_code
+      WHERE w."2000" IS NOT NULL AND p.population IS NOT NULL AND p.wealth IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (ORDER BY md5(iso3 || '#42'), iso3) AS rn FROM j),
+sp AS (SELECT *, rn <= CAST(ceil((SELECT count(*) FROM j) * 0.25) AS BIGINT) AS is_test FROM rk),
+tr AS (SELECT * FROM sp WHERE NOT is_test),
+trs AS (SELECT count(*) AS n, sum(population) AS sa, sum(wealth) AS sb, sum(label) AS sy, sum(population * population) AS saa, sum(population * wealth) AS sab, sum(wealth * wealth) AS sbb, sum(population * label) AS say, sum(wealth * label) AS sby FROM tr),
+fit AS (SELECT b1, b2, my - b1 * ma - b2 * mb AS b0 FROM (
+  SELECT *, (cay * cbb - cby * cab) / (caa * cbb - cab * cab) AS b1, (caa * cby - cab * cay) / (caa * cbb - cab * cab) AS b2
+  FROM (SELECT *, sa / n AS ma, sb / n AS mb, sy / n AS my, (saa - sa * sa / n) / n AS caa, (sab - sa * sb / n) / n AS cab,
+               (sbb - sb * sb / n) / n AS cbb, (say - sa * sy / n) / n AS cay, (sby - sb * sy / n) / n AS cby FROM trs))),
+pa AS (SELECT sp.is_test, sp.label AS actual, fit.b0 + fit.b1 * sp.population + fit.b2 * sp.wealth AS predicted FROM sp, fit),
+r2s AS (SELECT is_test, 1 - sum((actual - predicted) * (actual - predicted))
+               / NULLIF(var_pop(actual) * count(actual), 0) AS r2 FROM pa GROUP BY is_test),
+cvf AS (SELECT tr.*, ntile(5) OVER (ORDER BY iso3) - 1 AS fold FROM tr),
+pf AS (SELECT fold, count(*) AS n, sum(population) AS sa, sum(wealth) AS sb, sum(label) AS sy, sum(population * population) AS saa, sum(population * wealth) AS sab, sum(wealth * wealth) AS sbb, sum(population * label) AS say, sum(wealth * label) AS sby FROM cvf GROUP BY fold),
+trf AS (SELECT pf.fold, trs.n - pf.n AS n, trs.sa - pf.sa AS sa, trs.sb - pf.sb AS sb, trs.sy - pf.sy AS sy,
+               trs.saa - pf.saa AS saa, trs.sab - pf.sab AS sab, trs.sbb - pf.sbb AS sbb,
+               trs.say - pf.say AS say, trs.sby - pf.sby AS sby FROM pf, trs),
+cof AS (SELECT fold, b1, b2, my - b1 * ma - b2 * mb AS b0 FROM (
+  SELECT *, (cay * cbb - cby * cab) / (caa * cbb - cab * cab) AS b1, (caa * cby - cab * cay) / (caa * cbb - cab * cab) AS b2
+  FROM (SELECT *, sa / n AS ma, sb / n AS mb, sy / n AS my, (saa - sa * sa / n) / n AS caa, (sab - sa * sb / n) / n AS cab,
+               (sbb - sb * sb / n) / n AS cbb, (say - sa * sy / n) / n AS cay, (sby - sb * sy / n) / n AS cby FROM trf))),
+pcv AS (SELECT cvf.fold, cvf.label AS actual, cof.b0 + cof.b1 * cvf.population + cof.b2 * cvf.wealth AS predicted
+        FROM cvf JOIN cof ON cvf.fold = cof.fold),
+r2f AS (SELECT fold, 1 - sum((actual - predicted) * (actual - predicted))
+               / NULLIF(var_pop(actual) * count(actual), 0) AS r2 FROM pcv GROUP BY fold)"""
+
+
+@query("population_regression", uses=("panel_wide", "poptab"), ctes=_POPREG_CTES, sql="""
+SELECT 'r2_train' AS metric, round((SELECT r2 FROM r2s WHERE NOT is_test), 6) AS value UNION ALL
+SELECT 'r2_test', round((SELECT r2 FROM r2s WHERE is_test), 6) UNION ALL
+SELECT 'r2_cv_mean', round((SELECT avg(r2) FROM r2f), 6) UNION ALL
+SELECT 'n_train', CAST((SELECT count(*) FROM sp WHERE NOT is_test) AS DOUBLE) UNION ALL
+SELECT 'n_test', CAST((SELECT count(*) FROM sp WHERE is_test) AS DOUBLE)""")
 def population_regression(spark, d):
-    """M17 population-only regression for year 2000 (rows-only)."""
+    """M17 population-only regression for year 2000: J2 join, F7, W3 75/25
+    split, OLS, M9 train / test / contiguous-CV R^2.  The oracle solves the
+    2x2 normal equations (per CV fold from totals minus the fold's sums)."""
     from regionlens.operators import model as M
-    return M.population_regression(fx.panel_wide(spark, d), fx.population_table(spark, d), 2000,
-                                   ["population", "wealth"])
+    r = M.population_regression(fx.panel_wide(spark, d), fx.population_table(spark, d), 2000,
+                                ["population", "wealth"])
+    return r.select("metric", F.when(F.col("metric").startswith("n_"), F.col("value"))
+                    .otherwise(F.round("value", 6)).alias("value"))
 
 
 @query("lagged_regression")
