@@ -962,14 +962,65 @@ def split_metrics(spark, d):
     return evaluate.regression_metrics(pred).select(*[R(c, 6) for c in evaluate.METRICS], "n")
 
 
-@query("sparsity_study")
+_SPARSITY_CTES = """
+imp AS (SELECT geoid, x1, COALESCE(x2, (SELECT median(x2) FROM features)) AS x2, x3, target FROM features),
+nn AS (SELECT count(*) AS n FROM imp),
+mk01 AS (SELECT geoid, x1, target,
+   CASE WHEN row_number() OVER (ORDER BY md5(geoid || '#x2#42'), geoid) <= CAST(floor((SELECT n FROM nn) * 0.1) AS BIGINT) THEN NULL ELSE x2 END AS x2,
+   x3 AS x3raw, md5(geoid || '#x3#42') AS h3 FROM imp),
+mm01 AS (SELECT geoid, x1, target, x2,
+   CASE WHEN row_number() OVER (ORDER BY h3, geoid) <= CAST(floor((SELECT n FROM nn) * 0.1) AS BIGINT) THEN NULL ELSE x3raw END AS x3
+   FROM mk01),
+im01 AS (SELECT geoid, x1, COALESCE(x2, (SELECT median(x2) FROM mm01)) AS x2,
+   COALESCE(x3, (SELECT median(x3) FROM mm01)) AS x3, target FROM mm01),
+mk03 AS (SELECT geoid, x1, target,
+   CASE WHEN row_number() OVER (ORDER BY md5(geoid || '#x2#42'), geoid) <= CAST(floor((SELECT n FROM nn) * 0.3) AS BIGINT) THEN NULL ELSE x2 END AS x2,
+   x3 AS x3raw, md5(geoid || '#x3#42') AS h3 FROM imp),
+mm03 AS (SELECT geoid, x1, target, x2,
+   CASE WHEN row_number() OVER (ORDER BY h3, geoid) <= CAST(floor((SELECT n FROM nn) * 0.3) AS BIGINT) THEN NULL ELSE x3raw END AS x3
+   FROM mk03),
+im03 AS (SELECT geoid, x1, COALESCE(x2, (SELECT median(x2) FROM mm03)) AS x2,
+   COALESCE(x3, (SELECT median(x3) FROM mm03)) AS x3, target FROM mm03),
+st AS (SELECT CAST(0.0 AS DOUBLE) AS mask_pct, geoid, x1, x2, x3, target FROM imp UNION ALL SELECT CAST(10.0 AS DOUBLE), geoid, x1, x2, x3, target FROM im01 UNION ALL SELECT CAST(30.0 AS DOUBLE), geoid, x1, x2, x3, target FROM im03),
+mo AS (SELECT mask_pct, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(target) AS my,
+   covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x1, x3) AS s13, covar_pop(x2, x2) AS s22,
+   covar_pop(x2, x3) AS s23, covar_pop(x3, x3) AS s33, covar_pop(x1, target) AS c1, covar_pop(x2, target) AS c2,
+   covar_pop(x3, target) AS c3 FROM st GROUP BY mask_pct),
+dt AS (SELECT *, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13) AS det FROM mo),
+bb AS (SELECT *, (c1 * (s22 * s33 - s23 * s23) - s12 * (c2 * s33 - s23 * c3) + s13 * (c2 * s23 - s22 * c3)) / det AS b1,
+   (s11 * (c2 * s33 - s23 * c3) - c1 * (s12 * s33 - s23 * s13) + s13 * (s12 * c3 - c2 * s13)) / det AS b2,
+   (s11 * (s22 * c3 - c2 * s23) - s12 * (s12 * c3 - c2 * s13) + c1 * (s12 * s23 - s22 * s13)) / det AS b3 FROM dt),
+co AS (SELECT mask_pct, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, b1, b2, b3 FROM bb),
+pr AS (SELECT st.mask_pct, st.target AS actual, co.b0 + co.b1 * st.x1 + co.b2 * st.x2 + co.b3 * st.x3 AS predicted
+   FROM st JOIN co ON st.mask_pct = co.mask_pct),
+me AS (SELECT mask_pct, avg(abs(actual - predicted)) AS MAE, sqrt(avg((actual - predicted) * (actual - predicted))) AS RMSE,
+   1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(actual)) AS R2,
+   avg(abs(CASE WHEN actual <> 0 THEN (actual - predicted) / actual END)) * 100 AS MAPE FROM pr GROUP BY mask_pct),
+lg AS (SELECT mask_pct, 'MAE' AS metric, MAE AS value FROM me UNION ALL SELECT mask_pct, 'RMSE', RMSE FROM me
+   UNION ALL SELECT mask_pct, 'R2', R2 FROM me UNION ALL SELECT mask_pct, 'MAPE', MAPE FROM me),
+b0t AS (SELECT metric, value AS initial FROM lg WHERE mask_pct = 0)"""
+
+
+@query("sparsity_study", uses=("features",), ctes=_SPARSITY_CTES, sql="""
+SELECT mask_pct, lg.metric, round(initial, 6) AS initial, round(value, 6) AS degraded,
+       round(CASE WHEN lg.metric = 'R2' THEN
+                 (CASE WHEN initial = 1 THEN (CASE WHEN value = 1 THEN 0.0 ELSE 'inf'::DOUBLE END)
+                       WHEN initial = 0 THEN (CASE WHEN value < 0 THEN 100.0 ELSE 0.0 END)
+                       WHEN initial < 0 THEN (initial - value) / abs(initial) * 100
+                       ELSE (initial - value) / initial * 100 END)
+             ELSE (CASE WHEN initial = 0 THEN (CASE WHEN value > 0 THEN 'inf'::DOUBLE ELSE 0.0 END)
+                        ELSE (value - initial) / initial * 100 END) END, 6) AS degradation_pct
+FROM lg JOIN b0t ON lg.metric = b0t.metric""")
 def sparsity_study(spark, d):
-    """M11 + M12 masking study: metrics per masking percentage and their
-    degradation against the unmasked fit."""
+    """M11 + M12 masking study (OLS): metrics per masking percentage and
+    their degradation against the unmasked fit.  OLS predictions do not
+    depend on the full-data scaling, so the oracle solves the normal
+    equations of each masked and imputed table in SQL."""
     from regionlens.operators import model as M
     f = clean.median_impute(fx.features(spark, d), _XF)
     res = M.sparsity_study(f, "geoid", _XF, "target", ["x2", "x3"], [0.0, 0.1, 0.3], lambda t: M.ols("target"))
-    return evaluate.degradation_table(res, "mask_pct", 0.0)
+    t = evaluate.degradation_table(res, "mask_pct", 0.0)
+    return t.select("mask_pct", "metric", R("initial", 6), R("degraded", 6), R("degradation_pct", 6))
 
 
 _POPREG_CTES = """
