@@ -44,13 +44,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there and we only read it.  Only when it
-    is unset (local runs, tests) do we create a private folder.
+    is unset in local mode (local runs, tests) do we create a private
+    folder; on a cluster an unset folder is an error, because a
+    machine-local folder would not survive the loss of an executor.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(intermediate tables are written there)")
         conf_dir = tempfile.mkdtemp(prefix="regionlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
