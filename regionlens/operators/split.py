@@ -124,7 +124,9 @@ def contiguous_folds(df: DataFrame, order: str, k: int = 5, fold: str = "fold")
     position -- no single-task window.
     """
     n = df.count()
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    parts = max(1, spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions", "1")))
     ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order)
     with_pid = ranged.withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_mid", F.monotonically_increasing_id())
