@@ -180,7 +180,11 @@ def group_folds(df: DataFrame, group: str, k: int = 5, fold: str = "fold",
 
 def mask_cells(df: DataFrame, key: str, cols: Sequence[str], frac: float, seed: int = 42) -> DataFrame:
     """W7 set exactly ``int(n * frac)`` values of each column to NULL, the
-    rows chosen per column by md5(key, column, seed)."""
+    rows chosen per column by md5(key, column, seed).  The masked table is
+    written once to the checkpoint folder: every later pass (NULL counts,
+    medians, the model fit) reads it instead of re-ranking."""
+    from regionlens.session import materialize
+
     n = df.count()
     k = int(n * frac)
     out = df
@@ -188,7 +192,7 @@ def mask_cells(df: DataFrame, key: str, cols: Sequence[str], frac: float, seed:
         scored = out.withColumn("_score", hash_score(key, seed, salt=c + "#"))
         flagged = smallest_k_flag(scored, "_score", k, key, "_m", n=n)
         out = flagged.withColumn(c, F.when(~F.col("_m"), F.col(c))).drop("_score", "_m")
-    return out
+    return materialize(out, "masked") if k > 0 else out
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features"):
