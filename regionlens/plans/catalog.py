@@ -1100,11 +1100,97 @@ def population_regression(spark, d):
                     .otherwise(F.round("value", 6)).alias("value"))
 
 
-@query("lagged_regression")
+def _sums_sql(feats, src, group=None):
+    cols = ["count(*) AS n", "sum(label) AS s_label"] + [f"sum({f}) AS s_{f}" for f in feats]
+    cols += [f"sum({a} * {b}) AS p_{a}_{b}" for i, a in enumerate(feats) for b in feats[i:]]
+    cols += [f"sum({a} * label) AS p_{a}_label" for a in feats]
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return f"SELECT {g}{', '.join(cols)} FROM {src}{gb}"
+
+
+def _minus_sql(feats, tot, part, group):
+    names = ["n", "s_label"] + [f"s_{f}" for f in feats]
+    names += [f"p_{a}_{b}" for i, a in enumerate(feats) for b in feats[i:]] + [f"p_{a}_label" for a in feats]
+    return f"SELECT {part}.{group}, " + ", ".join(f"{tot}.{c} - {part}.{c} AS {c}" for c in names) + \
+        f" FROM {part}, {tot}"
+
+
+def _cholesky_ctes(prefix, src, feats):
+    """CTEs solving the centred normal equations of OLS from moment sums by
+    a Cholesky factorisation, one step per CTE; the last CTE carries b0..bp
+    (other columns of ``src`` pass through)."""
+    p = len(feats)
+
+    def cov(a, b):
+        x, y = sorted((a, b), key=feats.index) if b != "label" else (a, b)
+        return f"((p_{x}_{y} - s_{a} * s_{b} / n) / n)"
+
+    ctes, prev, k = [], src, 0
+
+    def add(expr_cols):
+        nonlocal prev, k
+        name = f"{prefix}{k}"
+        k += 1
+        ctes.append(f"{name} AS (SELECT *, {', '.join(expr_cols)} FROM {prev})")
+        prev = name
+
+    for i in range(p):
+        diag = f"sqrt({cov(feats[i], feats[i])}" + "".join(f" - l_{i}_{q} * l_{i}_{q}" for q in range(i)) + ")"
+        add([f"{diag} AS l_{i}_{i}"])
+        if i + 1 < p:
+            add([f"({cov(feats[j], feats[i])}" + "".join(f" - l_{j}_{q} * l_{i}_{q}" for q in range(i))
+                 + f") / l_{i}_{i} AS l_{j}_{i}" for j in range(i + 1, p)])
+    for i in range(p):
+        add([f"({cov(feats[i], 'label')}" + "".join(f" - l_{i}_{q} * z_{q}" for q in range(i)) + f") / l_{i}_{i} AS z_{i}"])
+    for i in reversed(range(p)):
+        add([f"(z_{i}" + "".join(f" - l_{q}_{i} * b_{q + 1}" for q in range(i + 1, p)) + f") / l_{i}_{i} AS b_{i + 1}"])
+    add(["s_label / n" + "".join(f" - b_{i + 1} * s_{f} / n" for i, f in enumerate(feats)) + " AS b0"])
+    return ctes, prev
+
+
+def _lagged_sql():
+    feats = [f"y{y}" for y in range(1995, 2000)]
+    pred = lambda t, c: f"{c}.b0 + " + " + ".join(f"{c}.b_{i + 1} * {t}.{f}" for i, f in enumerate(feats))
+    fit, fit_last = _cholesky_ctes("ft", "trs", feats)
+    cvc, cv_last = _cholesky_ctes("cv", "trf", feats)
+    ctes = [
+        "j AS (SELECT iso3, \"2000\" AS label, " + ", ".join(f'"{f[1:]}" AS {f}' for f in feats)
+        + " FROM panel_wide WHERE \"2000\" IS NOT NULL AND " + " AND ".join(f'"{f[1:]}" IS NOT NULL' for f in feats) + ")",
+        "rk AS (SELECT *, row_number() OVER (ORDER BY md5(iso3 || '#42'), iso3) AS rn FROM j)",
+        "sp AS (SELECT *, rn <= CAST(ceil((SELECT count(*) FROM j) * 0.25) AS BIGINT) AS is_test FROM rk)",
+        "tr AS (SELECT * FROM sp WHERE NOT is_test)",
+        f"trs AS ({_sums_sql(feats, 'tr')})", *fit,
+        f"pa AS (SELECT sp.is_test, sp.label AS actual, {pred('sp', fit_last)} AS predicted FROM sp, {fit_last})",
+        "r2s AS (SELECT is_test, 1 - sum((actual - predicted) * (actual - predicted)) "
+        "/ NULLIF(var_pop(actual) * count(actual), 0) AS r2 FROM pa GROUP BY is_test)",
+        "cvf AS (SELECT tr.*, ntile(5) OVER (ORDER BY iso3) - 1 AS fold FROM tr)",
+        f"pf AS ({_sums_sql(feats, 'cvf', 'fold')})",
+        f"trf AS ({_minus_sql(feats, 'trs', 'pf', 'fold')})", *cvc,
+        f"pcv AS (SELECT cvf.fold, cvf.label AS actual, {pred('cvf', cv_last)} AS predicted "
+        f"FROM cvf JOIN {cv_last} ON cvf.fold = {cv_last}.fold)",
+        "r2f AS (SELECT fold, 1 - sum((actual - predicted) * (actual - predicted)) "
+        "/ NULLIF(var_pop(actual) * count(actual), 0) AS r2 FROM pcv GROUP BY fold)",
+    ]
+    sql = """
+SELECT 'r2_train' AS metric, round((SELECT r2 FROM r2s WHERE NOT is_test), 6) AS value UNION ALL
+SELECT 'r2_test', round((SELECT r2 FROM r2s WHERE is_test), 6) UNION ALL
+SELECT 'r2_cv_mean', round((SELECT avg(r2) FROM r2f), 6) UNION ALL
+SELECT 'n_train', CAST((SELECT count(*) FROM sp WHERE NOT is_test) AS DOUBLE) UNION ALL
+SELECT 'n_test', CAST((SELECT count(*) FROM sp WHERE is_test) AS DOUBLE)"""
+    return ",\n".join(ctes), sql
+
+
+@query("lagged_regression", uses=("panel_wide",), ctes=_lagged_sql()[0], sql=_lagged_sql()[1])
 def lagged_regression(spark, d):
-    """M18 lagged-panel regression for year 2000 (rows-only)."""
+    """M18 lagged-panel regression for year 2000: the five earlier years as
+    features, F7, W3 75/25 split, OLS, M9 train / test / contiguous-CV R^2.
+    The oracle solves the centred 5x5 normal equations by a Cholesky
+    factorisation in SQL (per CV fold from totals minus the fold's sums)."""
     from regionlens.operators import model as M
-    return M.lagged_regression(fx.panel_wide(spark, d), 2000)
+    r = M.lagged_regression(fx.panel_wide(spark, d), 2000)
+    return r.select("metric", F.when(F.col("metric").startswith("n_"), F.col("value"))
+                    .otherwise(F.round("value", 6)).alias("value"))
 
 
 # ================================================================ sources / sinks
