@@ -224,7 +224,7 @@ def bilinear_warp(grid: DataFrame, factor_x: float, factor_y: float, value: str
     t = tgt.select("trow", "tcol", sr.alias("_sr"), sc.alias("_sc"))
     t = t.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                                           for a in (0, 1) for b in (0, 1)])).alias("_n"))
-    t = t.select("trow", "tcol",
+    t = t.select("trow", "tcol", F.col("_n.a").alias("_a"), F.col("_n.b").alias("_b"),
                  (F.floor("_sr") + F.col("_n.a")).cast("long").alias("row"),
                  (F.floor("_sc") + F.col("_n.b")).cast("long").alias("col"),
                  (1 - F.abs(F.col("_sr") - (F.floor("_sr") + F.col("_n.a")))).alias("_wr"),
@@ -233,7 +233,22 @@ def bilinear_warp(grid: DataFrame, factor_x: float, factor_y: float, value: str
                       F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     j = t.join(src, ["row", "col"])
     wgt = F.col("_wr") * F.col("_wc")
-    agg = j.groupBy("trow", "tcol").agg(F.sum(wgt * F.col("_v")).alias("_s"), F.sum(wgt).alias("_w"))
+    # each neighbour lands in its own slot (max of one value: order-free), so
+    # the weighted sum below always adds in the same order and is
+    # reproducible to the last bit
+    slots = [(a, b) for a in (0, 1) for b in (0, 1)]
+    aggs = []
+    for a, b in slots:
+        hit = (F.col("_a") == a) & (F.col("_b") == b)
+        aggs += [F.max(F.when(hit, wgt * F.col("_v"))).alias(f"_p{a}{b}"), F.max(F.when(hit, wgt)).alias(f"_w{a}{b}")]
+    agg = j.groupBy("trow", "tcol").agg(*aggs)
+    num = None
+    den = None
+    for a, b in slots:
+        pn = F.coalesce(F.col(f"_p{a}{b}"), F.lit(0.0))
+        wn = F.coalesce(F.col(f"_w{a}{b}"), F.lit(0.0))
+        num = pn if num is None else num + pn
+        den = wn if den is None else den + wn
     return (tgt.join(agg, ["trow", "tcol"], "left")
             .select(F.col("trow").alias("row"), F.col("tcol").alias("col"),
-                    F.try_divide(F.col("_s"), F.col("_w")).alias(value)))
+                    F.try_divide(num, den).alias(value)))

@@ -550,13 +550,15 @@ tg AS (SELECT CAST(r.range AS BIGINT) AS trow, CAST(c.range AS BIGINT) AS tcol,
               ext.c0 + (c.range + 0.5::DOUBLE) * {_WARP_FX}::DOUBLE - 0.5::DOUBLE AS sc
        FROM ext, range(CAST(floor((SELECT r1 - r0 + 1 FROM ext) / {_WARP_FY}) AS BIGINT)) r,
             range(CAST(floor((SELECT c1 - c0 + 1 FROM ext) / {_WARP_FX}) AS BIGINT)) c),
-nb AS (SELECT trow, tcol, CAST(floor(sr) + a.range AS BIGINT) AS nr, CAST(floor(sc) + b.range AS BIGINT) AS nc,
+nb AS (SELECT trow, tcol, a.range AS na, b.range AS nbb,
+              CAST(floor(sr) + a.range AS BIGINT) AS nr, CAST(floor(sc) + b.range AS BIGINT) AS nc,
               (1 - abs(sr - (floor(sr) + a.range))) * (1 - abs(sc - (floor(sc) + b.range))) AS w
        FROM tg, range(2) a, range(2) b),
-agg AS (SELECT trow, tcol, sum(w * g.value) AS s, sum(w) AS ws FROM nb
-        JOIN grid g ON g."row" = nb.nr AND g.col = nb.nc WHERE g.value IS NOT NULL GROUP BY trow, tcol)""", sql="""
-SELECT tg.trow AS "row", tg.tcol AS col, round(CASE WHEN agg.ws <> 0 THEN agg.s / agg.ws END, 6) AS value
-FROM tg LEFT JOIN agg ON tg.trow = agg.trow AND tg.tcol = agg.tcol""")
+agg AS (SELECT trow, tcol, max(CASE WHEN na = 0 AND nbb = 0 THEN w * g.value END) AS p00, max(CASE WHEN na = 0 AND nbb = 0 THEN w END) AS w00, max(CASE WHEN na = 0 AND nbb = 1 THEN w * g.value END) AS p01, max(CASE WHEN na = 0 AND nbb = 1 THEN w END) AS w01, max(CASE WHEN na = 1 AND nbb = 0 THEN w * g.value END) AS p10, max(CASE WHEN na = 1 AND nbb = 0 THEN w END) AS w10, max(CASE WHEN na = 1 AND nbb = 1 THEN w * g.value END) AS p11, max(CASE WHEN na = 1 AND nbb = 1 THEN w END) AS w11 FROM nb
+        JOIN grid g ON g."row" = nb.nr AND g.col = nb.nc WHERE g.value IS NOT NULL GROUP BY trow, tcol),
+ag2 AS (SELECT trow, tcol, COALESCE(p00, 0.0) + COALESCE(p01, 0.0) + COALESCE(p10, 0.0) + COALESCE(p11, 0.0) AS s, COALESCE(w00, 0.0) + COALESCE(w01, 0.0) + COALESCE(w10, 0.0) + COALESCE(w11, 0.0) AS ws FROM agg)""", sql="""
+SELECT tg.trow AS "row", tg.tcol AS col, round(CASE WHEN ag2.ws <> 0 THEN ag2.s / ag2.ws END, 6) AS value
+FROM tg LEFT JOIN ag2 ON tg.trow = ag2.trow AND tg.tcol = ag2.tcol""")
 def raster_warp(spark, d):
     """G12 bilinear warp onto a coarser grid (equi-join to 4 neighbours)."""
     w = raster.bilinear_warp(fx.grid(spark, d), _WARP_FX, _WARP_FY)
