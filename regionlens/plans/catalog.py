@@ -261,10 +261,12 @@ def panel_wide(spark, d):
 
 
 @query("gdp_mean_by_year", uses=("panel_long",), sql="""
-SELECT year, round(avg(gdp), 2) AS mean_gdp FROM panel_long GROUP BY year""")
+SELECT year, round(avg(gdp), 6) AS mean_gdp FROM panel_long GROUP BY year""")
 def gdp_mean_by_year(spark, d):
     """A1 mean per year."""
-    return panel.mean_by_year(panel.melt(fx.panel_wide(spark, d), ["gid"])).select("year", R("mean_gdp", 2))
+    # a mean of at most 25 two-decimal values has at most 6 decimals: rounding
+    # at 6 can never meet a tie, whatever the summation order
+    return panel.mean_by_year(panel.melt(fx.panel_wide(spark, d), ["gid"])).select("year", R("mean_gdp", 6))
 
 
 @query("gdp_quantiles_by_year", uses=("panel_long",), sql=" UNION ALL ".join(f"""
@@ -277,11 +279,11 @@ def gdp_quantiles_by_year(spark, d):
 
 
 @query("row_mean", uses=("panel_long",), sql="""
-SELECT gid, round(avg(gdp), 2) AS row_mean FROM panel_long GROUP BY gid""")
+SELECT gid, round(avg(gdp), 6) AS row_mean FROM panel_long GROUP BY gid""")
 def row_mean(spark, d):
     """A6 row-wise mean over the year columns."""
     w = fx.panel_wide(spark, d)
-    return panel.row_mean(w, panel.year_columns(w)).select("gid", R("row_mean", 2))
+    return panel.row_mean(w, panel.year_columns(w)).select("gid", R("row_mean", 6))
 
 
 @query("trend_slope", uses=("panel_long",), sql="""
@@ -514,12 +516,14 @@ def cloud_masked_median(spark, d):
 
 
 @query("mean_composite", uses=("scenes",), sql="""
-SELECT pixel, round(avg(value), 4) AS mean_value, count(value) AS n_obs FROM scenes
+SELECT pixel, round(avg(value), 9) AS mean_value, count(value) AS n_obs FROM scenes
 WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY pixel""")
 def mean_composite(spark, d):
     """F8 + A20 temporal mean composite."""
     s = raster.date_range(fx.scenes(spark, d), "2024-01-01", "2024-02-01")
-    return raster.mean_composite(s).select("pixel", R("mean_value"), "n_obs")
+    # two-decimal values averaged over < 128 observations have at most 9
+    # decimals: no rounding tie at 9, whatever the summation order
+    return raster.mean_composite(s).select("pixel", R("mean_value", 9), "n_obs")
 
 
 _CLIP_ZONES = [6, 7, 8]
@@ -1374,7 +1378,7 @@ def osm_roads(spark, d):
 
 
 @query("scene_archive", uses=("scenes",), sql=f"""
-SELECT pixel, round(avg(value), 4) AS mean_value, count(value) AS n_obs FROM scenes
+SELECT pixel, round(avg(value), 9) AS mean_value, count(value) AS n_obs FROM scenes
 WHERE ts >= TIMESTAMP '{fx.SCENE_START}' AND ts < TIMESTAMP '{fx.SCENE_END}' GROUP BY pixel""")
 def scene_archive(spark, d):
     """S8 scenes written partitioned by acquisition month and read back; the
@@ -1384,4 +1388,4 @@ def scene_archive(spark, d):
     io.write_scenes(fx.scenes(spark, d), path)
     s = raster.date_range(io.read_scenes(spark, path), fx.SCENE_START, fx.SCENE_END)
     s = s.where((F.col("month") >= fx.SCENE_START[:7]) & (F.col("month") <= fx.SCENE_END[:7]))
-    return raster.mean_composite(s).select("pixel", R("mean_value"), "n_obs")
+    return raster.mean_composite(s).select("pixel", R("mean_value", 9), "n_obs")
