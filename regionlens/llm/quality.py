@@ -120,7 +120,7 @@ def resample(docs: DataFrame, ratio: Ratio, fraction: float, strength: float = 6
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     weighed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), weight_column(F.col("text"), ratio).alias("mean"),
-                          F.trim(text).eqNullSafe("").alias("empty"),
+                          (~text.rlike(r"[^\x00-\x20\x7F]")).alias("empty"),
                           F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text.cast("binary"))).alias("h"))
     unit = (F.shiftrightunsigned("h", 11) + 0.5) / float(1 << 53)
     noisy = weighed.withColumn("weight", F.col("mean") * strength).withColumn(
