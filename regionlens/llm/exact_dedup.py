@@ -33,37 +33,39 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Deduplicate a batch against the index and itself, and append its new digests.
-
-        Returns, for each row of ``docs``: doc_id, digest, keep_id, group_size (rows of
-        this batch with that text), kept, and n_same (rows of the batch that repeat both
-        the id and the text).  The row with the smallest doc_id stays; a null id counts
-        as the largest, and keep_id is null only if every id of the group is null.  Of
-        rows that repeat an id and a text all say the same; `unique_rows` leaves one.
-        A text that the index knew from before is kept only in the document that stands
-        in the index, so adding a batch again, as after a failed job, changes nothing.
-        An empty batch gives no rows and leaves the index as it is.
-        """
+    def _add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Append the batch's new digests; its rows (doc_id, digest), and one row per digest of the
+        batch: keep_id, group_size, and n_keep, the batch's rows with that id and text."""
         seen = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                                   digest(F.col("text")).alias("digest")), "digests")
-        per_id = seen.groupBy("digest", "doc_id").agg(F.count("*").alias("n_same"))
-        groups = stored(per_id.groupBy("digest").agg(F.min("doc_id").alias("first_id"),
-                                                     F.sum("n_same").alias("group_size")), "groups")
+        # partial sums per id first: neither a hot text nor a hot id comes to one task as rows
+        per_id = seen.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+        groups = stored(per_id.groupBy("digest").agg(
+            F.min("doc_id").alias("first_id"), F.sum("n").alias("group_size"),
+            F.min_by("n", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("n_first")), "groups")
         # only the batch moves, to the index's buckets; each task then appends to one bucket
         new = groups.repartition(self.buckets, "digest").join(self.rows().hint("merge"), "digest", "left_anti")
         new.select("digest", F.col("first_id").alias("keep_id")).write.insertInto(self.table)
-        # plain shuffles on both sides here, so that a hot digest's rows can be split
-        held = stored(groups.join(self.rows(), "digest").select("digest", "keep_id", "group_size"), "held")
-        one = per_id.join(held, "digest")
-        return one.select("doc_id", "digest", "keep_id", "group_size",
-                          F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "n_same")
+        held = groups.join(self.rows(), "digest").select(
+            "digest", "keep_id", "group_size",
+            F.when(F.col("first_id").eqNullSafe(F.col("keep_id")), F.col("n_first")).otherwise(0).alias("n_keep"))
+        return seen, stored(held, "held")
 
     def assign(self, docs: DataFrame) -> DataFrame:
-        """`add`, with one output row for each input row (repeats included) and without n_same."""
-        decided = self.add(docs)
-        # sequence() puts back the repeats that the grouping took together
-        return decided.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_same")))).drop("copy", "n_same")
+        """Deduplicate a batch against the index and itself, and append its new digests.
+
+        Returns doc_id, digest, keep_id, group_size (rows of this batch with that text) and
+        kept for each row of ``docs``.  The row with the smallest doc_id stays; a null id
+        counts as the largest, and keep_id is null only if every id of the group is null.
+        Rows that repeat both id and text all say the same; `unique_rows` leaves one.
+        A text that the index knew from before is kept only in the document that stands
+        in the index, so adding a batch again, as after a failed job, changes nothing.
+        An empty batch gives no rows and leaves the index as it is.
+        """
+        seen, held = self._add(docs)
+        # plain shuffles on both sides, so that a hot digest's rows can be split
+        return seen.join(held, "digest").select("doc_id", "digest", "keep_id", "group_size",
+                                                F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def unique_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -72,8 +74,9 @@ def unique_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
     Of rows that repeat one id and one text, the one whose columns come first as JSON stays.
     """
     d, i, n = (fresh(docs, c) for c in ("_digest", "_keep_id", "_copies"))
-    keep = index.add(docs).where("kept").select(F.col("digest").alias(d), F.col("doc_id").alias(i),
-                                                F.col("n_same").alias(n))
+    _, held = index._add(docs)
+    keep = held.where("n_keep > 0").select(F.col("digest").alias(d), F.col("keep_id").alias(i),
+                                           F.col("n_keep").alias(n))
     marked = docs.withColumn(fresh(docs, "_own"), digest(F.col("text")))
     own = marked.columns[-1]
     found = marked.join(keep, (F.col(own) == F.col(d)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(i)))

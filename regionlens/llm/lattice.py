@@ -13,6 +13,7 @@ counts and the scores of all distinct words are Spark jobs over the whole corpus
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -188,7 +189,7 @@ def train(docs: DataFrame, held_out: Column, model: bytes, rounds: int = 2, smoo
     Null texts count as empty.  Only numbers per vocabulary piece come to the driver.
     Without training text the vocabulary's own scores stand, and an end is sure.
     """
-    pieces = Pieces(model)
+    pieces, name = Pieces(model), "pieces" + hashlib.sha256(model).hexdigest()
     marked = docs.select("text", held_out.alias("held_out"))
     words = stored(marked.mapInArrow(_count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")),
                    "words")
@@ -201,7 +202,7 @@ def train(docs: DataFrame, held_out: Column, model: bytes, rounds: int = 2, smoo
             log_p = np.log(p)
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, sums = Pieces(model), np.zeros(len(log_p))
+            own, sums = tx.per_process(name, lambda: Pieces(model)), np.zeros(len(log_p))
             for batch in batches:
                 segments, counts = [], []
                 for w, c in zip(batch.column("word").cast(pa.large_binary()), batch.column("c").to_pylist()):
@@ -225,7 +226,7 @@ def train(docs: DataFrame, held_out: Column, model: bytes, rounds: int = 2, smoo
     log_p = np.log(p)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(model)
+        own = tx.per_process(name, lambda: Pieces(model))
         for batch in batches:
             texts = [w.as_py() for w in batch.column("word").cast(pa.large_binary())]
             lp = np.empty(len(texts))

@@ -14,11 +14,15 @@ scores, and a crossing merge wins if it scores above the next merge on either si
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as tx
+
 SPACE = "▁"
 
 
@@ -31,7 +35,7 @@ def read_model(path: str) -> bytes:
 class PrefixEncoder:
     """Encoder and decoder for a BPE model with the identity normaliser, dummy prefix and byte fallback."""
 
-    def __init__(self, model: bytes, memory: int = 300_000):
+    def __init__(self, model: bytes, memory: int = 100_000):
         import ahocorasick
         import sentencepiece
 
@@ -64,14 +68,12 @@ class PrefixEncoder:
         automaton = ahocorasick.Automaton()
         for i in sorted(normal, key=lambda i: self.length[i]):
             if self._grow(i, ids):
-                automaton.add_word(self.pieces[i], i)
+                automaton.add_word(self.pieces[i], (i, self.length[i]))
         automaton.make_automaton()
         self.matches = automaton.iter
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.memory, self.known, self.older = memory, {}, {}
-        self.shown = [p.replace(SPACE, " ") for p in self.pieces]
-        for i in special:
-            self.shown[i] = "" if sp.is_control(i) else sp.decode([i])
+        self.decode = Decoder(model).decode
 
     def _grow(self, i: int, ids: dict[str, int]) -> bool:
         """Encode one piece by merging; record its two borders; False if it does not come out whole."""
@@ -119,32 +121,31 @@ class PrefixEncoder:
                 j += 1
 
     def _chunk(self, text: str) -> tuple[int, ...]:
+        # last token by last character; the extra place at the end stands for the beginning (index -1)
         last = [-1] * (len(text) + 1)
-        length, fits, tails = self.length, self.fits, self.tails
-        for end, t in self.matches(text):
-            end += 1
+        fits = self.fits
+        for end, (t, n) in self.matches(text):
             if last[end] >= 0:
                 continue
-            before = end - length[t]
-            p = last[before] if before else -1
+            p = last[end - n]
             if p >= 0:  # else the text begins here, or a character of no piece stands before
-                ok = fits.get((p, t))
+                ok = fits.get(p << 16 | t)
                 if ok is None:
                     if len(fits) >= 4 * self.memory:
                         fits.clear()
-                    ok = fits[p, t] = self.compatible(p, t)
+                    ok = fits[p << 16 | t] = self.compatible(p, t)
                 if not ok:
                     continue
             last[end] = t
-        out, at = [], len(text)
-        while at:
+        out, at, length = [], len(text) - 1, self.length
+        while at >= 0:
             t = last[at]
             if t >= 0:
                 out.append(t)
                 at -= length[t]
             else:
-                at -= 1
                 out.extend(self.byte_ids[b] for b in reversed(text[at].encode()))
+                at -= 1
         out.reverse()
         return tuple(out)
 
@@ -174,16 +175,38 @@ class PrefixEncoder:
             out += self._chunk(mark[:-1])
         return out
 
+
+class Decoder:
+    """Ids to text; a byte below 128 is a character by itself, others are put together."""
+
+    def __init__(self, model: bytes):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.high: dict[int, int] = {}
+        self.shown, self.blank = [], set()
+        for i in range(sp.get_piece_size()):
+            piece = sp.id_to_piece(i)
+            if sp.is_byte(i):
+                byte = int(piece[3:5], 16)
+                if byte >= 128:
+                    self.high[i] = byte
+                self.shown.append(chr(byte) if byte < 128 else "")
+            elif sp.is_control(i):
+                self.blank.add(i)
+                self.shown.append("")
+            else:
+                self.shown.append(sp.decode([i]) if sp.is_unknown(i) else piece.replace(SPACE, " "))
+        self.opens = {i for i in range(sp.get_piece_size()) if sp.id_to_piece(i).startswith(SPACE)}
+
     def decode(self, ids: list[int]) -> str:
-        shown, byte_of = self.shown, self.byte_of
-        if not ids:
-            return ""
-        if min(ids) >= 259 or not any(i in byte_of for i in ids):
+        shown, high = self.shown, self.high
+        if high.keys().isdisjoint(ids):
             text = "".join([shown[i] for i in ids])
         else:
             parts, run = [], bytearray()
             for i in ids:
-                b = byte_of.get(i)
+                b = high.get(i)
                 if b is not None:
                     run.append(b)
                     continue
@@ -194,8 +217,8 @@ class PrefixEncoder:
             if run:
                 parts.append(_utf8(run))
             text = "".join(parts)
-        first = next((i for i in ids if self.pieces[i] not in ("<s>", "</s>")), None)
-        return text[1:] if first is not None and self.pieces[first].startswith(SPACE) else text
+        first = next((i for i in ids if i not in self.blank), None)
+        return text[1:] if first in self.opens else text
 
 
 def _utf8(run: bytearray) -> str:
@@ -220,32 +243,28 @@ def _utf8(run: bytearray) -> str:
 
 def encode_column(text: Column, model: bytes) -> Column:
     """Ids of each whole text; null counts as empty, which has none."""
-    held: list[PrefixEncoder] = []
+    name = "encoder" + hashlib.sha256(model).hexdigest()
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(PrefixEncoder(model))
-        ends, parts, flat = [0], [], []
-        for t in texts:
-            flat += held[0].encode(t.as_py() or "")
-            ends.append(ends[-1] + len(flat))
-            parts.append(np.array(flat, np.int32))
-            flat = []
-        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        own = tx.per_process(name, lambda: PrefixEncoder(model))
+        parts = [np.array(own.encode(t.as_py() or ""), np.int32) for t in texts]
+        ends = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
 
     return encode(text)
 
 
 def decode_column(ids: Column, model: bytes) -> Column:
     """Text of each id list; null counts as empty."""
-    held: list[PrefixEncoder] = []
+    name = "decoder" + hashlib.sha256(model).hexdigest()
 
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
-        if not held:
-            held.append(PrefixEncoder(model))
-        return pa.array([held[0].decode(x.as_py() or []) for x in lists], pa.string())
+        own = tx.per_process(name, lambda: Decoder(model))
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum([0, *sizes])
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
     return decode(ids)

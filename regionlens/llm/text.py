@@ -7,7 +7,8 @@ at a time; what is kept per row grows with that row only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,14 @@ CLASSES = np.where(IS_ALNUM, 1, np.where(IS_BLACK & (_byte > 32), 2, 0)).astype(
 _VALUE = np.random.Generator(np.random.PCG64(7)).integers(1, MASK, 256, dtype=np.uint64)
 
 
+def per_process(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, made once per worker process and name (tasks get new copies of this module)."""
+    made = sys.__dict__.setdefault("_regionlens_llm", {})
+    if name not in made:
+        made[name] = build()
+    return made[name]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(33))
