@@ -148,12 +148,13 @@ def residuals(pred: DataFrame, key: str = "geoid") -> DataFrame:
 
 
 def error_map(pred: DataFrame, zones: DataFrame, key: str = "geoid", zone_key: str = "county") -> DataFrame:
-    """M15 residual per key joined to its zone, with the symmetric colour
-    range (A27, one scalar) attached."""
+    """M15 the zones with the residuals of their key, and the symmetric colour
+    range (A27, one scalar) attached.  Every zone stays: one without a
+    prediction has no value; a prediction without a zone is not on the map."""
     res = pred.select(key, zone_key, "actual", "predicted",
                       (F.col("actual") - F.col("predicted")).alias("residual"))
     vabs = symmetric_range(res, "residual").first()["vabs"]
     z = zones.select(F.col(zone_key), F.col("geoid").alias("zone_geoid"))
-    return (res.join(z, zone_key, "left")
+    return (z.join(res, zone_key, "left")
             .withColumn("vmin", F.lit(-vabs if vabs is not None else None).cast("double"))
             .withColumn("vmax", F.lit(vabs).cast("double")))

@@ -176,8 +176,7 @@ def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     kt = {f.name: f.dataType.simpleString() for f in left.schema.fields if f.name in keys}
     salts = F.broadcast(spark.createDataFrame(
         rows, ", ".join([f"{k} {kt[k]}" for k in keys] + ["_sa int", "_sb int"])))
-    lh = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
-    rh = F.xxhash64(*[F.col(f"`{c}`") for c in right.columns])
+    lh, rh = row_hash(left), row_hash(right)
     ls = (left.join(salts, keys, "left")
           .withColumn("_sa", F.coalesce("_sa", F.lit(1))).withColumn("_sb", F.coalesce("_sb", F.lit(1)))
           .withColumn("_si", F.pmod(lh, F.col("_sa").cast("long")))
@@ -196,6 +195,11 @@ def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 # ---------------------------------------------------------------- cells
 
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a row's columns; maps, which have no hash, are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def _cell(v, size) -> Column:
     return F.floor(v / F.lit(float(size)))
 

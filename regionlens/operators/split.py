@@ -1,10 +1,10 @@
 """Validation splits and masks (W3-W7, P10), reproducible across
 partitionings because every random choice is a hash of (key, seed).
 
-Exact-size selections ("the n*frac rows with the smallest hash") never sort
-the whole table in one task: a histogram of hash prefixes (partially
-aggregated, at most 65,536 rows per level) locates the boundary bucket, and
-only the rows of that bucket are ranked.
+Exact-size selections ("the n*frac rows with the smallest hash") find the
+k-th smallest hash and compare every row with that literal: no sort of the
+table, no window and no join.  Rows that repeat a key share its hash and are
+told apart by a hash of the row.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regionlens.operators.spatial import row_hash
+
 _PREFIX_HEX = 4                      # 16 bits of hash per refinement level
-_RANK_DIRECTLY_BELOW = 200_000       # rows of a boundary bucket ranked at once
+_FETCH_BELOW = 10_000                # hashes of a boundary bucket fetched at once
+_DIGITS = 32 + 16                    # md5 of the key, then the row hash
 
 
 def hash_score(key, seed: int | str, salt: str = "") -> Column:
@@ -27,84 +30,53 @@ def hash_score(key, seed: int | str, salt: str = "") -> Column:
     return F.md5(F.concat(k.cast("string"), F.lit(f"#{salt}{seed}")))
 
 
-def smallest_k_flag(df: DataFrame, score: str, k: int, tie: str, flag: str = "selected",
-                    n: int | None = None) -> DataFrame:
-    """Flag the ``k`` rows with the smallest (score, tie) exactly.
+def _digits(df: DataFrame, score: Column) -> Column:
+    """The order of selection as hex text of fixed length: score, then row
+    hash; a NULL score (NULL key) comes first."""
+    return F.concat(F.coalesce(score, F.lit("0" * 32)), F.lpad(F.lower(F.hex(row_hash(df))), 16, "0"))
+
+
+def _kth_smallest(digits: DataFrame, k: int) -> str | None:
+    """The ``k``-th smallest value of the one column ``d`` (None: take no row).
 
-    Level by level, rows are bucketed by the next 4 hex digits of the score;
-    bucket counts (bounded table) locate the bucket holding the k-th row.
-    Rows in lower buckets are selected, rows in higher ones are not, and only
-    the boundary bucket goes to the next level -- or, once small, is ranked
-    with a window confined to that bucket.
+    Level by level, counts by the next 4 hex digits (at most 65,536 rows)
+    locate the bucket that holds the k-th row, until that bucket is small
+    enough to fetch or its rows are equal in all digits.
     """
     if k <= 0:
-        return df.withColumn(flag, F.lit(False))
-    if n is not None and n <= _RANK_DIRECTLY_BELOW:
-        # the whole input is within the ranking bound: rank it directly
-        return _flag_ranked(df, score, tie, flag, F.lit(False), "", k)
-    prefix, need = "", k
-    conds_true: list[Column] = []
-    for level in range(8):
-        start = 1 + level * _PREFIX_HEX
-        sub = df.where(F.substring(score, 1, len(prefix)) == prefix) if prefix else df
-        b = F.substring(F.col(score), start, _PREFIX_HEX)
-        counts = sorted((r["b"], r["n"]) for r in sub.groupBy(b.alias("b")).agg(
-            F.count(F.lit(1)).alias("n")).collect())
-        total = sum(n for _, n in counts)
-        if need >= total:
-            conds_true.append(F.substring(score, 1, len(prefix)) == prefix if prefix else F.lit(True))
-            boundary = None
-            break
-        acc = 0
-        boundary, boundary_n = None, 0
-        for bk, n in counts:
-            if acc + n >= need:
-                boundary, boundary_n = bk, n
+        return None
+    prefix, need, start = "", k, 1
+    sub, size = digits, digits.count()
+    if k >= size:
+        return "~"                   # above all hex digits
+    while size > _FETCH_BELOW and len(prefix) < _DIGITS:
+        counts = sorted((r["b"], r["n"]) for r in sub.groupBy(F.substring("d", start, _PREFIX_HEX).alias("b"))
+                        .agg(F.count(F.lit(1)).alias("n")).collect())
+        for b, size in counts:
+            if need <= size:
                 break
-            acc += n
-        if acc > 0:
-            conds_true.append((F.substring(score, 1, len(prefix)) == prefix if prefix else F.lit(True))
-                              & (b < F.lit(boundary)))
-        need -= acc
-        prefix = prefix + boundary
-        if boundary_n <= _RANK_DIRECTLY_BELOW:
-            break
-    sel = F.lit(False)
-    for c in conds_true:
-        sel = sel | c
-    if boundary is None:
-        return df.withColumn(flag, sel)
-    return _flag_ranked(df, score, tie, flag, sel, prefix, need)
-
-
-def _flag_ranked(df: DataFrame, score: str, tie: str, flag: str, sel: Column, prefix: str,
-                 need: int) -> DataFrame:
-    """Flag rows already selected by ``sel`` plus the first ``need`` rows (by
-    score, tie) of the bucket with hash prefix ``prefix`` -- a bucket of at
-    most ``_RANK_DIRECTLY_BELOW`` rows, ranked with one window."""
-    from regionlens.operators.spatial import broadcast_limit
-
-    inb = (df.where(F.substring(score, 1, len(prefix)) == prefix) if prefix else df).select(
-        F.col(tie).alias("_tk"), F.col(score).alias("_sc"))
-    picked = (inb.withColumn("_rk", F.row_number().over(Window.orderBy("_sc", "_tk")))
-              .where(F.col("_rk") <= need).select("_tk", F.lit(True).alias("_pk")))
-    # at most ``need`` rows by construction: a proven bound, no measuring job
-    width = 24 + (df.schema[tie].dataType.defaultSize() if hasattr(df.schema[tie].dataType, "defaultSize") else 24)
-    limit = broadcast_limit(df.sparkSession)
-    if 0 < limit and need * width <= limit:
-        picked = F.broadcast(picked)
-    out = df.join(picked, df[tie] == picked["_tk"], "left")
-    return out.withColumn(flag, sel | F.coalesce(F.col("_pk"), F.lit(False))).drop("_tk", "_pk")
+            need -= size
+        prefix, start = prefix + b, start + _PREFIX_HEX
+        sub = digits.where(F.col("d").startswith(prefix))
+    if len(prefix) >= _DIGITS:
+        return prefix
+    return sorted(r["d"] for r in sub.collect())[need - 1]
+
+
+def smallest_k_flag(df: DataFrame, score: Column, k: int, flag: str = "selected") -> DataFrame:
+    """Flag the ``k`` rows with the smallest (score, row hash); rows equal in
+    every column are flagged together, so only they can exceed ``k``."""
+    d = _digits(df, score)
+    bound = _kth_smallest(df.select(d.alias("d")), k)
+    return df.withColumn(flag, F.lit(False) if bound is None else d <= F.lit(bound))
 
 
 def exact_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42,
                 flag: str = "is_test") -> DataFrame:
     """W3 exact-size random split: the ``ceil(n * frac)`` rows with the
     smallest md5(key, seed) are the test set (sklearn's test-size rule)."""
-    n = df.count()
-    k = int(math.ceil(n * test_frac))
-    scored = df.withColumn("_score", hash_score(key, seed))
-    return smallest_k_flag(scored, "_score", k, key, flag, n=n).drop("_score")
+    k = int(math.ceil(df.count() * test_frac))
+    return smallest_k_flag(df, hash_score(key, seed), k, flag)
 
 
 def hash_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42,
@@ -119,33 +91,49 @@ def contiguous_folds(df: DataFrame, order: str, k: int = 5, fold: str = "fold")
     """W6 unshuffled k-fold: consecutive blocks in key order, the first
     ``n mod k`` folds one row larger (KFold / ntile rule).
 
-    Distributed rank: range-partition on the key, count rows per partition
-    (a tiny table), and add each partition's offset to the in-partition
-    position -- no single-task window.
+    The first rows of folds 1 to k-1 are found at their exact ranks; a row's
+    fold is then the number of them that it does not precede, so nothing
+    depends on how the table is partitioned.  Ties on the key go by a hash of
+    the row, NULL keys come first; rows equal in every column share a fold.
     """
-    n = df.count()
-    spark = df.sparkSession
-    parts = max(1, spark.sparkContext.defaultParallelism,
-                int(spark.conf.get("spark.sql.shuffle.partitions", "1")))
-    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order)
-    with_pid = ranged.withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_mid", F.monotonically_increasing_id())
-    counts = dict((r["_pid"], r["n"]) for r in with_pid.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = {}, 0
-    for p in sorted(counts):
-        offsets[p] = acc
-        acc += counts[p]
-    off_map = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))]) \
-        if offsets else F.create_map().cast("map<int,bigint>")
-    rank0 = F.element_at(off_map, F.col("_pid")) + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    big = n % k
-    size = n // k
-    # first `big` folds have size+1 rows
-    r = rank0
-    f = F.when(r < big * (size + 1), F.floor(r / (size + 1))).otherwise(
-        F.lit(big) + F.floor((r - big * (size + 1)) / F.lit(max(size, 1))))
-    return with_pid.withColumn(fold, f.cast("int")).drop("_pid", "_mid")
+    place = F.struct(F.col(order).alias("o"), row_hash(df).alias("h"))
+    firsts = _first_rows(df.select(place["o"].alias("o"), place["h"].alias("h")), k)
+    kind = df.schema[order].dataType
+    out = F.lit(0)
+    for o, h in firsts:
+        first = F.struct(F.lit(o).cast(kind).alias("o"), F.lit(h).cast("bigint").alias("h"))
+        out = out + F.when(place >= first, 1).otherwise(0)
+    return df.withColumn(fold, out.cast("int"))
+
+
+def _first_rows(keys: DataFrame, k: int) -> list[tuple]:
+    """(o, h) of the first row of each fold but 0, at most k - 1 of them.
+
+    The keys alone are range-partitioned and written once (the bounds are
+    drawn from a sample, so a second run could draw others); one count per
+    partition then tells which rows have the wanted ranks.
+    """
+    from regionlens.session import materialize
+
+    spark = keys.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "1")))
+    ranged = materialize(keys.repartitionByRange(parts, "o", "h").withColumn("p", F.spark_partition_id()), "ranged")
+    counts = sorted((r["p"], r["n"]) for r in ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(c for _, c in counts)
+    size, big = divmod(n, k)
+    ranks = {f * size + min(f, big) for f in range(1, k)} - {0, n}
+    wanted, before = [], 0
+    for p, c in counts:
+        wanted += [(p, r - before + 1) for r in sorted(ranks) if before <= r < before + c]
+        before += c
+    if not wanted:
+        return []
+    hit = F.lit(False)
+    for p, r in wanted:
+        hit = hit | ((F.col("p") == p) & (F.col("r") == r))
+    rows = (ranged.where(F.col("p").isin([p for p, _ in wanted]))
+            .withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("o", "h"))).where(hit).collect())
+    return sorted(((r["o"], r["h"]) for r in rows), key=lambda x: (x[0] is not None, x))
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5, fold: str = "fold",
@@ -185,17 +173,11 @@ def mask_cells(df: DataFrame, key: str, cols: Sequence[str], frac: float, seed:
     medians, the model fit) reads it instead of re-ranking."""
     from regionlens.session import materialize
 
-    n = df.count()
-    k = int(n * frac)
-    out = df
+    k = int(df.count() * frac)
+    if k <= 0:
+        return df
+    masked = {}
     for c in cols:
-        scored = out.withColumn("_score", hash_score(key, seed, salt=c + "#"))
-        flagged = smallest_k_flag(scored, "_score", k, key, "_m", n=n)
-        out = flagged.withColumn(c, F.when(~F.col("_m"), F.col(c))).drop("_score", "_m")
-    return materialize(out, "masked") if k > 0 else out
-
-
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features"):
-    """P10 feature / target / group assembly into a vector column."""
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+        d = _digits(df, hash_score(key, seed, salt=c + "#"))
+        masked[c] = F.when(d > F.lit(_kth_smallest(df.select(d.alias("d")), k)), F.col(c))
+    return materialize(df.select(*[masked.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]), "masked")

@@ -721,12 +721,16 @@ def residuals(spark, d):
 
 @query("error_map", uses=("predictions", "zones"), ctes="""
 m AS (SELECT max(abs(actual - predicted)) AS vabs FROM predictions)""", sql="""
-SELECT p.geoid, p.county, z.geoid AS zone_geoid, round(p.actual - p.predicted, 4) AS residual,
+SELECT p.geoid, z.county, z.geoid AS zone_geoid, round(p.actual - p.predicted, 4) AS residual,
        round(-m.vabs, 4) AS vmin, round(m.vabs, 4) AS vmax
-FROM predictions p LEFT JOIN zones z ON p.county = z.county, m""")
+FROM (SELECT * FROM zones UNION ALL SELECT * REPLACE ('none' AS geoid, 'none' AS county) FROM zones WHERE county = '000') z
+LEFT JOIN predictions p ON p.county = z.county CROSS JOIN m""")
 def error_map(spark, d):
-    """M15 + A27 residual per zone with a symmetric colour range."""
-    e = evaluate.error_map(fx.predictions(spark, d), fx.zones(spark, d))
+    """M15 + A27 residual per zone with a symmetric colour range; one zone has
+    no prediction and stays."""
+    zones = fx.zones(spark, d)
+    bare = zones.where("county = '000'").withColumn("geoid", F.lit("none")).withColumn("county", F.lit("none"))
+    e = evaluate.error_map(fx.predictions(spark, d), zones.unionByName(bare))
     return e.select("geoid", "county", "zone_geoid", R("residual"), R("vmin"), R("vmax"))
 
 

@@ -62,7 +62,7 @@ def test_zone_assignment_independent_of_cell_size(spark, cell):
 
 def test_exact_split_size_and_multilevel(spark, monkeypatch):
     df = spark.range(5000).select(F.col("id").cast("string").alias("k"))
-    monkeypatch.setattr(split, "_RANK_DIRECTLY_BELOW", 3)  # force refinement levels
+    monkeypatch.setattr(split, "_FETCH_BELOW", 3)  # force refinement levels
     s = split.exact_split(df, "k", 0.2, 42)
     assert s.where("is_test").count() == math.ceil(5000 * 0.2)
     want = sorted(df.select("k", split.hash_score("k", 42).alias("h")).collect(), key=lambda r: (r.h, r.k))
@@ -183,3 +183,33 @@ def test_salted_zone_joins_match_unsalted(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old_b)
         spark.conf.unset("spark.regionlens.skewRows")
     assert salted == plain
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_contiguous_folds_do_not_depend_on_partitions(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.range(2003).select(F.format_string("%06d", F.col("id") * 7919 % 2003).alias("k"), "id")
+        got = sorted((r.k, r.fold) for r in split.contiguous_folds(df.repartition(parts + 1), "k", 5).collect())
+        assert [f for _, f in got] == [f for f, n in enumerate([401, 401, 401, 400, 400]) for _ in range(n)]
+        few = split.contiguous_folds(df.limit(3), "k", 5)
+        assert sorted(r.fold for r in few.collect()) == [0, 1, 2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_splits_with_ties_and_null_keys(spark):
+    rows = [("a", 1), ("a", 2), ("a", 3), (None, 4), (None, 5), ("b", 6), ("c", 7), ("d", 8)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    assert split.exact_split(df, "k", 0.5).where("is_test").count() == 4
+    assert split.exact_split(df, "k", 0.5).count() == 8
+    assert split.mask_cells(df, "k", ["v"], 0.5).where("v IS NULL").count() == 4
+    folds = split.contiguous_folds(df, "k", 4)
+    assert sorted(r.fold for r in folds.collect()) == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert {r.fold for r in folds.where("k IS NULL").collect()} == {0}
+
+
+def test_row_hash_leaves_maps_out(spark):
+    df = spark.sql("SELECT 1 AS a, map('x', 1) AS tags")
+    assert df.select(spatial.row_hash(df).alias("h")).first().h == df.select(F.xxhash64("a").alias("h")).first().h
