@@ -15,6 +15,7 @@ scores, and a crossing merge wins if it scores above the next merge on either si
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,10 @@ class PrefixEncoder:
             else:
                 j += 1
 
+    def forget(self) -> None:
+        """Give back the memory of words and pairs met so far."""
+        self.known, self.older, self.fits = {}, {}, {}
+
     def _chunk(self, text: str) -> tuple[int, ...]:
         # last token by last character; the extra place at the end stands for the beginning (index -1)
         last = [-1] * (len(text) + 1)
@@ -246,11 +251,15 @@ def encode_column(text: Column, model: bytes) -> Column:
     name = "encoder" + hashlib.sha256(model).hexdigest()
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = tx.per_process(name, lambda: PrefixEncoder(model))
-        parts = [np.array(own.encode(t.as_py() or ""), np.int32) for t in texts]
-        ends = np.cumsum([0, *map(len, parts)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+        try:
+            for texts in batches:
+                parts = [np.array(own.encode(t.as_py() or ""), np.int32) for t in texts]
+                ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+                yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+        finally:  # the worker may do other work next
+            own.forget()
 
     return encode(text)
 
