@@ -33,9 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids and their number, and the text that the ids decode to."""
     model = pieces.read_model(queries.tokenizer_path())
-    ids = docs.select("doc_id", pieces.encode_column(F.col("text"), model).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
-                      pieces.decode_column(F.col("ids"), model).alias("decoded"))
+    both = docs.select("doc_id", pieces.round_trip_column(F.col("text"), model).alias("t"))
+    return both.select("doc_id", F.size("t.ids").cast("bigint").alias("n_tokens"), "t.ids", "t.decoded")
 
 
 STAGES = [

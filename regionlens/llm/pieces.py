@@ -246,20 +246,39 @@ def _utf8(run: bytearray) -> str:
         return "".join(out)
 
 
+def _encoded(own: PrefixEncoder, texts: pa.Array) -> pa.ListArray:
+    parts = [np.array(own.encode(t.as_py() or ""), np.int32) for t in texts]
+    ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+
+
+def _decoded(own: Decoder | PrefixEncoder, lists: pa.ListArray) -> pa.Array:
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum([0, *sizes])
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+
+
+def _encoder(model: bytes) -> PrefixEncoder:
+    return tx.per_process("encoder" + hashlib.sha256(model).hexdigest(), lambda: PrefixEncoder(model))
+
+
+def _leave(own: PrefixEncoder) -> None:
+    """Give back what a task gathered; the worker process may do other work next."""
+    own.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def encode_column(text: Column, model: bytes) -> Column:
     """Ids of each whole text; null counts as empty, which has none."""
-    name = "encoder" + hashlib.sha256(model).hexdigest()
-
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = tx.per_process(name, lambda: PrefixEncoder(model))
+        own = _encoder(model)
         try:
             for texts in batches:
-                parts = [np.array(own.encode(t.as_py() or ""), np.int32) for t in texts]
-                ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-                yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
-        finally:  # the worker may do other work next
-            own.forget()
+                yield _encoded(own, texts)
+        finally:
+            _leave(own)
 
     return encode(text)
 
@@ -270,10 +289,22 @@ def decode_column(ids: Column, model: bytes) -> Column:
 
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
-        own = tx.per_process(name, lambda: Decoder(model))
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum([0, *sizes])
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        return _decoded(tx.per_process(name, lambda: Decoder(model)), lists)
 
     return decode(ids)
+
+
+def round_trip_column(text: Column, model: bytes) -> Column:
+    """ids and decoded of each whole text: what `encode_column` gives and `decode_column` makes
+    of it, in one worker process and without sending the ids there twice."""
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = _encoder(model)
+        try:
+            for texts in batches:
+                ids = _encoded(own, texts)
+                yield pa.StructArray.from_arrays([ids, _decoded(own, ids)], names=["ids", "decoded"])
+        finally:
+            _leave(own)
+
+    return both(text)

@@ -43,8 +43,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(tokenizer_path())
-    ids = documents(spark, sf_dir).select("doc_id", pieces.encode_column(F.col("text"), model).alias("ids"))
-    both = ids.select("doc_id", "ids", pieces.decode_column(F.col("ids"), model).alias("decoded"))
+    both = (documents(spark, sf_dir)
+            .select("doc_id", pieces.round_trip_column(F.col("text"), model).alias("t")).select("doc_id", "t.*"))
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        hex_sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
                        hex_sha256(F.col("decoded")).alias("decoded_sha256"))

@@ -170,6 +170,16 @@ def test_sentencepiece_matches_library(spark, small, model):
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def test_sentencepiece_columns_agree(spark, model):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "  two  words ", "日本 \x00é", "x" * 5000])],
+                                  "doc_id long, text string")
+    both = texts.select("*", pieces.round_trip_column(F.col("text"), model).alias("t"),
+                        pieces.encode_column(F.col("text"), model).alias("ids"))
+    for r in both.withColumn("decoded", pieces.decode_column(F.col("ids"), model)).collect():
+        assert r.t.ids == r.ids and r.t.decoded == r.decoded == (r.text or "")
+    assert texts.limit(0).select(pieces.round_trip_column(F.col("text"), model).alias("t")).count() == 0
+
+
 def test_sentencepiece_random_texts(model):
     import sentencepiece
 
