@@ -50,7 +50,7 @@ FREEDOM = {
 UNKNOWN, EXCEPTION = 0.3, 0.8
 
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
-_ITEM = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_ITEM = re.compile(r"[()\n]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 _GAP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = {i: i + 32 for i in range(65, 91)}
 
@@ -61,8 +61,8 @@ def freedom(label: str) -> float:
     return FREEDOM[max(fits, key=len)] if fits else UNKNOWN
 
 
-def postfix(expression: str) -> list[str]:
-    """An expression's items in postfix order; it ends where the grammar does.
+def postfix(text: str, at: int = 0) -> list[str]:
+    """Items, in postfix order, of the expression from ``at`` on; it ends where the line or the grammar does.
 
     Operators bind in the order with, and, or, and from the left.  A closing parenthesis
     too many ends the expression; missing ones are added; an operator without a right
@@ -71,8 +71,10 @@ def postfix(expression: str) -> list[str]:
     out: list[str] = []
     waiting: list[str] = []
     operand_next = True
-    for item in _ITEM.findall(expression):
-        word = item.lower()
+    for item in _ITEM.finditer(text, at):  # lazily: many tags of one long line do not each read all of it
+        word = item.group().lower()
+        if word == "\n":
+            break
         if operand_next:
             if word == "(":
                 waiting.append(word)
@@ -152,8 +154,7 @@ class Scanner:
             begin = end + 1 - length
             if begin and (low[begin - 1].isalnum() or low[begin - 1] in "-_"):
                 continue
-            line = low.find("\n", end)
-            expression = postfix(low[end + 1:line if line >= 0 else len(low)])
+            expression = postfix(low, end + 1)
             if expression:
                 expressions.append(" ".join(expression))
                 own, free = evaluate(expression)
