@@ -144,19 +144,22 @@ def kde_curve(df: DataFrame, col: str, points: int = 100) -> DataFrame:
 def boxplot_stats(df: DataFrame, group: str, col: str) -> DataFrame:
     """A25 per group: quartiles, whiskers at the most extreme values within
     1.5 IQR, and the number of outliers.  Two aggregates: quartiles per group,
-    then (joined back on the group key) whiskers and outlier counts."""
+    then whiskers and outlier counts; the quartiles are joined back by
+    broadcast if measured small, else with hot groups split."""
     v = _q(col).cast("double")
     base = df.where(v.isNotNull() & _q(group).isNotNull()).select(_q(group).alias(group), v.alias("_v"))
     from regionlens.operators.quantile import exact_quantiles
+    from regionlens.operators.spatial import cell_join
+    from regionlens.session import materialize
 
     ql = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], [group])
     q = ql.groupBy(group).agg(F.max(F.when(F.col("q") == 0.25, F.col("_v"))).alias("q1"),
                               F.max(F.when(F.col("q") == 0.5, F.col("_v"))).alias("median"),
                               F.max(F.when(F.col("q") == 0.75, F.col("_v"))).alias("q3"))
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = materialize(q.withColumn("iqr", F.col("q3") - F.col("q1")), "quartiles")
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    j = base.join(q, group)
+    j = cell_join(base, q, [group])
     return j.groupBy(group, "q1", "median", "q3", "iqr").agg(
         F.min(F.when(F.col("_v") >= lo_f, F.col("_v"))).alias("whisker_lo"),
         F.max(F.when(F.col("_v") <= hi_f, F.col("_v"))).alias("whisker_hi"),

@@ -16,17 +16,20 @@ histogram refinement instead:
 
 Groups whose size is already within ``limit`` skip steps 2-3: their
 values go to Spark's ``percentile`` aggregate, whose per-group buffer is
-then bounded by ``limit``; so on small inputs this costs two passes.  The
-refined path interpolates ``lower + (pos - floor(pos)) * (upper - lower)``.
+then bounded by ``limit``; so on small inputs this costs two passes.  Both
+ways interpolate by the same formula, ``(ceil(pos) - pos) * lower + (pos -
+floor(pos)) * upper``, so a result does not depend on the way in its last bit.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regionlens.operators.spatial import cell_join
 from regionlens.session import materialize
 
 DEFAULT_LIMIT = 200_000
@@ -35,12 +38,13 @@ DEFAULT_BUCKETS = 4096
 
 def _attach(base: DataFrame, targets: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     """Pair each value with the targets of its group whose [lo, hi] range
-    contains it.  Grouped: an equi-join on the group keys.  Global: the
+    contains it.  Grouped: an equi-join on the group keys that broadcasts the
+    targets if they are measured small and splits hot groups if not.  Global: the
     targets are a handful of rows, applied as literals with a filtered
     ``explode`` (no join)."""
     inside = (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
     if by:
-        return base.join(targets.select(*by, *cols), by).where(inside)
+        return cell_join(base, targets.select(*by, *cols), by).where(inside)
     rows = targets.select(*cols).collect()
     if not rows:
         return base.select("_v", *[F.lit(None).alias(c) for c in cols]).where(F.lit(False))
@@ -52,7 +56,7 @@ def _attach(base: DataFrame, targets: DataFrame, by: list[str], cols: list[str])
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
                     limit: int = DEFAULT_LIMIT, buckets: int = DEFAULT_BUCKETS,
-                    max_passes: int = 16, materialize_input: bool = False) -> DataFrame:
+                    materialize_input: bool = False) -> DataFrame:
     """One row per (by..., q) with the exact interpolated quantile ``value``.
     NULL / NaN values are skipped; a group without values yields no row.
 
@@ -84,8 +88,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     small = None
     if by:
         small_keys = stats.where(F.col("_n") <= limit).select(*by)
-        small = bounded(base.join(small_keys, by, "left_semi"))
-        base = base.join(big_groups.select(*by), by, "left_semi")
+        small = bounded(cell_join(base, small_keys, by, "left_semi"))
+        base = cell_join(base, big_groups.select(*by), by, "left_semi")
     stats = big_groups
     t = (stats.select("*", F.posexplode(qarr).alias("_qi", "_q"))
          .withColumn("_pos", (F.col("_n") - 1) * F.col("_q"))
@@ -98,10 +102,15 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     keys = [*by, "_qi", "_which"]
     tcols = ["_qi", "_which", "lo", "hi", "_rank", "below"]
 
-    for _ in range(max_passes):
+    before = math.inf
+    while True:
         big = t.where((F.col("cnt") > limit) & (F.col("hi") > F.col("lo")))
-        if big.isEmpty():
+        left = big.agg(F.sum("cnt")).first()[0]
+        if left is None:
             break
+        if left >= before:
+            raise ArithmeticError(f"values of {value} cannot be told apart by their distance")
+        before = left
         j = _attach(base, big, by, tcols)
         width = F.col("hi") - F.col("lo")
         bkt = F.least(F.floor((F.col("_v") - F.col("lo")) / width * buckets), F.lit(buckets - 1))
@@ -131,7 +140,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     hi_v = vals.where(F.col("_which") == 1).select(*by, "_qi", F.col("_val").alias("_b"))
     refined = lo_v.join(hi_v, [*by, "_qi"]).select(
         *by, F.col("_q").alias("q"),
-        (F.col("_a") + (F.col("_pos") - F.floor("_pos")) * (F.col("_b") - F.col("_a"))).alias(value))
+        F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
+            (F.ceil("_pos") - F.col("_pos")) * F.col("_a") + (F.col("_pos") - F.floor("_pos")) * F.col("_b"))
+        .alias(value))
     return refined if small is None else small.unionByName(refined)
 
 

@@ -10,6 +10,7 @@ kept with NULL statistics by a left join from the zone table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -209,13 +210,17 @@ def bilinear_warp(grid: DataFrame, factor_x: float, factor_y: float, value: str
     target pixel is equi-joined to its (up to) four surrounding source
     pixels; the value is the weight-normalised sum over the neighbours that
     exist and are valid (NULL when none is).  The target grid is generated
-    from the source extent, so its size follows the data.
+    from the source extent, so its size follows the data; a last row or
+    column that the source fills only in part is kept.  An empty raster
+    gives an empty one.
     """
     ext = grid.agg(F.min("row").alias("r0"), F.max("row").alias("r1"),
                    F.min("col").alias("c0"), F.max("col").alias("c1")).first()
     spark = grid.sparkSession
-    h = int((ext["r1"] - ext["r0"] + 1) / factor_y)
-    w = int((ext["c1"] - ext["c0"] + 1) / factor_x)
+    if ext["r0"] is None or ext["c0"] is None:
+        return spark.createDataFrame([], f"row bigint, col int, {value} double")
+    h = math.ceil((ext["r1"] - ext["r0"] + 1) / factor_y)
+    w = math.ceil((ext["c1"] - ext["c0"] + 1) / factor_x)
     tgt = (spark.range(h).withColumnRenamed("id", "trow")
            .select("trow", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("tcol")))
     # centre of target pixel in source pixel units, then to source-centre grid

@@ -11,6 +11,7 @@ session's broadcast threshold.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -56,33 +57,28 @@ def _flat_row_bytes(schema: T.StructType) -> int:
     return _type_bytes(schema) + 8
 
 
-_SIZE_CACHE: dict[tuple, int] = {}
-
-
 def measured_bytes(df: DataFrame, array_cols: Sequence[str] = ()) -> int:
-    """Measure (not estimate) a side's size: one aggregate over it.  The
-    result is remembered per plan (``semanticHash``), so a side that is
-    joined several times in one session is measured once."""
-    try:
-        key = (id(df.sparkSession), df.semanticHash(), tuple(array_cols))
-    except Exception:  # noqa: BLE001 - plans without a stable hash are measured each time
-        key = None
-    if key is not None and key in _SIZE_CACHE:
-        return _SIZE_CACHE[key]
-    size = _measure(df, array_cols)
-    if key is not None:
-        _SIZE_CACHE[key] = size
-    return size
-
-
-def _measure(df: DataFrame, array_cols: Sequence[str]) -> int:
+    """Measure (not estimate) a side's size: one aggregate over it.
+
+    Strings count with their real bytes and other columns without a fixed
+    width with the bytes of their JSON text; arrays in ``array_cols`` hold
+    fixed-width numbers and count by element.
+    """
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.coalesce(F.sum(F.size(F.flatten(F.col(c))) if _is_nested_array(df, c)
                               else F.size(F.col(c))), F.lit(0)).alias(f"e{i}")
              for i, c in enumerate(array_cols)]
-    row = df.agg(*aggs).first()
+    own = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            own.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) and f.name not in array_cols:
+            own.append(F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("v")))), F.lit(0)))
+    widths = sum((w.cast("bigint") for w in own), F.lit(0).cast("bigint"))
+    row = df.agg(*aggs, F.coalesce(F.sum(widths), F.lit(0)).alias("w")).first()
     elems = sum(row[f"e{i}"] for i in range(len(array_cols)))
-    return row["n"] * _flat_row_bytes(df.schema) + elems * _ARRAY_ELEMENT_BYTES
+    return row["n"] * _flat_row_bytes(df.schema) + row["w"] + elems * _ARRAY_ELEMENT_BYTES
 
 
 def _is_nested_array(df: DataFrame, c: str) -> bool:
@@ -107,11 +103,12 @@ def broadcast_if_small(df: DataFrame, array_cols: Sequence[str] = (),
 
 _SKEW_ROWS_CONF = "spark.regionlens.skewRows"
 _DEFAULT_SKEW_ROWS = 200_000
-_MAX_SALT = 512
+#: A side has at most this many hot keys: a key is hot above 1 / _HOT_KEYS of its side's rows.
+_HOT_KEYS = 100_000
 
 
 def skew_rows(spark: SparkSession) -> int:
-    """Rows of one key on one side above which the key is split."""
+    """Rows of one key on one side above which the key is split (at least)."""
     return int(spark.conf.get(_SKEW_ROWS_CONF, str(_DEFAULT_SKEW_ROWS)))
 
 
@@ -126,15 +123,17 @@ def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     * ``right`` measured under the broadcast limit: broadcast hash join, no
       shuffle, and a hot cell is spread over the tasks of ``left``'s input.
     * otherwise both sides shuffle on the keys.  Keys holding more than
-      ``spark.regionlens.skewRows`` rows on a side are found with one
-      aggregate per side (only the hot keys are collected, at most
-      rows / threshold of them).  A hot key is split into a x b salt cells:
+      ``spark.regionlens.skewRows`` rows on a side, and more than a
+      100,000th of that side, are found with one aggregate per side; so
+      at most 200,000 hot keys are collected and broadcast, however large
+      the sides are.  A hot key is split into a x b salt cells:
       a left row takes salt i = hash(row) mod a and is copied to every j < b,
       a right row takes j = hash(row) mod b and is copied to every i < a, so
       each (i, j) task sees 1/(a*b) of the key's pairs and every pair still
       meets exactly once.  Salts are hashes of the row, so a recomputed task
       makes the same choice.  For ``left_semi`` only ``left`` is spread
-      (b = 1), so no left row is duplicated.  For ``left`` joins a hot left
+      (b = 1, and a grows with the key's rows on both sides), so no left row
+      is duplicated.  For ``left`` joins a hot left
       row may come out once per right salt with NULLs on the right, so the
       caller must aggregate per left key (every spatial operator here does).
     """
@@ -160,19 +159,28 @@ def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     if limit > 0 and size <= limit:
         rb = F.broadcast(right)
         return finish(left.join(rb, on(left, rb), how))
-    thr = skew_rows(spark)
 
     def hot_keys(df, names):
-        return {tuple(r[n] for n in names): r["_n"] for r in
-                df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > thr).collect()}
-
-    hot_l = hot_keys(left, keys)
-    hot_r = {} if how == "left_semi" else hot_keys(right, [rk[k] for k in keys])
+        """How many times over the threshold each hot key of a side is."""
+        thr = max(skew_rows(spark), df.count() // _HOT_KEYS)
+        return {tuple(r[n] for n in names): -(-r["_n"] // thr) for r in
+                df.where(has_key(names)).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+                .where(F.col("_n") > thr).collect()}
+
+    def has_key(names):
+        c = F.lit(True)              # NULL keys meet nothing and need no salt
+        for n in names:
+            c = c & F.col(n).isNotNull()
+        return c
+
+    hot_l, hot_r = hot_keys(left, keys), hot_keys(right, [rk[k] for k in keys])
     hot = set(hot_l) | set(hot_r)
     if not hot:
         return finish(left.join(right, on(left, right), how))
-    rows = [(*k, min(_MAX_SALT, -(-hot_l.get(k, 1) // thr)), min(_MAX_SALT, -(-hot_r.get(k, 1) // thr)))
-            for k in hot]
+    if how == "left_semi":
+        rows = [(*k, hot_l.get(k, 1) * hot_r.get(k, 1), 1) for k in hot]
+    else:
+        rows = [(*k, hot_l.get(k, 1), hot_r.get(k, 1)) for k in hot]
     kt = {f.name: f.dataType.simpleString() for f in left.schema.fields if f.name in keys}
     salts = F.broadcast(spark.createDataFrame(
         rows, ", ".join([f"{k} {kt[k]}" for k in keys] + ["_sa int", "_sb int"])))
@@ -271,14 +279,6 @@ def _in_zone(x: str, y: str) -> Column:
     return F.col("_inside") | geo.point_in_edges("_edges", x, y)
 
 
-def estimate_cell_size(zones: DataFrame, rings: str = "rings", factor: float = 0.5) -> float:
-    """Half the median zone-box width: a zone then spans about 3x3 cells."""
-    b = geo.bbox(rings)
-    w = zones.select(F.greatest(b.maxx - b.minx, b.maxy - b.miny).alias("w")) \
-        .agg(F.percentile("w", 0.5).alias("m")).first()["m"]
-    return float(w) * factor if w and w > 0 else 1.0
-
-
 # ---------------------------------------------------------------- J8 / J9
 
 def assign_points_to_zones(points: DataFrame, zones: DataFrame, zone_cols: Sequence[str],
@@ -360,10 +360,13 @@ def count_within(points: DataFrame, facilities: DataFrame, key: str,
 
 # ---------------------------------------------------------------- J7
 
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))   # NaN is above all numbers
+
+
 def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
                      types: Sequence[str], type_col: str = "amenity", fac_id: str = "facility_id",
-                     px: str = "x", py: str = "y", fx: str = "x", fy: str = "y",
-                     max_levels: int = 60) -> DataFrame:
+                     px: str = "x", py: str = "y", fx: str = "x", fy: str = "y") -> DataFrame:
     """J7 / W8 nearest facility of each type per point, exact.
 
     Level-doubling grid search.  For each type the base cell is sized so a
@@ -376,12 +379,13 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
     every facility is a candidate and the point is final.  Per point the
     candidate list is a 3x3 block at every level -- no all-pairs join.
     Output: ``key`` + ``nearest_{type}_dist`` (NULL when a type has no
-    facility) + ``nearest_{type}_id``.
+    facility) + ``nearest_{type}_id``.  Points and facilities without finite
+    coordinates take no part: such a point has NULLs.  The search goes on
+    until every other point is settled, which the last rule ensures.
     """
-    spark = points.sparkSession
     # facilities at one spot collapse to one candidate (the smallest id); the
     # deduplicated table is read at every level, so it is written once
-    fac = materialize(facilities.where(F.col(type_col).isin(list(types)))
+    fac = materialize(facilities.where(F.col(type_col).isin(list(types)) & _finite(fx) & _finite(fy))
                       .groupBy(F.col(type_col).alias("_t"), F.col(fx).alias("_fx"), F.col(fy).alias("_fy"))
                       .agg(F.min(fac_id).alias("_fid")), "nearest-fac")
     stats = {r["_t"]: r for r in fac.groupBy("_t").agg(
@@ -417,10 +421,10 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
                        F.abs(F.col("_px") - F.element_at(bx1, F.col("_t"))),
                        F.abs(F.col("_py") - F.element_at(by0, F.col("_t"))),
                        F.abs(F.col("_py") - F.element_at(by1, F.col("_t"))))
-    unresolved = (points.select(key, F.col(px).alias("_px"), F.col(py).alias("_py"))
+    unresolved = (points.where(_finite(px) & _finite(py)).select(key, F.col(px).alias("_px"), F.col(py).alias("_py"))
                   .withColumn("_t", F.explode(F.array(*[F.lit(t) for t in present]))))
     found = []
-    for level in range(max_levels):
+    for level in itertools.count():
         cell = F.element_at(base_map, F.col("_t")) * float(2 ** level)
         p = (unresolved.withColumn("_c", cell)
              .withColumn("_o", F.explode(_offsets9()))

@@ -9,11 +9,10 @@ told apart by a hash of the row.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regionlens.operators.spatial import row_hash
@@ -136,34 +135,76 @@ def _first_rows(keys: DataFrame, k: int) -> list[tuple]:
     return sorted(((r["o"], r["h"]) for r in rows), key=lambda x: (x[0] is not None, x))
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5, fold: str = "fold",
-                max_groups: int = 5_000_000) -> DataFrame:
+def group_folds(df: DataFrame, group: str, k: int = 5, fold: str = "fold") -> DataFrame:
     """W5 grouped k-fold: whole groups stay in one fold; groups, largest
     first (ties by group id), go to the currently lightest fold (ties to the
-    lowest fold number).
+    lowest fold number).  NULL is a group too.
 
-    The greedy pass is sequential, so it runs over the per-group count table
-    only (one row per group, never the rows themselves), and the resulting
-    (group, fold) table is joined back -- broadcast only under the measured
-    size limit.
+    The driver sees only how many groups have each size.  Groups of one size
+    n fill the slots (load of fold f + t * n, f), t = 0, 1, ... in their
+    order, so how many each fold takes and which rank each slot has follow by
+    arithmetic; slots and ranked groups then meet in an equi-join.
     """
     from regionlens.operators.spatial import broadcast_if_small
+    from regionlens.session import materialize
 
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    n_groups = counts.count()
-    if n_groups > max_groups:
-        raise ValueError(f"{n_groups} groups exceed max_groups={max_groups}")
-    rows = sorted(((r["_n"], r[group]) for r in counts.collect()), key=lambda t: (-t[0], str(t[1])))
-    heap = [(0, f) for f in range(k)]
-    assign = []
-    for n, g in rows:
-        load, f = heapq.heappop(heap)
-        assign.append((g, f))
-        heapq.heappush(heap, (load + n, f))
     spark = df.sparkSession
-    schema = f"{group} {df.schema[group].dataType.simpleString()}, {fold} int"
-    table = spark.createDataFrame(assign, schema)
-    return df.join(broadcast_if_small(table), group, "left")
+    counts = (df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_s", F.col("_g").cast("string")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "1")))
+    ranged = materialize(counts.repartitionByRange(parts, F.desc("_n"), F.asc("_s"))
+                         .withColumn("_p", F.spark_partition_id()), "groups")
+    offsets, before = [], 0
+    for p, c in sorted((r["_p"], r["c"]) for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).collect()):
+        offsets.append((p, before))
+        before += c
+    sizes = sorted(((r["_n"], r["c"]) for r in ranged.groupBy("_n").agg(F.count(F.lit(1)).alias("c")).collect()),
+                   reverse=True)
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("_n"), F.asc("_s"))) - 1
+    ranked = (ranged.withColumn("_i", place)
+              .join(F.broadcast(spark.createDataFrame(offsets, "_p int, _o bigint")), "_p")
+              .select("_g", (F.col("_i") + F.col("_o")).alias("_r")))
+    table = materialize(ranked.join(_fold_slots(spark, sizes, k), "_r").select("_g", F.col("_f").alias(fold)),
+                        "group-folds")
+    table = broadcast_if_small(table)
+    return df.join(table, df[group].eqNullSafe(table["_g"]), "left").drop("_g")
+
+
+def _fold_shares(loads: Sequence[int], n: int, m: int) -> list[int]:
+    """How many of ``m`` groups of size ``n`` each fold takes, each going to the lightest fold."""
+    def below(level):
+        return [max(0, -(-(level - x) // n)) for x in loads]
+
+    low, high = min(loads), max(loads) + n * m + 1
+    while high - low > 1:            # the highest level below which there are at most m slots
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(below(mid)) <= m else (low, mid)
+    out = below(low)
+    rest = m - sum(out)
+    for f, x in enumerate(loads):    # slots at the level itself go by fold number
+        if rest and x + out[f] * n == low:
+            out[f] += 1
+            rest -= 1
+    return out
+
+
+def _fold_slots(spark: SparkSession, sizes: Sequence[tuple[int, int]], k: int) -> DataFrame:
+    """(_r, _f): the fold of the group with rank ``_r``, for all ranks."""
+    run = 1 << 16                    # slots that one row stands for before they are spread
+    loads, start, rows = [0] * k, 0, []
+    for n, m in sizes:
+        shares = _fold_shares(loads, n, m)
+        rows += [(n, start, f, c, loads, shares) for f, c in enumerate(shares) if c]
+        loads, start = [x + n * c for x, c in zip(loads, shares)], start + m
+    taken = " + ".join(
+        f"CASE WHEN _f = {g} THEN t ELSE least(shares[{g}], greatest(0L, "
+        f"(loads[_f] + t * n + CASE WHEN {g} < _f THEN 1 ELSE 0 END - loads[{g}] + n - 1) div n)) END"
+        for g in range(k))
+    return (spark.createDataFrame(rows, "n bigint, start bigint, _f int, c bigint, loads array<bigint>, shares array<bigint>")
+            .withColumn("t0", F.explode(F.expr(f"sequence(0L, c - 1, {run}L)")))
+            .repartition("start", "_f", "t0")
+            .withColumn("t", F.explode(F.expr(f"sequence(t0, least(t0 + {run}L, c) - 1)")))
+            .select((F.col("start") + F.expr(taken)).alias("_r"), "_f"))
 
 
 def mask_cells(df: DataFrame, key: str, cols: Sequence[str], frac: float, seed: int = 42) -> DataFrame:

@@ -552,8 +552,8 @@ ext AS (SELECT min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c
 tg AS (SELECT CAST(r.range AS BIGINT) AS trow, CAST(c.range AS BIGINT) AS tcol,
               ext.r0 + (r.range + 0.5::DOUBLE) * {_WARP_FY}::DOUBLE - 0.5::DOUBLE AS sr,
               ext.c0 + (c.range + 0.5::DOUBLE) * {_WARP_FX}::DOUBLE - 0.5::DOUBLE AS sc
-       FROM ext, range(CAST(floor((SELECT r1 - r0 + 1 FROM ext) / {_WARP_FY}) AS BIGINT)) r,
-            range(CAST(floor((SELECT c1 - c0 + 1 FROM ext) / {_WARP_FX}) AS BIGINT)) c),
+       FROM ext, range(CAST(ceil((SELECT r1 - r0 + 1 FROM ext) / {_WARP_FY}) AS BIGINT)) r,
+            range(CAST(ceil((SELECT c1 - c0 + 1 FROM ext) / {_WARP_FX}) AS BIGINT)) c),
 nb AS (SELECT trow, tcol, a.range AS na, b.range AS nbb,
               CAST(floor(sr) + a.range AS BIGINT) AS nr, CAST(floor(sc) + b.range AS BIGINT) AS nc,
               (1 - abs(sr - (floor(sr) + a.range))) * (1 - abs(sc - (floor(sc) + b.range))) AS w

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from regionlens.operators import quantile as Q
 from regionlens.operators import spatial, split
 
 
@@ -100,7 +101,6 @@ def test_mask_cells_exact_count(spark):
 @pytest.mark.parametrize("limit,buckets", [(10**6, 4096), (40, 8), (3, 4)])
 def test_exact_quantiles_equal_numpy(spark, limit, buckets):
     import numpy as np
-    from regionlens.operators import quantile as Q
     rnd = random.Random(11)
     rows = []
     for g, n in (("s", 5), ("m", 50), ("l", 700)):
@@ -213,3 +213,74 @@ def test_splits_with_ties_and_null_keys(spark):
 def test_row_hash_leaves_maps_out(spark):
     df = spark.sql("SELECT 1 AS a, map('x', 1) AS tags")
     assert df.select(spatial.row_hash(df).alias("h")).first().h == df.select(F.xxhash64("a").alias("h")).first().h
+
+
+def test_group_folds_equal_greedy_pass(spark):
+    import heapq
+
+    rnd = random.Random(9)
+    sizes = [rnd.choice([1, 1, 1, 2, 2, 3, 5, 8, 90, 400]) for _ in range(300)] + [1500]
+    rows = [(f"g{i:03d}" if i else None,) for i, n in enumerate(sizes) for _ in range(n)]
+    got = {r.g: r.fold for r in split.group_folds(spark.createDataFrame(rows, "g string"), "g", 5).distinct().collect()}
+    heap, want = [(0, f) for f in range(5)], {}
+    groups = sorted(((-n, f"g{i:03d}" if i else "") for i, n in enumerate(sizes)))  # NULL before all text
+    for n, g in groups:
+        load, f = heapq.heappop(heap)
+        want[g or None] = f
+        heapq.heappush(heap, (load - n, f))
+    assert got == want
+    assert split.group_folds(spark.createDataFrame([], "g string"), "g", 5).collect() == []
+
+
+def test_quantiles_agree_to_the_last_bit_at_every_limit(spark):
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(i % 3, rnd.gauss(0, 1e3)) for i in range(900)], "g int, v double")
+    qs = [0.1, 0.25, 1 / 3, 0.5, 0.9]
+    one, two = ({(r.g, r.q): r.v for r in Q.exact_quantiles(df, "v", qs, ["g"], limit=n, buckets=7).collect()}
+                for n in (10**6, 4))
+    assert len(one) == 15 and one == two
+
+
+def test_nearest_leaves_missing_coordinates_aside(spark):
+    pts = spark.createDataFrame([("a", 0.0, 0.0), ("b", None, 1.0), ("c", float("nan"), 1.0), ("d", 9e6, 0.0)],
+                                "k string, x double, y double")
+    fac = spark.createDataFrame([(1, "School", 3.0, 4.0), (2, "School", None, 0.0), (3, "School", 0.0, float("nan"))],
+                                "facility_id long, amenity string, x double, y double")
+    got = {r.k: r.nearest_school_dist for r in spatial.nearest_facility(pts, fac, "k", ["School"]).collect()}
+    assert got["a"] == 5.0 and got["b"] is None and got["c"] is None and got["d"] == pytest.approx(math.hypot(9e6 - 3, 4))
+
+
+def test_warp_keeps_partial_and_narrow_edges(spark):
+    from regionlens.operators import raster
+
+    row = spark.createDataFrame([(0, c, float(c)) for c in range(7)], "row int, col int, value double")
+    got = {r.col: r.value for r in raster.bilinear_warp(row, 1.5, 1.0).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[4] == 6.0       # the last one is filled to two thirds
+    one = raster.bilinear_warp(row.where("col = 0"), 5.0, 5.0).collect()
+    assert [(r.row, r.col) for r in one] == [(0, 0)]
+    assert raster.bilinear_warp(row.where("col > 9"), 2.0, 2.0).collect() == []
+
+
+def test_measured_bytes_counts_long_texts(spark):
+    df = spark.range(1000).select("id", F.repeat(F.lit("x"), 10_000).alias("s"), F.array(F.repeat(F.lit("y"), 500)).alias("a"))
+    assert spatial.measured_bytes(df) > 1000 * 10_500
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_cell_join_splits_hot_keys_of_both_sides(spark, how):
+    left = spark.range(400).select((F.col("id") % 3 == 0).cast("int").alias("k"), F.col("id").alias("a"))
+    right = spark.range(90).select((F.col("id") % 2).cast("int").alias("k"), F.col("id").alias("b"))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.regionlens.skewRows")
+    old = spark.conf.get(names[0])
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "20")
+    try:
+        got = spatial.cell_join(left, right, ["k"], how, lambda l, r: (l["a"] + r["b"]) % 7 == 0).collect()
+    finally:
+        spark.conf.set(names[0], old)
+        spark.conf.unset(names[1])
+    pairs = [(a, b) for a in range(400) for b in range(90) if int(a % 3 == 0) == b % 2 and (a + b) % 7 == 0]
+    if how == "inner":
+        assert sorted((r.a, r.b) for r in got) == pairs
+    else:
+        assert sorted(r.a for r in got) == sorted({a for a, _ in pairs})
