@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlens.operators import clean, evaluate, split
+from regionlens.session import materialize
 
 VEC = "_features"
 
@@ -114,6 +115,15 @@ def importances(model, features: Sequence[str], spark: SparkSession) -> DataFram
     return df.orderBy(F.col("importance").desc(), "feature")
 
 
+def fold_importances(models: Sequence, features: Sequence[str], spark: SparkSession) -> DataFrame:
+    """M10 importances of each fold's model: (fold, feature, importance)."""
+    out = None
+    for f, m in enumerate(models):
+        one = importances(m, features, spark).select(F.lit(f).alias("fold"), "feature", "importance")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, estimator,
                 key: str, scale: bool = True) -> tuple[DataFrame, object]:
     """M6 scale on the training rows only (M1), fit, predict the test rows.
@@ -139,16 +149,20 @@ def evaluate_split(df: DataFrame, key: str, features: Sequence[str], label: str,
 
 def spatial_cv(df: DataFrame, key: str, features: Sequence[str], label: str,
                make_estimator: Callable[[DataFrame], object], fold: str = "fold",
-               k: int = 5) -> tuple[DataFrame, DataFrame]:
+               k: int = 5, models: list | None = None) -> tuple[DataFrame, DataFrame]:
     """M7 grouped cross-validation: per fold a scaler fitted on the other
     folds and a fresh estimator; predictions of all folds are unioned with
     their fold id (U5 append of per-fold results), then metrics per fold
-    (A15) and their mean/std (A16) are plain aggregates.  Returns (per-fold
-    metrics, summary)."""
+    (A15) and their mean/std (A16) are plain aggregates.  The folded table is
+    written once, as every fold reads it several times.  Returns (per-fold
+    metrics, summary); the fitted models are appended to ``models`` if given."""
+    df = materialize(df.select(key, *features, label, fold), "folded")
     preds = None
     for f in range(k):
         train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        p, _ = fit_predict(train, test, features, label, make_estimator(train), key)
+        p, m = fit_predict(train, test, features, label, make_estimator(train), key)
+        if models is not None:
+            models.append(m)
         p = p.withColumn(fold, F.lit(f))
         preds = p if preds is None else preds.unionByName(p)
     per_fold = evaluate.regression_metrics(preds, [fold])

@@ -921,6 +921,20 @@ def linear_cv(spark, d):
     return per_fold.select("fold", R("MAE"), R("RMSE"), R("R2", 6), R("MAPE"), "mape_skipped", "n")
 
 
+@query("fold_importances", uses=("features",), ctes=_LINEAR_CV_CTES, recursive=True, sql="""
+SELECT fold, 'x1' AS feature, round(abs(b1 * sqrt(s11)), 6) AS importance FROM bb UNION ALL
+SELECT fold, 'x2', round(abs(b2 * sqrt(s22)), 6) FROM bb UNION ALL
+SELECT fold, 'x3', round(abs(b3 * sqrt(s33)), 6) FROM bb""")
+def fold_importances(spark, d):
+    """M10 importances of every fold of the grouped CV: |coefficient| of the
+    linear model on scaled features, so the oracle multiplies each slope by
+    its training fold's standard deviation."""
+    from regionlens.operators import model as M
+    models = []
+    M.spatial_cv(_cv_frame(spark, d), "geoid", _XF, "target", lambda tr: M.ols("target"), models=models)
+    return M.fold_importances(models, _XF, spark).select("fold", "feature", R("importance", 6))
+
+
 _GRID_CTES = _GROUP_FOLD_CTES + """,
 imp AS (SELECT geoid, tract, x1, COALESCE(x2, (SELECT median(x2) FROM features)) AS x2, x3, target FROM features),
 fa AS (SELECT imp.*, a.fold FROM imp JOIN a ON imp.tract = a.tract),
