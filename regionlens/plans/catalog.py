@@ -256,8 +256,9 @@ def panel_long(spark, d):
 
 @query("panel_wide", uses=("panel_wide",), sql="SELECT * FROM panel_wide")
 def panel_wide(spark, d):
-    """P7 long -> wide with an explicit year list."""
-    return fx.panel_wide(spark, d)
+    """P7 long -> wide with an explicit year list; every nation has a row."""
+    wide = panel.to_wide(fx.panel_long(spark, d), "gid", fx.PANEL_YEARS)
+    return fx.panel_wide(spark, d).select("gid", "iso3", "country").join(wide, "gid", "left")
 
 
 @query("gdp_mean_by_year", uses=("panel_long",), sql="""
