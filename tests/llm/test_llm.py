@@ -523,3 +523,9 @@ def test_pipeline_edges(spark, tmp_path):
     for name in ("labels", "benchmark"):
         read_table(spark, SMALL, name).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert 0 < corpus_pipeline.run(spark, str(tmp_path)).count() < len(EDGES)
+
+
+def test_licence_expression_ends_with_its_line():
+    assert licenses.postfix("MIT OR\nISC") == ["mit"]
+    found = licenses.Scanner().scan("license-identifier: mit and\nisc " + "license-identifier: zlib or bsd text " * 3000)
+    assert found["labels"] == ["bsd", "mit", "zlib"] and len(found["expressions"]) == 3001
