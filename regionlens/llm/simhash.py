@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .tables import stored
+from .tables import fresh, stored
 
 STEP = 1 << 15
 
@@ -73,6 +73,16 @@ def linked_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _rooted(prints: DataFrame, first: Column, distance: int) -> DataFrame:
+    """(fp, root, first) for each distinct ``fp``; linked fingerprints share a root."""
+    distinct = stored(prints.groupBy("fp").agg(first.alias("first")), "fps")
+    edges = stored(linked_pairs(distinct.select("fp"), distance), "links")
+    # (node, root) for linked fingerprints only; a lone one is its own component
+    roots = connected(edges)
+    return (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", F.coalesce("root", "fp").alias("root"), "first"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """For each row of ``docs``: doc_id, fp and component_id.
 
@@ -82,23 +92,31 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     (component_id is null if a component has no other).  An empty table gives no rows.
     """
     prints = stored(docs.select(F.col("doc_id"), fingerprint_column(F.col("text"), words).alias("fp")), "fp")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
-    edges = stored(linked_pairs(distinct.select("fp"), distance), "links")
-    # (node, root) for linked fingerprints only; a lone one is its own component
-    roots = connected(edges)
-    by_print = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                .select("fp", F.coalesce("root", "fp").alias("root"), "first_id"))
-    least = by_print.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_print = _rooted(prints, F.min("doc_id"), distance)
+    least = by_print.groupBy("root").agg(F.min("first").alias("component_id"))
     component = stored(by_print.join(least, "root").select("fp", "component_id"), "components")
     return prints.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id.
+    """One row of each component of ``docs``, with all its columns and no others.
 
-    A document is named by its id: rows that repeat one id go or stay together, and rows
-    without an id always stay.
+    The row with the smallest (doc_id, text hash) stays; a null id counts as the largest.
+    Of rows that repeat both, the one whose columns come first by the hash of their JSON.
     """
-    found = near_duplicates(docs, words, distance)
-    gone = stored(found.where("component_id < doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    i, h, n = (fresh(docs, c) for c in ("_first_id", "_first_hash", "_copies"))
+    own = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    prints = docs.select("doc_id", own.alias("hash"), fingerprint_column(F.col("text"), words).alias("fp"))
+    # partial sums per id and text first: no hot id or print comes to one task as rows
+    counts = prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "n")
+    first = _rooted(counts, F.min(place), distance).groupBy("root").agg(F.min("first").alias("first"))
+    keep = stored(first.select(F.col("first.doc_id").alias(i), F.col("first.hash").alias(h),
+                               F.col("first.n").alias(n)), "first")
+    found = docs.join(keep, (own == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(i)))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    single = found.where(F.col(n) == 1).select(*cols)
+    packed = F.struct(*cols)
+    several = (found.where(F.col(n) > 1).groupBy(h, i)
+               .agg(F.min_by(packed, F.sha2(F.to_json(packed), 256)).alias("row")).select("row.*"))
+    return single.unionByName(several)

@@ -158,6 +158,20 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_one_of_each_decides_by_row(spark):
+    rng = random.Random(4)
+    plain = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(5)]
+    rows = [(7, plain[0]), (7, plain[1]), (7, plain[2]), (3, plain[2]),     # one id on several texts, one a copy
+            (8, plain[3]), (8, plain[3].upper()), (8, plain[3].upper()),    # near copies under one id
+            (None, plain[4]), (None, plain[4].upper())]                     # and without an id
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("_copies", F.lit("x"))
+    first = [min(t, t.upper(), key=lambda x: hashlib.sha256(x.encode()).digest()) for t in plain]
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(7, plain[0]), (7, plain[1]), (3, plain[2]), (8, first[3]), (None, first[4])], key=str)
+
+
 # 3 SentencePiece
 
 def test_sentencepiece_matches_library(spark, small, model):
