@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, bound: int = 2
           least_docs: int = 3, least_chi2: float = 15.0) -> Machine:
     """Fit a machine to ``labels.toxic`` on at most ``bound`` labelled documents.
 
-    Terms of the sample are counted by Spark; those in at least ``least_docs`` toxic
+    An id that several rows repeat counts as one document.  Terms of the sample are counted by Spark; those in at least ``least_docs`` toxic
     documents, more often than by chance (chi-squared of ``least_chi2``), become the
     features, the ``most_terms`` strongest at most.  The driver receives their
     hashes and, for each sample document, which of them it has: at most ``bound`` times
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, bound: int = 2
     share of toxic labels (a half if there are none) as its score.
     """
     spark = docs.sparkSession
-    sample = labelled_sample(spark, docs, labels, "toxic", bound, train_rows)
+    sample = labelled_sample(spark, docs, labels, "toxic", bound, train_rows, single=True)
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     counts = (sample.select("y", "text").mapInArrow(_count_terms, "term bigint, n1 bigint, n bigint")
               .groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")))

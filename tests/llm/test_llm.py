@@ -324,6 +324,16 @@ def test_toxicity_learns_pairs():
     assert (((machine.logits(rows, places, len(y)) > 0) == (y > 0)).mean()) > 0.99
 
 
+def test_toxicity_takes_one_row_of_each_id(spark, monkeypatch):
+    rows = [(i % 40, f"you {'vile worm' if i % 2 else 'kind soul'} {i}") for i in range(80)]
+    rows += [(1, f"hot id row {i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, places, y, terms: sizes.append((len(y), y.sum())))
+    toxicity.train(table(spark, [t for _, t in rows], [i for i, _ in rows]), labels, F.lit(True), bound=30)
+    assert sizes[0][0] == 30 and sizes[0][1] <= 20
+
+
 def test_toxicity_edges(spark):
     docs = table(spark, EDGES)
     labels = spark.createDataFrame([(1, 0, None), (None, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
