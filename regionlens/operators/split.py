@@ -4,13 +4,16 @@ partitionings because every random choice is a hash of (key, seed).
 Exact-size selections ("the n*frac rows with the smallest hash") find the
 k-th smallest hash and compare every row with that literal: no sort of the
 table, no window and no join.  Rows that repeat a key share its hash and are
-told apart by a hash of the row.
+told apart by a hash of the row; copies of one row, only where a boundary
+falls among them, by a number written once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,19 +38,20 @@ def _digits(df: DataFrame, score: Column) -> Column:
     return F.concat(F.coalesce(score, F.lit("0" * 32)), F.lpad(F.lower(F.hex(row_hash(df))), 16, "0"))
 
 
-def _kth_smallest(digits: DataFrame, k: int) -> str | None:
-    """The ``k``-th smallest value of the one column ``d`` (None: take no row).
+def _kth_smallest(digits: DataFrame, k: int) -> tuple[str | None, int, int]:
+    """The ``k``-th smallest value of the one column ``d`` (None: take no row), how
+    many rows with that value are among the ``k``, and how many there are.
 
     Level by level, counts by the next 4 hex digits (at most 65,536 rows)
     locate the bucket that holds the k-th row, until that bucket is small
     enough to fetch or its rows are equal in all digits.
     """
     if k <= 0:
-        return None
+        return None, 0, 0
     prefix, need, start = "", k, 1
     sub, size = digits, digits.count()
     if k >= size:
-        return "~"                   # above all hex digits
+        return "~", 0, 0             # above all hex digits
     while size > _FETCH_BELOW and len(prefix) < _DIGITS:
         counts = sorted((r["b"], r["n"]) for r in sub.groupBy(F.substring("d", start, _PREFIX_HEX).alias("b"))
                         .agg(F.count(F.lit(1)).alias("n")).collect())
@@ -58,16 +62,43 @@ def _kth_smallest(digits: DataFrame, k: int) -> str | None:
         prefix, start = prefix + b, start + _PREFIX_HEX
         sub = digits.where(F.col("d").startswith(prefix))
     if len(prefix) >= _DIGITS:
-        return prefix
-    return sorted(r["d"] for r in sub.collect())[need - 1]
+        return prefix, need, size
+    found = sorted(r["d"] for r in sub.collect())
+    bound = found[need - 1]
+    return bound, need - found.index(bound), found.count(bound)
+
+
+def _number_copies(df: DataFrame, split: Column) -> tuple[DataFrame, str]:
+    """``df`` with a column that numbers its rows for which ``split`` holds, and its
+    name.  These rows alone are written, so that their numbers are fixed."""
+    from regionlens.session import materialize
+
+    n = "_copy"
+    while n.lower() in {c.lower() for c in df.columns}:
+        n += "_"
+    split = F.coalesce(split, F.lit(False))
+    copies = materialize(df.where(split).withColumn(n, F.monotonically_increasing_id()), "copies")
+    return df.where(~split).withColumn(n, F.lit(None).cast("bigint")).unionByName(copies), n
+
+
+def _kth_copy(numbered: DataFrame, group: Column, n: str, k: int) -> int:
+    """The ``k``-th smallest number among the rows of ``group``."""
+    digits = numbered.where(group & F.col(n).isNotNull()).select(F.lpad(F.lower(F.hex(n)), _DIGITS, "0").alias("d"))
+    if digits.count() <= k:
+        return (1 << 63) - 1
+    return int(_kth_smallest(digits, k)[0], 16)
 
 
 def smallest_k_flag(df: DataFrame, score: Column, k: int, flag: str = "selected") -> DataFrame:
-    """Flag the ``k`` rows with the smallest (score, row hash); rows equal in
-    every column are flagged together, so only they can exceed ``k``."""
+    """Flag the ``k`` rows with the smallest (score, row hash).  Of copies (rows equal
+    in all columns but maps) on the boundary, any that make up ``k`` are flagged."""
     d = _digits(df, score)
-    bound = _kth_smallest(df.select(d.alias("d")), k)
-    return df.withColumn(flag, F.lit(False) if bound is None else d <= F.lit(bound))
+    bound, need, size = _kth_smallest(df.select(d.alias("d")), k)
+    if need == size:
+        return df.withColumn(flag, F.lit(False) if bound is None else d <= F.lit(bound))
+    numbered, n = _number_copies(df, d == F.lit(bound))
+    last = _kth_copy(numbered, d == F.lit(bound), n, need)
+    return numbered.withColumn(flag, (d < F.lit(bound)) | ((d == F.lit(bound)) & (F.col(n) <= last))).drop(n)
 
 
 def exact_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42,
@@ -93,20 +124,30 @@ def contiguous_folds(df: DataFrame, order: str, k: int = 5, fold: str = "fold")
     The first rows of folds 1 to k-1 are found at their exact ranks; a row's
     fold is then the number of them that it does not precede, so nothing
     depends on how the table is partitioned.  Ties on the key go by a hash of
-    the row, NULL keys come first; rows equal in every column share a fold.
+    the row, NULL keys come first; of copies (rows equal in all columns but maps)
+    on both sides of a border, any that make up a fold's size go to it.
     """
     place = F.struct(F.col(order).alias("o"), row_hash(df).alias("h"))
-    firsts = _first_rows(df.select(place["o"].alias("o"), place["h"].alias("h")), k)
     kind = df.schema[order].dataType
+    firsts = [(F.struct(F.lit(o).cast(kind).alias("o"), F.lit(h).cast("bigint").alias("h")), skip)
+              for o, h, skip in _first_rows(df.select(place["o"].alias("o"), place["h"].alias("h")), k)]
+    numbered, n = df, None
+    split = [place == first for first, skip in firsts if skip]
+    if split:
+        numbered, n = _number_copies(df, reduce(or_, split))
     out = F.lit(0)
-    for o, h in firsts:
-        first = F.struct(F.lit(o).cast(kind).alias("o"), F.lit(h).cast("bigint").alias("h"))
-        out = out + F.when(place >= first, 1).otherwise(0)
-    return df.withColumn(fold, out.cast("int"))
+    for first, skip in firsts:
+        here = place >= first
+        if skip:
+            here = (place > first) | ((place == first) & (F.col(n) > _kth_copy(numbered, place == first, n, skip)))
+        out = out + F.when(here, 1).otherwise(0)
+    numbered = numbered.withColumn(fold, out.cast("int"))
+    return numbered.drop(n) if n else numbered
 
 
 def _first_rows(keys: DataFrame, k: int) -> list[tuple]:
-    """(o, h) of the first row of each fold but 0, at most k - 1 of them.
+    """(o, h) of the first row of each fold but 0, at most k - 1 of them, and how
+    many rows with the same (o, h) come before it.
 
     The keys alone are range-partitioned and written once (the bounds are
     drawn from a sample, so a second run could draw others); one count per
@@ -131,8 +172,10 @@ def _first_rows(keys: DataFrame, k: int) -> list[tuple]:
     for p, r in wanted:
         hit = hit | ((F.col("p") == p) & (F.col("r") == r))
     rows = (ranged.where(F.col("p").isin([p for p, _ in wanted]))
-            .withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("o", "h"))).where(hit).collect())
-    return sorted(((r["o"], r["h"]) for r in rows), key=lambda x: (x[0] is not None, x))
+            .withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("o", "h")))
+            # equal rows are in one partition, so their first place there tells how many come before
+            .withColumn("s", F.rank().over(Window.partitionBy("p").orderBy("o", "h"))).where(hit).collect())
+    return sorted(((r["o"], r["h"], r["r"] - r["s"]) for r in rows), key=lambda x: (x[0] is not None, x))
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5, fold: str = "fold") -> DataFrame:
@@ -217,8 +260,15 @@ def mask_cells(df: DataFrame, key: str, cols: Sequence[str], frac: float, seed:
     k = int(df.count() * frac)
     if k <= 0:
         return df
-    masked = {}
+    masked, found = {}, {}
     for c in cols:
         d = _digits(df, hash_score(key, seed, salt=c + "#"))
-        masked[c] = F.when(d > F.lit(_kth_smallest(df.select(d.alias("d")), k)), F.col(c))
-    return materialize(df.select(*[masked.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]), "masked")
+        found[c] = (d, *_kth_smallest(df.select(d.alias("d")), k))
+    split = [d == F.lit(bound) for d, bound, need, size in found.values() if need < size]
+    numbered, n = _number_copies(df, reduce(or_, split)) if split else (df, None)
+    for c, (d, bound, need, size) in found.items():
+        out = d > F.lit(bound)
+        if need < size:
+            out = out | ((d == F.lit(bound)) & (F.col(n) > _kth_copy(numbered, d == F.lit(bound), n, need)))
+        masked[c] = F.when(out, F.col(c))
+    return materialize(numbered.select(*[masked.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]), "masked")

@@ -210,6 +210,22 @@ def test_splits_with_ties_and_null_keys(spark):
     assert {r.fold for r in folds.where("k IS NULL").collect()} == {0}
 
 
+def test_splits_tell_copies_apart(spark, monkeypatch):
+    rows = [(i if i % 3 else 50, 1 if i % 3 == 0 else i, 2) for i in range(120)] + [(None, 3, 2)] * 30
+    df = spark.createDataFrame(rows, "k int, v int, w int").repartition(7)
+    for limit in (10_000, 5):
+        monkeypatch.setattr(split, "_FETCH_BELOW", limit)
+        for frac in (0.1, 0.5):
+            got = split.exact_split(df, "k", frac)
+            assert got.columns == [*df.columns, "is_test"]
+            assert (got.count(), got.where("is_test").count()) == (150, round(150 * frac))
+            got = split.mask_cells(df, "k", ["v", "w"], frac)
+            assert (got.where("v IS NULL").count(), got.where("w IS NULL").count()) == (150 * frac, 150 * frac)
+    for k in (4, 10):
+        got = [r.n for r in split.contiguous_folds(df, "k", k).groupBy("fold").agg(F.count("*").alias("n")).orderBy("fold").collect()]
+        assert got == [150 // k + (f < 150 % k) for f in range(k)]
+
+
 def test_row_hash_leaves_maps_out(spark):
     df = spark.sql("SELECT 1 AS a, map('x', 1) AS tags")
     assert df.select(spatial.row_hash(df).alias("h")).first().h == df.select(F.xxhash64("a").alias("h")).first().h
