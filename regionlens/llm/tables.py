@@ -42,25 +42,21 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 
 
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str,
-                    bound: int, train: Column, single: bool = False) -> DataFrame:
-    """Texts of at most ``bound`` labelled ids (doc_id, y, text), stored.
+                    bound: int, train: Column) -> DataFrame:
+    """Texts of at most ``bound`` labelled ids (doc_id, y, text), one row each, stored.
 
     The ids are those with the smallest hash among the rows of ``labels`` for which
     ``train`` (over doc_id) holds and the label is not null; several labels of one id
     count as the largest.  Only these ids, at most ``bound`` pairs of numbers, are
-    broadcast.  All rows of an id are taken, or with ``single`` the one whose text has the
-    smallest hash.
+    broadcast.  Of the rows that repeat an id, the one whose text has the smallest hash is taken.
     """
     ids = (labels.select("doc_id", F.col(label).cast("int").alias("y"))
            .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & train)
            .groupBy("doc_id").agg(F.max("y").alias("y"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(ids), "doc_id")
-    if single:
-        least = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
-        sample = sample.groupBy("doc_id", "y").agg(least["text"].alias("text"))
-    return stored(sample, "sample")
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    return stored(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(least["text"].alias("text")), "sample")
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are whole words and 5-byte windows of words, as 64-bit hashes; a document has a
-term or has it not.  The machine adds to a linear weight per term the product of two
+term or has it not.  The machine learns the terms whose documents its earlier rounds misjudge.  The machine adds to a linear weight per term the product of two
 short factors for every pair of terms in the document, so that an insult beside a group
 mention can count for more than the two apart.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import labelled_sample, stored
+from .tables import labelled_sample
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,20 +35,6 @@ def _distinct(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[new], terms[new]
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that have each term, by label, added up per block of text."""
-    for batch in batches:
-        data, offsets = tx.buffers(batch.column("text"))
-        y = np.asarray(batch.column("y"))
-        for a, b in tx.blocks(offsets):
-            rows, terms = _distinct(*_terms(data, offsets[a:b + 1]))
-            ids, inverse = np.unique(terms, return_inverse=True)
-            n1 = np.bincount(inverse, weights=y[a + rows], minlength=len(ids)).astype(np.int64)
-            n = np.bincount(inverse, minlength=len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n1), pa.array(n.astype(np.int64))],
-                                             names=["term", "n1", "n"])
-
-
 @dataclass
 class Machine:
     """A trained machine; ``terms`` sorted, one weight and one factor row for each."""
@@ -58,6 +44,12 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
+    @classmethod
+    def constant(cls, share: float) -> Machine:
+        """A machine without terms: every text has the score ``share``, kept off 0 and 1."""
+        p = min(max(share, 1e-3), 1 - 1e-3)
+        return cls(np.zeros(0, np.uint64), float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, 1)))
+
     def scores(self, data: np.ndarray, offsets: np.ndarray, known: tx.HashSet) -> np.ndarray:
         out = np.empty(len(offsets) - 1)
         for a, b in tx.blocks(offsets):
@@ -109,29 +101,40 @@ def fit(rows: np.ndarray, places: np.ndarray, y: np.ndarray, terms: np.ndarray,
     return Machine(terms, float(params[0][0]), params[1], params[2])
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: Column, bound: int = 20_000, most_terms: int = 2048,
-          least_docs: int = 3, least_chi2: float = 15.0) -> Machine:
-    """Fit a machine to ``labels.toxic`` on at most ``bound`` labelled documents.
+#: Steps per one in the sums of residuals and variances, which are whole numbers and so exact.
+STEPS = 1 << 20
+
+
+def _surprise(machine: Machine, floor: float):
+    """Per term: documents that have it, their residuals (label less score) and their variances added up."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tx.HashSet(machine.terms)
+        for batch in batches:
+            data, offsets = tx.buffers(batch.column("text"))
+            y = np.asarray(batch.column("y"))
+            for a, b in tx.blocks(offsets):
+                p = machine.scores(data, offsets[a:b + 1], known)
+                rows, terms = _distinct(*_terms(data, offsets[a:b + 1]))
+                ids, inverse = np.unique(terms, return_inverse=True)
+                sums = [np.bincount(inverse, weights=np.rint(x[rows] * STEPS), minlength=len(ids)).astype(np.int64)
+                        for x in (y[a:b] - p, np.maximum(p * (1 - p), floor))]
+                n = np.bincount(inverse, minlength=len(ids)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n), *map(pa.array, sums)],
+                                                 names=["term", "n", "r", "v"])
+
+    return count
 
-    An id that several rows repeat counts as one document.  Terms of the sample are counted by Spark; those in at least ``least_docs`` toxic
-    documents, more often than by chance (chi-squared of ``least_chi2``), become the
-    features, the ``most_terms`` strongest at most.  The driver receives their
-    hashes and, for each sample document, which of them it has: at most ``bound`` times
-    ``most_terms`` numbers.  Without labels, or without such terms, every text gets the
-    share of toxic labels (a half if there are none) as its score.
-    """
-    spark = docs.sparkSession
-    sample = labelled_sample(spark, docs, labels, "toxic", bound, train_rows, single=True)
-    total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counts = (sample.select("y", "text").mapInArrow(_count_terms, "term bigint, n1 bigint, n bigint")
-              .groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")))
-    a, n, t, p = (x.cast("double") for x in (F.col("n1"), F.col("n"), F.lit(total), F.lit(toxic)))
-    chi2 = F.try_divide(t * F.pow(a * t - n * p, F.lit(2)), n * (t - n) * p * (t - p))
-    best = (counts.withColumn("chi2", F.coalesce(chi2, F.lit(0.0)))
-            .where((F.col("n1") >= least_docs) & (F.col("chi2") >= least_chi2) & (a * t > n * p))
-            .orderBy(F.desc("chi2"), "term").limit(most_terms).select("term").toPandas())
-    terms = np.unique(best["term"].to_numpy(np.int64).view(np.uint64))
 
+def _informative(sample: DataFrame, machine: Machine, floor: float, least_docs: int, least: float) -> np.ndarray:
+    """Terms whose documents ``machine`` misjudges on one side: r^2 / v of ``least`` or more."""
+    sums = (sample.select("y", "text").mapInArrow(_surprise(machine, floor), "term bigint, n bigint, r bigint, v bigint")
+            .groupBy("term").agg(F.sum("n").alias("n"), F.sum("r").alias("r"), F.sum("v").alias("v")))
+    best = sums.where((F.col("n") >= least_docs) & (F.pow(F.col("r").cast("double"), F.lit(2)) >= least * STEPS * F.col("v")))
+    return best.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64)
+
+
+def _training_rows(sample: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in ``terms``) of what each sample document has, and the labels."""
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tx.HashSet(terms)
         for batch in batches:
@@ -143,16 +146,43 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, bound: int = 2
                 ends = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), batch.column("y").slice(a, b - a),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int16)))],
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))],
                     names=["doc_id", "y", "has"])
 
-    kept = (stored(sample.mapInArrow(present, "doc_id bigint, y int, has array<smallint>"), "terms")
-            .select("y", "has").orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("has")).toArrow())
+    kept = (sample.mapInArrow(present, "doc_id bigint, y int, has array<int>")
+            .orderBy(F.xxhash64("doc_id"), "doc_id").select("y", "has").toArrow())
     has = kept.column("has").combine_chunks()
     flat = has.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.asarray(has.value_lengths().fill_null(0)).astype(np.int64)
     y = kept.column("y").to_numpy().astype(float)
-    return fit(np.repeat(np.arange(len(y)), sizes), flat, y, terms)
+    return np.repeat(np.arange(len(y)), sizes), flat, y
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: Column, bound: int = 20_000, rounds: int = 3,
+          least_docs: int = 3, least: float = 15.0) -> Machine:
+    """Fit a machine to ``labels.toxic`` on at most ``bound`` labelled documents.
+
+    An id that several rows repeat counts as one document.  Terms enter in ``rounds``: each
+    asks which terms, in ``least_docs`` documents or more, the machine so far misjudges,
+    toxic or benign: the square of their documents' summed residuals, over the summed
+    variances (half the variance of the toxic share at least), is ``least`` or more.  Then the
+    machine is fitted anew to all terms so far.  So two words that
+    are toxic only together come in as soon as the machine explains what else is toxic,
+    and their factors learn the product.  There is no limit on the number of terms; the driver
+    receives which of them each sample document has.  Without labels, or without such
+    terms, every text gets the share of toxic labels (a half if there are none).
+    """
+    sample = labelled_sample(docs.sparkSession, docs, labels, "toxic", bound, train_rows)
+    total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    share = toxic / total if total else 0.5
+    machine = Machine.constant(share)
+    for _ in range(rounds):
+        found = np.setdiff1d(_informative(sample, machine, share * (1 - share) / 2, least_docs, least), machine.terms)
+        if not len(found):
+            break
+        terms = np.union1d(machine.terms, found)
+        machine = fit(*_training_rows(sample, terms), terms)
+    return machine
 
 
 def score_column(text: Column, machine: Machine) -> Column:

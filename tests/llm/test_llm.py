@@ -324,16 +324,70 @@ def test_toxicity_learns_pairs():
     assert (((machine.logits(rows, places, len(y)) > 0) == (y > 0)).mean()) > 0.99
 
 
+def test_toxicity_logits_are_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    machine = toxicity.Machine(np.arange(9, dtype=np.uint64), 0.3, rng.normal(size=9), rng.normal(size=(9, 3)))
+    x = rng.random((40, 9)) < 0.4
+    want = [0.3 + sum(machine.weights[i] for i in np.flatnonzero(r))
+            + sum(machine.factors[i] @ machine.factors[j] for i, j in itertools.combinations(np.flatnonzero(r), 2)) for r in x]
+    assert np.allclose(machine.logits(*np.nonzero(x), len(x)), want)
+
+
+def test_toxicity_scores_by_brute_force():
+    rng = np.random.default_rng(2)
+    texts = ["you vile worm", "kind soul", "", "VILE kind Worm é", "worm " * 300]
+    plain = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())) for t in texts]
+    words = ["vile", "worm", "kind", "é"]
+    hashes = np.array([tx.word_hashes(*tx.buffers(pa.array([w])))[1][0] for w in words])
+    order = np.argsort(hashes)
+    machine = toxicity.Machine(hashes[order], -0.2, rng.normal(size=4), rng.normal(size=(4, 2)))
+    w, v = (dict(zip([words[i] for i in order], x)) for x in (machine.weights, machine.factors))
+    for t, got in zip(plain, machine.scores(*tx.buffers(pa.array(texts)), tx.HashSet(machine.terms))):
+        own = sorted(t & set(words))
+        z = -0.2 + sum(w[a] for a in own) + sum(v[a] @ v[b] for a, b in itertools.combinations(own, 2))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_catches_pairs_of_benign_words(spark):
+    """An insult beside a group mention is toxic, each alone is not; another word is toxic by itself."""
+    rng = random.Random(0)
+    vocabulary = [f"w{i}x" for i in range(800)]
+    kinds = {0: ["zorgle"], 1: ["plimfolk"], 2: ["zorgle", "plimfolk"], 3: ["vexmuck"], 4: []}
+
+    def make(n, shift):
+        out = []
+        for i in range(n):
+            kind = {0: 2, 1: 3, 2: 3}.get(i % 20, 0 if i % 20 < 8 else 1 if i % 20 < 13 else 4)
+            words = rng.choices(vocabulary, k=40) + kinds[kind]
+            rng.shuffle(words)
+            out.append((i + shift, " ".join(words), kind))
+        return out
+
+    train, test = make(4000, 0), make(1000, 10_000)
+    labels = spark.createDataFrame([(i, int(k in (2, 3))) for i, _, k in train], "doc_id bigint, toxic int")
+    machine = toxicity.train(table(spark, [t for _, t, _ in train]), labels, F.lit(True))
+    scores = machine.scores(*tx.buffers(pa.array([t for _, t, _ in test])), tx.HashSet(machine.terms))
+    kind = np.array([k for _, _, k in test])
+    for k, toxic in ((0, False), (1, False), (2, True), (3, True), (4, False)):
+        assert ((scores[kind == k] >= 0.5) == toxic).mean() >= 0.95, k
+
+
 def test_toxicity_takes_one_row_of_each_id(spark, monkeypatch):
     rows = [(i % 40, f"you {'vile worm' if i % 2 else 'kind soul'} {i}") for i in range(80)]
     rows += [(1, f"hot id row {i}") for i in range(400)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
-    sizes = []
-    monkeypatch.setattr(toxicity, "fit", lambda rows, places, y, terms: sizes.append((len(y), y.sum())))
+    sizes, plain = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, places, y, terms: sizes.append((len(y), y.sum())) or plain(rows, places, y, terms))
     toxicity.train(table(spark, [t for _, t in rows], [i for i, _ in rows]), labels, F.lit(True), bound=30)
     assert sizes[0][0] == 30 and sizes[0][1] <= 20
 
 
+def test_toxicity_of_an_empty_table(spark):
+    empty, labels = table(spark, []), spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")
+    machine = toxicity.train(empty, labels, F.lit(True))
+    assert empty.select(toxicity.score_column(F.col("text"), machine)).count() == 0
+
+
 def test_toxicity_edges(spark):
     docs = table(spark, EDGES)
     labels = spark.createDataFrame([(1, 0, None), (None, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
