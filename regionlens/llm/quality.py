@@ -60,7 +60,7 @@ class Ratio:
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, bound: int = 20_000,
           smoothing: float = 20.0) -> Ratio:
     """Count the raw model on all of ``docs`` and the target on the good ones (``quality`` 1) of at
-    most ``bound`` labelled documents.
+    most ``bound`` labelled documents, of which an id that several rows repeat is one.
 
     The target is smoothed towards the raw model by ``smoothing`` expected counts a bucket.
     Without labelled good texts every ratio is one.
@@ -111,11 +111,11 @@ def _kth_largest(table: DataFrame, k: int) -> int | None:
 
 def resample(docs: DataFrame, ratio: Ratio, fraction: float, strength: float = 64.0, seed: int = 42) -> DataFrame:
     """doc_id, weight, key and selected for each row: the top ``fraction`` of all rows by weight plus
-    Gumbel noise.
+    Gumbel noise, exactly round(fraction N) of them.
 
     weight is ``strength`` times the mean log ratio.  The noise is a hash of id and text,
-    so the same row is always treated alike; rows tied at the cut, which repeat one id and
-    text, are selected together.  Texts without words have weight 0 and are not selected
+    so rows that repeat one id and text have equal keys; if the cut falls among them, as
+    many as are missing are taken in the order in which they were stored.  Texts without words have weight 0 and are not selected
     before any other row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -128,7 +128,13 @@ def resample(docs: DataFrame, ratio: Ratio, fraction: float, strength: float = 6
     # 2^-24 steps in the upper bits, the hash below: an order without ties but of repeats
     steps = F.round(F.greatest(F.least(F.col("noisy"), F.lit(1e5)), F.lit(-1e5)) * 8192).cast("bigint")
     key = F.call_function("shiftleft", steps, F.lit(32)) + F.shiftrightunsigned("h", 32)
-    table = stored(noisy.select("doc_id", "weight", key.alias("key")), "resample")
-    cut = _kth_largest(table, round(fraction * table.count()))
-    chosen = F.lit(False) if cut is None else F.col("key") >= cut
+    table = stored(noisy.select("doc_id", "weight", key.alias("key"), F.monotonically_increasing_id().alias("nth")),
+                   "resample")
+    k = round(fraction * table.count())
+    cut, chosen = _kth_largest(table, k), F.lit(False)
+    if cut is not None:
+        over = F.col("key") > cut
+        tied = table.where(F.col("key") == cut)
+        last = _kth_largest(tied.select((-F.col("nth")).alias("key")), k - table.where(over).count())
+        chosen = over | ((F.col("key") == cut) & (-F.col("nth") >= last))
     return table.select("doc_id", "weight", "key", chosen.alias("selected"))
