@@ -27,8 +27,6 @@ from . import text as tx
 from .tables import stored
 
 NEVER = -np.inf
-#: Training cuts longer words into segments of so many bytes; scores are of whole words.
-SEGMENT = 4096
 
 
 class Pieces:
@@ -204,15 +202,10 @@ def train(docs: DataFrame, held_out: Column, model: bytes, rounds: int = 2, smoo
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, sums = tx.per_process(name, lambda: Pieces(model)), np.zeros(len(log_p))
             for batch in batches:
-                segments, counts = [], []
-                for w, c in zip(batch.column("word").cast(pa.large_binary()), batch.column("c").to_pylist()):
-                    w = w.as_py()
-                    for at in range(0, len(w), SEGMENT):
-                        segments.append(w[at:at + SEGMENT])
-                        counts.append(c)
-                counts = np.array(counts, float)
-                for a, b in _batches(segments):
-                    sums += Lattice(own, segments[a:b]).expected(log_p, counts[a:b])
+                texts = [w.as_py() for w in batch.column("word").cast(pa.large_binary())]
+                counts = np.asarray(batch.column("c")).astype(float)
+                for a, b in _batches(texts):
+                    sums += Lattice(own, texts[a:b]).expected(log_p, counts[a:b])
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["piece", "n"])
 
