@@ -3,14 +3,14 @@
 A document and a benchmark passage are compared only if they share a run of five words.
 Then the longest common run of words that nothing has covered yet is marked, again and
 again, until no run of five is left: long tiles first, each word of either side in one
-tile at most.  Runs are found by running (Karp-Rabin) hashes of the current length and
-then compared word by word.  The share of the passage's words under tiles is its
+tile at most.  Runs are found by running (Karp-Rabin) hashes of the current length over the
+words' own 64-bit hashes and then compared by these, word by word.  The share of the passage's words under tiles is its
 coverage; the order of the tiles does not matter, so a reordered passage is caught.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from .tables import fresh, stored
 
 #: Words of the shortest tile.
 RUN = 5
+#: A tile of this many words is a find by itself, however long the passage.
+LONG = 13
 #: Blocks of the benchmark that one pass over the documents holds in memory.
 BLOCKS = 4
 
@@ -43,23 +45,32 @@ def _free_runs(free: np.ndarray, n: int) -> np.ndarray:
     return taken[n:] == taken[:-n] if len(free) >= n else np.zeros(0, bool)
 
 
-def _common(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Pairs of places, in text order, where free runs of ``n`` words agree, hash and words."""
-    ha, hb = _running(a, n), _running(b, n)
-    pa_, pb = np.flatnonzero(_free_runs(free_a, n)), np.flatnonzero(_free_runs(free_b, n))
-    order = pb[np.argsort(hb[pb], kind="stable")]
-    sorted_b = hb[order]
-    at = np.searchsorted(sorted_b, ha[pa_])
-    hit = at < len(sorted_b)
-    hit[hit] = sorted_b[at[hit]] == ha[pa_[hit]]
-    out = []
-    for i, k in zip(pa_[hit].tolist(), at[hit].tolist()):
-        while k < len(order) and sorted_b[k] == ha[i]:
-            j = int(order[k])
-            if np.array_equal(a[i:i + n], b[j:j + n]):
-                out.append((i, j))
-            k += 1
-    return out
+class _Matches:
+    """Free runs of ``n`` words that two sequences share, found one at a time."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, n: int):
+        self.a, self.b, self.n = a, b, n
+        ha, hb = _running(a, n), _running(b, n)
+        at, pb = np.flatnonzero(_free_runs(free_a, n)), np.flatnonzero(_free_runs(free_b, n))
+        self.order = pb[np.argsort(hb[pb], kind="stable")]
+        keys = hb[self.order]
+        first = np.searchsorted(keys, ha[at], side="left")
+        self.last = np.searchsorted(keys, ha[at], side="right")
+        hit = first < self.last
+        self.at, self.first, self.last = at[hit], first[hit], self.last[hit]
+
+    def of(self, k: int, begin: int, free: Callable[[int], bool]) -> tuple[int, int] | None:
+        """The first place of the second sequence, from rank ``begin`` on, that agrees word for word
+        with the k-th run and is ``free``, after the rank where it stands."""
+        i = int(self.at[k])
+        for rank in range(begin, int(self.last[k])):
+            j = int(self.order[rank])
+            if free(j) and np.array_equal(self.a[i:i + self.n], self.b[j:j + self.n]):
+                return rank, j
+        return None
+
+    def any(self) -> bool:
+        return any(self.of(k, int(self.first[k]), lambda j: True) for k in range(len(self.at)))
 
 
 def tiles(test: np.ndarray, doc: np.ndarray, least: int = RUN) -> list[tuple[int, int, int]]:
@@ -74,19 +85,27 @@ def tiles(test: np.ndarray, doc: np.ndarray, least: int = RUN) -> list[tuple[int
     high = min(len(test), len(doc))
     while high >= least:
         # the longest length with a common free run, by halving: a run of n has one of n - 1
-        low, best = least, []
+        low, best = least, None
         while low <= high:
             n = (low + high) // 2
-            if found := _common(test, doc, free_a, free_b, n):
-                low, best, size = n + 1, found, n
+            found = _Matches(test, doc, free_a, free_b, n)
+            if found.any():
+                low, best = n + 1, found
             else:
                 high = n - 1
-        if not best:
+        if best is None:
             break
-        for i, j in best:
-            if free_a[i:i + size].all() and free_b[j:j + size].all():
-                free_a[i:i + size] = free_b[j:j + size] = False
-                out.append((i, j, size))
+        size, begin = best.n, {}
+        for k, i in enumerate(best.at.tolist()):
+            if not free_a[i:i + size].all():
+                continue
+            # a place once covered stays so: equal runs of the test go on where the last one stopped
+            group = int(best.first[k])
+            hit = best.of(k, begin.get(group, group), lambda j: free_b[j:j + size].all())
+            begin[group] = hit[0] if hit else int(best.last[k])
+            if hit:
+                free_a[i:i + size] = free_b[hit[1]:hit[1] + size] = False
+                out.append((i, hit[1], size))
         high = size
     return out
 
@@ -146,7 +165,7 @@ MATCH = "struct<coverage: double, n_items: bigint, item_id: bigint, tiles: array
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, text: str = "text",
                    out: str = "match", block_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` with column ``out``: the best coverage of any passage (0 without shared seed), the
-    number of passages covered to ``threshold`` or more, the item with the best coverage
+    number of passages covered to ``threshold`` or more or by a tile of `LONG` words, the item with the best coverage
     (the smallest id of equals; null for none) and its tiles.
 
     The benchmark is a stated query set: it is taken in blocks of ``block_bytes``, each
@@ -188,7 +207,7 @@ def _match_column(sent, threshold: float):
             old = best[row]
             if old is None:
                 old = best[row] = {"coverage": -1.0, "n_items": 0, "item_id": None, "tiles": []}
-            old["n_items"] += share >= threshold
+            old["n_items"] += share >= threshold or max((t[2] for t in found), default=0) >= LONG
             if share > old["coverage"]:  # passages come in the order of their ids
                 old |= {"coverage": share, "item_id": held[0].ids[k],
                         "tiles": [{"test": i, "doc": j, "words": w} for i, j, w in found]}
@@ -200,7 +219,7 @@ def _match_column(sent, threshold: float):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` in which no passage is covered to ``threshold`` or more, with their own columns only."""
+    """The rows of ``docs`` in which no passage is covered to ``threshold`` or more or by a tile of `LONG` words, with their own columns only."""
     name = fresh(docs, "_match")
     kept = contaminations(docs, benchmark, threshold, out=name).where(F.col(name)["n_items"] == 0)
     return kept.select(*[f"`{c}`" for c in docs.columns])
