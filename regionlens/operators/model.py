@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,13 +84,6 @@ def random_forest(label: str = "label", seed: int = 42, num_trees: int = 100, ma
                                  featureSubsetStrategy="all", maxDepth=max_depth, seed=seed)
 
 
-def boosted_trees(label: str = "label", seed: int = 42, max_iter: int = 100, max_depth: int = 6,
-                  step: float = 0.3):
-    """M5 squared-error gradient-boosted trees (XGBoost's defaults)."""
-    return GBTRegressor(featuresCol=VEC, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step, seed=seed)
-
-
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """P10 assemble the feature columns into one vector column."""
     return VectorAssembler(inputCols=list(features), outputCol=VEC).transform(df)
