@@ -168,11 +168,10 @@ def fit(df: DataFrame, features: Sequence[str], label: str, rounds: int = 100, d
         for model, tree in zip(models, trees):
             model.trees.append(tree)
         pending.append(trees)
-        if len(pending) >= PENDING:
+        if len(pending) >= PENDING or len(models[0].trees) == rounds:
             margins, pending = materialize(margins.withColumn("_m", _applied(pending)("_b", "_m")), "boost-margins"), []
-    done = margins.withColumn("_m", _applied(pending)("_b", "_m")) if pending else margins
     prediction = F.get("_m", F.when(F.col("_f") >= 0, F.col("_f"))) if fold else F.get("_m", F.lit(0))
-    return models, done.withColumn("prediction", prediction).select(*[f"`{c}`" for c in df.columns], "prediction")
+    return models, margins.withColumn("prediction", prediction).select(*[f"`{c}`" for c in df.columns], "prediction")
 
 
 def gradient_scale(n: int, spread: float) -> float:

@@ -11,15 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionlens.operators import clean, evaluate, split
+from regionlens.operators import clean, evaluate, moments, split
 from regionlens.session import materialize
 
 VEC = "_features"
@@ -72,12 +71,6 @@ def ridge(train: DataFrame, label: str, alpha: float = 1.0) -> LinearRegression:
                             solver="normal", standardization=False)
 
 
-def ridge_template(label: str = "label") -> LinearRegression:
-    """Linear model whose ``regParam`` a grid search sets."""
-    return LinearRegression(featuresCol=VEC, labelCol=label, elasticNetParam=0.0, solver="normal",
-                            standardization=False)
-
-
 def random_forest(label: str = "label", seed: int = 42, num_trees: int = 100, max_depth: int = 30):
     """M4 random forest: 100 trees, all features per split, deep trees."""
     return RandomForestRegressor(featuresCol=VEC, labelCol=label, numTrees=num_trees,
@@ -108,15 +101,6 @@ def importances(model, features: Sequence[str], spark: SparkSession) -> DataFram
     return df.orderBy(F.col("importance").desc(), "feature")
 
 
-def fold_importances(models: Sequence, features: Sequence[str], spark: SparkSession) -> DataFrame:
-    """M10 importances of each fold's model: (fold, feature, importance)."""
-    out = None
-    for f, m in enumerate(models):
-        one = importances(m, features, spark).select(F.lit(f).alias("fold"), "feature", "importance")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, estimator,
                 key: str, scale: bool = True) -> tuple[DataFrame, object]:
     """M6 scale on the training rows only (M1), fit, predict the test rows.
@@ -162,50 +146,30 @@ def spatial_cv(df: DataFrame, key: str, features: Sequence[str], label: str,
     return per_fold, evaluate.fold_summary(per_fold)
 
 
-def grid_search(df: DataFrame, features: Sequence[str], label: str, estimator, grid: dict,
-                fold: str = "fold", k: int = 5, parallelism: int = 4) -> tuple[DataFrame, PipelineModel]:
-    """M8 grid search over the given folds, lowest RMSE, refit on all rows.
-    The scaler sits inside the pipeline, so each fold is scaled on its own
-    training rows."""
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_raw"),
-                            StandardScaler(inputCol="_raw", outputCol=VEC, withMean=True, withStd=True),
-                            estimator])
-    b = ParamGridBuilder()
-    for p, vals in grid.items():
-        b = b.addGrid(estimator.getParam(p), list(vals))
-    maps = b.build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-                        foldCol=fold, numFolds=k, parallelism=parallelism)
-    m = cv.fit(df.withColumn(fold, F.col(fold).cast("int")))
-    rows = []
-    for pm, score in zip(maps, m.avgMetrics):
-        rows.append((", ".join(f"{k.name}={v}" for k, v in sorted(pm.items(), key=lambda kv: kv[0].name)),
-                     float(score)))
-    res = df.sparkSession.createDataFrame(rows, "params string, rmse double")
-    return res, m.bestModel
-
-
 # ---------------------------------------------------------------- M11
 
 def sparsity_study(df: DataFrame, key: str, features: Sequence[str], label: str, mask_cols: Sequence[str],
-                   percentages: Sequence[float], make_estimator: Callable[[DataFrame], object],
-                   seed: int = 42) -> DataFrame:
+                   percentages: Sequence[float], alpha: float = 0.0, seed: int = 42) -> DataFrame:
     """M11 for each masking percentage: mask exactly int(n*p) values per
-    chosen column (W7), median-impute (A14), scale with full-data statistics
-    (M1), refit and score on the same rows.  One metrics row per p."""
-    full_stats = fit_scaler(df, features)
-    out = None
-    for p in percentages:
+    chosen column (W7), median-impute (A14), fit least squares with penalty
+    ``alpha`` on columns scaled with the full data's deviations (M1) and score on the
+    same rows.  One metrics row per p.  The masked tables are one table with
+    the percentage as group: one pass for the sums of all models, one for the metrics."""
+    full = moments.sums(df, list(features))
+    if None not in full:
+        raise ValueError("no complete rows to fit")
+    scale = np.sqrt(np.diag(full[None].cov()))
+    levels = None
+    for i, p in enumerate(percentages):
         m = split.mask_cells(df, key, mask_cols, p, seed) if p > 0 else df
-        m = clean.median_impute(m, list(mask_cols))
-        ms = apply_scaler(m, full_stats)
-        model = make_estimator(ms).fit(assemble(ms, features))
-        pred = model.transform(assemble(ms, features)).select(
-            key, F.col(label).alias("actual"), F.col("prediction").alias("predicted"))
-        r = evaluate.regression_metrics(pred).withColumn("mask_pct", F.lit(float(p) * 100))
-        out = r if out is None else out.unionByName(r)
-    return out
+        m = clean.median_impute(m, list(mask_cols)).withColumn("_level", F.lit(i))
+        levels = m if levels is None else levels.unionByName(m)
+    groups = moments.sums(levels, [*features, label], F.col("_level"))
+    models = {i: s.solve(alpha / max(s.rows, 1), scale) for i, s in groups.items()}
+    rows = moments.predict_folds(levels, features, models, "_level").select(
+        "_level", F.col(label).alias("actual"), "predicted")
+    percent = F.element_at(F.array(*[F.lit(float(p) * 100) for p in percentages]), F.col("_level") + 1)
+    return evaluate.regression_metrics(rows, ["_level"]).withColumn("mask_pct", percent).drop("_level")
 
 
 # ---------------------------------------------------------------- M9, M17, M18
@@ -213,33 +177,20 @@ def sparsity_study(df: DataFrame, key: str, features: Sequence[str], label: str,
 def r2_scores(df: DataFrame, key: str, features: Sequence[str], label: str, test_frac: float = 0.25,
               seed: int = 42, k: int = 5) -> DataFrame:
     """M9 OLS R^2 on the training rows, on the test rows, and the mean R^2
-    of a contiguous k-fold CV over the training rows."""
-    s = split.exact_split(df, key, test_frac, seed)
-    train, test = s.where(~F.col("is_test")), s.where("is_test")
-    model = ols(label).fit(assemble(train, features))
-
-    def r2(frame):
-        p = model.transform(assemble(frame, features)).select(
-            F.col(label).alias("actual"), F.col("prediction").alias("predicted"))
-        return evaluate.regression_metrics(p).first()["R2"]
-
-    cvf = split.contiguous_folds(train, key, k)
-    cv = []
-    for f in range(k):
-        tr, te = cvf.where(F.col("fold") != f), cvf.where(F.col("fold") == f)
-        mf = ols(label).fit(assemble(tr, features))
-        p = mf.transform(assemble(te, features)).select(F.col(label).alias("actual"),
-                                                         F.col("prediction").alias("predicted"))
-        cv.append(evaluate.regression_metrics(p).first()["R2"])
-    n_train, n_test = train.count(), test.count()
-    cv_ok = [v for v in cv if v is not None]
-
-    def fl(v):
-        return float(v) if v is not None else None
-
-    rows = [("r2_train", fl(r2(train))), ("r2_test", fl(r2(test))),
-            ("r2_cv_mean", sum(cv_ok) / len(cv_ok) if cv_ok else None),
-            ("n_train", float(n_train)), ("n_test", float(n_test))]
+    of a contiguous k-fold CV over the training rows: one pass over the
+    split table gives the sums of every fold, the rest is arithmetic."""
+    s = materialize(split.exact_split(df, key, test_frac, seed), "split")
+    folds = split.contiguous_folds(s.where(~F.col("is_test")), key, k)
+    # one group per training fold, -1 for the test rows
+    groups = moments.sums(folds.unionByName(s.where("is_test").withColumn("fold", F.lit(-1))), [*features, label], F.col("fold"))
+    test = groups.pop(-1, None)
+    train = moments.total(list(groups.values())) if groups else None
+    model = train.solve() if train else None
+    cv = [v for v in (g.r2(*(train - g).solve()) for g in groups.values()) if v is not None]
+    rows = [("r2_train", train.r2(*model) if train else None),
+            ("r2_test", test.r2(*model) if train and test else None),
+            ("r2_cv_mean", sum(cv) / len(cv) if cv else None),
+            ("n_train", float(train.rows if train else 0)), ("n_test", float(test.rows if test else 0))]
     return df.sparkSession.createDataFrame(rows, "metric string, value double")
 
 

@@ -10,9 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regionlens.operators import moments
 from regionlens.operators.clean import numeric_columns
 
 
@@ -80,14 +82,13 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """A7 Pearson correlation of every pair, pairwise-complete (each pair
-    skips rows where either side is NULL), all pairs in one aggregate."""
+    skips rows where either side is NULL): one pass of blocked products of
+    values and presence (`moments.sums`).  NULL without variance or two rows."""
     cols = list(cols or numeric_columns(df))
-    pairs = [(a, b) for a in cols for b in cols]
-    one = df.agg(*[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(f"_{k}")
-                   for k, (a, b) in enumerate(pairs)])
-    stack = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{k}").alias("r"))
-                      for k, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(stack))
+    found = moments.sums(df, cols, complete=False)
+    r = found[None].correlations() if found else np.full((len(cols), len(cols)), np.nan)
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def _range(df: DataFrame, col: str):

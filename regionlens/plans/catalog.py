@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionlens.functions import geo
 from regionlens.operators import cells as cl
-from regionlens.operators import clean, evaluate, panel, profile, raster, spatial, split
+from regionlens.operators import clean, evaluate, moments, panel, profile, raster, spatial, split
 from regionlens.plans.oracle import with_fixtures
+from regionlens.session import materialize
 from regionlens.sources import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -979,11 +981,13 @@ predictions AS (SELECT fa.fold, fa.target AS actual, co.b0 + co.b1 * fa.x1 + co.
 SELECT fold, round(MAE, 4) AS MAE, round(RMSE, 4) AS RMSE, round(R2, 6) AS R2, round(MAPE, 4) AS MAPE,
        mape_skipped, n FROM ({_metric_sql(group='fold')})""")
 def linear_cv(spark, d):
-    """M2 + M7 OLS under grouped 5-fold CV (scaler fitted per training
-    fold), per-fold metrics.  The oracle solves each fold's normal equations
+    """M2 + M7 OLS under grouped 5-fold CV from one table of fold sums (its
+    predictions do not depend on scaling), per-fold metrics.  The oracle solves each fold's normal equations
     from the totals minus the held-out fold's sums."""
-    from regionlens.operators import model as M
-    per_fold, _ = M.spatial_cv(_cv_frame(spark, d), "geoid", _XF, "target", lambda tr: M.ols("target"))
+    f = materialize(_cv_frame(spark, d), "folded")
+    models, _train = moments.cross_validate(f, _XF, "target")
+    per_fold = evaluate.regression_metrics(moments.predict_folds(f, _XF, models).select(
+        "fold", F.col("target").alias("actual"), "predicted"), ["fold"])
     return per_fold.select("fold", R("MAE"), R("RMSE"), R("R2", 6), R("MAPE"), "mape_skipped", "n")
 
 
@@ -995,10 +999,11 @@ def fold_importances(spark, d):
     """M10 importances of every fold of the grouped CV: |coefficient| of the
     linear model on scaled features, so the oracle multiplies each slope by
     its training fold's standard deviation."""
-    from regionlens.operators import model as M
-    models = []
-    M.spatial_cv(_cv_frame(spark, d), "geoid", _XF, "target", lambda tr: M.ols("target"), models=models)
-    return M.fold_importances(models, _XF, spark).select("fold", "feature", R("importance", 6))
+    models, train = moments.cross_validate(_cv_frame(spark, d), _XF, "target")
+    rows = [(f, x, float(abs(w) * dev)) for f, (ws, _b) in models.items()
+            for x, w, dev in zip(_XF, ws, np.sqrt(np.diag(train[f].cov())))]
+    return spark.createDataFrame(rows, "fold int, feature string, importance double").select(
+        "fold", "feature", R("importance", 6))
 
 
 _GRID_CTES = _GROUP_FOLD_CTES + """,
@@ -1030,14 +1035,13 @@ rf AS (SELECT lam, fold, sqrt(avg((actual - predicted) * (actual - predicted)))
 @query("grid_search", uses=("features",), ctes=_GRID_CTES, recursive=True, sql="""
 SELECT 'regParam=' || CAST(lam AS VARCHAR) AS params, round(avg(rmse), 4) AS rmse FROM rf GROUP BY lam""")
 def grid_search(spark, d):
-    """M8 grid search over the grouped folds: scaler inside the pipeline
-    (fitted per training fold), ridge penalty grid, mean RMSE per setting.
+    """M8 grid search over the grouped folds: features scaled per training
+    fold, ridge penalty grid, mean RMSE per setting, all from one table of fold sums.
     The oracle standardises each training fold from its sums and solves the
     penalised normal equations (effective penalty n * lambda / sd(y))."""
-    from regionlens.operators import model as M
-    res, _best = M.grid_search(_cv_frame(spark, d), _XF, "target", M.ridge_template("target"),
-                               {"regParam": [0.0, 0.1, 1.0]})
-    return res.select("params", R("rmse"))
+    scores, _best = moments.grid_search(_cv_frame(spark, d), _XF, "target", [0.0, 0.1, 1.0])
+    return spark.createDataFrame([(f"regParam={p}", e) for p, e in scores], "params string, rmse double").select(
+        "params", R("rmse"))
 
 
 @query("importances")
@@ -1138,7 +1142,7 @@ def sparsity_study(spark, d):
     equations of each masked and imputed table in SQL."""
     from regionlens.operators import model as M
     f = clean.median_impute(fx.features(spark, d), _XF)
-    res = M.sparsity_study(f, "geoid", _XF, "target", ["x2", "x3"], [0.0, 0.1, 0.3], lambda t: M.ols("target"))
+    res = M.sparsity_study(f, "geoid", _XF, "target", ["x2", "x3"], [0.0, 0.1, 0.3])
     t = evaluate.degradation_table(res, "mask_pct", 0.0)
     return t.select("mask_pct", "metric", R("initial", 6), R("degraded", 6), R("degradation_pct", 6))
 
