@@ -34,6 +34,7 @@ from regionlens.session import materialize
 
 DEFAULT_LIMIT = 200_000
 DEFAULT_BUCKETS = 4096
+_INF = float("inf")
 
 
 def _attach(base: DataFrame, targets: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
@@ -58,7 +59,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
                     limit: int = DEFAULT_LIMIT, buckets: int = DEFAULT_BUCKETS,
                     materialize_input: bool = False) -> DataFrame:
     """One row per (by..., q) with the exact interpolated quantile ``value``.
-    NULL / NaN values are skipped; a group without values yields no row.
+    NULL / NaN values are skipped; a group without values yields no row.  Infinite
+    values rank below and above all others, whatever the size of the group.
 
     ``materialize_input`` writes the narrow (group, value) input once to the
     checkpoint folder -- worth it when the input is itself a join (every
@@ -68,10 +70,11 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     base = df.where(v.isNotNull() & ~F.isnan(v)).select(*[F.col(f"`{b}`").alias(b) for b in by], v.alias("_v"))
     if materialize_input:
         base = materialize(base, "quantile-input")
-    stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
-                                   F.max("_v").alias("_hi")) if by else
-             base.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-             .where(F.col("_n") > 0))
+    # infinities are set aside by rank: the ranges to refine hold finite values only
+    finite = F.when(F.abs("_v") < _INF, F.col("_v"))
+    stats = base.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
+        F.count_if(F.col("_v") == -_INF).alias("_under"), F.count(finite).alias("_finite")).where(F.col("_n") > 0)
     stats = materialize(stats, "quantile-stats")
     big_groups = stats.where(F.col("_n") > limit)
     qarr = F.array(*[F.lit(float(q)) for q in qs])
@@ -95,9 +98,11 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
          .withColumn("_pos", (F.col("_n") - 1) * F.col("_q"))
          .withColumn("_which", F.explode(F.array(F.lit(0), F.lit(1))))
          .withColumn("_rank", F.when(F.col("_which") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")))
+         .withColumn("_beyond", F.when(F.col("_rank") < F.col("_under"), -_INF)
+                     .when(F.col("_rank") >= F.col("_under") + F.col("_finite"), _INF))
          .select(*by, "_qi", "_q", "_pos", "_which", "_rank",
-                 F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
-                 F.lit(0).cast("long").alias("below"), F.col("_n").alias("cnt")))
+                 F.coalesce("_beyond", "_lo").alias("lo"), F.coalesce("_beyond", "_hi").alias("hi"),
+                 F.col("_under").alias("below"), F.col("_finite").alias("cnt")))
     t = materialize(t, "quantile-targets")
     keys = [*by, "_qi", "_which"]
     tcols = ["_qi", "_which", "lo", "hi", "_rank", "below"]
@@ -112,8 +117,11 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
             raise ArithmeticError(f"values of {value} cannot be told apart by their distance")
         before = left
         j = _attach(base, big, by, tcols)
-        width = F.col("hi") - F.col("lo")
-        bkt = F.least(F.floor((F.col("_v") - F.col("lo")) / width * buckets), F.lit(buckets - 1))
+        # halves, as a difference of two finite numbers can be infinite
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        share = F.try_divide(F.col("_v") / 2 - F.col("lo") / 2, width)
+        bkt = F.when(F.col("_v") == F.col("hi"), buckets - 1).otherwise(
+            F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)))
         h = j.groupBy(*keys, "_rank", "below", bkt.alias("_b")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
         w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

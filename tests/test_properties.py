@@ -300,3 +300,14 @@ def test_cell_join_splits_hot_keys_of_both_sides(spark, how):
         assert sorted((r.a, r.b) for r in got) == pairs
     else:
         assert sorted(r.a for r in got) == sorted({a for a, _ in pairs})
+
+
+def test_quantiles_of_infinite_and_extreme_values(spark):
+    from regionlens.operators import quantile as Q
+    inf = float("inf")
+    for vals in ([*map(float, range(60)), inf], [-inf] * 20 + [inf] * 21 + [1.0, 2.0],
+                 [1.7e308 * (-1) ** i * (1 - i / 200) for i in range(40)], [0.0] * 10 + [5e-324] * 11):
+        df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(vals)], "g int, v double").repartition(3)
+        small = sorted(map(str, Q.exact_quantiles(df, "v", [0, 0.25, 0.5, 1.0], ["g"]).collect()))
+        big = sorted(map(str, Q.exact_quantiles(df, "v", [0, 0.25, 0.5, 1.0], ["g"], limit=3, buckets=64).collect()))
+        assert small == big
