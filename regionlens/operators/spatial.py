@@ -11,8 +11,6 @@ session's broadcast threshold.
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionlens.functions import geo
+from regionlens.operators import quadtree
 from regionlens.session import materialize
 
 _DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
@@ -323,39 +322,25 @@ def count_within(points: DataFrame, facilities: DataFrame, key: str,
                  px: str = "x", py: str = "y", fx: str = "x", fy: str = "y") -> DataFrame:
     """A12 facility counts per point, radius and type, zero-filled.
 
-    One J5 join at the largest radius (cell size = that radius, so the 3x3
-    cell block around a facility covers its whole disc); each smaller radius
-    is a conditional sum over the same pairs.  Facilities at the same spot and
-    of the same type are pre-aggregated into one weighted row, so copies do
-    not multiply the join.  Columns: ``{type}_count_{km}km``.
-    Facilities are used through their point (centroid), as the nearest-
+    The facilities' quadtree has top cells as wide as the largest radius; cells
+    wholly inside a disc are taken by their stored count and only those on a
+    rim are opened, for all radii together.  Facilities at the same spot and
+    of the same type are one weighted row, so copies do not multiply the
+    join.  Columns: ``{type}_count_{km}km``.  Points and facilities without finite
+    coordinates count nothing.  Facilities are used through their point (centroid), as the nearest-
     distance feature does.
     """
     names = _radius_names(radii)
-    rmax = float(max(radii))
-    fac = (facilities.where(F.col(type_col).isin(list(types)))
-           .groupBy(F.col(fx).alias("_fx"), F.col(fy).alias("_fy"), F.col(type_col).alias("_ft"))
-           .agg(F.count(F.lit(1)).alias("_w"))
-           .withColumn("_o", F.explode(_offsets9()))
-           .withColumn("_cx", _cell(F.col("_fx"), rmax) + F.col("_o.dx"))
-           .withColumn("_cy", _cell(F.col("_fy"), rmax) + F.col("_o.dy"))
-           .drop("_o"))
-    pts = (points.select(key, F.col(px).alias("_px"), F.col(py).alias("_py"))
-           .withColumn("_cx", _cell(F.col("_px"), rmax))
-           .withColumn("_cy", _cell(F.col("_py"), rmax)))
-
-    def within(l, r):
-        return (l["_px"] - r["_fx"]) ** 2 + (l["_py"] - r["_fy"]) ** 2 <= rmax * rmax
-
-    j = cell_join(pts, fac, ["_cx", "_cy"], "left", within).select(
-        key, "_ft", "_w", ((F.col("_px") - F.col("_fx")) ** 2 + (F.col("_py") - F.col("_fy")) ** 2).alias("_d2"))
-    aggs = []
-    for t in types:
-        for r, nm in zip(radii, names):
-            aggs.append(F.coalesce(F.sum(F.when((F.col("_ft") == t) & (F.col("_d2") <= float(r) ** 2),
-                                                F.col("_w"))), F.lit(0)).cast("long")
-                        .alias(f"{t.lower()}_count_{nm}"))
-    return j.groupBy(key).agg(*aggs)
+    spots = (facilities.where(F.col(type_col).isin(list(types)) & _finite(fx) & _finite(fy))
+             .groupBy(F.col(type_col).alias("t"), F.col(fx).cast("double").alias("fx"), F.col(fy).cast("double").alias("fy"))
+             .agg(F.count(F.lit(1)).alias("w"), F.lit(None).cast("bigint").alias("fid")))
+    tree = quadtree.build(materialize(spots, "spots"), float(max(radii)))
+    pts = points.select(key, F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py"))
+    hits = quadtree.count_in_discs(pts.where(_finite("px") & _finite("py")), tree, key, [float(r) for r in radii])
+    every = pts.select(key, F.lit(None).cast("string").alias("t"), *[F.lit(0).cast("long").alias(f"c{i}") for i in range(len(names))])
+    return hits.unionByName(every).groupBy(key).agg(*[
+        F.coalesce(F.sum(F.when(F.col("t") == t, F.col(f"c{i}"))), F.lit(0)).cast("long").alias(f"{t.lower()}_count_{nm}")
+        for t in types for i, nm in enumerate(names)])
 
 
 # ---------------------------------------------------------------- J7
@@ -369,98 +354,31 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
                      px: str = "x", py: str = "y", fx: str = "x", fy: str = "y") -> DataFrame:
     """J7 / W8 nearest facility of each type per point, exact.
 
-    Level-doubling grid search.  For each type the base cell is sized so a
-    cell holds about one facility; at level k the cell is ``base * 2**k`` and
-    a point looks at the 3x3 cells around it.  All facilities within one cell
-    width are then guaranteed to be candidates, so a best candidate with
-    ``dist <= cell`` is final; other points move to the next level (their
-    set is written to the checkpoint folder to cut lineage).  Once a cell
-    is as wide as the point's largest axis distance to the facility box,
-    every facility is a candidate and the point is final.  Per point the
-    candidate list is a 3x3 block at every level -- no all-pairs join.
-    Output: ``key`` + ``nearest_{type}_dist`` (NULL when a type has no
-    facility) + ``nearest_{type}_id``.  Points and facilities without finite
-    coordinates take no part: such a point has NULLs.  The search goes on
-    until every other point is settled, which the last rule ensures.
+    A quadtree of the facilities (one spot per type and place, with its
+    smallest id) is searched from the top: at each level the cells that begin
+    beyond the nearest cell's farthest place are dropped, so a point meets the
+    spots of a few leaves.  Output: ``key`` + ``nearest_{type}_dist`` (NULL
+    when a type has no facility) + ``nearest_{type}_id``.  Points and
+    facilities without finite coordinates take no part: such a point has
+    NULLs.
     """
-    # facilities at one spot collapse to one candidate (the smallest id); the
-    # deduplicated table is read at every level, so it is written once
-    fac = materialize(facilities.where(F.col(type_col).isin(list(types)) & _finite(fx) & _finite(fy))
-                      .groupBy(F.col(type_col).alias("_t"), F.col(fx).alias("_fx"), F.col(fy).alias("_fy"))
-                      .agg(F.min(fac_id).alias("_fid")), "nearest-fac")
-    stats = {r["_t"]: r for r in fac.groupBy("_t").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_fx").alias("x0"), F.max("_fx").alias("x1"),
-        F.min("_fy").alias("y0"), F.max("_fy").alias("y1")).collect()}
-    present = [t for t in types if t in stats]
-    base, box = {}, {}
-    for t in present:
-        st = stats[t]
-        w = max(st["x1"] - st["x0"], st["y1"] - st["y0"], 1.0)
-        base[t] = max(math.sqrt(w * w / st["n"]), 1.0)
-        box[t] = (st["x0"], st["y0"], st["x1"], st["y1"])
-    # the facility side has the same rows at every level (plus two key
-    # columns): its size follows from the per-type counts just collected
-    fac_bytes = sum(stats[t]["n"] for t in present) * (_flat_row_bytes(fac.schema) + 24)
-
-    out_cols = [key]
-    for t in types:
-        out_cols += [f"nearest_{t.lower()}_dist", f"nearest_{t.lower()}_id"]
-    base_keys = points.select(key)
-    if not present:
-        return base_keys.select(key, *[F.lit(None).cast("double" if c.endswith("dist") else "long")
-                                       .alias(c) for c in out_cols[1:]])
-
-    base_map = F.create_map(*[x for t in present for x in (F.lit(t), F.lit(base[t]))])
-    def box_map(i):
-        return F.create_map(*[x for t in present for x in (F.lit(t), F.lit(float(box[t][i])))])
-
-    bx0, by0, bx1, by1 = box_map(0), box_map(1), box_map(2), box_map(3)
-    # a 3x3 block of cells of width c covers every facility once c reaches
-    # the point's largest axis distance to the facility box
-    reach = F.greatest(F.abs(F.col("_px") - F.element_at(bx0, F.col("_t"))),
-                       F.abs(F.col("_px") - F.element_at(bx1, F.col("_t"))),
-                       F.abs(F.col("_py") - F.element_at(by0, F.col("_t"))),
-                       F.abs(F.col("_py") - F.element_at(by1, F.col("_t"))))
-    unresolved = (points.where(_finite(px) & _finite(py)).select(key, F.col(px).alias("_px"), F.col(py).alias("_py"))
-                  .withColumn("_t", F.explode(F.array(*[F.lit(t) for t in present]))))
-    found = []
-    for level in itertools.count():
-        cell = F.element_at(base_map, F.col("_t")) * float(2 ** level)
-        p = (unresolved.withColumn("_c", cell)
-             .withColumn("_o", F.explode(_offsets9()))
-             .withColumn("_kx", F.floor(F.col("_px") / F.col("_c")) + F.col("_o.dx"))
-             .withColumn("_ky", F.floor(F.col("_py") / F.col("_c")) + F.col("_o.dy"))
-             .drop("_o"))
-        f = (fac.withColumn("_c", cell)
-             .withColumn("_kx", F.floor(F.col("_fx") / F.col("_c")))
-             .withColumn("_ky", F.floor(F.col("_fy") / F.col("_c")))
-             .drop("_c"))
-        d2 = ((F.col("_px") - F.col("_fx")) ** 2) + ((F.col("_py") - F.col("_fy")) ** 2)
-        cand = cell_join(p, f, ["_t", "_kx", "_ky"], "left", right_bytes=fac_bytes).select(
-            key, "_t", "_c", "_px", "_py",
-            F.when(F.col("_fid").isNotNull(),
-                   F.struct(d2.alias("d2"), F.col("_fid").alias("fid"))).alias("_b"))
-        best = (cand.groupBy(key, "_t")
-                .agg(F.min("_b").alias("_b"), F.first("_c").alias("_c"),
-                     F.first("_px").alias("_px"), F.first("_py").alias("_py"))
-                .withColumn("_ok", F.col("_b").isNotNull()
-                            & ((F.col("_b.d2") <= F.col("_c") * F.col("_c"))
-                               | (F.col("_c") >= reach))))
-        best = materialize(best, "nearest-level")
-        found.append(best.where("_ok").select(key, "_t", F.sqrt("_b.d2").alias("_d"),
-                                              F.col("_b.fid").alias("_id")))
-        unresolved = best.where(~F.col("_ok")).select(key, "_px", "_py", "_t")
-        if unresolved.isEmpty():
-            break
-    res = found[0]
-    for d in found[1:]:
-        res = res.unionByName(d)
+    spots = materialize(facilities.where(F.col(type_col).isin(list(types)) & _finite(fx) & _finite(fy))
+                        .groupBy(F.col(type_col).alias("t"), F.col(fx).cast("double").alias("fx"), F.col(fy).cast("double").alias("fy"))
+                        .agg(F.min(fac_id).alias("fid"), F.lit(1).cast("long").alias("w")), "nearest-spots")
+    st = spots.agg(F.min("fx").alias("x0"), F.max("fx").alias("x1"), F.min("fy").alias("y0"), F.max("fy").alias("y1")).first()
+    named = [f"nearest_{t.lower()}_{c}" for t in types for c in ("dist", "id")]
+    if st["x0"] is None:
+        return points.select(key, *[F.lit(None).cast("double" if c.endswith("dist") else "long").alias(c) for c in named])
+    # a little wider than the extent, so that the far border is inside the top cell
+    size = max(st["x1"] - st["x0"], st["y1"] - st["y0"], 1.0) * (1 + 1e-6)
+    tree = quadtree.build(spots, size, st["x0"], st["y0"], leaf=8)
+    pts = points.select(key, F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py"))
+    best = quadtree.nearest_spots(pts.where(_finite("px") & _finite("py")), tree, key, list(types))
     aggs = []
     for t in types:
-        aggs.append(F.max(F.when(F.col("_t") == t, F.col("_d"))).alias(f"nearest_{t.lower()}_dist"))
-        aggs.append(F.max(F.when(F.col("_t") == t, F.col("_id"))).alias(f"nearest_{t.lower()}_id"))
-    wide = res.groupBy(key).agg(*aggs)
-    return base_keys.join(wide, key, "left").select(*out_cols)
+        own = F.min(F.when(F.col("t") == t, F.struct("d2", "fid")))
+        aggs += [F.sqrt(own["d2"]).alias(f"nearest_{t.lower()}_dist"), own["fid"].alias(f"nearest_{t.lower()}_id")]
+    return points.select(key).join(best.groupBy(key).agg(*aggs), key, "left").select(key, *named)
 
 
 # ---------------------------------------------------------------- J6 / G6
