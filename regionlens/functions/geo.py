@@ -88,18 +88,6 @@ def point_in_edges(edges, x, y) -> Column:
     return F.expr(_pip_sql(_s(edges), _s(x), _s(y)))
 
 
-def within_distance(x1, y1, x2, y2, r) -> Column:
-    """G7 buffer-of-point intersects, as ``d^2 <= r^2`` (no polygon built)."""
-    dx = _c(x1) - _c(x2)
-    dy = _c(y1) - _c(y2)
-    return dx * dx + dy * dy <= F.lit(float(r) * float(r))
-
-
-def distance(x1, y1, x2, y2) -> Column:
-    """G10 Euclidean distance."""
-    return F.hypot(_c(x1) - _c(x2), _c(y1) - _c(y2))
-
-
 def is_empty(rings) -> Column:
     """F12 empty-geometry test (after a clip)."""
     return F.coalesce(F.size(_c(rings)), F.lit(0)) <= 0
@@ -175,8 +163,9 @@ def repair_rings(rings) -> Column:
 
 
 def is_valid(rings) -> Column:
-    """G9 validity flag: every ring closed, >= 4 vertices, non-zero area."""
-    return F.expr(f"forall({_s(rings)}, rv_ -> size(rv_) >= 4 AND element_at(rv_, 1) = element_at(rv_, -1) "
+    """G9 ring shape: every ring closed, >= 4 vertices, non-zero area.  Crossings and
+    holes outside their shell are found by ``operators.validity``."""
+    return F.expr(f"size({_s(rings)}) > 0 AND forall({_s(rings)}, rv_ -> size(rv_) >= 4 AND element_at(rv_, 1) = element_at(rv_, -1) "
                   f"AND {_signed_area_sql('rv_')} <> 0)")
 
 
@@ -191,11 +180,6 @@ def _cut_params_sql(ax, ay, bx, by, edges) -> str:
             "c_ -> c_.s >= 0 AND c_.s <= 1 AND c_.t > 0 AND c_.t < 1), c_ -> c_.t)")
 
 
-def segment_cut_params(ax, ay, bx, by, edges) -> Column:
-    """Parameters t in (0,1) where segment A->B crosses polygon edges."""
-    return F.expr(_cut_params_sql(_s(ax), _s(ay), _s(bx), _s(by), _s(edges)))
-
-
 def segment_cuts(ax, ay, bx, by, edges) -> Column:
     """Sorted cut parameters of segment A->B, with 0 and 1 at the ends."""
     return F.expr(f"array_sort(concat(array(0.0D), "
@@ -222,6 +206,16 @@ def clipped_segment_length(ax, ay, bx, by, edges, cuts=None) -> Column:
                   f"THEN (pc2_.t1 - pc2_.t0) * hypot({bx} - {ax}, {by} - {ay}) ELSE 0.0D END)")
 
 
+def inside_intervals(ax, ay, bx, by, edges, cuts) -> Column:
+    """G8 the intervals [t0, t1] of segment A->B between consecutive ``cuts`` whose midpoint is
+    inside the polygon (half-open test), as ``array<struct<t0,t1>>``."""
+    ax, ay, bx, by, edges, ts = (_s(v) for v in (ax, ay, bx, by, edges, cuts))
+    mx = f"({ax} + (pi_.t0 + pi_.t1) / 2 * ({bx} - {ax}))"
+    my = f"({ay} + (pi_.t0 + pi_.t1) / 2 * ({by} - {ay}))"
+    return F.expr(f"filter(zip_with(slice({ts}, 1, size({ts}) - 1), slice({ts}, 2, size({ts}) - 1), "
+                  f"(u0_, u1_) -> named_struct('t0', u0_, 't1', u1_)), pi_ -> pi_.t1 > pi_.t0 AND {_pip_sql(edges, mx, my)})")
+
+
 # ---------------------------------------------------------------- G1 UTM
 
 # WGS84 ellipsoid and UTM scale / offsets.
@@ -232,25 +226,32 @@ UTM_FALSE_EASTING = 500000.0
 UTM_FALSE_NORTHING_SOUTH = 10000000.0
 
 
-def utm_zone_of(lon) -> Column:
-    return (F.floor((_c(lon) + 180.0) / 6.0) + 1).cast("int")
+_N = WGS84_F / (2.0 - WGS84_F)
+_RADIUS = WGS84_A / (1.0 + _N) * (1.0 + _N * _N / 4.0 + _N ** 4 / 64.0)
+
 
+def _zone_terms(zone, north) -> tuple[Column, Column]:
+    """Central meridian in radians and false northing, of numbers or columns."""
+    z = zone if isinstance(zone, Column) else F.lit(zone)
+    n = north if isinstance(north, Column) else F.lit(north)
+    return F.radians(z * 6.0 - 183.0), F.when(n, 0.0).otherwise(UTM_FALSE_NORTHING_SOUTH)
 
-def to_utm(lon, lat, zone: int, north: bool = True) -> Column:
+
+def to_utm(lon, lat, zone, north=True) -> Column:
     """G1 WGS84 lon/lat (degrees) -> UTM easting/northing (metres).
 
     Krueger series to third order in n (sub-millimetre inside a zone), as
-    plain column arithmetic.  Returns ``struct<x,y>``.
+    plain column arithmetic; ``zone`` and ``north`` may be columns.  Returns
+    ``struct<x,y>``.
     """
-    n = WGS84_F / (2.0 - WGS84_F)
-    big_a = WGS84_A / (1.0 + n) * (1.0 + n * n / 4.0 + n ** 4 / 64.0)
+    n = _N
     alpha = [n / 2.0 - 2.0 * n * n / 3.0 + 5.0 * n ** 3 / 16.0,
              13.0 * n * n / 48.0 - 3.0 * n ** 3 / 5.0,
              61.0 * n ** 3 / 240.0]
     c = 2.0 * math.sqrt(n) / (1.0 + n)
-    lam0 = math.radians(zone * 6.0 - 183.0)
+    lam0, false_north = _zone_terms(zone, north)
     phi = F.radians(_c(lat))
-    dlam = F.radians(_c(lon)) - F.lit(lam0)
+    dlam = F.radians(_c(lon)) - lam0
     t = F.sinh(F.atanh(F.sin(phi)) - c * F.atanh(c * F.sin(phi)))
     xi = F.atan2(t, F.cos(dlam))
     eta = F.atanh(F.sin(dlam) / F.sqrt(1.0 + t * t))
@@ -259,15 +260,62 @@ def to_utm(lon, lat, zone: int, north: bool = True) -> Column:
     for j, a_j in enumerate(alpha, start=1):
         east = east + a_j * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
         north_ = north_ + a_j * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta)
-    x = UTM_FALSE_EASTING + UTM_K0 * big_a * east
-    y = UTM_K0 * big_a * north_ + (0.0 if north else UTM_FALSE_NORTHING_SOUTH)
+    x = UTM_FALSE_EASTING + UTM_K0 * _RADIUS * east
+    y = UTM_K0 * _RADIUS * north_ + false_north
     return F.struct(x.alias("x"), y.alias("y"))
 
 
-def reproject_rings(rings, zone: int, north: bool = True) -> Column:
+def from_utm(x, y, zone, north=True) -> Column:
+    """G1 UTM easting/northing (metres) -> WGS84 lon/lat (degrees), ``struct<x,y>``: the inverse
+    series to third order in n."""
+    n = _N
+    beta = [n / 2.0 - 2.0 * n * n / 3.0 + 37.0 * n ** 3 / 96.0, n * n / 48.0 + n ** 3 / 15.0, 17.0 * n ** 3 / 480.0]
+    delta = [2.0 * n - 2.0 * n * n / 3.0 - 2.0 * n ** 3, 7.0 * n * n / 3.0 - 8.0 * n ** 3 / 5.0, 56.0 * n ** 3 / 15.0]
+    lam0, false_north = _zone_terms(zone, north)
+    xi = (_c(y) - false_north) / (UTM_K0 * _RADIUS)
+    eta = (_c(x) - UTM_FALSE_EASTING) / (UTM_K0 * _RADIUS)
+    xi1, eta1 = xi, eta
+    for j, b in enumerate(beta, start=1):
+        xi1 = xi1 - b * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta)
+        eta1 = eta1 - b * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    phi = chi
+    for j, d in enumerate(delta, start=1):
+        phi = phi + d * F.sin(2.0 * j * chi)
+    lon = F.degrees(lam0 + F.atan2(F.sinh(eta1), F.cos(xi1)))
+    return F.struct(lon.alias("x"), F.degrees(phi).alias("y"))
+
+
+def utm_code(lon, lat) -> Column:
+    """EPSG code of the UTM zone of a WGS84 point: 32601 to 32660 north, 32701 to 32760 south."""
+    zone = F.floor((_c(lon) + 180.0) / 6.0) % 60 + 1
+    return (F.when(_c(lat) >= 0, 32600).otherwise(32700) + zone).cast("int")
+
+
+def to_crs(x, y, source, target: int) -> Column:
+    """G1 a point in the system of ``source`` (EPSG code, a column) in that of ``target``.
+
+    Known systems are WGS84 lon/lat (4326) and its UTM zones (326zz, 327zz).  A missing
+    code is taken to be ``target`` already, equal codes change nothing, and an unknown code
+    gives NULL.  Returns ``struct<x,y>``.
+    """
+    def utm(code):
+        return code % 100, F.floor(code / 100) == 326 if isinstance(code, Column) else code // 100 == 326
+
+    if target != 4326 and not (target // 100 in (326, 327) and 1 <= target % 100 <= 60):
+        raise ValueError(f"unknown system {target}")
+    s = _c(source)
+    here = F.struct(_c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"))
+    in_utm = F.floor(s / 100).isin(326, 327) & (s % 100).between(1, 60)
+    degrees = F.when(s == 4326, here).when(in_utm, from_utm(x, y, *utm(s)))
+    # a one-element array binds the degrees, which the projection uses many times
+    moved = degrees if target == 4326 else F.transform(F.array(degrees), lambda q: to_utm(q.x, q.y, *utm(target)))[0]
+    return F.when(s.isNull() | (s == target), here).when((s == 4326) | in_utm, moved)
+
+
+def rings_to_crs(rings, source, target: int) -> Column:
     """G1 on every vertex of a polygon."""
-    return F.transform(_c(rings), lambda r: F.transform(
-        r, lambda p: to_utm(p.x, p.y, zone, north)))
+    return F.transform(_c(rings), lambda r: F.transform(r, lambda p: to_crs(p.x, p.y, source, target)))
 
 
 # ---------------------------------------------------------------- raster

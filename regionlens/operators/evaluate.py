@@ -92,13 +92,14 @@ def confusion(pred: DataFrame, threshold: float, actual: str = "actual",
 
 # ---------------------------------------------------------------- subgroups
 
-def urban_rural(pred: DataFrame, density: str) -> DataFrame:
+def urban_rural(pred: DataFrame, density: str, whole: DataFrame | None = None) -> DataFrame:
     """X7 + F17 + A19 urban/rural MAE and RMSE: urban when density is above
-    the global median (ties and NULL density -> rural).  The median is one
-    scalar aggregate applied as a literal (J11)."""
+    the median density of ``whole``, the feature matrix that the predicted rows
+    are part of (default: the predicted rows themselves); ties and NULL density
+    -> rural.  The median is one scalar aggregate applied as a literal (J11)."""
     from regionlens.operators.quantile import global_quantiles
 
-    med = global_quantiles(pred, [density], [0.5]).get((density, 0.5))
+    med = global_quantiles(pred if whole is None else whole, [density], [0.5]).get((density, 0.5))
     cls = F.when(F.col(density) > F.lit(med), F.lit("urban")).otherwise(F.lit("rural")) \
         if med is not None else F.lit("rural")
     e = F.col("actual") - F.col("predicted")

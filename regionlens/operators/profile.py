@@ -142,29 +142,46 @@ def kde_curve(df: DataFrame, col: str, points: int = 100) -> DataFrame:
                        (F.col("_s") * F.lit(norm) * F.lit(hi - lo)).alias("density_x_range"))
 
 
+def _quartiles(base: DataFrame, group: str) -> DataFrame:
+    """q1, median, q3, iqr per group of ``base`` (group, _v), and the fences 1.5 IQR beyond the quartiles, stored."""
+    from regionlens.operators.quantile import exact_quantiles
+    from regionlens.session import materialize
+
+    ql = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], [group])
+    q = ql.groupBy(group).agg(F.max(F.when(F.col("q") == 0.25, F.col("_v"))).alias("q1"),
+                              F.max(F.when(F.col("q") == 0.5, F.col("_v"))).alias("median"),
+                              F.max(F.when(F.col("q") == 0.75, F.col("_v"))).alias("q3"))
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    return materialize(q.withColumns({"_lo": F.col("q1") - 1.5 * F.col("iqr"), "_hi": F.col("q3") + 1.5 * F.col("iqr")}),
+                       "quartiles")
+
+
 def boxplot_stats(df: DataFrame, group: str, col: str) -> DataFrame:
     """A25 per group: quartiles, whiskers at the most extreme values within
     1.5 IQR, and the number of outliers.  Two aggregates: quartiles per group,
     then whiskers and outlier counts; the quartiles are joined back by
     broadcast if measured small, else with hot groups split."""
+    from regionlens.operators.spatial import cell_join
+
     v = _q(col).cast("double")
     base = df.where(v.isNotNull() & _q(group).isNotNull()).select(_q(group).alias(group), v.alias("_v"))
-    from regionlens.operators.quantile import exact_quantiles
+    j = cell_join(base, _quartiles(base, group), [group])
+    return j.groupBy(group, "q1", "median", "q3", "iqr").agg(
+        F.min(F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))).alias("whisker_lo"),
+        F.max(F.when(F.col("_v") <= F.col("_hi"), F.col("_v"))).alias("whisker_hi"),
+        F.count_if((F.col("_v") < F.col("_lo")) | (F.col("_v") > F.col("_hi"))).alias("n_outliers"))
+
+
+def boxplot_outliers(df: DataFrame, group: str, col: str) -> DataFrame:
+    """A25 the rows of ``df`` whose value lies more than 1.5 IQR beyond its group's quartiles.
+    Rows without a group or value are none."""
     from regionlens.operators.spatial import cell_join
-    from regionlens.session import materialize
 
-    ql = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], [group])
-    q = ql.groupBy(group).agg(F.max(F.when(F.col("q") == 0.25, F.col("_v"))).alias("q1"),
-                              F.max(F.when(F.col("q") == 0.5, F.col("_v"))).alias("median"),
-                              F.max(F.when(F.col("q") == 0.75, F.col("_v"))).alias("q3"))
-    q = materialize(q.withColumn("iqr", F.col("q3") - F.col("q1")), "quartiles")
-    lo_f = F.col("q1") - 1.5 * F.col("iqr")
-    hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    j = cell_join(base, q, [group])
-    return j.groupBy(group, "q1", "median", "q3", "iqr").agg(
-        F.min(F.when(F.col("_v") >= lo_f, F.col("_v"))).alias("whisker_lo"),
-        F.max(F.when(F.col("_v") <= hi_f, F.col("_v"))).alias("whisker_hi"),
-        F.count_if((F.col("_v") < lo_f) | (F.col("_v") > hi_f)).alias("n_outliers"))
+    v = _q(col).cast("double")
+    rows = df.where(v.isNotNull() & _q(group).isNotNull())
+    q = _quartiles(rows.select(_q(group).alias(group), v.alias("_v")), group).select(group, "_lo", "_hi")
+    out = cell_join(rows, q, [group])
+    return out.where((v < F.col("_lo")) | (v > F.col("_hi"))).select(*[_q(c) for c in df.columns])
 
 
 def symmetric_range(df: DataFrame, col: str) -> DataFrame:

@@ -226,7 +226,14 @@ def bilinear_warp(grid: DataFrame, factor_x: float, factor_y: float, value: str
     # centre of target pixel in source pixel units, then to source-centre grid
     sr = F.lit(float(ext["r0"])) + (F.col("trow") + 0.5) * factor_y - 0.5
     sc = F.lit(float(ext["c0"])) + (F.col("tcol") + 0.5) * factor_x - 0.5
-    t = tgt.select("trow", "tcol", sr.alias("_sr"), sc.alias("_sc"))
+    return _bilinear(tgt.select("trow", "tcol", sr.alias("_sr"), sc.alias("_sc")), grid, value).drop("weight")
+
+
+def _bilinear(tgt: DataFrame, grid: DataFrame, value: str) -> DataFrame:
+    """row, col, value and weight of target pixels (trow, tcol) whose centres lie at the fractional
+    source place (_sr, _sc): the normalised sum over the neighbours that exist and are valid, and
+    the sum of their weights (NULL when none is)."""
+    t = tgt
     t = t.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                                           for a in (0, 1) for b in (0, 1)])).alias("_n"))
     t = t.select("trow", "tcol", F.col("_n.a").alias("_a"), F.col("_n.b").alias("_b"),
@@ -254,6 +261,37 @@ def bilinear_warp(grid: DataFrame, factor_x: float, factor_y: float, value: str
         wn = F.coalesce(F.col(f"_w{a}{b}"), F.lit(0.0))
         num = pn if num is None else num + pn
         den = wn if den is None else den + wn
-    return (tgt.join(agg, ["trow", "tcol"], "left")
+    return (tgt.select("trow", "tcol").join(agg.select("trow", "tcol", num.alias("_num"), den.alias("_den")), ["trow", "tcol"], "left")
             .select(F.col("trow").alias("row"), F.col("tcol").alias("col"),
-                    F.try_divide(num, den).alias(value)))
+                    F.try_divide("_num", "_den").alias(value), F.col("_den").alias("weight")))
+
+
+def reproject(grid: DataFrame, zone: int, res: float, lon0: float, dlon: float, lat0: float, dlat: float,
+              north: bool = True, edge_points: int = 21, value: str = "value") -> DataFrame:
+    """G12 a lon/lat raster onto a UTM grid of square pixels of ``res`` metres, bilinear.
+
+    The source pixel (row, col) covers lon0 + col dlon .. and lat0 + row dlat ...  The target's
+    bounds are those of the source's edges, of which ``edge_points`` places a side are
+    projected (edges are curved in the target), widened to whole pixels; each target pixel's
+    centre is traced back and meets its four neighbours in an equi-join.  Output: row and
+    col (from the lower left), the value, NULL where no valid neighbour is, and weight,
+    the share of the neighbours that was valid.  An empty raster gives an empty one.
+    """
+    spark = grid.sparkSession
+    e = grid.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).first()
+    if e["r0"] is None or e["c0"] is None:
+        return spark.createDataFrame([], f"row bigint, col bigint, {value} double, weight double")
+    x0, x1 = lon0 + e["c0"] * dlon, lon0 + (e["c1"] + 1) * dlon
+    y0, y1 = lat0 + e["r0"] * dlat, lat0 + (e["r1"] + 1) * dlat
+    share = [i / (edge_points - 1) for i in range(edge_points)]
+    edge = [(x0 + (x1 - x0) * s, y) for s in share for y in (y0, y1)] + [(x, y0 + (y1 - y0) * s) for s in share for x in (x0, x1)]
+    b = (spark.createDataFrame(edge, "lon double, lat double").select(geo.to_utm("lon", "lat", zone, north).alias("p"))
+         .agg(F.min("p.x").alias("x0"), F.max("p.x").alias("x1"), F.min("p.y").alias("y0"), F.max("p.y").alias("y1")).first())
+    left, low = math.floor(b["x0"] / res), math.floor(b["y0"] / res)
+    w, h = math.ceil(b["x1"] / res) - left, math.ceil(b["y1"] / res) - low
+    # whole pixels, spread over the session's tasks
+    tgt = spark.range(w * h).select((F.expr(f"id div {w}")).alias("trow"), (F.col("id") % w).alias("tcol"))
+    at = tgt.withColumn("_g", geo.from_utm(F.lit(left * res) + (F.col("tcol") + 0.5) * res,
+                                           F.lit(low * res) + (F.col("trow") + 0.5) * res, zone, north))
+    at = at.select("trow", "tcol", ((F.col("_g.y") - lat0) / dlat - 0.5).alias("_sr"), ((F.col("_g.x") - lon0) / dlon - 0.5).alias("_sc"))
+    return _bilinear(at, grid, value)

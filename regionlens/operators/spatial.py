@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -407,12 +407,25 @@ def clip_segments_to_zones(segments: DataFrame, zones: DataFrame, zone_cols: Seq
     whose midpoints are inside.  Output: seg_cols + zone_cols + ``length``
     (0 for a pair whose boxes overlap but whose segment misses the zone).
     """
+    j = _cut_segments(segments, zones, zone_cols, cell_size, rings)
+    j = j.withColumn("length", geo.clipped_segment_length("ax", "ay", "bx", "by", "_edges", "_cuts"))
+    # no row filter on length here: Catalyst would push it into the join
+    # condition and evaluate the clip twice; pairs whose boxes overlap but
+    # whose line misses the zone carry length 0 and vanish in the sums
+    return j.select(*seg_cols, *zone_cols, "length")
+
+
+def _cut_segments(segments: DataFrame, zones: DataFrame, zone_cols: Sequence[str], cell_size: float,
+                  rings: str) -> DataFrame:
+    """Pairs of segment and zone whose boxes overlap, each once, with the zone's ``_edges`` and the
+    parameters at which these cut the segment (``_cuts``)."""
     zc = _zone_cells_full(zones.select(*zone_cols, rings), cell_size, rings)
     s = (segments
          .withColumn("_scx0", _cell(F.least("ax", "bx"), cell_size))
          .withColumn("_scy0", _cell(F.least("ay", "by"), cell_size))
          .withColumn("_cx", F.explode(F.sequence("_scx0", _cell(F.greatest("ax", "bx"), cell_size))))
          .withColumn("_cy", F.explode(F.sequence("_scy0", _cell(F.greatest("ay", "by"), cell_size)))))
+
     def first_shared_cell_and_overlap(l, r):
         # evaluate each (segment, zone) pair only in the lower-left shared
         # cell, and only when the boxes overlap (cheap arithmetic first)
@@ -422,12 +435,49 @@ def clip_segments_to_zones(segments: DataFrame, zones: DataFrame, zone_cols: Seq
 
     j = cell_join(s, zc, ["_cx", "_cy"], "inner", first_shared_cell_and_overlap, ["_edges"])
     # cuts in their own projection: the clip references them several times
-    j = j.withColumn("_cuts", geo.segment_cuts("ax", "ay", "bx", "by", "_edges"))
-    j = j.withColumn("length", geo.clipped_segment_length("ax", "ay", "bx", "by", "_edges", "_cuts"))
-    # no row filter on length here: Catalyst would push it into the join
-    # condition and evaluate the clip twice; pairs whose boxes overlap but
-    # whose line misses the zone carry length 0 and vanish in the sums
-    return j.select(*seg_cols, *zone_cols, "length")
+    return j.withColumn("_cuts", geo.segment_cuts("ax", "ay", "bx", "by", "_edges"))
+
+
+def clip_lines(lines: DataFrame, boundary: DataFrame, line_id: str, cell_size: float, line_col: str = "line",
+               rings: str = "rings") -> DataFrame:
+    """J9 / G8 the part of each line inside the union of ``boundary``'s polygons, as ordered pieces:
+    ``line_id``, piece (from 0), line and length.
+
+    Along each segment the intervals inside any polygon are merged, so
+    overlapping polygons do not count a stretch twice; intervals that meet at a
+    vertex are stitched together.  A line that misses the boundary has no
+    row, a multi-part line (``array<array<point>>``) is never stitched across its
+    parts.  Rows that share an id count as one line's parts only if their
+    column is nested; ids of plain lines must differ.
+    """
+    multi = isinstance(lines.schema[line_col].dataType.elementType, T.ArrayType)
+    segs = explode_line_segments(lines.select(line_id, line_col), line_col)
+    if not multi:
+        segs = segs.withColumn("part", F.lit(0))
+    cut = _cut_segments(segs, boundary.select(rings), [], cell_size, rings)
+    own = [line_id, "part", "seg", "ax", "ay", "bx", "by"]
+    spans = cut.select(*own, F.inline(geo.inside_intervals("ax", "ay", "bx", "by", "_edges", "_cuts")))
+    # merge along each segment
+    before = Window.partitionBy(line_id, "part", "seg").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(line_id, "part", "seg").orderBy("t0", "t1")
+    spans = (spans.withColumn("_new", (F.col("t0") > F.coalesce(F.max("t1").over(before), F.lit(-1.0))).cast("int"))
+             .withColumn("_run", F.sum("_new").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+             .groupBy(*own, "_run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")))
+    # stitch runs that end at a vertex to those that begin there
+    along = Window.partitionBy(line_id).orderBy("part", "seg", "t0")
+    last = lambda c: F.lag(c).over(along)
+    joined = ((F.col("t0") == 0.0) & (last("t1") == 1.0) & (last("part") == F.col("part")) & (last("seg") == F.col("seg") - 1))
+    runs = (spans.withColumn("_new", (~F.coalesce(joined, F.lit(False))).cast("int"))
+            .withColumn("piece", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1))
+    at = lambda t: geo.point(F.col("ax") + F.col(t) * (F.col("bx") - F.col("ax")),
+                             F.col("ay") + F.col(t) * (F.col("by") - F.col("ay")))
+    step = F.struct("seg", "t0", at("t0").alias("a"), F.when(F.col("t1") == 1.0, geo.point(F.col("bx"), F.col("by")))
+                    .otherwise(at("t1")).alias("b"),
+                    ((F.col("t1") - F.col("t0")) * F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("l"))
+    out = runs.groupBy(line_id, "piece").agg(F.array_sort(F.collect_list(step)).alias("_s"))
+    return out.select(line_id, F.col("piece").cast("int").alias("piece"),
+                      F.concat(F.array(F.col("_s")[0]["a"]), F.transform("_s", lambda s: s["b"])).alias("line"),
+                      F.aggregate("_s", F.lit(0.0), lambda x, s: x + s["l"]).alias("length"))
 
 
 def road_length_per_zone(segments: DataFrame, zones: DataFrame, key: str, cell_size: float,

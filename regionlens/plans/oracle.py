@@ -55,7 +55,7 @@ FIXTURES: list[tuple[str, tuple[str, ...], str]] = [
                      CAST(floor(y / 20000.0) AS BIGINT) AS zj FROM pixels) p
         JOIN zones z ON p.zi = z.zi AND p.zj = z.zj"""),
     ("grid", (), """
-        SELECT CAST(l_linenumber AS BIGINT) AS "row", CAST(l_orderkey % 200 AS BIGINT) AS col,
+        SELECT CAST(l_linenumber AS BIGINT) AS "row", CAST(l_orderkey // 8 AS BIGINT) AS col,
                avg(l_quantity) AS value
         FROM lineitem GROUP BY 1, 2"""),
     ("scenes", (), """
