@@ -88,6 +88,23 @@ def point_in_edges(edges, x, y) -> Column:
     return F.expr(_pip_sql(_s(edges), _s(x), _s(y)))
 
 
+def cell_parity_sql(corner: str, edges: str, x: str, y: str, x1: str, y0: str) -> str:
+    """G5 by a cell's own edges: whether (x, y) is inside, from whether the cell's corner (x1, y0) is.
+
+    One goes from the point along its height to the line x = x1 and down that line to the
+    corner; each edge met on the way changes sides.  The comparisons are those of
+    ``point_in_edges``, so both agree on borders, and edges beyond the way cancel out.
+    """
+    xc = "(cp_.ax + try_divide((%s - cp_.ay) * (cp_.bx - cp_.ax), cp_.by - cp_.ay))" % y
+    yc = "(cp_.ay + try_divide((%s - cp_.ax) * (cp_.by - cp_.ay), cp_.bx - cp_.ax))" % x1
+    level = f"((cp_.ay > {y}) <> (cp_.by > {y})) AND (({x} < {xc}) <> ({x1} < {xc}))"
+    rises = "(cp_.bx - cp_.ax) * (cp_.by - cp_.ay) > 0"
+    upright = (f"((cp_.ax > {x1}) <> (cp_.bx > {x1})) AND CASE WHEN {rises} THEN ({yc} < {y}) <> ({yc} < {y0}) "
+               f"ELSE ({yc} <= {y}) <> ({yc} <= {y0}) END")
+    return (f"({corner} <> (aggregate({edges}, 0, (cn_, cp_) -> cn_ + CASE WHEN {level} THEN 1 ELSE 0 END "
+            f"+ CASE WHEN {upright} THEN 1 ELSE 0 END) % 2 = 1))")
+
+
 def is_empty(rings) -> Column:
     """F12 empty-geometry test (after a clip)."""
     return F.coalesce(F.size(_c(rings)), F.lit(0)) <= 0
@@ -180,40 +197,35 @@ def _cut_params_sql(ax, ay, bx, by, edges) -> str:
             "c_ -> c_.s >= 0 AND c_.s <= 1 AND c_.t > 0 AND c_.t < 1), c_ -> c_.t)")
 
 
-def segment_cuts(ax, ay, bx, by, edges) -> Column:
-    """Sorted cut parameters of segment A->B, with 0 and 1 at the ends."""
-    return F.expr(f"array_sort(concat(array(0.0D), "
-                  f"{_cut_params_sql(_s(ax), _s(ay), _s(bx), _s(by), _s(edges))}, array(1.0D)))")
+def _segment_cuts_sql(ax, ay, bx, by, edges, t0="0.0D", t1="1.0D") -> str:
+    return (f"array_sort(concat(array({t0}), filter({_cut_params_sql(ax, ay, bx, by, edges)}, "
+            f"tc_ -> tc_ > {t0} AND tc_ < {t1}), array({t1})))")
 
 
-def clipped_segment_length(ax, ay, bx, by, edges, cuts=None) -> Column:
-    """G6 length of the part of segment A->B that lies inside the polygon.
+def segment_cuts(ax, ay, bx, by, edges, t0="0.0D", t1="1.0D") -> Column:
+    """Sorted cut parameters of segment A->B between t0 and t1 (SQL text), with these at the ends."""
+    return F.expr(_segment_cuts_sql(_s(ax), _s(ay), _s(bx), _s(by), _s(edges), t0, t1))
 
-    The segment is cut at every crossing with a polygon edge; each piece is
-    kept when its midpoint passes the half-open point-in-polygon test, so a
-    piece lying on a shared border is owned by exactly one polygon.  Pass
-    ``cuts`` (a column holding ``segment_cuts``) to compute the cuts once in
-    an earlier projection instead of inline.
-    """
-    ax, ay, bx, by, edges = _s(ax), _s(ay), _s(bx), _s(by), _s(edges)
-    ts = _s(cuts) if cuts is not None else (
-        f"array_sort(concat(array(0.0D), {_cut_params_sql(ax, ay, bx, by, edges)}, array(1.0D)))")
-    mx = f"({ax} + (pc2_.t0 + pc2_.t1) / 2 * ({bx} - {ax}))"
-    my = f"({ay} + (pc2_.t0 + pc2_.t1) / 2 * ({by} - {ay}))"
-    pieces = (f"zip_with(slice({ts}, 1, size({ts}) - 1), slice({ts}, 2, size({ts}) - 1), "
-              "(u0_, u1_) -> named_struct('t0', u0_, 't1', u1_))")
-    return F.expr(f"aggregate({pieces}, 0.0D, (acc2_, pc2_) -> acc2_ + CASE WHEN {_pip_sql(edges, mx, my)} "
-                  f"THEN (pc2_.t1 - pc2_.t0) * hypot({bx} - {ax}, {by} - {ay}) ELSE 0.0D END)")
-
-
-def inside_intervals(ax, ay, bx, by, edges, cuts) -> Column:
-    """G8 the intervals [t0, t1] of segment A->B between consecutive ``cuts`` whose midpoint is
-    inside the polygon (half-open test), as ``array<struct<t0,t1>>``."""
-    ax, ay, bx, by, edges, ts = (_s(v) for v in (ax, ay, bx, by, edges, cuts))
+
+def _inside_intervals_sql(ax, ay, bx, by, cuts, inside) -> str:
     mx = f"({ax} + (pi_.t0 + pi_.t1) / 2 * ({bx} - {ax}))"
     my = f"({ay} + (pi_.t0 + pi_.t1) / 2 * ({by} - {ay}))"
-    return F.expr(f"filter(zip_with(slice({ts}, 1, size({ts}) - 1), slice({ts}, 2, size({ts}) - 1), "
-                  f"(u0_, u1_) -> named_struct('t0', u0_, 't1', u1_)), pi_ -> pi_.t1 > pi_.t0 AND {_pip_sql(edges, mx, my)})")
+    return (f"transform(array({cuts}), ts_ -> filter(zip_with(slice(ts_, 1, size(ts_) - 1), slice(ts_, 2, size(ts_) - 1), "
+            f"(u0_, u1_) -> named_struct('t0', u0_, 't1', u1_)), pi_ -> pi_.t1 > pi_.t0 AND {inside(mx, my)}))[0]")
+
+
+def inside_intervals(ax, ay, bx, by, cuts, inside) -> Column:
+    """G6 / G8 the intervals [t0, t1] of segment A->B between consecutive ``cuts`` whose midpoint
+    is inside, as ``array<struct<t0,t1>>``.  ``inside(x, y)`` gives the test as SQL text; with a
+    half-open one, a piece on a shared border is owned by exactly one polygon."""
+    return F.expr(_inside_intervals_sql(_s(ax), _s(ay), _s(bx), _s(by), _s(cuts), inside))
+
+
+def clipped_segment_length(ax, ay, bx, by, edges) -> Column:
+    """G6 length of the part of segment A->B inside a polygon given by all its edges."""
+    ax, ay, bx, by, edges = (_s(v) for v in (ax, ay, bx, by, edges))
+    spans = _inside_intervals_sql(ax, ay, bx, by, _segment_cuts_sql(ax, ay, bx, by, edges), lambda x, y: _pip_sql(edges, x, y))
+    return F.expr(f"aggregate({spans}, 0.0D, (sl_, sp_) -> sl_ + sp_.t1 - sp_.t0) * hypot({bx} - {ax}, {by} - {ay})")
 
 
 # ---------------------------------------------------------------- G1 UTM

@@ -102,7 +102,7 @@ def broadcast_if_small(df: DataFrame, array_cols: Sequence[str] = (),
 
 _SKEW_ROWS_CONF = "spark.regionlens.skewRows"
 _DEFAULT_SKEW_ROWS = 200_000
-#: A side has at most this many hot keys: a key is hot above 1 / _HOT_KEYS of its side's rows.
+#: At most this many of a side's keys are split, the hottest; any other holds less than 1 / _HOT_KEYS of its rows.
 _HOT_KEYS = 100_000
 
 
@@ -122,10 +122,9 @@ def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     * ``right`` measured under the broadcast limit: broadcast hash join, no
       shuffle, and a hot cell is spread over the tasks of ``left``'s input.
     * otherwise both sides shuffle on the keys.  Keys holding more than
-      ``spark.regionlens.skewRows`` rows on a side, and more than a
-      100,000th of that side, are found with one aggregate per side; so
-      at most 200,000 hot keys are collected and broadcast, however large
-      the sides are.  A hot key is split into a x b salt cells:
+      ``spark.regionlens.skewRows`` rows on a side are found with one aggregate
+      per side, the 100,000 hottest of each at most; so at most 200,000 hot
+      keys are collected and broadcast, however large the sides are.  A hot key is split into a x b salt cells:
       a left row takes salt i = hash(row) mod a and is copied to every j < b,
       a right row takes j = hash(row) mod b and is copied to every i < a, so
       each (i, j) task sees 1/(a*b) of the key's pairs and every pair still
@@ -160,11 +159,11 @@ def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         return finish(left.join(rb, on(left, rb), how))
 
     def hot_keys(df, names):
-        """How many times over the threshold each hot key of a side is."""
-        thr = max(skew_rows(spark), df.count() // _HOT_KEYS)
+        """How many times over the threshold each of a side's hottest keys is."""
+        thr = skew_rows(spark)
         return {tuple(r[n] for n in names): -(-r["_n"] // thr) for r in
                 df.where(has_key(names)).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-                .where(F.col("_n") > thr).collect()}
+                .where(F.col("_n") > thr).orderBy(F.desc("_n"), *names).limit(_HOT_KEYS).collect()}
 
     def has_key(names):
         c = F.lit(True)              # NULL keys meet nothing and need no salt
@@ -216,66 +215,65 @@ def _offsets9() -> Column:
                      for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
 
 
-def _touches_box_sql(edges: str, x0: str, y0: str, x1: str, y1: str) -> str:
-    """Any edge touching the closed axis-aligned box (separating-axis test:
-    boxes overlap and the box corners are not all on one side)."""
-    corners = [(x0, y0), (x1, y0), (x0, y1), (x1, y1)]
-    side = [f"((et_.bx - et_.ax) * ({cy} - et_.ay) - (et_.by - et_.ay) * ({cx} - et_.ax))" for cx, cy in corners]
-    overlap = (f"least(et_.ax, et_.bx) <= {x1} AND greatest(et_.ax, et_.bx) >= {x0} AND "
-               f"least(et_.ay, et_.by) <= {y1} AND greatest(et_.ay, et_.by) >= {y0}")
-    all_pos = " AND ".join(f"{v} > 0" for v in side)
-    all_neg = " AND ".join(f"{v} < 0" for v in side)
-    return f"exists({edges}, et_ -> {overlap} AND NOT ({all_pos}) AND NOT ({all_neg}))"
+#: Cells reach this share of their width further when edges are placed, as points are assigned by a rounded division.
+_REACH = 1e-9
 
 
 def zone_cells(zones: DataFrame, cell_size: float, rings: str = "rings") -> DataFrame:
-    """One row per (zone, grid cell its bounding box touches).
-
-    Each row carries the lower-left cell of the zone's box (used to
-    deduplicate pairs that share several cells) and an ``_inside`` flag: a
-    cell whose four corners are inside the polygon and that no polygon edge
-    touches lies wholly inside, so points in it need no polygon test; only
-    boundary cells keep the edge list (``_edges`` is empty otherwise, which
-    also keeps the broadcast side small).
+    """One row per (zone, grid cell) that the zone meets, written once.
+
+    A cell carries the edges that touch it (``_edges``) and whether its lower
+    right corner is inside (``_corner``): a point of the cell is then tested
+    against these edges alone (`geo.cell_parity_sql`).  A cell without edges is
+    wholly inside or, not being listed, wholly outside.
+
+    Edges are placed one by one: each goes to the cells that it passes, strip
+    by strip, and to the lower border of each strip that it crosses.  The
+    sorted crossings of a border tell which corners on it are inside.  So work
+    and table grow with the edges and the inner cells, not with edges times
+    cells.
     """
-    b = geo.bbox(rings)
     c = float(cell_size)
-    cells = (zones
-             .withColumn("_all_edges", geo.polygon_edges(rings))
-             .withColumn("_bb", b)
-             .withColumn("_zcx0", _cell(F.col("_bb.minx"), cell_size))
-             .withColumn("_zcy0", _cell(F.col("_bb.miny"), cell_size))
-             .withColumn("_cx", F.explode(F.sequence("_zcx0", _cell(F.col("_bb.maxx"), cell_size))))
-             .withColumn("_cy", F.explode(F.sequence("_zcy0", _cell(F.col("_bb.maxy"), cell_size))))
-             .drop("_bb", rings))
-    x0, y0, x1, y1 = f"(_cx * {c!r}D)", f"(_cy * {c!r}D)", f"((_cx + 1) * {c!r}D)", f"((_cy + 1) * {c!r}D)"
-    corners = " AND ".join(geo._pip_sql("_all_edges", cx, cy) for cx, cy in
-                           ((x0, y0), (x1, y0), (x0, y1), (x1, y1)))
-    inside = F.expr(f"{corners} AND NOT {_touches_box_sql('_all_edges', x0, y0, x1, y1)}")
-    empty = F.array().cast(f"array<{geo.EDGE_TYPE}>")
-    return (cells.withColumn("_inside", inside)
-            .withColumn("_edges", F.when(F.col("_inside"), empty).otherwise(F.col("_all_edges")))
-            .drop("_all_edges"))
-
-
-def _zone_cells_full(zones: DataFrame, cell_size: float, rings: str = "rings") -> DataFrame:
-    """Zone cells with the full edge list on every cell (line clipping cuts
-    segments at the polygon's edges, so it needs all of them)."""
-    b = geo.bbox(rings)
-    return (zones
-            .withColumn("_edges", geo.polygon_edges(rings))
-            .withColumn("_bb", b)
-            .withColumn("_zcx0", _cell(F.col("_bb.minx"), cell_size))
-            .withColumn("_zcy0", _cell(F.col("_bb.miny"), cell_size))
-            .withColumn("_cx", F.explode(F.sequence("_zcx0", _cell(F.col("_bb.maxx"), cell_size))))
-            .withColumn("_cy", F.explode(F.sequence("_zcy0", _cell(F.col("_bb.maxy"), cell_size))))
-            .withColumn("_zminx", F.col("_bb.minx")).withColumn("_zmaxx", F.col("_bb.maxx"))
-            .withColumn("_zminy", F.col("_bb.miny")).withColumn("_zmaxy", F.col("_bb.maxy"))
-            .drop("_bb", rings))
-
-
-def _in_zone(x: str, y: str) -> Column:
-    return F.col("_inside") | geo.point_in_edges("_edges", x, y)
+    cols = [x for x in zones.columns if x != rings]
+    named = materialize(zones.withColumn("_z", F.monotonically_increasing_id()), "zones")
+    edges = named.select("_z", F.inline(geo.polygon_edges(rings)))
+    low, high, reach = F.least("ay", "by"), F.greatest("ay", "by"), _REACH * c
+    strip = edges.withColumn("_cy", F.explode(F.sequence(_cell(low - reach, c), _cell(high + reach, c))))
+    # the edge's stretch in the strip, by height
+    slope = F.try_divide(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    at = lambda y: F.least(F.greatest(F.col("ax") + (y - F.col("ay")) * slope, F.least("ax", "bx")), F.greatest("ax", "bx"))
+    ends = [at(F.greatest(low, F.col("_cy") * c - reach)), at(F.least(high, (F.col("_cy") + 1) * c + reach))]
+    left, right = (F.when(low == high, f("ax", "bx")).otherwise(f(*ends)) for f in (F.least, F.greatest))
+    passed = strip.withColumn("_cx", F.explode(F.sequence(_cell(left - reach, c), _cell(right + reach, c))))
+    border = passed.groupBy("_z", "_cx", "_cy").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_edges"))
+    y0 = F.col("_cy") * c
+    crossed = (strip.where((F.col("ay") > y0) != (F.col("by") > y0))
+               .groupBy("_z", "_cy").agg(F.array_sort(F.collect_list(
+                   F.col("ax") + F.try_divide((y0 - F.col("ay")) * (F.col("bx") - F.col("ax")), F.col("by") - F.col("ay")))).alias("_xs")))
+    # the corners from each odd crossing to the next
+    spans = crossed.select("_z", "_cy", "_xs", F.explode(F.sequence(F.lit(1), F.size("_xs"), F.lit(2))).alias("_i"))
+    corners = (spans.withColumn("_cx", F.explode(F.sequence(_cell(F.element_at("_xs", F.col("_i")), c) - 1,
+                                                            _cell(F.try_element_at("_xs", F.col("_i") + 1), c))))
+               .where(F.size(F.filter("_xs", lambda v: (F.col("_cx") + 1) * c < v)) % 2 == 1)
+               .select("_z", "_cx", "_cy").distinct().withColumn("_corner", F.lit(True)))
+    cells = (border.join(corners, ["_z", "_cx", "_cy"], "full")
+             .select("_z", "_cx", "_cy", F.coalesce("_corner", F.lit(False)).alias("_corner"),
+                     F.coalesce("_edges", F.array().cast(f"array<{geo.EDGE_TYPE}>")).alias("_edges")))
+    return materialize(cells.join(named.select("_z", *cols), "_z").drop("_z"), "zone-cells")
+
+
+def _corner_sql(cell_size: float) -> tuple[str, str]:
+    """x of a cell's right border and y of its lower one."""
+    c = f"{float(cell_size)!r}D"
+    return f"((_cx + 1) * {c})", f"(_cy * {c})"
+
+
+def _inside_sql(x: str, y: str, cell_size: float) -> str:
+    return geo.cell_parity_sql("_corner", "_edges", x, y, *_corner_sql(cell_size))
+
+
+def _in_zone(x: str, y: str, cell_size: float) -> Column:
+    return F.expr(f"CASE WHEN size(_edges) = 0 THEN _corner ELSE {_inside_sql(x, y, cell_size)} END")
 
 
 # ---------------------------------------------------------------- J8 / J9
@@ -289,21 +287,21 @@ def assign_points_to_zones(points: DataFrame, zones: DataFrame, zone_cols: Seque
     Output = point columns + ``zone_cols``.  Each point is tested only against
     zones whose bounding box shares its grid cell.
     """
-    zc = zone_cells(zones.select(*zone_cols, rings), cell_size, rings).drop("_zcx0", "_zcy0")
+    zc = zone_cells(zones.select(*zone_cols, rings), cell_size, rings)
     p = (points.withColumn("_cx", _cell(F.col(x), cell_size))
          .withColumn("_cy", _cell(F.col(y), cell_size)))
-    j = cell_join(p, zc, ["_cx", "_cy"], "inner", lambda l, r: _in_zone(f"`{x}`", f"`{y}`"), ["_edges"])
-    return j.drop("_cx", "_cy", "_edges", "_inside")
+    j = cell_join(p, zc, ["_cx", "_cy"], "inner", lambda l, r: _in_zone(f"`{x}`", f"`{y}`", cell_size), ["_edges"])
+    return j.drop("_cx", "_cy", "_edges", "_corner")
 
 
 def clip_points(points: DataFrame, zones: DataFrame, cell_size: float, x: str = "x",
                 y: str = "y", rings: str = "rings") -> DataFrame:
     """Keep points inside the union of the zones (a semi-join, so a
     point inside several overlapping parts is kept once; no dissolve)."""
-    zc = zone_cells(zones.select(rings), cell_size, rings).select("_cx", "_cy", "_edges", "_inside")
+    zc = zone_cells(zones.select(rings), cell_size, rings).select("_cx", "_cy", "_edges", "_corner")
     p = (points.withColumn("_cx", _cell(F.col(x), cell_size))
          .withColumn("_cy", _cell(F.col(y), cell_size)))
-    j = cell_join(p, zc, ["_cx", "_cy"], "left_semi", lambda l, r: _in_zone(f"`{x}`", f"`{y}`"), ["_edges"])
+    j = cell_join(p, zc, ["_cx", "_cy"], "left_semi", lambda l, r: _in_zone(f"`{x}`", f"`{y}`", cell_size), ["_edges"])
     return j.drop("_cx", "_cy")
 
 
@@ -335,10 +333,10 @@ def count_within(points: DataFrame, facilities: DataFrame, key: str,
              .groupBy(F.col(type_col).alias("t"), F.col(fx).cast("double").alias("fx"), F.col(fy).cast("double").alias("fy"))
              .agg(F.count(F.lit(1)).alias("w"), F.lit(None).cast("bigint").alias("fid")))
     tree = quadtree.build(materialize(spots, "spots"), float(max(radii)))
-    pts = points.select(key, F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py"))
-    hits = quadtree.count_in_discs(pts.where(_finite("px") & _finite("py")), tree, key, [float(r) for r in radii])
-    every = pts.select(key, F.lit(None).cast("string").alias("t"), *[F.lit(0).cast("long").alias(f"c{i}") for i in range(len(names))])
-    return hits.unionByName(every).groupBy(key).agg(*[
+    pts = points.select(F.col(key).alias("_key"), F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py"))
+    hits = quadtree.count_in_discs(pts.where(_finite("px") & _finite("py")), tree, "_key", [float(r) for r in radii])
+    every = pts.select("_key", F.lit(None).cast("string").alias("t"), *[F.lit(0).cast("long").alias(f"c{i}") for i in range(len(names))])
+    return hits.unionByName(every).groupBy(F.col("_key").alias(key)).agg(*[
         F.coalesce(F.sum(F.when(F.col("t") == t, F.col(f"c{i}"))), F.lit(0)).cast("long").alias(f"{t.lower()}_count_{nm}")
         for t in types for i, nm in enumerate(names)])
 
@@ -372,13 +370,13 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str,
     # a little wider than the extent, so that the far border is inside the top cell
     size = max(st["x1"] - st["x0"], st["y1"] - st["y0"], 1.0) * (1 + 1e-6)
     tree = quadtree.build(spots, size, st["x0"], st["y0"], leaf=8)
-    pts = points.select(key, F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py"))
-    best = quadtree.nearest_spots(pts.where(_finite("px") & _finite("py")), tree, key, list(types))
+    pts = points.select(F.col(key).alias("_key"), F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py"))
+    best = quadtree.nearest_spots(pts.where(_finite("px") & _finite("py")), tree, "_key", list(types))
     aggs = []
     for t in types:
         own = F.min(F.when(F.col("t") == t, F.struct("d2", "fid")))
         aggs += [F.sqrt(own["d2"]).alias(f"nearest_{t.lower()}_dist"), own["fid"].alias(f"nearest_{t.lower()}_id")]
-    return points.select(key).join(best.groupBy(key).agg(*aggs), key, "left").select(key, *named)
+    return points.select(key).join(best.groupBy(F.col("_key").alias(key)).agg(*aggs), key, "left").select(key, *named)
 
 
 # ---------------------------------------------------------------- J6 / G6
@@ -400,42 +398,39 @@ def clip_segments_to_zones(segments: DataFrame, zones: DataFrame, zone_cols: Seq
                            cell_size: float, seg_cols: Sequence[str], rings: str = "rings") -> DataFrame:
     """J6 + G6: pieces of line segments inside each zone, with their length.
 
-    Segments and zones meet on shared grid cells; a (segment, zone) pair that
-    shares several cells is evaluated only in the lower-left cell of the two
-    boxes' overlap, so no distinct/shuffle is needed to deduplicate.  The
-    exact clip cuts the segment at the polygon's edges and keeps the pieces
-    whose midpoints are inside.  Output: seg_cols + zone_cols + ``length``
-    (0 for a pair whose boxes overlap but whose segment misses the zone).
+    Segments and zones meet on grid cells.  In each cell the segment's stretch
+    there is cut at the cell's own edges, and the pieces whose midpoints are
+    inside are kept.  Output: seg_cols + zone_cols + ``length``, a row per cell
+    that they share (0 where the segment misses the zone).
     """
-    j = _cut_segments(segments, zones, zone_cols, cell_size, rings)
-    j = j.withColumn("length", geo.clipped_segment_length("ax", "ay", "bx", "by", "_edges", "_cuts"))
+    j = _cell_spans(segments, zones, zone_cols, cell_size, rings)
+    length = F.aggregate("_spans", F.lit(0.0), lambda a, s: a + (s["t1"] - s["t0"])) * F.hypot(
+        F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     # no row filter on length here: Catalyst would push it into the join
-    # condition and evaluate the clip twice; pairs whose boxes overlap but
-    # whose line misses the zone carry length 0 and vanish in the sums
-    return j.select(*seg_cols, *zone_cols, "length")
+    # condition and evaluate the clip twice; rows with length 0 vanish in the sums
+    return j.select(*seg_cols, *zone_cols, length.alias("length"))
 
 
-def _cut_segments(segments: DataFrame, zones: DataFrame, zone_cols: Sequence[str], cell_size: float,
-                  rings: str) -> DataFrame:
-    """Pairs of segment and zone whose boxes overlap, each once, with the zone's ``_edges`` and the
-    parameters at which these cut the segment (``_cuts``)."""
-    zc = _zone_cells_full(zones.select(*zone_cols, rings), cell_size, rings)
+def _cell_spans(segments: DataFrame, zones: DataFrame, zone_cols: Sequence[str], cell_size: float, rings: str) -> DataFrame:
+    """Segment, zone and shared cell, with the intervals of the segment inside both (``_spans``)."""
+    zc = zone_cells(zones.select(*zone_cols, rings), cell_size, rings)
     s = (segments
-         .withColumn("_scx0", _cell(F.least("ax", "bx"), cell_size))
-         .withColumn("_scy0", _cell(F.least("ay", "by"), cell_size))
-         .withColumn("_cx", F.explode(F.sequence("_scx0", _cell(F.greatest("ax", "bx"), cell_size))))
-         .withColumn("_cy", F.explode(F.sequence("_scy0", _cell(F.greatest("ay", "by"), cell_size)))))
-
-    def first_shared_cell_and_overlap(l, r):
-        # evaluate each (segment, zone) pair only in the lower-left shared
-        # cell, and only when the boxes overlap (cheap arithmetic first)
-        return ((l["_cx"] == F.greatest(l["_scx0"], r["_zcx0"])) & (l["_cy"] == F.greatest(l["_scy0"], r["_zcy0"]))
-                & (F.least(l["ax"], l["bx"]) <= r["_zmaxx"]) & (F.greatest(l["ax"], l["bx"]) >= r["_zminx"])
-                & (F.least(l["ay"], l["by"]) <= r["_zmaxy"]) & (F.greatest(l["ay"], l["by"]) >= r["_zminy"]))
-
-    j = cell_join(s, zc, ["_cx", "_cy"], "inner", first_shared_cell_and_overlap, ["_edges"])
+         .withColumn("_cx", F.explode(F.sequence(_cell(F.least("ax", "bx"), cell_size), _cell(F.greatest("ax", "bx"), cell_size))))
+         .withColumn("_cy", F.explode(F.sequence(_cell(F.least("ay", "by"), cell_size), _cell(F.greatest("ay", "by"), cell_size)))))
+    # the stretch in the cell; one along a border belongs to the cell that begins there
+    c = float(cell_size)
+    lo, hi = [], []
+    for axis, cell in (("x", "_cx"), ("y", "_cy")):
+        a, d = f"a{axis}", f"(b{axis} - a{axis})"
+        low, high = f"({cell} * {c!r}D)", f"(({cell} + 1) * {c!r}D)"
+        lo.append(f"CASE WHEN {d} = 0 THEN CASE WHEN {a} >= {low} AND {a} < {high} THEN 0.0D ELSE 2.0D END "
+                  f"WHEN {d} > 0 THEN try_divide({low} - {a}, {d}) ELSE try_divide({high} - {a}, {d}) END")
+        hi.append(f"CASE WHEN {d} = 0 THEN 1.0D WHEN {d} > 0 THEN try_divide({high} - {a}, {d}) ELSE try_divide({low} - {a}, {d}) END")
+    s = s.withColumn("_t0", F.expr(f"greatest(0.0D, {', '.join(lo)})")).withColumn("_t1", F.expr(f"least(1.0D, {', '.join(hi)})"))
+    j = cell_join(s.where("_t0 < _t1"), zc, ["_cx", "_cy"], "inner", None, ["_edges"])
     # cuts in their own projection: the clip references them several times
-    return j.withColumn("_cuts", geo.segment_cuts("ax", "ay", "bx", "by", "_edges"))
+    j = j.withColumn("_cuts", geo.segment_cuts("ax", "ay", "bx", "by", "_edges", "_t0", "_t1"))
+    return j.withColumn("_spans", geo.inside_intervals("ax", "ay", "bx", "by", "_cuts", lambda x, y: _inside_sql(x, y, cell_size)))
 
 
 def clip_lines(lines: DataFrame, boundary: DataFrame, line_id: str, cell_size: float, line_col: str = "line",
@@ -454,10 +449,9 @@ def clip_lines(lines: DataFrame, boundary: DataFrame, line_id: str, cell_size: f
     segs = explode_line_segments(lines.select(line_id, line_col), line_col)
     if not multi:
         segs = segs.withColumn("part", F.lit(0))
-    cut = _cut_segments(segs, boundary.select(rings), [], cell_size, rings)
     own = [line_id, "part", "seg", "ax", "ay", "bx", "by"]
-    spans = cut.select(*own, F.inline(geo.inside_intervals("ax", "ay", "bx", "by", "_edges", "_cuts")))
-    # merge along each segment
+    spans = _cell_spans(segs, boundary.select(rings), [], cell_size, rings).select(*own, F.inline("_spans"))
+    # merge along each segment, over cells and polygons
     before = Window.partitionBy(line_id, "part", "seg").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(line_id, "part", "seg").orderBy("t0", "t1")
     spans = (spans.withColumn("_new", (F.col("t0") > F.coalesce(F.max("t1").over(before), F.lit(-1.0))).cast("int"))
