@@ -177,13 +177,12 @@ def acs_ground_truth(acs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A14
 
-def median_impute(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def median_impute(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """A14 fill NULLs of numeric columns with their exact median.
 
     One pass counts the NULLs per column; the exact medians of the columns
     that have NULLs come from ``quantile.global_quantiles`` (histogram
-    refinement, no column gathered in one task; ``approx=True`` uses
-    ``percentile_approx`` instead).  The result (one number per column) is
+    refinement, no column gathered in one task).  The result (one number per column) is
     applied to every row as literals (J11, as Spark does for a scalar
     subquery) with ``coalesce``.  Columns without NULLs are left alone.
     """
@@ -196,11 +195,7 @@ def median_impute(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
     todo = [c for c in cols if row[f"n_{c}"] > 0]
     if not todo:
         return df
-    if approx:
-        r = df.agg(*[F.percentile_approx(F.col(c), 0.5).cast("double").alias(c) for c in todo]).first()
-        stats = {c: r[c] for c in todo}
-    else:
-        med = global_quantiles(df, todo, [0.5])
-        stats = {c: med.get((c, 0.5)) for c in todo}
+    med = global_quantiles(df, todo, [0.5])
+    stats = {c: med.get((c, 0.5)) for c in todo}
     return df.select(*[F.coalesce(F.col(c), F.lit(stats[c]).cast(df.schema[c].dataType)).alias(c)
                        if c in todo else F.col(c) for c in df.columns])

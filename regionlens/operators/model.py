@@ -114,14 +114,6 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
     return pred, model
 
 
-def evaluate_split(df: DataFrame, key: str, features: Sequence[str], label: str, estimator,
-                   test_frac: float = 0.2, seed: int = 42) -> DataFrame:
-    """M6 random split -> fit -> A15 metrics on the test rows."""
-    s = split.exact_split(df, key, test_frac, seed)
-    pred, _ = fit_predict(s.where(~F.col("is_test")), s.where("is_test"), features, label, estimator, key)
-    return evaluate.regression_metrics(pred)
-
-
 # ---------------------------------------------------------------- M7, M8
 
 def spatial_cv(df: DataFrame, key: str, features: Sequence[str], label: str,

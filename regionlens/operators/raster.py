@@ -96,17 +96,15 @@ def complete_case(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- zonal
 
 def zonal_stats(pixels: DataFrame, zones: DataFrame, key: str, value: str, cell_size: float,
-                prefix: str = "viirs", median: bool = False) -> DataFrame:
-    """J8 + A8 (+ A10 / A11): mean, population std, max, sum and count of a
-    band per zone; optional exact median.  Every zone is kept (left join);
+                prefix: str = "viirs") -> DataFrame:
+    """J8 + A8 (+ A11): mean, population std, max, sum and count of a
+    band per zone.  Every zone is kept (left join);
     a zone without valid pixels gets NULL statistics (count 0)."""
     inz = spatial.assign_points_to_zones(pixels.select("x", "y", value), zones, [key], cell_size)
     v = F.col(value)
     aggs = [F.avg(v).alias(f"{prefix}_mean"), F.stddev_pop(v).alias(f"{prefix}_std"),
             F.max(v).alias(f"{prefix}_max"), F.sum(v).alias(f"{prefix}_sum"),
             F.count(v).alias(f"{prefix}_count")]
-    if median:
-        aggs.append(F.median(v).alias(f"{prefix}_median"))
     st = inz.groupBy(key).agg(*aggs)
     return (zones.select(key).join(st, key, "left")
             .withColumn(f"{prefix}_count", F.coalesce(F.col(f"{prefix}_count"), F.lit(0))))
@@ -145,16 +143,17 @@ def zonal_features(pixels: DataFrame, zones: DataFrame, key: str, cell_size: flo
                    nir: str = "nir", red: str = "red", swir: str = "swir") -> DataFrame:
     """A8 + A9 in one pass: each pixel is assigned to its zone once and one
     grouped aggregate computes the light statistics (over valid light
-    values) and the spectral statistics (over complete-case pixels only, as
+    values; NULL and NaN are none) and the spectral statistics (over complete-case pixels only, as
     conditional aggregates)."""
     px = pixels.select("x", "y", light, nir, red, swir)
     inz = spatial.assign_points_to_zones(px, zones, [key], cell_size)
-    ok = F.col(nir).isNotNull() & F.col(red).isNotNull() & F.col(swir).isNotNull()
+    valid = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    ok = valid(nir) & valid(red) & valid(swir)
 
     def cc(c):
         return F.when(ok, c)
 
-    v = F.col(light)
+    v = F.when(valid(light), F.col(light))
     st = inz.groupBy(key).agg(
         F.avg(v).alias("viirs_mean"), F.stddev_pop(v).alias("viirs_std"), F.max(v).alias("viirs_max"),
         F.sum(v).alias("viirs_sum"),

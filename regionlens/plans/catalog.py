@@ -1475,6 +1475,5 @@ def scene_archive(spark, d):
     from regionlens.sources import io
     path = _scratch(spark, "scenes")
     io.write_scenes(fx.scenes(spark, d), path)
-    s = raster.date_range(io.read_scenes(spark, path), fx.SCENE_START, fx.SCENE_END)
-    s = s.where((F.col("month") >= fx.SCENE_START[:7]) & (F.col("month") <= fx.SCENE_END[:7]))
+    s = io.read_scenes(spark, path, fx.SCENE_START, fx.SCENE_END)
     return raster.mean_composite(s).select("pixel", R("mean_value", 9), "n_obs")

@@ -184,10 +184,17 @@ def read_raster(spark: SparkSession, path: str, bands: Sequence[str] = ("value",
                        for b in df.columns])
 
 
-def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """S8 image-collection scan (Parquet partitioned by acquisition month:
-    date filters prune whole partitions)."""
-    return spark.read.parquet(path)
+def read_scenes(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
+                ts: str = "ts") -> DataFrame:
+    """S8 image-collection scan (Parquet partitioned by acquisition month),
+    optionally from ``start`` to before ``end`` (dates or timestamps as text).
+    The range also selects the months, so the other partitions are not read."""
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.where((F.col("month") >= start[:7]) & (F.col(ts) >= F.lit(start).cast("timestamp_ntz")))
+    if end is not None:
+        df = df.where((F.col("month") <= end[:7]) & (F.col(ts) < F.lit(end).cast("timestamp_ntz")))
+    return df
 
 
 def write_raster(df: DataFrame, path: str, partition_by: Sequence[str] = ("raster_id",),
