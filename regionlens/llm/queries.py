@@ -143,7 +143,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select("doc_id", *[count(k) for k in pii.KINDS],
                         hex_sha256(F.coalesce(F.array_join(F.transform(base, name), ","), F.lit(""))).alias("base_sha256"),
-                        F.coalesce(F.array_join(F.transform("spans", name), ","), F.lit("")).alias("spans"))
+                        F.coalesce(F.array_join(F.transform("spans", name), ","), F.lit("")).alias("spans"),
+                        F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_spans"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
