@@ -77,6 +77,8 @@ class Rendering:
     from half of it, if it is seen that a rendering without the earlier half ends with
     the same text for the later half, so that long conversations take time and memory in
     proportion to their length.  Else, or once history was rewritten, all of it is kept.
+    So a template is caught rewriting if it does so once while the turn is among the last
+    ``window`` / 2; one that changes only older turns is not.
     """
 
     template: Template
