@@ -38,34 +38,51 @@ def _digits(df: DataFrame, score: Column) -> Column:
     return F.concat(F.coalesce(score, F.lit("0" * 32)), F.lpad(F.lower(F.hex(row_hash(df))), 16, "0"))
 
 
-def _kth_smallest(digits: DataFrame, k: int) -> tuple[str | None, int, int]:
-    """The ``k``-th smallest value of the one column ``d`` (None: take no row), how
-    many rows with that value are among the ``k``, and how many there are.
+def _kth_smallest(digits: DataFrame, k: int, size: int | None = None) -> tuple[str | None, int, int]:
+    """`_kth_smallest_each` of the one column ``d``."""
+    return _kth_smallest_each(digits.select(F.lit("").alias("c"), "d"), [""], k, size)[""]
 
-    Level by level, counts by the next 4 hex digits (at most 65,536 rows)
+
+def _kth_smallest_each(digits: DataFrame, names: Sequence[str], k: int, size: int | None = None
+                       ) -> dict[str, tuple[str | None, int, int]]:
+    """For each name in column ``c``, the ``k``-th smallest value of ``d`` (None: take no row), how
+    many rows with that value are among the ``k``, and how many there are.  Every name
+    has ``size`` rows (counted if not given).
+
+    Level by level, counts by the next 4 hex digits (at most 65,536 rows a name)
     locate the bucket that holds the k-th row, until that bucket is small
-    enough to fetch or its rows are equal in all digits.
+    enough to fetch or its rows are equal in all digits.  All names share
+    each pass and the one fetch at the end.
     """
     if k <= 0:
-        return None, 0, 0
-    prefix, need, start = "", k, 1
-    sub, size = digits, digits.count()
+        return dict.fromkeys(names, (None, 0, 0))
+    if size is None:
+        size = digits.where(F.col("c") == names[0]).count()
     if k >= size:
-        return "~", 0, 0             # above all hex digits
-    while size > _FETCH_BELOW and len(prefix) < _DIGITS:
-        counts = sorted((r["b"], r["n"]) for r in sub.groupBy(F.substring("d", start, _PREFIX_HEX).alias("b"))
-                        .agg(F.count(F.lit(1)).alias("n")).collect())
-        for b, size in counts:
-            if need <= size:
-                break
-            need -= size
-        prefix, start = prefix + b, start + _PREFIX_HEX
-        sub = digits.where(F.col("d").startswith(prefix))
-    if len(prefix) >= _DIGITS:
-        return prefix, need, size
-    found = sorted(r["d"] for r in sub.collect())
-    bound = found[need - 1]
-    return bound, need - found.index(bound), found.count(bound)
+        return dict.fromkeys(names, ("~", 0, 0))             # above all hex digits
+    prefix, need, sizes = dict.fromkeys(names, ""), dict.fromkeys(names, k), dict.fromkeys(names, size)
+
+    def inside(wanted):
+        return digits.where(reduce(or_, [(F.col("c") == c) & F.col("d").startswith(prefix[c]) for c in wanted]))
+
+    while wide := [c for c in names if sizes[c] > _FETCH_BELOW and len(prefix[c]) < _DIGITS]:
+        start = len(prefix[wide[0]]) + 1                     # they have all come equally far
+        counts = sorted((r["c"], r["b"], r["n"]) for r in inside(wide)
+                        .groupBy("c", F.substring("d", start, _PREFIX_HEX).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for c in wide:
+            for _, b, n in (r for r in counts if r[0] == c):
+                if need[c] <= n:
+                    break
+                need[c] -= n
+            prefix[c], sizes[c] = prefix[c] + b, n
+    out = {c: (prefix[c], need[c], sizes[c]) for c in names if len(prefix[c]) >= _DIGITS}
+    if rest := [c for c in names if c not in out]:
+        rows = inside(rest).collect()
+        for c in rest:
+            found = sorted(r["d"] for r in rows if r["c"] == c)
+            bound = found[need[c] - 1]
+            out[c] = bound, need[c] - found.index(bound), found.count(bound)
+    return out
 
 
 def _number_copies(df: DataFrame, split: Column) -> tuple[DataFrame, str]:
@@ -84,16 +101,17 @@ def _number_copies(df: DataFrame, split: Column) -> tuple[DataFrame, str]:
 def _kth_copy(numbered: DataFrame, group: Column, n: str, k: int) -> int:
     """The ``k``-th smallest number among the rows of ``group``."""
     digits = numbered.where(group & F.col(n).isNotNull()).select(F.lpad(F.lower(F.hex(n)), _DIGITS, "0").alias("d"))
-    if digits.count() <= k:
+    n = digits.count()
+    if n <= k:
         return (1 << 63) - 1
-    return int(_kth_smallest(digits, k)[0], 16)
+    return int(_kth_smallest(digits, k, n)[0], 16)
 
 
-def smallest_k_flag(df: DataFrame, score: Column, k: int, flag: str = "selected") -> DataFrame:
-    """Flag the ``k`` rows with the smallest (score, row hash).  Of copies (rows equal
+def smallest_k_flag(df: DataFrame, score: Column, k: int, flag: str = "selected", size: int | None = None) -> DataFrame:
+    """Flag the ``k`` of ``size`` rows with the smallest (score, row hash).  Of copies (rows equal
     in all columns but maps) on the boundary, any that make up ``k`` are flagged."""
     d = _digits(df, score)
-    bound, need, size = _kth_smallest(df.select(d.alias("d")), k)
+    bound, need, size = _kth_smallest(df.select(d.alias("d")), k, size)
     if need == size:
         return df.withColumn(flag, F.lit(False) if bound is None else d <= F.lit(bound))
     numbered, n = _number_copies(df, d == F.lit(bound))
@@ -105,8 +123,8 @@ def exact_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42,
                 flag: str = "is_test") -> DataFrame:
     """W3 exact-size random split: the ``ceil(n * frac)`` rows with the
     smallest md5(key, seed) are the test set (sklearn's test-size rule)."""
-    k = int(math.ceil(df.count() * test_frac))
-    return smallest_k_flag(df, hash_score(key, seed), k, flag)
+    n = df.count()
+    return smallest_k_flag(df, hash_score(key, seed), int(math.ceil(n * test_frac)), flag, n)
 
 
 def hash_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42,
@@ -252,18 +270,20 @@ def _fold_slots(spark: SparkSession, sizes: Sequence[tuple[int, int]], k: int) -
 
 def mask_cells(df: DataFrame, key: str, cols: Sequence[str], frac: float, seed: int = 42) -> DataFrame:
     """W7 set exactly ``int(n * frac)`` values of each column to NULL, the
-    rows chosen per column by md5(key, column, seed).  The masked table is
+    rows chosen per column by md5(key, column, seed); all columns share the
+    passes that find their thresholds.  The masked table is
     written once to the checkpoint folder: every later pass (NULL counts,
     medians, the model fit) reads it instead of re-ranking."""
     from regionlens.session import materialize
 
-    k = int(df.count() * frac)
-    if k <= 0:
+    n_rows = df.count()
+    k = int(n_rows * frac)
+    if k <= 0 or not cols:
         return df
-    masked, found = {}, {}
-    for c in cols:
-        d = _digits(df, hash_score(key, seed, salt=c + "#"))
-        found[c] = (d, *_kth_smallest(df.select(d.alias("d")), k))
+    orders = {c: _digits(df, hash_score(key, seed, salt=c + "#")) for c in cols}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), d.alias("d")) for c, d in orders.items()])))
+    bounds = _kth_smallest_each(long, list(orders), k, n_rows)
+    masked, found = {}, {c: (d, *bounds[c]) for c, d in orders.items()}
     split = [d == F.lit(bound) for d, bound, need, size in found.values() if need < size]
     numbered, n = _number_copies(df, reduce(or_, split)) if split else (df, None)
     for c, (d, bound, need, size) in found.items():
