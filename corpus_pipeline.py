@@ -50,6 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all documents: token ids of each document that every filter keeps.
+
+    A null text counts as empty in every stage; a null id is an id like any other in the
+    filters, never labelled, and stays null in the result.  Of equal or near-equal rows one
+    stays.  An empty table gives no rows.
+    """
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
