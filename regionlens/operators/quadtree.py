@@ -28,7 +28,8 @@ SLACK = 1e-9
 
 @dataclass
 class Tree:
-    """Cells of width ``size`` / 2^k from the corner (x0, y0); ``depth`` is the deepest level in use."""
+    """Cells of width ``size`` / 2^k from the corner (x0, y0); ``depth`` is the deepest level in use.
+    The rows of both tables are counted as they are made, so joins need not measure them."""
 
     size: float
     x0: float
@@ -36,6 +37,9 @@ class Tree:
     depth: int
     cells: DataFrame
     spots: DataFrame
+    n_cells: int
+    n_spots: int
+    name_bytes: int
 
     def box(self, k="k", cx="cx", cy="cy") -> tuple[Column, Column, Column, Column]:
         width = F.lit(self.size) / F.pow(F.lit(2.0), F.col(k))
@@ -50,14 +54,34 @@ class Tree:
             "t", F.expr("k - 1").alias("k"), F.expr("shiftright(cx, 1)").alias("px_"), F.expr("shiftright(cy, 1)").alias("py_"),
             F.col("cx").alias("cx_"), F.col("cy").alias("cy_"), "n", "leaf")
         up = pairs.select(*keep, "t", "k", F.col("cx").alias("px_"), F.col("cy").alias("py_"))
-        return cell_join(up, below, ["t", "k", "px_", "py_"]).select(
+        return cell_join(up, below, ["t", "k", "px_", "py_"], right_bytes=self.bytes_of(below, self.n_cells)).select(
             *keep, "t", F.expr("k + 1").alias("k"), F.col("cx_").alias("cx"), F.col("cy_").alias("cy"), "n", "leaf")
 
+    def children_or_self(self, pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Each pair with the cells below its own, or, as a leaf has none, with that itself (perhaps twice)."""
+        from regionlens.operators.spatial import cell_join
+
+        below = self.cells.where("k > 0").select(
+            "t", F.expr("k - 1").alias("k"), F.expr("shiftright(cx, 1)").alias("px_"), F.expr("shiftright(cy, 1)").alias("py_"),
+            F.col("cx").alias("cx_"), F.col("cy").alias("cy_"), F.col("leaf").alias("leaf_"))
+        up = pairs.select(*keep, "t", "k", F.col("cx").alias("px_"), F.col("cy").alias("py_"), "leaf")
+        met = cell_join(up, below, ["t", "k", "px_", "py_"], "left", right_bytes=self.bytes_of(below, self.n_cells))
+        return met.select(*keep, "t", F.when(F.col("cx_").isNull(), F.col("k")).otherwise(F.col("k") + 1).alias("k"),
+                          F.coalesce("cx_", "px_").alias("cx"), F.coalesce("cy_", "py_").alias("cy"),
+                          F.coalesce("leaf_", "leaf").alias("leaf"))
+
+    def bytes_of(self, df: DataFrame, rows: int) -> int:
+        """Size of so many rows of ``df``: numbers, and types of the longest name met."""
+        from regionlens.operators.spatial import _flat_row_bytes
+
+        return rows * (_flat_row_bytes(df.schema) + self.name_bytes)
+
     def with_spots(self, pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Each pair of a leaf with the spots in it: columns fx, fy, w, fid."""
         from regionlens.operators.spatial import cell_join
 
-        return cell_join(pairs.select(*keep, "t", "k", "cx", "cy"), self.spots, ["t", "k", "cx", "cy"])
+        return cell_join(pairs.select(*keep, "t", "k", "cx", "cy"), self.spots, ["t", "k", "cx", "cy"],
+                         right_bytes=self.bytes_of(self.spots, self.n_spots))
 
 
 def build(spots: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0, leaf: int = 16) -> Tree:
@@ -72,7 +96,7 @@ def build(spots: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0, leaf:
         # scaling by a power of two is exact, so a cell's children are within it
         return F.floor(c * F.pow(F.lit(2.0), k)).cast("bigint")
 
-    parts, placed, rest, depth = [], [], spots, 0
+    parts, placed, rest, depth, n_cells, n_spots, name_bytes = [], [], spots, 0, 0, 0, 0
     for first in range(0, DEEPEST + 1, BATCH):
         last = min(first + BATCH - 1, DEEPEST)
         level = F.explode(F.sequence(F.lit(first), F.lit(last)))
@@ -90,16 +114,19 @@ def build(spots: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0, leaf:
         parts.append(kept)
         placed.append(spread.join(kept.where("leaf").select("t", "k", "cx", "cy"), ["t", "k", "cx", "cy"]))
         open_ = kept.where(~F.col("leaf") & (F.col("k") == last))
-        reach = kept.agg(F.max("k"), F.count_if(~F.col("leaf") & (F.col("k") == last))).first()
-        depth = max(depth, reach[0] or 0)
-        if not reach[1]:
+        deep, dense, own_cells, own_spots, longest = kept.agg(
+            F.max("k"), F.count_if(~F.col("leaf") & (F.col("k") == last)), F.count(F.lit(1)),
+            F.sum(F.when(F.col("leaf"), F.col("m"))), F.max(F.octet_length("t"))).first()
+        depth, n_cells, n_spots = max(depth, deep or 0), n_cells + own_cells, n_spots + (own_spots or 0)
+        name_bytes = max(name_bytes, longest or 0)
+        if not dense:
             break
         rest = spread.where(F.col("k") == last).join(open_.select("t", "k", "cx", "cy"), ["t", "k", "cx", "cy"], "left_semi") \
             .select(*spots.columns)
     columns = ["t", "k", "cx", "cy", "n", "leaf"]
     cells = materialize(reduce(DataFrame.unionByName, parts).select(*columns), "tree-cells")
     held = reduce(DataFrame.unionByName, placed).select("t", "k", "cx", "cy", "fx", "fy", "w", "fid")
-    return Tree(size, x0, y0, depth, cells, materialize(held, "tree-spots"))
+    return Tree(size, x0, y0, depth, cells, materialize(held, "tree-spots"), n_cells, n_spots, name_bytes)
 
 
 def _box_distances(box: tuple, x: str, y: str) -> tuple[Column, Column]:
@@ -127,7 +154,7 @@ def count_in_discs(points: DataFrame, tree: Tree, key: str, radii: Sequence[floa
     start = points.withColumns({"ax": F.floor((F.col("px") - tree.x0) / tree.size).cast("bigint"),
                                 "ay": F.floor((F.col("py") - tree.y0) / tree.size).cast("bigint"),
                                 "open": F.lit((1 << len(radii)) - 1)})
-    pairs = cell_join(start, top, ["ax", "ay"]).select(*own, "t", "k", "cx", "cy", "n", "leaf")
+    pairs = cell_join(start, top, ["ax", "ay"], right_bytes=tree.bytes_of(top, 9 * tree.n_cells)).select(*own, "t", "k", "cx", "cy", "n", "leaf")
     out, leaves = [], []
     for level in range(tree.depth + 1):
         near, far = _box_distances(tree.box(), "px", "py")
@@ -163,11 +190,10 @@ def nearest_spots(points: DataFrame, tree: Tree, key: str, types: Sequence[str])
     pairs = start.join(tops, "t").select(key, "px", "py", "t", "k", "cx", "cy", "leaf")
     for level in range(tree.depth + 1):
         if level:
-            below = tree.children(pairs.where(~F.col("leaf")), [key, "px", "py"]).drop("n")
-            pairs = pairs.where("leaf").unionByName(below)
+            pairs = tree.children_or_self(pairs, [key, "px", "py"])
         near, far = _box_distances(tree.box(), "px", "py")
         pairs = pairs.withColumn("bound", F.min(far).over(who)).where(near <= F.col("bound") * (1 + SLACK)).drop("bound")
-        if level and level < tree.depth:
+        if level % 4 == 3 and level < tree.depth:
             pairs = materialize(pairs, "nearest-pairs")
     met = tree.with_spots(pairs, [key, "px", "py"])
     d2 = (F.col("px") - F.col("fx")) ** 2 + (F.col("py") - F.col("fy")) ** 2
