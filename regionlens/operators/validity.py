@@ -1,7 +1,8 @@
 """G9 polygon validity: crossings found by an edge-to-edge join on small cells.
 
 Every polygon gets a grid of its own, about one cell per edge, and only edges that share a
-cell of their polygon are compared.
+cell of their polygon are compared.  Exploded edges are many more rows than Spark's estimate of
+them, so no join is left to its choice of a broadcast: all merge.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def invalid_parts(df: DataFrame, key: str, rings: str = "rings") -> DataFrame:
                                              F.max(F.greatest("ay", "by")) - F.min(F.least("ay", "by"))).alias("extent"),
                                   F.count(F.lit(1)).alias("edges"))
     width = F.col("extent") / F.ceil(F.sqrt("edges"))
-    placed = edges.join(grid, key).withColumn("w", width)
+    placed = edges.join(grid.hint("merge"), key).withColumn("w", width)
 
     def cells(lo: str, hi: str, start: str) -> Column:
         return F.explode(F.sequence(F.floor((F.least(lo, hi) - F.col(start)) / F.col("w")),
@@ -68,12 +69,12 @@ def invalid_parts(df: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     crossing = pairs.where(bad).groupBy(key).agg(F.lit(True).alias("crossing"))
 
     within = ring.where("ring > 0").select(key, "ring", F.explode("r").alias("p")).join(
-        edges.where("ring = 0").select(key, "ax", "ay", "bx", "by"), key)
+        edges.where("ring = 0").select(key, "ax", "ay", "bx", "by").hint("merge"), key)
     hit = ((F.col("ay") > F.col("p.y")) != (F.col("by") > F.col("p.y"))) & (
         F.col("p.x") < F.col("ax") + F.try_divide((F.col("p.y") - F.col("ay")) * (F.col("bx") - F.col("ax")), F.col("by") - F.col("ay")))
     outside = (within.groupBy(key, "ring", "p").agg((F.count_if(hit) % 2 == 1).alias("i")).groupBy(key, "ring")
                .agg(F.max("i").alias("i")).where("NOT i").groupBy(key).agg(F.lit(True).alias("outside")))
     shape = df.groupBy(key).agg(F.max(~F.coalesce(geo.is_valid(rings), F.lit(False))).alias("shape"))
     no = F.lit(False)
-    return (shape.join(crossing, key, "left").join(outside, key, "left")
+    return (shape.join(crossing.hint("merge"), key, "left").join(outside.hint("merge"), key, "left")
             .select(key, "shape", F.coalesce("crossing", no).alias("crossing"), F.coalesce("outside", no).alias("outside")))
