@@ -220,18 +220,18 @@ def bilinear_warp(grid: DataFrame, factor_x: float, factor_y: float, value: str
         return spark.createDataFrame([], f"row bigint, col int, {value} double")
     h = math.ceil((ext["r1"] - ext["r0"] + 1) / factor_y)
     w = math.ceil((ext["c1"] - ext["c0"] + 1) / factor_x)
-    tgt = (spark.range(h).withColumnRenamed("id", "trow")
-           .select("trow", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("tcol")))
+    # a row of Spark's range per pixel: spread over the tasks, and of a size that Spark knows
+    tgt = spark.range(h * w).select(F.expr(f"id div {w}").alias("trow"), (F.col("id") % w).cast("int").alias("tcol"))
     # centre of target pixel in source pixel units, then to source-centre grid
     sr = F.lit(float(ext["r0"])) + (F.col("trow") + 0.5) * factor_y - 0.5
     sc = F.lit(float(ext["c0"])) + (F.col("tcol") + 0.5) * factor_x - 0.5
-    return _bilinear(tgt.select("trow", "tcol", sr.alias("_sr"), sc.alias("_sc")), grid, value).drop("weight")
+    return _bilinear(tgt.select("trow", "tcol", sr.alias("_sr"), sc.alias("_sc")), grid, value)
 
 
 def _bilinear(tgt: DataFrame, grid: DataFrame, value: str) -> DataFrame:
-    """row, col, value and weight of target pixels (trow, tcol) whose centres lie at the fractional
-    source place (_sr, _sc): the normalised sum over the neighbours that exist and are valid, and
-    the sum of their weights (NULL when none is)."""
+    """row, col and value of target pixels (trow, tcol) whose centres lie at the fractional source
+    place (_sr, _sc): the normalised sum over the neighbours that exist and are valid (NULL when
+    none is)."""
     t = tgt
     t = t.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                                           for a in (0, 1) for b in (0, 1)])).alias("_n"))
