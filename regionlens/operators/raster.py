@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions import geo
@@ -262,19 +262,34 @@ def _bilinear(tgt: DataFrame, grid: DataFrame, value: str) -> DataFrame:
         den = wn if den is None else den + wn
     return (tgt.select("trow", "tcol").join(agg.select("trow", "tcol", num.alias("_num"), den.alias("_den")), ["trow", "tcol"], "left")
             .select(F.col("trow").alias("row"), F.col("tcol").alias("col"),
-                    F.try_divide("_num", "_den").alias(value), F.col("_den").alias("weight")))
+                    F.try_divide("_num", "_den").alias(value)))
+
+
+def _quads(grid: DataFrame, value: str) -> DataFrame:
+    """_nr, _nc and _v00 to _v11: the valid values at the corners of each square between the centres
+    of four neighbouring pixels, from (row, col) = (_nr, _nc) on; squares without any are left out."""
+    slots = [(a, b) for a in (0, 1) for b in (0, 1)]
+    src = grid.select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col(value).alias("_v"))
+    put = src.where("_r IS NOT NULL AND _c IS NOT NULL AND _v IS NOT NULL").select("_r", "_c", "_v", F.explode(F.array(
+        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in slots])).alias("_n"))
+    own = lambda a, b: F.when((F.col("_n.a") == a) & (F.col("_n.b") == b), F.col("_v"))
+    return put.groupBy((F.col("_r") - F.col("_n.a")).alias("_nr"), (F.col("_c") - F.col("_n.b")).alias("_nc")).agg(
+        *[F.max(own(a, b)).alias(f"_v{a}{b}") for a, b in slots])
 
 
 def reproject(grid: DataFrame, zone: int, res: float, lon0: float, dlon: float, lat0: float, dlat: float,
-              north: bool = True, edge_points: int = 21, value: str = "value") -> DataFrame:
+              north: bool = True, edge_points: int = 21, value: str = "value", covered: bool = False) -> DataFrame:
     """G12 a lon/lat raster onto a UTM grid of square pixels of ``res`` metres, bilinear.
 
     The source pixel (row, col) covers lon0 + col dlon .. and lat0 + row dlat ...  The target's
     bounds are those of the source's edges, of which ``edge_points`` places a side are
-    projected (edges are curved in the target), widened to whole pixels; each target pixel's
-    centre is traced back and meets its four neighbours in an equi-join.  Output: row and
-    col (from the lower left), the value, NULL where no valid neighbour is, and weight,
-    the share of the neighbours that was valid.  An empty raster gives an empty one.
+    projected (edges are curved in the target), widened to whole pixels.  Each square between
+    four neighbouring source pixels is projected to find the target pixels near it; their
+    centres are traced back, and those inside weigh the four values.  So the work grows with
+    the source and not with the target's bounds, which a long curved raster fills in small
+    part.  Output: row and col (from the lower left), the value, NULL where no valid
+    neighbour is, and weight, the share of the neighbours that was valid; with ``covered``
+    without the pixels that have no valid neighbour.  An empty raster gives an empty one.
     """
     spark = grid.sparkSession
     e = grid.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).first()
@@ -288,9 +303,42 @@ def reproject(grid: DataFrame, zone: int, res: float, lon0: float, dlon: float,
          .agg(F.min("p.x").alias("x0"), F.max("p.x").alias("x1"), F.min("p.y").alias("y0"), F.max("p.y").alias("y1")).first())
     left, low = math.floor(b["x0"] / res), math.floor(b["y0"] / res)
     w, h = math.ceil(b["x1"] / res) - left, math.ceil(b["y1"] / res) - low
+    values = [f"_v{a}{b}" for a in (0, 1) for b in (0, 1)]
+    # the box of the square's corners and the middles of its sides; a side that bends like a
+    # parabola leaves the box of its three places by an eighth of it at most
+    places = F.array(*[F.struct((lon0 + (F.col("_nc") + j) * dlon).alias("lon"), (lat0 + (F.col("_nr") + i) * dlat).alias("lat"))
+                       for i in (0.5, 1.0, 1.5) for j in (0.5, 1.0, 1.5) if (i, j) != (1.0, 1.0)])
+    placed = (_quads(grid, value).withColumn("_q", F.explode(places))
+              .select("_nr", "_nc", *values, geo.to_utm("_q.lon", "_q.lat", zone, north).alias("_p"))
+              .groupBy("_nr", "_nc").agg(*[F.max(v).alias(v) for v in values],
+                                         *[f(f"_p.{c}").alias(f"_{c}{n}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]))
+
+    def near(axis: str, start: int, size: int) -> Column:
+        """The target's rows or columns whose centres may be inside; a millimetre for the series' error."""
+        lo, hi = F.col(f"_{axis}lo"), F.col(f"_{axis}hi")
+        slack = (hi - lo) / 8 + (0.001 + 0.001 * res)
+        first = F.greatest(F.lit(0).cast("long"), F.ceil((lo - slack) / res - (start + 0.5)))
+        last = F.least(F.lit(size - 1).cast("long"), F.floor((hi + slack) / res - (start + 0.5)))
+        return F.when(first <= last, F.sequence(first, last))
+
+    spans = placed.select("_nr", "_nc", *values, near("y", low, h).alias("_rows"), near("x", left, w).alias("_cols"))
+    tried = spans.withColumn("trow", F.explode("_rows")).withColumn("tcol", F.explode("_cols")).drop("_rows", "_cols")
+    at = tried.withColumn("_g", geo.from_utm(F.lit(left * res) + (F.col("tcol") + 0.5) * res,
+                                             F.lit(low * res) + (F.col("trow") + 0.5) * res, zone, north))
+    at = at.select("trow", "tcol", "_nr", "_nc", *values, ((F.col("_g.y") - lat0) / dlat - 0.5).alias("_sr"),
+                   ((F.col("_g.x") - lon0) / dlon - 0.5).alias("_sc"))
+    at = at.where((F.floor("_sr") == F.col("_nr")) & (F.floor("_sc") == F.col("_nc")))
+    num = den = None
+    for a in (0, 1):
+        for b in (0, 1):
+            v = F.col(f"_v{a}{b}")
+            wgt = (1 - F.abs(F.col("_sr") - (F.col("_nr") + a))) * (1 - F.abs(F.col("_sc") - (F.col("_nc") + b)))
+            p, s = F.when(v.isNotNull(), wgt * v).otherwise(0.0), F.when(v.isNotNull(), wgt).otherwise(0.0)
+            num, den = (p, s) if num is None else (num + p, den + s)
+    out = at.select(F.col("trow").alias("row"), F.col("tcol").alias("col"), num.alias("_num"), den.alias("weight")).select(
+        "row", "col", F.try_divide("_num", "weight").alias(value), "weight")
+    if covered:
+        return out
     # whole pixels, spread over the session's tasks
-    tgt = spark.range(w * h).select((F.expr(f"id div {w}")).alias("trow"), (F.col("id") % w).alias("tcol"))
-    at = tgt.withColumn("_g", geo.from_utm(F.lit(left * res) + (F.col("tcol") + 0.5) * res,
-                                           F.lit(low * res) + (F.col("trow") + 0.5) * res, zone, north))
-    at = at.select("trow", "tcol", ((F.col("_g.y") - lat0) / dlat - 0.5).alias("_sr"), ((F.col("_g.x") - lon0) / dlon - 0.5).alias("_sc"))
-    return _bilinear(at, grid, value)
+    tgt = spark.range(w * h).select((F.expr(f"id div {w}")).alias("row"), (F.col("id") % w).alias("col"))
+    return tgt.join(out.hint("merge"), ["row", "col"], "left")

@@ -127,10 +127,11 @@ FROM nb JOIN grid g ON g."row" = nr AND g.col = nc WHERE value IS NOT NULL GROUP
 def raster_reproject(spark: SparkSession, d: str) -> DataFrame:
     """G12 a lon/lat raster onto a UTM 18N grid of about its own resolution:
     bounds from densified edges, target pixels traced back, four neighbours
-    weighted.  The raster spans 0.3 degrees, however many columns it has."""
+    weighted; pixels without any are no rows.  The raster spans 0.3 degrees, however many columns it has."""
     g = fx.grid(spark, d)
     width = g.agg(F.max("col")).first()[0] + 1
-    out = raster.reproject(g, 18, 25000.0 / width, -75.15, 0.3 / width, 37.0, 0.3 / width, edge_points=_EDGE)
+    out = raster.reproject(g, 18, 25000.0 / width, -75.15, 0.3 / width, 37.0, 0.3 / width, edge_points=_EDGE,
+                           covered=True)
     return out.where("weight > 1e-3").select("row", "col", R("value"))
 
 
