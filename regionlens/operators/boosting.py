@@ -35,6 +35,8 @@ from regionlens.session import materialize
 
 #: Rounds whose trees are applied on the fly before the margins are written anew.
 PENDING = 8
+#: Rows that a task of a pass has at least, and the tasks up to which the driver adds their histograms up itself.
+TASK_ROWS, DIRECT = 8192, 16
 
 
 class Tree:
@@ -161,15 +163,17 @@ def fit(df: DataFrame, features: Sequence[str], label: str, rounds: int = 100, d
                      *[F.avg(F.when(F.col("_f") != k, F.col("_y"))).alias(f"m{k}") for k in range(n_models)]).first()
     models = [Boosted(features, cuts, round(stats[f"m{k}"] or 0.0, 6)) for k in range(n_models)]
     scale = gradient_scale(stats["n"], stats["hi"] - stats["lo"]) if stats["n"] else 1.0
-    margins = rows.withColumn("_m", F.array(*[F.lit(m.base) for m in models]))
+    # few rows need few tasks, and the passes are many
+    tasks = -(-stats["n"] // TASK_ROWS)
+    margins = rows.withColumn("_m", F.array(*[F.lit(m.base) for m in models])).coalesce(max(tasks, 1))
     pending: list[list[Tree]] = []
     for _ in range(rounds if stats["n"] else 0):
-        trees = _grow(margins, pending, shape, n_models, scale, depth, rate, lam, least)
+        trees = _grow(margins, pending, shape, n_models, scale, depth, rate, lam, least, tasks <= DIRECT)
         for model, tree in zip(models, trees):
             model.trees.append(tree)
         pending.append(trees)
         if len(pending) >= PENDING or len(models[0].trees) == rounds:
-            margins, pending = materialize(margins.withColumn("_m", _applied(pending)("_b", "_m")), "boost-margins"), []
+            margins, pending = materialize(margins.withColumn("_m", _applied(pending)("_b", "_m")), "boost-margins").coalesce(max(tasks, 1)), []
     prediction = F.get("_m", F.when(F.col("_f") >= 0, F.col("_f"))) if fold else F.get("_m", F.lit(0))
     return models, margins.withColumn("prediction", prediction).select(*[f"`{c}`" for c in df.columns], "prediction")
 
@@ -199,8 +203,9 @@ def _applied(pending: list[list[Tree]]):
 
 
 def _histogram(margins: DataFrame, pending: list[list[Tree]], trees: list[Tree], slots: dict[tuple[int, int], int],
-               shape: tuple[int, int], scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of g and h for each active node, feature and bin: one pass, added up in the tasks first."""
+               shape: tuple[int, int], scale: float, direct: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of g and h for each active node, feature and bin: one pass, added up in the tasks first,
+    then in a shuffle or, if there are few tasks (``direct``), in the driver."""
     size, high = len(slots) * shape[0] * shape[1], 1 << 24
     slot_of = np.full((len(trees), len(trees[0].feature)), -1, np.int64)
     for (k, node), slot in slots.items():
@@ -227,15 +232,18 @@ def _histogram(margins: DataFrame, pending: list[list[Tree]], trees: list[Tree],
         at = np.flatnonzero(h)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g[at]), pa.array(h[at])], names=["cell", "g", "h"])
 
-    got = (margins.select("_y", "_f", "_b", "_m").mapInArrow(add, "cell bigint, g bigint, h bigint")
-           .groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas())
+    got = margins.select("_y", "_f", "_b", "_m").mapInArrow(add, "cell bigint, g bigint, h bigint")
+    if not direct:
+        got = got.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    cell, part_g, part_h = (c.to_numpy() for c in got.toArrow().select(["cell", "g", "h"]).columns)
     g, h = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    g[got["cell"]], h[got["cell"]] = got["g"], got["h"]
+    np.add.at(g, cell, part_g)
+    np.add.at(h, cell, part_h)
     return g.reshape(len(slots), *shape), h.reshape(len(slots), *shape)
 
 
 def _grow(margins: DataFrame, pending: list[list[Tree]], shape: tuple[int, int], models: int, scale: float, depth: int,
-          rate: float, lam: float, least: float) -> list[Tree]:
+          rate: float, lam: float, least: float, direct: bool) -> list[Tree]:
     """One tree per model, a level at a time."""
     trees = [Tree(depth) for _ in range(models)]
 
@@ -244,7 +252,7 @@ def _grow(margins: DataFrame, pending: list[list[Tree]], shape: tuple[int, int],
 
     active = [(k, 1) for k in range(models)]
     for level in range(depth):
-        g, h = _histogram(margins, pending, trees, {a: i for i, a in enumerate(active)}, shape, scale)
+        g, h = _histogram(margins, pending, trees, {a: i for i, a in enumerate(active)}, shape, scale, direct)
         following = []
         for (k, node), node_g, node_h in zip(active, g, h):
             tree, whole_g, whole_h = trees[k], int(node_g[0].sum()), int(node_h[0].sum())
