@@ -2,14 +2,15 @@
 
 The documents are cut into shards.  A phrase that stands ``least`` times in the corpus
 stands, in some shard, at least as often as that shard's share of the words asks for
-(pigeonhole).  So each shard is mined completely at its lowered support, the phrases that
-are frequent in any shard are united, and one more pass counts them exactly over all
-documents.  A shard is mined level by level: a run of k words is counted only if both of
+(pigeonhole).  So each shard is mined completely at its lowered support, and the phrases that
+are frequent in any shard are united.  Their counts in all shards are at hand by then, so those
+that do not add up to ``least`` leave at once, before they let longer runs through; one more
+pass counts the others exactly over all documents.  A shard is mined level by level: a run of k words is counted only if both of
 its runs of k - 1 words are among the united candidates so far.
 
 The number of shards is fixed, so the lowered support does not sink as the corpus grows; a
 shard is as large as it has to be and is mined by many tasks, which add up their own counts
-first.  The candidates travel as a bit table of fixed size, indexed by hash: two phrases
+first.  Hashes are shuffled by their upper half.  The candidates travel as a bit table of fixed size, indexed by hash: two phrases
 that meet there cost a needless count and nothing else, as the last pass counts by text.
 """
 
@@ -94,7 +95,8 @@ def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _mined(docs: DataFrame, k: int, below) -> DataFrame:
-    """lang, shard, h, n: how often each run of ``k`` words whose parts are candidates stands in each shard."""
+    """lang, shard, h, n: how often each run of ``k`` words whose parts are candidates stands in each shard, by
+    the upper half of its hash; a hash's shards are in one partition."""
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         size = 0
@@ -103,7 +105,7 @@ def _mined(docs: DataFrame, k: int, below) -> DataFrame:
             for (lang, shard), parts in held.items():
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
                 for a in range(0, len(h), 1 << 18):
-                    part = h[a:a + (1 << 18)].view(np.int64)
+                    part = h[a:a + (1 << 18)].view(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang]).take(pa.array(np.zeros(len(part), np.int32))),
                          pa.array(np.full(len(part), shard, np.int32)), pa.array(part),
@@ -118,7 +120,7 @@ def _mined(docs: DataFrame, k: int, below) -> DataFrame:
                 known[first] = _has(below.value, parts)
                 good = known[at] & known[at + 1]
                 at, h = at[good], h[good]
-            row = words.row[at]
+            row, h = words.row[at], (h >> np.uint64(32)).astype(np.uint32)
             group = codes[row].astype(np.int64) << 32 | shards[row]
             order = np.argsort(group, kind="stable") if len(group) and (group != group[0]).any() else slice(None)
             group, h = group[order], h[order]
@@ -132,7 +134,7 @@ def _mined(docs: DataFrame, k: int, below) -> DataFrame:
                 size = 0
         yield from flush()
 
-    return (docs.mapInArrow(mine, "lang string, shard int, h bigint, n bigint")
+    return (docs.mapInArrow(mine, "lang string, shard int, h int, n bigint").repartition("lang", "h")
             .groupBy("lang", "shard", "h").agg(F.sum("n").alias("n")))
 
 
@@ -143,7 +145,7 @@ def _bit_table(hashes: DataFrame) -> np.ndarray:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            place = np.unique(np.asarray(batch.column("h")).view(np.uint64) >> np.uint64(64 - BITS))
+            place = np.unique(np.asarray(batch.column("h")).view(np.uint32) >> np.uint32(32 - BITS)).astype(np.uint64)
             row = (place >> np.uint64(row_bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(row)) + 1
             for part in np.split(place, cuts) if len(place) else []:
@@ -154,7 +156,7 @@ def _bit_table(hashes: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([bits.tobytes()])], names=["row", "bits"])
 
     table = np.zeros((rows, 1 << (row_bits - 3)), np.uint8)
-    placed = hashes.select("h").repartition(F.shiftrightunsigned("h", 64 - BITS + row_bits))
+    placed = hashes.select("h").repartition(F.shiftrightunsigned("h", 32 - BITS + row_bits))
     for r in placed.mapInArrow(fill, "row int, bits binary").collect():  # 16 MB at most
         table[r.row] |= np.frombuffer(r.bits, np.uint8)
     return table.reshape(-1)
@@ -229,8 +231,9 @@ def frequent_phrases(docs: DataFrame, least: int, most: int, shards: int) -> tup
     every, table = np.zeros(1 << (BITS - 3), np.uint8), None
     for k in range(1, most + 1):
         counts = words if k == 1 else _mined(parted, k, table)
-        local = counts.join(totals, ["lang", "shard"]).where(exact("n") * exact("total") >= exact("own") * F.lit(least))
-        found = _bit_table(local)
+        local = exact("n") * exact("total") >= exact("own") * F.lit(least)
+        whole = counts.join(totals, ["lang", "shard"]).groupBy("lang", "h").agg(F.sum("n").alias("f"), F.max(local).alias("local"))
+        found = _bit_table(whole.where(F.col("local") & (F.col("f") >= least)))
         if table is not None:
             table.unpersist()
         if not found.any():
