@@ -5,16 +5,20 @@ empty ones none.  The tree is two tables: its cells (type, level, cell, number o
 summed weight, whether it is a leaf) and its spots with the leaf that holds them.  Searches
 go down from the top: a (point, cell) pair whose box settles the question is closed, only
 the others meet the cell's children, a level at a time.  So a count touches the rim of a disc
-and a nearest search the surroundings of its answer, whatever lies within.
+and a nearest search the surroundings of its answer, whatever lies within.  For counts the
+points stand in blocks, the leaves of a tree of their own: a block goes down as one, and its
+points are measured against the spots of a leaf at once, as arrays.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from regionlens.session import materialize
 BATCH, DEEPEST = 6, 24
 #: Relative slack of box tests against the rounding of cell borders; what they leave open is measured.
 SLACK = 1e-9
+#: Most places of a block and spots of a leaf in a count, and blocks' places and (block, leaf) pairs that a group holds.
+BLOCK, GROUP_PLACES, GROUP_PAIRS = 512, 8192, 256
 
 
 @dataclass
@@ -77,12 +83,18 @@ class Tree:
         return rows * (_flat_row_bytes(df.schema) + self.name_bytes)
 
     def with_spots(self, pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """Each pair of a leaf with the spots in it: columns fx, fy, w, fid."""
+        """Each pair of a leaf with the spots in it: columns fx, fy, w, fid (a packed tree: arrays, no fid)."""
         from regionlens.operators.spatial import cell_join
 
         return cell_join(pairs.select(*keep, "t", "k", "cx", "cy"), self.spots, ["t", "k", "cx", "cy"],
                          right_bytes=self.bytes_of(self.spots, self.n_spots))
 
+    def packed(self) -> Tree:
+        """The tree with the spots of each leaf in one row."""
+        spot = F.collect_list(F.struct("fx", "fy", F.col("w").cast("double").alias("w"))).alias("s")
+        rows = self.spots.groupBy("t", "k", "cx", "cy").agg(spot)
+        return replace(self, spots=materialize(rows.select("t", "k", "cx", "cy", "s.fx", "s.fy", "s.w"), "tree-packed"))
+
 
 def build(spots: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0, leaf: int = 16) -> Tree:
     """The tree of ``spots`` (t, fx, fy, w, fid), one row per type and place, finite coordinates.
@@ -129,52 +141,92 @@ def build(spots: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0, leaf:
     return Tree(size, x0, y0, depth, cells, materialize(held, "tree-spots"), n_cells, n_spots, name_bytes)
 
 
-def _box_distances(box: tuple, x: str, y: str) -> tuple[Column, Column]:
-    """Squared distances from a point to the nearest and to the farthest place of a box."""
+def _box_distances(box: tuple, own: tuple) -> tuple[Column, Column]:
+    """Squared distances between the nearest and between the farthest places of two boxes; a point is a box too."""
     x0, y0, x1, y1 = box
-    px, py, zero = F.col(x), F.col(y), F.lit(0.0)
-    near = F.greatest(x0 - px, zero, px - x1) ** 2 + F.greatest(y0 - py, zero, py - y1) ** 2
-    far = F.greatest(F.abs(px - x0), F.abs(px - x1)) ** 2 + F.greatest(F.abs(py - y0), F.abs(py - y1)) ** 2
+    lx, ly, hx, hy = (F.col(c) for c in own)
+    zero = F.lit(0.0)
+    near = F.greatest(x0 - hx, zero, lx - x1) ** 2 + F.greatest(y0 - hy, zero, ly - y1) ** 2
+    far = F.greatest(hx - x0, x1 - lx) ** 2 + F.greatest(hy - y0, y1 - ly) ** 2
     return near, far
 
 
-def count_in_discs(points: DataFrame, tree: Tree, key: str, radii: Sequence[float]) -> DataFrame:
-    """``key``, t and c0, c1, ... (summed weight within each radius), several rows per key and type.
+def count_in_discs(places: DataFrame, tree: Tree, radii: Sequence[float]) -> DataFrame:
+    """px, py, t and c0, c1, ... (summed weight within each radius) of each place and type near it.
 
-    ``points`` has ``key``, px, py; the tree's top cells are as wide as the largest radius.
-    A cell wholly within a disc gives its count; one on the rim is opened, or measured spot
-    by spot if it is a leaf.
+    ``places`` has px, py, finite and one row each; the tree's top cells are as wide as the largest radius.
+    A cell wholly within the discs of all places of a block gives its count; one on a rim is opened.
+    Blocks and the leaves on their rims meet in groups of bounded size, where they are measured.
     """
     from regionlens.operators.spatial import cell_join
 
-    own = [key, "px", "py", "open"]
+    tree = tree.packed()
+    held = build(places.select(F.lit("").alias("t"), F.col("px").alias("fx"), F.col("py").alias("fy"),
+                               F.lit(1).cast("long").alias("w"), F.lit(None).cast("bigint").alias("fid")),
+                 tree.size, tree.x0, tree.y0, BLOCK).spots
+    held = held.select(F.concat_ws(",", "k", "cx", "cy").alias("b"), F.col("fx").alias("px"), F.col("fy").alias("py"))
+    blocks = materialize(held.groupBy("b").agg(F.min("px").alias("lx"), F.min("py").alias("ly"), F.max("px").alias("hx"),
+                                               F.max("py").alias("hy"), F.count(F.lit(1)).alias("m")), "blocks")
+    box = ("lx", "ly", "hx", "hy")
+    own = ["b", *box, "open"]
+    counts = [f"c{i}" for i in range(len(radii))]
     block = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     top = (tree.cells.where("k = 0").withColumn("o", F.explode(block))
            .withColumns({"ax": F.col("cx") + F.col("o.dx"), "ay": F.col("cy") + F.col("o.dy")}).drop("o"))
-    start = points.withColumns({"ax": F.floor((F.col("px") - tree.x0) / tree.size).cast("bigint"),
-                                "ay": F.floor((F.col("py") - tree.y0) / tree.size).cast("bigint"),
+    start = blocks.withColumns({"ax": F.floor((F.col("lx") - tree.x0) / tree.size).cast("bigint"),
+                                "ay": F.floor((F.col("ly") - tree.y0) / tree.size).cast("bigint"),
                                 "open": F.lit((1 << len(radii)) - 1)})
     pairs = cell_join(start, top, ["ax", "ay"], right_bytes=tree.bytes_of(top, 9 * tree.n_cells)).select(*own, "t", "k", "cx", "cy", "n", "leaf")
-    out, leaves = [], []
+    whole, leaves = [], []
     for level in range(tree.depth + 1):
-        near, far = _box_distances(tree.box(), "px", "py")
+        near, far = _box_distances(tree.box(), box)
         inside = [(F.col("open").bitwiseAND(1 << i) != 0) & (far <= r * r * (1 - SLACK)) for i, r in enumerate(radii)]
         rim = [(F.col("open").bitwiseAND(1 << i) != 0) & (far > r * r * (1 - SLACK)) & (near <= r * r * (1 + SLACK))
                for i, r in enumerate(radii)]
         still = reduce(lambda a, b: a + b, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(rim)])
-        seen = pairs.select(key, "px", "py", "t", "k", "cx", "cy", "leaf", still.alias("open"),
-                            *[F.when(c, F.col("n")).otherwise(0).alias(f"c{i}") for i, c in enumerate(inside)])
-        if tree.depth:
-            seen = materialize(seen, "disc-pairs")
-        out.append(seen.select(key, "t", *[f"c{i}" for i in range(len(radii))]))
-        leaves.append(seen.where((F.col("open") > 0) & F.col("leaf")))
+        seen = materialize(pairs.select("b", *box, "t", "k", "cx", "cy", "leaf", still.alias("open"), *[
+            F.when(c, F.col("n")).otherwise(0).alias(f"c{i}") for i, c in enumerate(inside)]), "disc-pairs")
+        whole.append(seen.select("b", "t", *counts).where(reduce(lambda a, b: a | b, [F.col(c) > 0 for c in counts])))
+        leaves.append(seen.where((F.col("open") > 0) & F.col("leaf")).select(*own, "t", "k", "cx", "cy"))
         if level < tree.depth:
             pairs = tree.children(seen.where((F.col("open") > 0) & ~F.col("leaf")), own)
-    met = tree.with_spots(reduce(DataFrame.unionByName, [s.select(*own, "t", "k", "cx", "cy") for s in leaves]), own)
-    d2 = (F.col("px") - F.col("fx")) ** 2 + (F.col("py") - F.col("fy")) ** 2
-    out.append(met.select(key, "t", *[F.when((F.col("open").bitwiseAND(1 << i) != 0) & (d2 <= float(r) ** 2), F.col("w"))
-                                      .otherwise(0).alias(f"c{i}") for i, r in enumerate(radii)]))
-    return reduce(DataFrame.unionByName, out)
+    leaves = reduce(DataFrame.unionByName, leaves)
+    groups = max(1, math.ceil((blocks.agg(F.sum("m")).first()[0] or 0) / GROUP_PLACES), math.ceil(leaves.count() / GROUP_PAIRS))
+    met = tree.with_spots(leaves, ["b", "open"]).select("b", "t", "open", "fx", "fy", "w", *[F.lit(0).cast("bigint").alias(c) for c in counts])
+    none = F.array().cast("array<double>")
+    settled = reduce(DataFrame.unionByName, whole).groupBy("b", "t").agg(*[F.sum(c).alias(c) for c in counts]).select(
+        "b", "t", F.lit(0).alias("open"), *[none.alias(c) for c in ("fx", "fy", "w")], *counts)
+    group = F.pmod(F.xxhash64("b"), F.lit(groups)).alias("g")
+    squares = [float(r) ** 2 for r in radii]
+
+    def measure(points: pd.DataFrame, facing: pd.DataFrame) -> pd.DataFrame:
+        return _measured(points, facing, squares)
+
+    return (held.groupBy(group).cogroup(met.unionByName(settled).groupBy(group))
+            .applyInPandas(measure, "px double, py double, t string, " + ", ".join(f"{c} bigint" for c in counts)))
+
+
+def _measured(points: pd.DataFrame, facing: pd.DataFrame, squares: Sequence[float]) -> pd.DataFrame:
+    """Counts of each of the ``points`` (block b, px, py) by type: what is settled for its block, and the
+    spots (arrays) at most the root of ``squares`` away, for the radii that are open."""
+    rows = points.groupby("b").indices
+    px, py = points["px"].to_numpy(), points["py"].to_numpy()
+    sums: dict[tuple, np.ndarray] = {}
+    for r in facing.itertuples(index=False):
+        own = rows[r.b]
+        total = sums.setdefault((r.b, r.t), np.zeros((len(squares), len(own)), np.int64))
+        total += np.array([getattr(r, f"c{i}") for i in range(len(squares))], np.int64)[:, None]
+        for a in range(0, len(r.fx) if r.open else 0, 8 * BLOCK):
+            fx, fy, w = (np.asarray(c[a:a + 8 * BLOCK]) for c in (r.fx, r.fy, r.w))
+            with np.errstate(over="ignore"):
+                d2 = (px[own][:, None] - fx) ** 2 + (py[own][:, None] - fy) ** 2
+            for i, square in enumerate(squares):
+                if r.open >> i & 1:
+                    total[i] += ((d2 <= square) @ w).astype(np.int64)
+    at = np.concatenate([rows[b] for b, _ in sums]) if sums else np.zeros(0, np.int64)
+    all_sums = np.concatenate(list(sums.values()), axis=1) if sums else np.zeros((len(squares), 0), np.int64)
+    kinds = [t for (b, t) in sums for _ in range(len(rows[b]))]
+    return pd.DataFrame({"px": px[at], "py": py[at], "t": pd.Series(kinds, dtype=object)} | {f"c{i}": c for i, c in enumerate(all_sums)})
 
 
 def nearest_spots(points: DataFrame, tree: Tree, key: str, types: Sequence[str]) -> DataFrame:
@@ -191,7 +243,7 @@ def nearest_spots(points: DataFrame, tree: Tree, key: str, types: Sequence[str])
     for level in range(tree.depth + 1):
         if level:
             pairs = tree.children_or_self(pairs, [key, "px", "py"])
-        near, far = _box_distances(tree.box(), "px", "py")
+        near, far = _box_distances(tree.box(), ("px", "py", "px", "py"))
         pairs = pairs.withColumn("bound", F.min(far).over(who)).where(near <= F.col("bound") * (1 + SLACK)).drop("bound")
         if level % 4 == 3 and level < tree.depth:
             pairs = materialize(pairs, "nearest-pairs")
