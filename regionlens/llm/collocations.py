@@ -165,41 +165,65 @@ def _bit_table(hashes: DataFrame) -> np.ndarray:
 def _counted(docs: DataFrame, most: int, known) -> DataFrame:
     """lang, k, phrase, f: exact counts of the runs of 1 to ``most`` words whose bit is set, by their text."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        size = 0
+        yield from _task_counts(batches, most, known.value)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, k), parts in held.items():
-                h, n, start, length, texts = (np.concatenate(x) if i < 4 else x for i, x in enumerate(zip(*parts)))
-                text = np.concatenate(texts)
-                shift = np.cumsum([0, *map(len, texts)])[:-1]
-                start = start + np.repeat(shift, [len(p[0]) for p in parts])
-                _, first, place = np.unique(h, return_index=True, return_inverse=True)
-                total = np.bincount(place, weights=n, minlength=len(first)).astype(np.int64)
-                yield from _phrases(lang, k, total, start[first], length[first], text)
-            held.clear()
+    return (docs.select("lang", "text").mapInArrow(count, "lang string, k int, phrase string, n bigint")
+            .groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")))
+
+
+def _task_counts(batches: Iterator[pa.RecordBatch], most: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The counts of one task's rows.  Equal runs are added up whenever much is held, and only what is
+    too much even then is given out before the end.  A run counts only if both of its runs of one word
+    less do: they are as frequent, so the table's false bits let few others through."""
+    held: dict[tuple, list] = {}
+    size = 0
 
-        for langs, codes, seeds, _, words in _parts(batches, True):
-            for k in range(1, most + 1):
-                at, h = words.runs(k, seeds)
-                good = _has(known.value, h)
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, k), parts in held.items():
+            h, n, start, length, text = _added(parts)
+            yield from _phrases(lang, k, n, start, length, text)
+        held.clear()
+
+    for langs, codes, seeds, _, words in _parts(batches, True):
+        below = np.ones(len(words.hash) + 1, bool)
+        for k in range(1, most + 1):
+            at, h = words.runs(k, seeds)
+            if k > 1:
+                good = below[at] & below[at + 1]
                 at, h = at[good], h[good]
-                code = codes[words.row[at]]
-                for c in np.unique(code).tolist():
-                    own = code == c
-                    u, first, n = np.unique(h[own], return_index=True, return_counts=True)
-                    at_c = at[own][first]
-                    start, length = words.start[at_c], words.end[at_c + k - 1] - words.start[at_c]
-                    text = words.text[_ranges(start, length)]
-                    held.setdefault((langs[c], k), []).append((u, n, np.cumsum(length) - length, length, text))
-                    size += len(u) + len(text) // 8
-            if size >= HELD:
+            good = _has(table, h)
+            at, h = at[good], h[good]
+            below = np.zeros(len(words.hash) + 1, bool)
+            below[at] = True
+            code = codes[words.row[at]]
+            for c in np.unique(code).tolist():
+                own = code == c
+                u, first, n = np.unique(h[own], return_index=True, return_counts=True)
+                at_c = at[own][first]
+                start, length = words.start[at_c], words.end[at_c + k - 1] - words.start[at_c]
+                text = words.text[_ranges(start, length)]
+                held.setdefault((langs[c], k), []).append((u, n, np.cumsum(length) - length, length, text))
+                size += len(u) + len(text) // 8
+        if size >= HELD:
+            for key, parts in held.items():
+                held[key] = [_added(parts)]
+            size = sum(len(h) + len(text) // 8 for [(h, _n, _start, _length, text)] in held.values())
+            if size >= HELD // 2:
                 yield from flush()
                 size = 0
-        yield from flush()
-
-    return (docs.select("lang", "text").mapInArrow(count, "lang string, k int, phrase string, n bigint")
-            .groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")))
+    yield from flush()
+
+
+def _added(parts: list[tuple]) -> tuple:
+    """Parts of hash, count, start and length of runs and their text as one part, equal runs added up."""
+    h, n, start, length, texts = (np.concatenate(x) if i < 4 else x for i, x in enumerate(zip(*parts)))
+    shift = np.cumsum([0, *map(len, texts)])[:-1]
+    start = start + np.repeat(shift, [len(p[0]) for p in parts])
+    h, first, place = np.unique(h, return_index=True, return_inverse=True)
+    total = np.zeros(len(first), np.int64)
+    np.add.at(total, place, n)
+    length = length[first]
+    return h, total, np.cumsum(length) - length, length, np.concatenate(texts)[_ranges(start[first], length)]
 
 
 def _phrases(lang: str, k: int, n: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.ndarray
