@@ -4,23 +4,29 @@ The documents are cut into shards.  A phrase that stands ``least`` times in the
 stands, in some shard, at least as often as that shard's share of the words asks for
 (pigeonhole).  So each shard is mined completely at its lowered support, and the phrases that
 are frequent in any shard are united.  Their counts in all shards are at hand by then, so those
-that do not add up to ``least`` leave at once, before they let longer runs through; one more
-pass counts the others exactly over all documents.  A shard is mined level by level: a run of k words is counted only if both of
-its runs of k - 1 words are among the united candidates so far.
+that do not add up to ``least`` leave at once, before they let longer runs through.  A shard is
+mined level by level: a run of k words is counted only if both of its runs of k - 1 words are
+among the united candidates so far.
 
 The number of shards is fixed, so the lowered support does not sink as the corpus grows; a
 shard is as large as it has to be and is mined by many tasks, which add up their own counts
-first.  Hashes are shuffled by their upper half.  The candidates travel as a bit table of fixed size, indexed by hash: two phrases
-that meet there cost a needless count and nothing else, as the last pass counts by text.
+first.  Runs are counted by their 64-bit hashes, by language and number of words, and one more
+pass brings the text of each: every task meets most frequent phrases, so a phrase is given out
+only by the rows of one span of ids that it stands in, the least, which the counts carry along.
+The candidates and their spans travel as bit tables of fixed size, indexed by hash: two phrases
+that meet there cost a needless count or row and nothing else, as both are joined by the hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,6 +71,18 @@ class Words:
         return at, tx.mix(h ^ (seeds[self.row[at]] + np.uint64(k)))
 
 
+@dataclass(frozen=True)
+class Candidates:
+    """Bit tables of the candidates: of their hashes, and of the spans that give out their text."""
+
+    hashes: Broadcast
+    spans: Broadcast
+
+    @property
+    def value(self) -> np.ndarray:
+        return self.hashes.value
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start on, ``sizes`` of them."""
     ends = np.cumsum(sizes)
@@ -75,16 +93,16 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray, Words]]:
-    """Blocks of rows: the languages met, each row's number among these and its hash seed, the words."""
+def _parts(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray, dict, Words]]:
+    """Blocks of rows: the languages met, each row's number among these and its hash seed, its shard and span if given, the words."""
     for batch in batches:
         data, offsets = tx.buffers(batch.column("text"))
         keyed = batch.column("lang").dictionary_encode()
         langs, codes = keyed.dictionary.to_pylist(), keyed.indices.to_numpy(zero_copy_only=False)
         seeds = np.array([xxhash.xxh64_intdigest(x.encode(), 9) for x in langs], np.uint64)[codes]
-        shards = batch.column("shard").to_numpy(zero_copy_only=False) if "shard" in batch.schema.names else None
+        places = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "span") if c in batch.schema.names}
         for a, b in tx.blocks(offsets):
-            yield langs, codes[a:b], seeds[a:b], (shards[a:b] if shards is not None else None), Words(
+            yield langs, codes[a:b], seeds[a:b], {c: x[a:b] for c, x in places.items()}, Words(
                 data, offsets[a:b + 1], with_text)
 
 
@@ -94,25 +112,35 @@ def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def _in_span(hashes: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Hashes of runs, each with a span; both halves of one are bits of the table of spans."""
+    return tx.mix(hashes ^ tx.mix(spans.astype(np.uint64)))
+
+
 def _mined(docs: DataFrame, k: int, below) -> DataFrame:
-    """lang, shard, h, n: how often each run of ``k`` words whose parts are candidates stands in each shard, by
-    the upper half of its hash; a hash's shards are in one partition."""
+    """lang, shard, h, n, span: how often each run of ``k`` words whose parts are candidates stands in each shard,
+    by its hash, and a span of ids that it stands in; a hash's shards are in one partition."""
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, shard), parts in held.items():
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                h, span = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(h)
+                h = h[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                n, h, span = np.diff(first, append=len(h)), h[first].view(np.int64), span[order[first]]
                 for a in range(0, len(h), 1 << 18):
-                    part = h[a:a + (1 << 18)].view(np.int32)
+                    part = h[a:a + (1 << 18)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang]).take(pa.array(np.zeros(len(part), np.int32))),
                          pa.array(np.full(len(part), shard, np.int32)), pa.array(part),
-                         pa.array(n[a:a + (1 << 18)].astype(np.int64))], names=["lang", "shard", "h", "n"])
+                         pa.array(n[a:a + (1 << 18)]), pa.array(span[a:a + (1 << 18)])],
+                        names=["lang", "shard", "h", "n", "span"])
             held.clear()
 
-        for langs, codes, seeds, shards, words in _parts(batches, False):
+        for langs, codes, seeds, places, words in _parts(batches, False):
             at, h = words.runs(k, seeds)
             if k > 1:
                 first, parts = words.runs(k - 1, seeds)
@@ -120,26 +148,26 @@ def _mined(docs: DataFrame, k: int, below) -> DataFrame:
                 known[first] = _has(below.value, parts)
                 good = known[at] & known[at + 1]
                 at, h = at[good], h[good]
-            row, h = words.row[at], (h >> np.uint64(32)).astype(np.uint32)
-            group = codes[row].astype(np.int64) << 32 | shards[row]
+            row = words.row[at]
+            group, span = codes[row].astype(np.int64) << 32 | places["shard"][row], places["span"][row]
             order = np.argsort(group, kind="stable") if len(group) and (group != group[0]).any() else slice(None)
-            group, h = group[order], h[order]
+            group, h, span = group[order], h[order], span[order]
             cuts = np.flatnonzero(np.diff(group)) + 1
-            for part, a in zip(np.split(h, cuts), [0, *cuts.tolist()]):
+            for part, spans, a in zip(np.split(h, cuts), np.split(span, cuts), [0, *cuts.tolist()]):
                 if len(part):
-                    held.setdefault((langs[int(group[a]) >> 32], int(group[a]) & 0xFFFFFFFF), []).append(part)
+                    held.setdefault((langs[int(group[a]) >> 32], int(group[a]) & 0xFFFFFFFF), []).append((part, spans))
             size += len(h)
             if size >= HELD:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    return (docs.mapInArrow(mine, "lang string, shard int, h int, n bigint").repartition("lang", "h")
-            .groupBy("lang", "shard", "h").agg(F.sum("n").alias("n")))
+    return (docs.mapInArrow(mine, "lang string, shard int, h bigint, n bigint, span int").repartition("lang", "h")
+            .groupBy("lang", "shard", "h").agg(F.sum("n").alias("n"), F.min("span").alias("span")))
 
 
 def _bit_table(hashes: DataFrame) -> np.ndarray:
-    """The bits of all hashes (column h): rows of 8 KB are filled in tasks, the driver puts them together."""
+    """The bits of all hashes (column h, their upper halves): rows of 8 KB are filled in tasks, the driver puts them together."""
     row_bits, rows = ROW_BITS, 1 << (BITS - ROW_BITS)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,17 +190,30 @@ def _bit_table(hashes: DataFrame) -> np.ndarray:
     return table.reshape(-1)
 
 
-def _counted(docs: DataFrame, most: int, known) -> DataFrame:
-    """lang, k, phrase, f: exact counts of the runs of 1 to ``most`` words whose bit is set, by their text."""
+def _span_halves(found: DataFrame) -> DataFrame:
+    """h: both halves of every candidate's hash with its span."""
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _in_span(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64),
+                         batch.column("span").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h).view(np.int32))], names=["h"])
+
+    return found.select("h", "span").mapInArrow(halves, "h int")
+
+
+def _counted(docs: DataFrame, most: int, known: Candidates) -> DataFrame:
+    """lang, k, h, phrase: the text of the runs of 1 to ``most`` words whose bit is set, from the rows of their span."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _task_counts(batches, most, known.value)
+        yield from _task_counts(batches, most, known.value, known.spans.value)
 
-    return (docs.select("lang", "text").mapInArrow(count, "lang string, k int, phrase string, n bigint")
-            .groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")))
+    return (docs.select("lang", "text", "span")
+            .mapInArrow(count, "lang string, k int, h bigint, phrase string, n bigint")
+            .groupBy("lang", "k", "h").agg(F.min("phrase").alias("phrase")))
 
 
-def _task_counts(batches: Iterator[pa.RecordBatch], most: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The counts of one task's rows.  Equal runs are added up whenever much is held, and only what is
+def _task_counts(batches: Iterator[pa.RecordBatch], most: int, table: np.ndarray, spans: np.ndarray | None = None
+                 ) -> Iterator[pa.RecordBatch]:
+    """The counts of one task's rows, with ``spans`` only of the runs that stand in their own span.  Equal runs are added up whenever much is held, and only what is
     too much even then is given out before the end.  A run counts only if both of its runs of one word
     less do: they are as frequent, so the table's false bits let few others through."""
     held: dict[tuple, list] = {}
@@ -181,10 +222,10 @@ def _task_counts(batches: Iterator[pa.RecordBatch], most: int, table: np.ndarray
     def flush() -> Iterator[pa.RecordBatch]:
         for (lang, k), parts in held.items():
             h, n, start, length, text = _added(parts)
-            yield from _phrases(lang, k, n, start, length, text)
+            yield from _phrases(lang, k, h, n, start, length, text)
         held.clear()
 
-    for langs, codes, seeds, _, words in _parts(batches, True):
+    for langs, codes, seeds, places, words in _parts(batches, True):
         below = np.ones(len(words.hash) + 1, bool)
         for k in range(1, most + 1):
             at, h = words.runs(k, seeds)
@@ -195,6 +236,10 @@ def _task_counts(batches: Iterator[pa.RecordBatch], most: int, table: np.ndarray
             at, h = at[good], h[good]
             below = np.zeros(len(words.hash) + 1, bool)
             below[at] = True
+            if spans is not None:
+                own = _in_span(h, places["span"][words.row[at]])
+                good = _has(spans, own) & _has(spans, own << np.uint64(32))
+                at, h = at[good], h[good]
             code = codes[words.row[at]]
             for c in np.unique(code).tolist():
                 own = code == c
@@ -226,9 +271,9 @@ def _added(parts: list[tuple]) -> tuple:
     return h, total, np.cumsum(length) - length, length, np.concatenate(texts)[_ranges(start[first], length)]
 
 
-def _phrases(lang: str, k: int, n: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.ndarray
+def _phrases(lang: str, k: int, h: np.ndarray, n: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.ndarray
              ) -> Iterator[pa.RecordBatch]:
-    """Rows of lang, k, phrase and n, in batches."""
+    """Rows of lang, k, h, phrase and n, in batches."""
     for a in range(0, len(n), 1 << 17):
         s, size = start[a:a + (1 << 17)], length[a:a + (1 << 17)]
         ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -236,7 +281,8 @@ def _phrases(lang: str, k: int, n: np.ndarray, start: np.ndarray, length: np.nda
                                                              pa.py_buffer(text[_ranges(s, size)].tobytes())])
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang]).take(pa.array(np.zeros(len(s), np.int32))), pa.array(np.full(len(s), k, np.int32)),
-             phrase, pa.array(n[a:a + (1 << 17)])], names=["lang", "k", "phrase", "n"])
+             pa.array(h[a:a + (1 << 17)].view(np.int64)), phrase, pa.array(n[a:a + (1 << 17)])],
+            names=["lang", "k", "h", "phrase", "n"])
 
 
 def frequent_phrases(docs: DataFrame, least: int, most: int, shards: int) -> tuple[DataFrame, DataFrame]:
@@ -246,26 +292,32 @@ def frequent_phrases(docs: DataFrame, least: int, most: int, shards: int) -> tup
     ``docs`` has doc_id, lang and text without nulls in the last two.
     """
     sc = docs.sparkSession.sparkContext
-    shard = F.pmod(F.xxhash64(F.floor(F.col("doc_id") / SPAN)), F.lit(shards)).cast("int")
-    parted = docs.select("lang", "text", F.coalesce(shard, F.lit(0)).alias("shard"))
+    span = F.floor(F.col("doc_id") / SPAN)
+    shard = F.pmod(F.xxhash64(span), F.lit(shards)).cast("int")
+    parted = docs.select("lang", "text", F.coalesce(shard, F.lit(0)).alias("shard"),
+                         F.coalesce(F.pmod(span, F.lit((1 << 31) - 1)).cast("int"), F.lit(0)).alias("span"))
     words = stored(_mined(parted, 1, None), "words")
     sizes = words.groupBy("lang", "shard").agg(F.sum("n").alias("own"))
     totals = stored(sizes.join(sizes.groupBy("lang").agg(F.sum("own").alias("total")), "lang"), "totals")
     exact = lambda c: F.col(c).cast("decimal(19,0)")
-    every, table = np.zeros(1 << (BITS - 3), np.uint8), None
+    every, table, levels = np.zeros(1 << (BITS - 3), np.uint8), None, []
     for k in range(1, most + 1):
         counts = words if k == 1 else _mined(parted, k, table)
         local = exact("n") * exact("total") >= exact("own") * F.lit(least)
-        whole = counts.join(totals, ["lang", "shard"]).groupBy("lang", "h").agg(F.sum("n").alias("f"), F.max(local).alias("local"))
-        found = _bit_table(whole.where(F.col("local") & (F.col("f") >= least)))
+        whole = counts.join(totals, ["lang", "shard"]).groupBy("lang", "h").agg(
+            F.sum("n").alias("f"), F.max(local).alias("local"), F.min("span").alias("span"))
+        levels.append(stored(whole.where(F.col("local") & (F.col("f") >= least))
+                             .select("lang", F.lit(k).alias("k"), "h", "f", "span"), "candidates"))
+        found = _bit_table(levels[-1].select(F.shiftright("h", 32).cast("int").alias("h")))
         if table is not None:
             table.unpersist()
         if not found.any():
             break
         every |= found
         table = sc.broadcast(found)
-    known = sc.broadcast(every)
-    phrases = stored(_counted(docs, most, known).where(F.col("f") >= least), "phrases")
+    found = reduce(DataFrame.union, levels)
+    known = Candidates(sc.broadcast(every), sc.broadcast(_bit_table(_span_halves(found))))
+    phrases = stored(found.join(_counted(parted, most, known), ["lang", "k", "h"]).select("lang", "k", "phrase", "f"), "phrases")
     return phrases, totals.select("lang", "total").distinct()
 
 
