@@ -67,8 +67,9 @@ def linked_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     asked = (prints.select("fp", half).select(F.col("fp").alias("a"), "own", F.explode(ball).alias("key"))
              .withColumn("exact", F.col("own") == F.col("key")).drop("own"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    # equal halves are met from both sides: one is enough
-    found = asked.join(table, (asked["key"] == table["key"]) & near
+    # equal halves are met from both sides: one is enough; merged, as Spark's estimate of either
+    # side misses the exploded rows and would broadcast all of them
+    found = asked.join(table.hint("merge"), (asked["key"] == table["key"]) & near
                        & (~F.col("exact") | (F.col("a") < F.col("b"))))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
