@@ -6,17 +6,20 @@ split maximises
     GL^2 / (HL + lambda) + GR^2 / (HR + lambda) - G^2 / (H + lambda)
 
 over the cut points of all features, and a leaf weighs -G / (H + lambda), times the learning
-rate.  G and H of every cut point come from one grouped aggregate per level: each row adds
-(g, h) to the bin of each feature in its node.  The driver receives that histogram, whose
-size is set by nodes, features and bins and not by the rows, and returns the next level of
-the trees.
+rate.  Rows whose bins are equal share every node and margin, so they are grouped once into
+cells, with the number of rows and the sum of labels that each model learns from.  All passes
+go over the cells: at most (bins + 1) ^ features of them, and never more than rows.  G and H of
+every cut point come from one grouped aggregate per level: each cell adds (g, h) to the bin of
+each feature in its node.  The driver receives that histogram, whose size is set by nodes,
+features and bins and not by the rows, and returns the next level of the trees.
 
 Several models grow at once: with folds, model k learns from the rows outside fold k, and
 all models share every pass over the data.  A cross-validation of five folds thus takes as
 many jobs as one fit.
 
-Gradients are rounded to whole multiples of a power of two that is fixed for the fit, so the
-sums are whole numbers: the trees depend neither on the partitioning nor on recomputed tasks.
+Margins and labels are rounded to whole multiples of a power of two that is fixed for the fit,
+so the sums of gradients are whole numbers: the trees depend neither on the partitioning nor on
+recomputed tasks.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ from regionlens.session import materialize
 
 #: Rounds whose trees are applied on the fly before the margins are written anew.
 PENDING = 8
-#: Rows that a task of a pass has at least, and the tasks up to which the driver adds their histograms up itself.
-TASK_ROWS, DIRECT = 8192, 16
+#: Cells that a task of a pass has at least, and the tasks up to which the driver adds their histograms up itself.
+TASK_ROWS, DIRECT = 1 << 15, 16
 
 
 class Tree:
@@ -71,14 +74,7 @@ class Boosted:
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """``df`` with the prediction."""
-        trees, base = self.trees, self.base
-
-        @F.arrow_udf("double")
-        def predict(bins: pa.Array) -> pa.Array:
-            b = _matrix(bins)
-            return pa.array(base + sum((t.weight[t.leaves(b)] for t in trees), np.zeros(len(b))))
-
-        return df.withColumn(out, predict(bins_column(self.features, self.cuts)))
+        return df.withColumn(out, _predicted([self])(bins_column(self.features, self.cuts), F.lit(0)))
 
     def importances(self, spark: SparkSession) -> DataFrame:
         """M10 share of each feature in the mean gain of its splits, sorted."""
@@ -153,29 +149,37 @@ def fit(df: DataFrame, features: Sequence[str], label: str, rounds: int = 100, d
     label of a model's rows, to six places; a table without rows predicts nothing.
     """
     features, n_models = list(features), folds if fold else 1
-    own = df.where(F.col(f"`{label}`").isNotNull())
-    cuts = cut_points(own, features, bins)
-    shape = (len(features), max((len(c) for c in cuts.values()), default=0) + 2)  # the last bin: missing
     y = F.col(f"`{label}`").cast("double")
     group = F.coalesce(F.col(f"`{fold}`").cast("int"), F.lit(-1)) if fold else F.lit(-1)
-    rows = materialize(own.select("*", y.alias("_y"), group.alias("_f"), bins_column(features, cuts).alias("_b")), "boost-rows")
+    rows = materialize(df.where(F.col(f"`{label}`").isNotNull()).select("*", y.alias("_y"), group.alias("_f")), "boost-rows")
+    cuts = cut_points(rows, features, bins)
+    shape = (len(features), max((len(c) for c in cuts.values()), default=0) + 2)  # the last bin: missing
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi"),
                      *[F.avg(F.when(F.col("_f") != k, F.col("_y"))).alias(f"m{k}") for k in range(n_models)]).first()
     models = [Boosted(features, cuts, round(stats[f"m{k}"] or 0.0, 6)) for k in range(n_models)]
     scale = gradient_scale(stats["n"], stats["hi"] - stats["lo"]) if stats["n"] else 1.0
-    # few rows need few tasks, and the passes are many
-    tasks = -(-stats["n"] // TASK_ROWS)
-    margins = rows.withColumn("_m", F.array(*[F.lit(m.base) for m in models])).coalesce(max(tasks, 1))
+    binned = bins_column(features, cuts)
+    if stats["n"]:
+        step = F.floor((F.col("_y") - stats["lo"]) * scale + 0.5)
+        own = [F.col("_f") != k for k in range(n_models)]
+        grouped = rows.groupBy(binned.alias("_b")).agg(
+            F.array(*[F.count_if(c) for c in own]).alias("_n"),
+            F.array(*[F.coalesce(F.sum(F.when(c, step)), F.lit(0)) for c in own]).alias("_s"))
+        margins = materialize(grouped.withColumn("_m", F.array(*[F.lit(m.base) for m in models])), "boost-margins")
+        # few cells need few tasks, and the passes are many
+        tasks = -(-margins.count() // TASK_ROWS)
+        margins = margins.coalesce(tasks)
     pending: list[list[Tree]] = []
-    for _ in range(rounds if stats["n"] else 0):
-        trees = _grow(margins, pending, shape, n_models, scale, depth, rate, lam, least, tasks <= DIRECT)
+    for r in range(rounds if stats["n"] else 0):
+        trees = _grow(margins, pending, shape, n_models, scale, stats["lo"], depth, rate, lam, least, tasks <= DIRECT)
         for model, tree in zip(models, trees):
             model.trees.append(tree)
         pending.append(trees)
-        if len(pending) >= PENDING or len(models[0].trees) == rounds:
-            margins, pending = materialize(margins.withColumn("_m", _applied(pending)("_b", "_m")), "boost-margins").coalesce(max(tasks, 1)), []
-    prediction = F.get("_m", F.when(F.col("_f") >= 0, F.col("_f"))) if fold else F.get("_m", F.lit(0))
-    return models, margins.withColumn("prediction", prediction).select(*[f"`{c}`" for c in df.columns], "prediction")
+        if len(pending) >= PENDING and r + 1 < rounds:
+            margins, pending = materialize(margins.withColumn("_m", _applied(pending)("_b", "_m")), "boost-margins").coalesce(tasks), []
+    whose = F.col("_f") if fold else F.lit(0)
+    out = rows.withColumn("prediction", _predicted(models)(binned, whose)).select(*[f"`{c}`" for c in df.columns], "prediction")
+    return models, materialize(out, "boost-predictions")
 
 
 def gradient_scale(n: int, spread: float) -> float:
@@ -202,8 +206,22 @@ def _applied(pending: list[list[Tree]]):
     return apply
 
 
+def _predicted(models: list[Boosted]):
+    """The prediction of model ``whose`` for each row of bins; null if there is no such model."""
+    @F.arrow_udf("double")
+    def predict(bins: pa.Array, whose: pa.Array) -> pa.Array:
+        b, k = _matrix(bins), np.asarray(whose)
+        out = np.zeros(len(b))
+        for i, model in enumerate(models):
+            at = np.flatnonzero(k == i)
+            out[at] = _margins(b[at], np.full((len(at), 1), model.base), [[t] for t in model.trees])[:, 0]
+        return pa.array(out, mask=(k < 0) | (k >= len(models)))
+
+    return predict
+
+
 def _histogram(margins: DataFrame, pending: list[list[Tree]], trees: list[Tree], slots: dict[tuple[int, int], int],
-               shape: tuple[int, int], scale: float, direct: bool) -> tuple[np.ndarray, np.ndarray]:
+               shape: tuple[int, int], scale: float, lo: float, direct: bool) -> tuple[np.ndarray, np.ndarray]:
     """Sums of g and h for each active node, feature and bin: one pass, added up in the tasks first,
     then in a shuffle or, if there are few tasks (``direct``), in the driver."""
     size, high = len(slots) * shape[0] * shape[1], 1 << 24
@@ -216,23 +234,22 @@ def _histogram(margins: DataFrame, pending: list[list[Tree]], trees: list[Tree],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins, m = _matrix(batch.column("_b")), _matrix(batch.column("_m"))
-            y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_f"))
+            bins, n, s, m = (_matrix(batch.column(c)) for c in ("_b", "_n", "_s", "_m"))
             cells = np.where(bins < 0, shape[1] - 1, bins) + np.arange(shape[0]) * shape[1]
             m = _margins(bins, m, pending)
             for k, tree in enumerate(trees):
-                slot = np.where(fold == k, -1, slot_of[k, tree.leaves(bins)])
+                slot = np.where(n[:, k] == 0, -1, slot_of[k, tree.leaves(bins)])
                 at = np.flatnonzero(slot >= 0)
-                step = np.floor((m[at, k] - y[at]) * scale + 0.5).astype(np.int64)
+                step = n[at, k] * np.floor((m[at, k] - lo) * scale + 0.5).astype(np.int64) - s[at, k]
                 cell = (cells[at] + (slot[at] * (shape[0] * shape[1]))[:, None]).reshape(-1)
                 # bincount adds doubles: in two parts, which stay exact
                 for part, unit in ((step & (high - 1), 1), (step >> 24, high)):
                     g += np.bincount(cell, np.repeat(part, shape[0]), size).astype(np.int64) * unit
-                h += np.bincount(cell, minlength=size)
+                h += np.bincount(cell, np.repeat(n[at, k], shape[0]), size).astype(np.int64)
         at = np.flatnonzero(h)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g[at]), pa.array(h[at])], names=["cell", "g", "h"])
 
-    got = margins.select("_y", "_f", "_b", "_m").mapInArrow(add, "cell bigint, g bigint, h bigint")
+    got = margins.select("_b", "_n", "_s", "_m").mapInArrow(add, "cell bigint, g bigint, h bigint")
     if not direct:
         got = got.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     cell, part_g, part_h = (c.to_numpy() for c in got.toArrow().select(["cell", "g", "h"]).columns)
@@ -242,7 +259,7 @@ def _histogram(margins: DataFrame, pending: list[list[Tree]], trees: list[Tree],
     return g.reshape(len(slots), *shape), h.reshape(len(slots), *shape)
 
 
-def _grow(margins: DataFrame, pending: list[list[Tree]], shape: tuple[int, int], models: int, scale: float, depth: int,
+def _grow(margins: DataFrame, pending: list[list[Tree]], shape: tuple[int, int], models: int, scale: float, lo: float, depth: int,
           rate: float, lam: float, least: float, direct: bool) -> list[Tree]:
     """One tree per model, a level at a time."""
     trees = [Tree(depth) for _ in range(models)]
@@ -252,7 +269,7 @@ def _grow(margins: DataFrame, pending: list[list[Tree]], shape: tuple[int, int],
 
     active = [(k, 1) for k in range(models)]
     for level in range(depth):
-        g, h = _histogram(margins, pending, trees, {a: i for i, a in enumerate(active)}, shape, scale, direct)
+        g, h = _histogram(margins, pending, trees, {a: i for i, a in enumerate(active)}, shape, scale, lo, direct)
         following = []
         for (k, node), node_g, node_h in zip(active, g, h):
             tree, whole_g, whole_h = trees[k], int(node_g[0].sum()), int(node_h[0].sum())

@@ -9,11 +9,14 @@ histogram refinement instead:
    ((n - 1) * q, its floor and ceiling);
 2. while a target's value range still holds more than ``limit`` values,
    one pass buckets the values inside the range into ``buckets`` equal-width
-   buckets (partial aggregation: at most ``buckets`` rows per target leave a
+   buckets (partial aggregation: at most ``buckets`` rows per range leave a
    task), and the range shrinks to the bucket holding the rank -- its exact
    min and max, so boundaries never depend on float rounding;
 3. a last pass ranks only the values inside each target's (bounded) range.
 
+Two ranges of a group are equal or share no value, so a value is counted once a
+pass, however many quantiles are asked for.
+
 Groups whose size is already within ``limit`` skip steps 2-3: their
 values go to Spark's ``percentile`` aggregate, whose per-group buffer is
 then bounded by ``limit``; so on small inputs this costs two passes.  Both
@@ -37,16 +40,18 @@ DEFAULT_BUCKETS = 4096
 _INF = float("inf")
 
 
-def _attach(base: DataFrame, targets: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Pair each value with the targets of its group whose [lo, hi] range
-    contains it.  Grouped: an equi-join on the group keys that broadcasts the
-    targets if they are measured small and splits hot groups if not.  Global: the
-    targets are a handful of rows, applied as literals with a filtered
+def _attach(base: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """Pair each value with the different ranges [lo, hi] of its group's targets
+    that contain it.  Grouped: an equi-join on the group keys that broadcasts the
+    ranges if they are measured small and splits hot groups if not.  Global: the
+    ranges are a handful of rows, applied as literals with a filtered
     ``explode`` (no join)."""
+    cols = ["lo", "hi"]
+    ranges = targets.select(*by, *cols).distinct()
     inside = (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
     if by:
-        return cell_join(base, targets.select(*by, *cols), by).where(inside)
-    rows = targets.select(*cols).collect()
+        return cell_join(base, ranges, by).where(inside)
+    rows = ranges.collect()
     if not rows:
         return base.select("_v", *[F.lit(None).alias(c) for c in cols]).where(F.lit(False))
     arr = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in cols]) for r in rows])
@@ -104,8 +109,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
                  F.coalesce("_beyond", "_lo").alias("lo"), F.coalesce("_beyond", "_hi").alias("hi"),
                  F.col("_under").alias("below"), F.col("_finite").alias("cnt")))
     t = materialize(t, "quantile-targets")
-    keys = [*by, "_qi", "_which"]
-    tcols = ["_qi", "_which", "lo", "hi", "_rank", "below"]
+    keys, span = [*by, "_qi", "_which"], [*by, "lo", "hi"]
 
     before = math.inf
     while True:
@@ -116,18 +120,18 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
         if left >= before:
             raise ArithmeticError(f"values of {value} cannot be told apart by their distance")
         before = left
-        j = _attach(base, big, by, tcols)
+        j = _attach(base, big, by)
         # halves, as a difference of two finite numbers can be infinite
         width = F.col("hi") / 2 - F.col("lo") / 2
         share = F.try_divide(F.col("_v") / 2 - F.col("lo") / 2, width)
         bkt = F.when(F.col("_v") == F.col("hi"), buckets - 1).otherwise(
             F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)))
-        h = j.groupBy(*keys, "_rank", "below", bkt.alias("_b")).agg(
+        h = j.groupBy(*span, bkt.alias("_b")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
-        w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*span).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         h = h.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
         local = F.col("_rank") - F.col("below")
-        pick = h.where((F.col("_before") <= local) & (local < F.col("_before") + F.col("_c")))
+        pick = big.join(h, span).where((F.col("_before") <= local) & (local < F.col("_before") + F.col("_c")))
         upd = pick.select(*keys, F.col("_bmin").alias("n_lo"), F.col("_bmax").alias("n_hi"),
                           (F.col("below") + F.col("_before")).alias("n_below"), F.col("_c").alias("n_cnt"))
         t = t.join(upd, keys, "left").select(
@@ -139,9 +143,10 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     # final pass: rank only inside each target's bounded range; a range that
     # collapsed to one value is that value
     narrow = t.where(F.col("hi") > F.col("lo"))
-    j = _attach(base, narrow, by, tcols)
-    rk = j.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1)
-    picked = rk.where(F.col("_r") == F.col("_rank") - F.col("below")).select(*keys, F.col("_v").alias("_val"))
+    j = _attach(base, narrow, by)
+    rk = j.withColumn("_r", F.row_number().over(Window.partitionBy(*span).orderBy("_v")) - 1)
+    picked = (narrow.withColumn("_r", F.col("_rank") - F.col("below")).join(rk, [*span, "_r"])
+              .select(*keys, F.col("_v").alias("_val")))
     vals = t.join(picked, keys, "left").select(
         *keys, "_q", "_pos", F.when(F.col("hi") > F.col("lo"), F.col("_val")).otherwise(F.col("lo")).alias("_val"))
     lo_v = vals.where(F.col("_which") == 0).select(*by, "_qi", "_q", "_pos", F.col("_val").alias("_a"))

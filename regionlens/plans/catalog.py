@@ -869,7 +869,8 @@ def scaled_features(spark, d):
 
 
 def _cv_frame(spark, d):
-    f = clean.median_impute(fx.features(spark, d), _XF)
+    # the medians, the groups and the folds all read it: the orders are joined once
+    f = clean.median_impute(materialize(fx.features(spark, d), "cv-features"), _XF)
     return split.group_folds(f, "tract", 5)
 
 
